@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, tree_bpe
 from ionflow.llm.common import table
 
 
@@ -15,6 +15,24 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture_packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
+
+
+def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tree_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", covering_simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -22,6 +40,8 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op4_mixture_packing": op4_mixture_packing,
+    "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, tree_bpe
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, secret_scan, tree_bpe
 from ionflow.llm.common import table
 
 
@@ -15,6 +15,25 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"] != "guess")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piecewise_hash.with_next(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,6 +59,8 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_piecewise_hash": op3_piecewise_hash,
     "op4_mixture_packing": op4_mixture_packing,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,

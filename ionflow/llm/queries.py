@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, secret_scan, tree_bpe
-from ionflow.llm.common import table
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, secret_scan, tree_bpe, warc
+from ionflow.llm.common import scratch_path, table
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,13 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder, "verify")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tree_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return found.select(
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_piecewise_hash": op3_piecewise_hash,
     "op4_mixture_packing": op4_mixture_packing,
+    "op6_warc": op6_warc,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, secret_scan, tree_bpe, warc
-from ionflow.llm.common import scratch_path, table
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, tree_bpe, warc
+from ionflow.llm.common import materialise, scratch_path, table
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
+def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/documents.parquet"
+    slices = materialise(resharding.plan(spark, path, 16), "slices")
+    resharding.rewrite(spark, path, slices, scratch_path(spark, "shards"))
+    found = resharding.assign(spark, path, slices)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tree_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
     return found.select(
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_piecewise_hash": op3_piecewise_hash,
     "op4_mixture_packing": op4_mixture_packing,
     "op6_warc": op6_warc,
+    "op8_flow_resharding": op8_flow_resharding,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,
 }

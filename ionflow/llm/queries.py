@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, tree_bpe, warc
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, string_kernel, tree_bpe, warc
 from ionflow.llm.common import materialise, scratch_path, table
 
 
@@ -49,6 +49,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
+def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = string_kernel.predict(docs, string_kernel.fit(docs))
+    return found.select("doc_id", string_kernel.in_fold("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     slices = materialise(resharding.plan(spark, path, 16), "slices")
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_piecewise_hash": op3_piecewise_hash,
     "op4_mixture_packing": op4_mixture_packing,
     "op6_warc": op6_warc,
+    "op7_string_kernel": op7_string_kernel,
     "op8_flow_resharding": op8_flow_resharding,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,

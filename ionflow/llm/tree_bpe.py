@@ -22,8 +22,8 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import islice
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LEAF = 4096
-CACHE_ENTRIES = 1_000_000
-SLICE_BYTES = 8 << 20
+CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
+SLICE_BYTES = 4 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer's pattern
+_BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)""")
 
@@ -51,15 +52,13 @@ class Bpe:
     """One tokenizer file: cached chunk encodings, leaves and joins."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        spec = json.load(open(path, encoding="utf-8"))
-        spec |= {"truncation": None, "padding": None}
+        self.path = path
+        spec = self._spec()
         self.leaf, self.tok = leaf, Tokenizer.from_str(json.dumps(spec))
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        bare = {"version": spec["version"], "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
-        self.last = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"]}))
-        self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
+        self.words = self._bare({"pre_tokenizer": {"type": "WhitespaceSplit"}})
         self.names = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
         self.ends = np.zeros(max(self.names) + 1, bool)
         if self.suffix:
@@ -67,47 +66,73 @@ class Bpe:
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
 
+    def _spec(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f) | {"truncation": None, "padding": None}
+
+    def _bare(self, changes: dict, **model) -> Tokenizer:
+        """The model alone, without normalisation, splitting and added tokens."""
+        spec = self._spec()
+        parts = {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None}
+        return Tokenizer.from_str(json.dumps(spec | parts | changes | {"model": spec["model"] | model}))
+
+    @cached_property
+    def last(self) -> Tokenizer:
+        """For the last piece of a run."""
+        return self._bare({})
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        """For pieces that do not end their run."""
+        return self._bare({}, end_of_word_suffix=None)
+
     # Chunks -------------------------------------------------------------------------------
     def _encode_new(self, chunks: set[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Encodings of unseen chunks. Words of plain letters go in one call and are told apart by their last tokens."""
+        """Encodings of unseen chunks.
+
+        Words of plain lower-case letters are what normalisation and splitting leave of them, so they
+        go to the model many at a time and are told apart by their last tokens.
+        """
         ids: dict[str, bytes] = {}
-        words = [c for c in chunks if _LETTERS.fullmatch(c)] if self.suffix else []
+        words = sorted((c for c in chunks if _LETTERS.fullmatch(c)), key=str.isascii) if self.suffix else []
         others = list(chunks.difference(words))
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            flat = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
-            ends = np.flatnonzero(self.ends[flat]) + 1
-            if len(ends) != len(part):
-                others += part
-                continue
+        batches = [" ".join(words[at : at + 64]) for at in range(0, len(words), 64)]
+        spelled = [x if x.isascii() else x.translate(_BYTE_LEVEL) for x in batches]
+        flat = np.array([i for e in self.words.encode_batch_fast(spelled, add_special_tokens=False) for i in e.ids], "<i4")
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) == len(words):
             raw, bounds = flat.tobytes(), [0, *(ends * 4).tolist()]
-            ids.update(zip(part, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=True))
+            ids.update(zip(words, [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)], strict=True))
+        else:
+            others += words
         for c, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids[c] = np.array(e.ids, "<i4").tobytes()
         names = self.names
         return ids, {c: "".join([" " + names[i] for i in np.frombuffer(x, "<i4").tolist()]) for c, x in ids.items()} if decode else {}
 
-    def _find(self, chunks: set[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str]]:
-        """Ids and decoded texts of these chunks. A word with ASCII punctuation after it is its two parts."""
+    def _find(self, chunks: set[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str] | None]:
+        """Ids and decoded texts of these chunks. A word with ASCII punctuation after it is its two parts.
+
+        The few hundred thousand chunks that stay known are looked up once per distinct chunk; the
+        texts at hand then use a small dictionary of their own.
+        """
+        order = list(chunks)
+        kept = (self.ids, self.texts)[: 1 + decode]
+        local = [dict(zip(order, map(known.get, order), strict=True)) for known in kept]
         split, need = {}, set()
-        for c in chunks.difference(self.texts if decode else self.ids):
+        for c in [c for c, v in local[-1].items() if v is None]:
             m = _WORD.fullmatch(c)
             split[c] = parts = (m[1].lower(), m[2]) if m else (c, "")
             need.update(parts)
         need.discard("")
-        need.difference_update(self.texts if decode else self.ids)
-        ids, texts = self._encode_new(need, decode)
-        for known, fresh in ((self.ids, ids), (self.texts, texts)):
-            known.update(islice(fresh.items(), max(0, CACHE_ENTRIES - len(known))))
-
-        def both(known: dict, fresh: dict, empty):
-            found = {}
-            for c, (a, b) in split.items():
-                found[c] = (fresh[a] if a in fresh else known[a]) + ((fresh[b] if b in fresh else known[b]) if b else empty)
-            known.update(islice(found.items(), max(0, CACHE_ENTRIES - len(known))))
-            return {c: found[c] if c in found else known[c] for c in chunks}
-
-        return both(self.ids, ids, b""), both(self.texts, texts, "") if decode else {}
+        known_parts = {c for c in need if c in kept[-1]}
+        room = max(0, CACHE_ENTRIES // (1 + decode) - len(kept[-1]))
+        for known, here, fresh in zip(kept, local, self._encode_new(need - known_parts, decode), strict=False):
+            fresh.update((c, known[c]) for c in known_parts)
+            found = {c: fresh[a] + fresh[b] if b else fresh[a] for c, (a, b) in split.items()}
+            here.update(found)
+            known.update(islice(chain(fresh.items(), found.items()), room))
+        return local[0], local[1] if decode else None
 
     def split(self, text: str) -> list[str]:
         return [text] if _ODD_SPACE.search(text) else text.split()

@@ -170,9 +170,12 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
         bucket = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.col("id") >= F.get(bounds, acc + step - 1), acc + step).otherwise(acc))
     rows = rows.withColumn("bucket", bucket)
     firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())  # one row per bucket
-    heads = spark.createDataFrame([(b, i, firsts[k - 1][0]) for k, (b, i) in enumerate(firsts)], "bucket int, head long, before int")
-    own, ahead = F.struct("bucket", F.lit(0).alias("copy")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("copy"))
-    dealt = rows.join(F.broadcast(heads), "bucket").select("id", "doc_id", "text", F.explode(F.when(F.col("id") == F.col("head"), F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
+    head, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for k, (b, i) in enumerate(firsts):
+        head[b], before[b] = i, firsts[k - 1][0]
+    leads = F.col("id") == F.get(F.array(*[F.lit(x).cast("long") for x in head]), F.col("bucket"))
+    own, ahead = F.struct("bucket", F.lit(0).alias("copy")), F.struct(F.get(F.lit(before), F.col("bucket")).alias("bucket"), F.lit(1).alias("copy"))
+    dealt = rows.select("id", "doc_id", "text", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
     ordered = dealt.repartition(F.col("to.bucket")).sortWithinPartitions("to", "id", "text").select("to.bucket", "to.copy", "doc_id", "text")
     names = ["doc_id", "text", "fingerprint", "edited", "edited_fingerprint", "near_edited", "near_next"]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, string_kernel, tree_bpe, warc
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, string_kernel, surrogates, tree_bpe, warc
 from ionflow.llm.common import materialise, scratch_path, table
 
 
@@ -42,6 +42,11 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True)
+    return found.select("doc_id", "text", F.when(F.col("replaced") == "", 0).otherwise(F.size(F.split("replaced", ","))).cast("long").alias("n_entities"), F.col("replaced").alias("spans"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_piecewise_hash": op3_piecewise_hash,
     "op4_mixture_packing": op4_mixture_packing,
+    "op5_surrogates": op5_surrogates,
     "op6_warc": op6_warc,
     "op7_string_kernel": op7_string_kernel,
     "op8_flow_resharding": op8_flow_resharding,

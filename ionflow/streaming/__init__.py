@@ -1,0 +1 @@
+"""Left empty on purpose: the engine's inputs are bounded tables and files, and none of its queries is a stream."""

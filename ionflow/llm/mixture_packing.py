@@ -121,18 +121,22 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, named: list[str], qu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = tree_bpe.load(tokenizer), TaskContext.get().partitionId()
-        kind = "<u2" if len(bpe.ends) <= 1 << 16 else "<u4"
-        end, seen = np.array([end_id], kind).tobytes(), {}
+        kind, seen = np.dtype("<u2" if len(bpe.ends) <= 1 << 16 else "<u4"), {}
         for b in batches:
             for at, to in tree_bpe.slices(b.column(2)):
-                ids, _ = bpe.encode_all(b.column(2).slice(at, to - at).to_pylist(), False)
-                sizes, starts = [len(x) // 4 + 1 for x in ids], []
-                for q, n in zip(b.column(1).slice(at, to - at).to_pylist(), sizes, strict=True):
+                part_rows = b.slice(at, to - at)
+                ids, bounds, _ = bpe.encode_all(part_rows.column(2), False)
+                n = np.diff(bounds)
+                flat = np.full(len(ids) + len(n), end_id, kind)  # the end id follows each document
+                flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+                ends = (bounds + np.arange(len(bounds))) * kind.itemsize
+                tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+                starts = []
+                for q, size in zip(part_rows.column(1).to_pylist(), (n + 1).tolist(), strict=True):
                     starts.append(seen.get(q, 0))
-                    seen[q] = starts[-1] + n
-                tokens = [np.frombuffer(x, "<i4").astype(kind).tobytes() + end for x in ids]
+                    seen[q] = starts[-1] + size
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())],
+                    [part_rows.column(0), part_rows.column(1), pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64()), pa.array(n + 1, pa.int64()), tokens],
                     ["doc_id", "queue", "part", "local", "n", "tokens"],
                 )
 

@@ -1,6 +1,6 @@
 """BPE encoding and decoding with tree concatenation for long unsplit text.
 
-Text falls apart at white space, where no merge, normalisation or added token of the supported
+Text falls apart at ASCII white space, where no merge, normalisation or added token of the supported
 tokenizer files reaches across, so encodings are looked up chunk by chunk and only unseen chunks
 go to the tokenizers library. A chunk that stays in one piece over ``leaf`` characters is encoded
 as a tree: its runs are cut into leaves, the leaves are encoded in parallel as rows of their own,
@@ -34,8 +34,7 @@ from tokenizers import Tokenizer
 
 LEAF = 4096
 CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
-SLICE_BYTES = 4 << 20
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the tokenizer's pattern
+SLICE_BYTES = 8 << 20
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)""")
@@ -63,6 +62,7 @@ class Bpe:
         self.ends = np.zeros(max(self.names) + 1, bool)
         if self.suffix:
             self.ends[[i for i, t in self.names.items() if t.endswith(self.suffix)]] = True
+        self.gaps = (b"", " ")  # between the ids and the decoded texts of two parts
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
 
@@ -108,40 +108,51 @@ class Bpe:
         for c, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids[c] = np.array(e.ids, "<i4").tobytes()
         names = self.names
-        return ids, {c: "".join([" " + names[i] for i in np.frombuffer(x, "<i4").tolist()]) for c, x in ids.items()} if decode else {}
+        return ids, {c: " ".join([names[i] for i in np.frombuffer(x, "<i4").tolist()]) for c, x in ids.items()} if decode else {}
 
-    def _find(self, chunks: set[str], decode: bool) -> tuple[dict[str, bytes], dict[str, str] | None]:
-        """Ids and decoded texts of these chunks. A word with ASCII punctuation after it is its two parts.
-
-        The few hundred thousand chunks that stay known are looked up once per distinct chunk; the
-        texts at hand then use a small dictionary of their own.
-        """
-        order = list(chunks)
+    def _find(self, chunks: list[str], decode: bool) -> tuple[list[bytes], list[str] | None]:
+        """Ids and decoded texts of distinct chunks. A word with ASCII punctuation after it is its two parts."""
         kept = (self.ids, self.texts)[: 1 + decode]
-        local = [dict(zip(order, map(known.get, order), strict=True)) for known in kept]
+        values = [list(map(known.get, chunks)) for known in kept]
         split, need = {}, set()
-        for c in [c for c, v in local[-1].items() if v is None]:
+        for c in [c for c, v in zip(chunks, values[-1], strict=True) if v is None]:
             m = _WORD.fullmatch(c)
             split[c] = parts = (m[1].lower(), m[2]) if m else (c, "")
             need.update(parts)
         need.discard("")
         known_parts = {c for c in need if c in kept[-1]}
         room = max(0, CACHE_ENTRIES // (1 + decode) - len(kept[-1]))
-        for known, here, fresh in zip(kept, local, self._encode_new(need - known_parts, decode), strict=False):
+        for k, (known, fresh) in enumerate(zip(kept, self._encode_new(need - known_parts, decode), strict=False)):
             fresh.update((c, known[c]) for c in known_parts)
-            found = {c: fresh[a] + fresh[b] if b else fresh[a] for c, (a, b) in split.items()}
-            here.update(found)
+            fresh[""] = self.gaps[k][:0]
+            found = {c: fresh[a] + self.gaps[k] + fresh[b] if b else fresh[a] for c, (a, b) in split.items()}
+            values[k] = [found[c] if v is None or c in found else v for c, v in zip(chunks, values[k], strict=True)] if found else values[k]
             known.update(islice(chain(fresh.items(), found.items()), room))
-        return local[0], local[1] if decode else None
+        return values[0], values[1] if decode else None
 
-    def split(self, text: str) -> list[str]:
-        return [text] if _ODD_SPACE.search(text) else text.split()
+    def encode_all(self, texts: pa.Array, decode: bool) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+        """Ids of all texts in a row, where each text's begin and the last's end, and on demand the decoded texts.
 
-    def encode_all(self, texts: list[str | None], decode: bool) -> tuple[list[bytes], list[str] | None]:
-        """Little-endian int32 ids of each text, and on demand its decoded text."""
-        chunks = [self.split(t or "") for t in texts]
-        ids, decoded = self._find(set().union(*chunks), decode)
-        return [b"".join(map(ids.__getitem__, c)) for c in chunks], ["".join(map(decoded.__getitem__, c))[1:] for c in chunks] if decode else None
+        Splitting, finding the distinct chunks and gathering run on Arrow and NumPy arrays; only
+        distinct chunks become Python strings.
+        """
+        lists = pc.ascii_split_whitespace(texts.fill_null("").combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids, decoded = self._find(coded.dictionary.to_pylist(), decode)
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        here = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(here)])
+        at = np.repeat(starts[codes] - ends[:-1], here) + np.arange(ends[-1])
+        out = None
+        if decode:
+            some = here > 0
+            offsets = np.concatenate([[0], np.cumsum(some)])[bounds]
+            pieces = pa.array(decoded, pa.string()).take(pa.array(codes[some]))
+            out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), " ")
+        return flat[at], ends[bounds], out
 
     # Long runs ------------------------------------------------------------------------------
     def pieces(self, text: str) -> list[tuple[int, bool, str]]:
@@ -155,7 +166,7 @@ class Bpe:
                 out.append((-1, True, " ".join(plain)))
                 plain.clear()
 
-        for chunk in self.split(text):
+        for chunk in [x.decode() for x in text.encode().split()]:  # at ASCII white space
             if len(chunk) <= self.leaf:
                 plain.append(chunk)
                 if len(plain) >= 4096:
@@ -235,11 +246,6 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def _lists(ids: list[bytes]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-
-
 def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``decoded`` string in place of the text."""
     keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids", "decoded")]
@@ -252,8 +258,9 @@ def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, text_col: str
         for b in batches:
             for at, end in slices(b.column(b.num_columns - 1)):
                 part = b.slice(at, end - at)
-                ids, decoded = bpe.encode_all(part.column(part.num_columns - 1).to_pylist(), True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids), pa.array(decoded, pa.string())], [*keep, "ids", "decoded"])
+                ids, bounds, decoded = bpe.encode_all(part.column(part.num_columns - 1), True)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, decoded], [*keep, "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer, leaf)

@@ -70,15 +70,17 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i, text in enumerate(texts):
         if not text:
             continue
-        for start in range(0, len(text), STRETCH):
-            part = _GAP.sub(" ", text[max(0, start - MAX_N + 1) : start + STRETCH]).lower()
-            if part.strip():
-                any_letter[i] = True
-                pieces.append(f" {part} " if len(text) <= STRETCH else part)
-                rows.append(i)
-                size += len(part)
-                if size > STRETCH:
-                    settle()
+        letters = _GAP.sub(" ", text).lower().strip()
+        if not letters:
+            continue
+        any_letter[i] = True
+        letters = f" {letters} "
+        for start in range(0, len(letters), STRETCH):
+            pieces.append(letters[max(0, start - MAX_N + 1) : start + STRETCH])
+            rows.append(i)
+            size += len(pieces[-1])
+            if size > STRETCH:
+                settle()
     settle()
     return flags.reshape(len(texts), MAX_N * BUCKETS), any_letter
 

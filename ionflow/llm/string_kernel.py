@@ -52,7 +52,8 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not pieces:
             return
         codes = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), np.uint32)
-        row = np.repeat(np.array(rows, np.int64), [len(p) for p in pieces])
+        lengths = [len(p) for p in pieces]
+        row, piece = np.repeat(np.array(rows, np.int64), lengths), np.repeat(np.arange(len(pieces)), lengths)
         h = np.zeros(len(codes), np.uint32)
         for n in range(MAX_N):
             end = len(codes) - n
@@ -60,7 +61,7 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
                 break
             h = h[:end] + codes[n:] * _MULTIPLY[n] if n else codes * _MULTIPLY[0]
             spread = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - BITS)
-            inside = row[:end] == row[n:]
+            inside = piece[:end] == piece[n:]
             at = row[:end] * (MAX_N * BUCKETS) + n * BUCKETS + spread
             flags[at if n == 0 else at[inside]] = True
         pieces.clear()

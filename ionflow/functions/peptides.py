@@ -55,7 +55,7 @@ def annotation(s: Column) -> Column:
     """type, location, adjust, charge, isotope and deviation of the first item of an annotation such as y7-18^2i/0.02."""
     first = F.regexp_replace(F.substring_index(s, ",", 1), r"[\[\]]", "")
     ion, number = F.substring_index(first, "/", 1), lambda x, d: F.when(x == "", d).otherwise(x)
-    charge = F.greatest(F.regexp_extract(ion, r"\^(\d+)", 1), F.regexp_extract(ion, r"\((\d+)\)", 1))
+    charge = F.greatest(F.regexp_extract(ion, r"\^(\d+)", 1), F.regexp_extract(ion, r"\((\d+)\+?\)", 1))
     return F.struct(
         F.regexp_extract(ion, r"^([abcxyz])", 1).alias("type"),
         number(F.regexp_extract(ion, r"^[abcxyz](\d+)", 1), F.lit("0")).cast("int").alias("location"),

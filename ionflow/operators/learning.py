@@ -61,6 +61,17 @@ def train(df: DataFrame, group: str, columns: list[str], decoy: str, first: str
     return weights
 
 
+def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 40, depth: int = 5, rate: float = 0.1, seed: int = 7):
+    """Gradient-boosted trees on the score columns: a fitted pipeline whose ``transform`` adds probability and prediction."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    filled = df.na.fill(0.0, columns)
+    stages = [VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)]
+    return Pipeline(stages=stages).fit(filled)
+
+
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and R squared of y on x per group."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))

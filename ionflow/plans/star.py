@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ionflow.functions import peptides
 from ionflow.operators import fdr, filters, groups, learning, ordered, ranges, series, similarity
 from ionflow.operators.groups import fixed
+from ionflow.plans import crossrun
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -433,7 +434,7 @@ def rt_residuals(spark, sf_dir):
     """Distance of each line's price from its group's fit: mean absolute and largest."""
     rows = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     fit = learning.line(rows, ["l_returnflag"], "l_quantity", "l_extendedprice")
-    d = rows.join(F.broadcast(fit), "l_returnflag").withColumn("d", F.abs(F.col("l_extendedprice") - F.col("slope") * F.col("l_quantity") - F.col("intercept")))
+    d = rows.join(fit, "l_returnflag").withColumn("d", F.abs(F.col("l_extendedprice") - F.col("slope") * F.col("l_quantity") - F.col("intercept")))
     return d.groupBy("l_returnflag").agg(fixed(F.avg("d"), 2).alias("mean_abs"), fixed(F.max("d"), 2).alias("largest"))
 
 
@@ -533,3 +534,83 @@ def alias_ordinals(spark, sf_dir):
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     s = read(spark, sf_dir, "supplier")
     return s.select("s_suppkey", F.concat(F.lit("run-"), F.row_number().over(w)).alias("alias"), (F.row_number().over(w) == 1).alias("is_default"))
+
+
+# Products over runs and other query shapes --------------------------------------------------------
+
+
+def as_results(spark, sf_dir):
+    """Lines as identification rows: run = return flag, peptide = part, decoys are discounted lines."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("peptide_ref", F.col("l_partkey").cast("string"))
+    per = rows.groupBy(F.col("l_returnflag").alias("run_id"), "peptide_ref").agg(F.sum(cents("l_extendedprice")).alias("c"), F.max(cents("l_discount")).alias("d"), F.min("l_quantity").alias("q"))
+    return per.select(
+        "run_id", F.col("run_id").alias("overview_id"), "peptide_ref", (F.col("d") <= 5).alias("decoy"), F.array(F.concat(F.lit("P"), F.pmod(F.col("peptide_ref").cast("long"), F.lit(50)))).alias("proteins"), (F.pmod(F.col("peptide_ref").cast("long"), F.lit(3)) > 0).alias("is_unique"),
+        F.when(F.col("q") > 1, 1).otherwise(2).alias("status"), (F.col("c") / 100.0).alias("intensity_sum"), F.lit(None).cast("double").alias("fit_int_sum"), F.col("q").alias("apex_rt"), (F.col("c") / 1e6).alias("total_score"),
+    )
+
+
+@query
+def overview_statistics(spark, sf_dir):
+    return crossrun.statistics(as_results(spark, sf_dir), 20)
+
+
+@query
+def run_report(spark, sf_dir):
+    peptides = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("peptide_ref"), F.array(F.col("p_brand")).alias("proteins"), F.lit(True).alias("is_unique"))
+    r = crossrun.report(peptides, as_results(spark, sf_dir), ["A", "N", "R"])
+    return r.select("protein", "peptide_ref", *[fixed(F.col(c), 2).alias(c) for c in "ANR"])
+
+
+@query
+def group_merge(spark, sf_dir):
+    m = crossrun.merge_group(as_results(spark, sf_dir), ["A", "R"])
+    return m.select("item", fixed(F.col("intensity"), 2).alias("intensity"), "effect_num")
+
+
+@query
+def rt_pairs(spark, sf_dir):
+    runs = spark.createDataFrame([("A", 2.0, 1.0), ("N", 4.0, 0.0), ("R", 0.0, 0.0)], "run_id string, irt_slope double, irt_intercept double")
+    peptides = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("peptide_ref"), F.col("p_size").cast("double").alias("rt"))
+    p = crossrun.rt_pairs(as_results(spark, sf_dir), peptides, runs)
+    return p.select("run_id", "peptide_ref", F.col("x"), fixed(F.col("y")).alias("y"))
+
+
+@query
+def ambiguous_top2(spark, sf_dir):
+    rows = as_results(spark, sf_dir).select("peptide_ref", F.col("run_id").alias("idx"), "total_score")
+    return crossrun.ambiguous(rows, 0.05, 0.5)
+
+
+@query
+def old_new_diff(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").where("l_quantity = 7").select("l_partkey", "l_linestatus")
+    return crossrun.difference(rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'"), "l_partkey")
+
+
+@query
+def prefix_filter(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return p.where(filters.not_prefixed("words", "s")).select("p_partkey")
+
+
+@query
+def neighbour_windows(spark, sf_dir):
+    """Windows of width 10 that hold a part's price or that lie one to the left or right."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.col("p_retailprice") + k * 10.0)).alias("v"))
+    w = spark.createDataFrame([(i, 900.0 + 10 * i, 910.0 + 10 * i) for i in range(10)], "window_id long, lo double, hi double")
+    return ranges.interval_join(p, w, "v", "lo", "hi", 10.0).groupBy("window_id").agg(F.countDistinct("p_partkey").alias("n"))
+
+
+@query
+def identifier_links(spark, sf_dir):
+    from ionflow.sources.libraries import protein_links
+
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("sp|"), F.col("s_suppkey"), F.lit("|"), F.col("s_name"))).otherwise(F.col("s_name")).alias("identifier"))
+    return protein_links(s).select("s_suppkey", "uniprot_link")
+
+
+@query
+def fragments_of_text(spark, sf_dir):
+    """b and y fragments of the first part names' letters at charges one and two."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("s"))
+    return peptides.fragments(p, "s").groupBy("cut_info").agg(F.count(F.lit(1)).alias("n"), fixed(F.sum(F.round("mz", 6).cast("decimal(20,6)")).cast("double"), 2).alias("mz"))

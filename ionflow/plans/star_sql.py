@@ -45,6 +45,10 @@ _MASS = "(VALUES " + ", ".join(f"('{c}', {m}::DOUBLE)" for c, m in RESIDUES.item
 _FOLDS = """f AS (SELECT l_partkey, sum(round(l_extendedprice * 100)::BIGINT) FILTER (l_linestatus = 'F') AS a, sum(round(l_extendedprice * 100)::BIGINT) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1),
 g AS (SELECT l_partkey, CASE WHEN p_brand LIKE '%1' THEN 'HUMAN' WHEN p_brand LIKE '%2' THEN 'YEAST' ELSE 'ECOLI' END AS species, log2(b::DOUBLE) AS x, log2(a::DOUBLE / b::DOUBLE) AS y FROM f JOIN part ON p_partkey = l_partkey WHERE a > 0 AND b > 0)"""
 
+_RES = """s AS (SELECT l_returnflag AS run_id, l_partkey, l_partkey::VARCHAR AS peptide_ref, sum(round(l_extendedprice * 100)::BIGINT) AS c, max(round(l_discount * 100)::BIGINT) <= 5 AS decoy, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+k AS (SELECT *, c / 100.0::DOUBLE AS v, 'P' || (l_partkey % 50)::VARCHAR AS protein, l_partkey % 3 > 0 AS is_unique, c / 1e6::DOUBLE AS total_score FROM s),
+ok AS (SELECT * FROM k WHERE q > 1 AND NOT decoy)"""
+
 SQL: dict[str, str] = {
     "fdr_pipeline": f"WITH {_M}, sep AS (SELECT min(s) FILTER (NOT decoy) > max(s) FILTER (decoy) AS sep FROM r) SELECT doc_id, r.s AS score, {f4('p')} AS p, {f4('z')} AS pi0, {f4('q_value')} AS q_value, {f4('fdr')} AS fdr, CASE WHEN {f4('fdr')} <= 0.05 THEN 1 ELSE 2 END::INT AS status FROM r JOIN ps USING (s), z WHERE NOT decoy",
     "pvalue_empirical": f"WITH {_P} SELECT doc_id, {f4('p')} AS p FROM r JOIN p USING (s) WHERE NOT decoy",
@@ -115,4 +119,19 @@ SELECT k, count(*), 'except_all' FROM (SELECT k FROM s EXCEPT ALL SELECT k FROM
     "sort_rank": "SELECT s_suppkey, row_number() OVER w AS rn, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS dr, ntile(2) OVER w AS half, max(s_acctbal) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey)",
     "running_total": "SELECT o_orderkey, sum(c) OVER (ORDER BY o_orderkey)::BIGINT AS total_cents FROM (SELECT o_orderkey, sum(round(o_totalprice * 100)::BIGINT) AS c FROM orders GROUP BY 1)",
     "alias_ordinals": "SELECT s_suppkey, 'run-' || row_number() OVER w AS alias, row_number() OVER w = 1 AS is_default FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)",
+    "overview_statistics": f"WITH {_RES}, a AS (SELECT run_id, count(*) AS peptides, sum(is_unique::INT)::BIGINT AS unique_peptides FROM ok GROUP BY 1), p AS (SELECT run_id, protein, count(*) AS n FROM ok GROUP BY 1, 2), b AS (SELECT run_id, count(*) AS proteins, sum((n >= 20)::INT)::BIGINT AS hit_proteins FROM p GROUP BY 1) SELECT run_id AS overview_id, peptides, unique_peptides, proteins, hit_proteins FROM a LEFT JOIN b USING (run_id)",
+    "run_report": f"WITH {_RES} SELECT p_brand AS protein, p_partkey::VARCHAR AS peptide_ref, " + ", ".join(f"{f4(f'coalesce(sum(v) FILTER (run_id = {chr(39)}{r}{chr(39)}), 0)', 2)} AS \"{r}\"" for r in "ANR") + " FROM part LEFT JOIN ok ON l_partkey = p_partkey GROUP BY 1, 2",
+    "group_merge": f"WITH {_RES} SELECT protein || '-->' || peptide_ref AS item, {f4('avg(v)', 2)} AS intensity, count(*) AS effect_num FROM ok WHERE is_unique AND run_id IN ('A', 'R') GROUP BY 1",
+    "rt_pairs": f"WITH {_RES} SELECT run_id, peptide_ref, q AS x, {f4("q - CASE run_id WHEN 'A' THEN (p_size - 1) / 2.0 WHEN 'N' THEN p_size / 4.0 ELSE p_size END")} AS y FROM ok JOIN part ON p_partkey = l_partkey",
+    "ambiguous_top2": f"WITH {_RES}, r AS (SELECT peptide_ref, total_score, row_number() OVER (PARTITION BY peptide_ref ORDER BY total_score DESC, run_id) AS n FROM k WHERE total_score > 0.05) SELECT a.peptide_ref FROM r a JOIN r b ON a.peptide_ref = b.peptide_ref AND a.n = 1 AND b.n = 2 WHERE a.total_score - b.total_score < 0.5",
+    "old_new_diff": "WITH r AS (SELECT DISTINCT l_partkey, l_linestatus AS s FROM lineitem WHERE l_quantity = 7) SELECT l_partkey, CASE WHEN min(s) = 'F' THEN 'old' ELSE 'new' END AS side FROM r WHERE s IN ('F', 'O') GROUP BY 1 HAVING count(*) = 1",
+    "prefix_filter": "SELECT p_partkey FROM part WHERE NOT starts_with(p_name, 's')",
+    "neighbour_windows": "SELECT i::BIGINT AS window_id, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, p_retailprice + k * 10.0 AS v FROM part, (VALUES (-1), (0), (1)) q(k)) JOIN range(10) w(i) ON v >= 900 + 10 * i AND v < 910 + 10 * i GROUP BY 1",
+    "identifier_links": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'https://www.uniprot.org/uniprot/' || s_suppkey END AS uniprot_link FROM supplier",
+    "fragments_of_text": f"""WITH s AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s FROM part), i AS (SELECT *, unnest(range(1, length(s))) AS n FROM s),
+l AS (SELECT p_partkey, s, i, coalesce(m, 0) AS m FROM (SELECT p_partkey, s, unnest(range(1, length(s) + 1)) AS i FROM s) LEFT JOIN {_MASS} ON c = s[i]),
+b AS (SELECT p_partkey, i, sum(m) OVER (PARTITION BY p_partkey ORDER BY i) AS pre, sum(m) OVER (PARTITION BY p_partkey ORDER BY i DESC) AS suf, length(s) AS len FROM l),
+f AS (SELECT 'b' || i AS name, pre + {ENDS["b"]}::DOUBLE AS w FROM b WHERE i < len UNION ALL SELECT 'y' || (len - i + 1), suf + {ENDS["y"]}::DOUBLE FROM b WHERE i > 1),
+z AS (SELECT CASE WHEN z = 1 THEN name ELSE name || '^2' END AS cut_info, (w + z * {H}::DOUBLE) / z AS mz FROM f, (VALUES (1), (2)) q(z))
+SELECT cut_info, count(*) AS n, {f4("sum(round(mz, 6)::DECIMAL(20, 6))::DOUBLE", 2)} AS mz FROM z GROUP BY 1""",
 }

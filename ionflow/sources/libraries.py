@@ -135,6 +135,30 @@ def encode_mz(values: np.ndarray) -> bytes:
     return zlib.compress(np.diff(ints, prepend=0).astype("<i4").tobytes())
 
 
+def read_spectra(spark: SparkSession, index: DataFrame, data_path: str, log10: bool = False) -> DataFrame:
+    """Spectra of a run's binary file by its block index (level, startPtr, rts, mzs, ints: compressed sizes of each scan's arrays, which lie in turn).
+
+    Tasks read only the byte ranges of their blocks.
+    """
+    from pyarrow import fs
+
+    def run(batches):
+        import pyarrow as pa
+
+        system, inner = fs.FileSystem.from_uri(data_path) if ":" in data_path else (fs.LocalFileSystem(), data_path)
+        with system.open_input_file(inner) as f:
+            for b in batches:
+                for level, window, at, rts, mzs, ints in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    out = []
+                    for rt, m, i in zip(rts, mzs, ints, strict=True):
+                        out.append((level, window, float(rt), decode_mz(f.read_at(m, at)), decode_intensity(f.read_at(i, at + m), log10)))
+                        at += m + i
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.float32())), pa.array([x[4] for x in out], pa.list_(pa.float32()))], ["level", "window_id", "rt", "mz", "intensity"])
+
+    blocks = index.select(F.col("level").cast("int"), F.col("window_id").cast("int"), F.col("startPtr").cast("long"), "rts", "mzs", "ints")
+    return blocks.mapInArrow(run, "level int, window_id int, rt double, mz array<float>, intensity array<float>")
+
+
 def read_unimod(spark: SparkSession, path: str) -> DataFrame:
     """id, name and masses of an OBO file's terms."""
     raw = spark.read.option("lineSep", "[Term]").text(path)

@@ -28,24 +28,21 @@ SALT = 16
 
 
 def repeated_words(words: Column) -> Column:
-    """Positions of an array of words that lie in a three-word window found twice or more."""
+    """Positions of an array of words, bound before, that lie in a three-word window found twice or more."""
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        grams = F.when(
-            n >= 3,
-            F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("p"))),
-        ).otherwise(F.array().cast("array<struct<g:string,p:int>>"))
+    n = F.size(words)
+    grams = F.when(
+        n >= 3,
+        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("p"))),
+    ).otherwise(F.array().cast("array<struct<g:string,p:int>>"))
 
-        def found(s: Column) -> Column:
-            m = F.size(s)
-            again = F.filter(s, lambda x, j: ((j > 0) & (x["g"] == s[F.greatest(j - 1, F.lit(0))]["g"])) | ((j < m - 1) & (x["g"] == s[F.least(j + 1, m - 1)]["g"])))
-            starts = F.transform(again, lambda x: x["p"])
-            return let(starts, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda x: x + 1), F.transform(p, lambda x: x + 2)))))
+    def found(s: Column) -> Column:
+        m = F.size(s)
+        again = F.filter(s, lambda x, j: ((j > 0) & (x["g"] == s[F.greatest(j - 1, F.lit(0))]["g"])) | ((j < m - 1) & (x["g"] == s[F.least(j + 1, m - 1)]["g"])))
+        starts = F.transform(again, lambda x: x["p"])
+        return let(starts, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda x: x + 1), F.transform(p, lambda x: x + 2)))))
 
-        return let(F.array_sort(grams), found)
-
-    return let(words, of)
+    return let(F.array_sort(grams), found)
 
 
 def measures(text: Column) -> Column:
@@ -53,13 +50,19 @@ def measures(text: Column) -> Column:
     t = F.coalesce(text.cast("string"), F.lit(""))
     words = F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return F.struct(
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(words).cast("long").alias("n_repeat_words"),
-        let(lines, F.size).cast("long").alias("n_lines"),
+    return let(
+        words,
+        lambda w: let(
+            lines,
+            lambda x: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+                F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+                (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                repeated_words(w).cast("long").alias("n_repeat_words"),
+                F.size(x).cast("long").alias("n_lines"),
+            ),
+        ),
     )
 
 
@@ -120,18 +123,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rate: float = 0.5, trust_rate: float = 0.01) -> DataFrame:
     """The documents that pass, with exactly their own columns.
 
-    Verdicts depend on a row's text and source alone, so they are joined by host and not by id.
+    Verdicts depend on a row's text and source alone, so they are joined by host and not by id. A
+    row's failures and what its host holds against them are bit sets: the one test on both sides
+    can't be split, so no text is measured twice to filter before the join.
     """
     verdicts = host_verdicts(materialise(measured(docs, id_col, text_col, source_col), "quality"), block_rate, trust_rate)
-    own = {k: free_name(docs, k) for k in ("host", "salt", "blocked", "symbols_on", "lines_on", "m")}
-    hosts = verdicts.select(
-        F.col("host").alias(own["host"]), F.col("host_blocked").alias(own["blocked"]), F.col("symbols_counts").alias(own["symbols_on"]), F.col("lines_counts").alias(own["lines_on"]),
-        F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(own["salt"]),
-    )
-    rows = docs.withColumn(own["host"], host_of(F.col(source_col))).withColumn(own["salt"], F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT)).cast("int"))
-    rows = rows.withColumn(own["m"], measures(F.col(text_col)))
+    host, salt, failed, counts = (free_name(docs, k) for k in ("host", "salt", "failed", "counts"))
+    bit = lambda c, n: F.when(c, 1 << n).otherwise(0)
+    against = F.lit(1) + bit(F.col("symbols_counts"), 1) + bit(F.col("lines_counts"), 2) + bit(F.col("host_blocked"), 3)
+    hosts = verdicts.select(F.col("host").alias(host), against.alias(counts), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt))
+
+    def bits(m: Column) -> Column:
+        fails = {r: test(lambda name: m[name]) for r, test in RULES.items()}
+        return F.lit(1 << 3) + bit(fails["base"], 0) + bit(fails["symbols"], 1) + bit(fails["lines"], 2)
 
-    fails = {r: test(lambda name: F.col(own["m"])[name]) for r, test in RULES.items()}
-    rows = rows.where(~fails["base"]).withColumns({own["m"]: F.struct(fails["symbols"].alias("s"), fails["lines"].alias("l"))})
-    joined = rows.join(hosts, [own["host"], own["salt"]])
-    return joined.where(~F.col(own["blocked"]) & ~(F.col(own["m"])["s"] & F.col(own["symbols_on"])) & ~(F.col(own["m"])["l"] & F.col(own["lines_on"]))).select(docs.columns)
+    rows = docs.withColumns({host: host_of(F.col(source_col)), salt: F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT)).cast("int"), failed: F.coalesce(let(measures(F.col(text_col)), bits), F.lit(0))})
+    return rows.join(hosts, [host, salt]).where(F.col(failed).bitwiseAND(F.col(counts)) == 0).select(docs.columns)

@@ -72,7 +72,7 @@ def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not text:
             continue
         letters = _GAP.sub(" ", text).lower().strip()
-        if not letters:
+        if not any(map(str.isalpha, letters)):
             continue
         any_letter[i] = True
         letters = f" {letters} "
@@ -144,17 +144,17 @@ def in_fold(id_col: str, folds: int = 5) -> Column:
 def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 32, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_labels: int = 1000) -> Model | None:
     """Fit on labelled rows that are not held out. At most ``per_class`` documents of each of ``max_labels`` labels reach the driver, as bit vectors."""
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~in_fold(id_col))
-    first = Window.partitionBy("label").orderBy("order", "id")
-    chosen = (
-        known.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("order"), F.col(id_col).alias("id"))
-        .withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= per_class)
-        .select("label", "id")
-        .distinct()
-    )
-    chosen = materialise(chosen, "sample")
-    if chosen.select("label").distinct().limit(max_labels + 1).count() > max_labels:
+    known = known.select(F.col(label_col).cast("string").alias("label"), F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("order"), F.col(id_col).alias("id"))
+    counts = known.groupBy("label").count().limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
         raise ValueError(f"more than {max_labels} labels")
+    if not counts:
+        return None
+    # Hashes are spread evenly, so about twice as many rows as wanted pass this bound, however many there are.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min((1 << 63) - 1, (2 * per_class << 63) // r["count"]))])
+    near = known.where(F.col("order") <= F.element_at(bound, F.col("label")))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
+    chosen = materialise(near.withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "id").distinct(), "sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _rows(batches, 1):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LEAF = 4096
-CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
+CACHE_ENTRIES = 200_000  # half as many where decoded texts are kept too
 SLICE_BYTES = 8 << 20
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")

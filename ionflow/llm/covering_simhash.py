@@ -142,9 +142,12 @@ def _bucket_edges(members: DataFrame, limit: int, block: int) -> DataFrame:
 
 
 def _shared(keyed: DataFrame, tag: str) -> DataFrame:
-    """Rows (key, ...) whose key is not theirs alone, with the bucket's size ``n``."""
+    """Rows (key, ...) whose key is not theirs alone, with the bucket's size ``n``.
+
+    How many keys are shared has no bound, so they are merged and never broadcast.
+    """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialise(keyed.join(sizes, "key"), tag)
+    return materialise(keyed.join(sizes.hint("merge"), "key"), tag)
 
 
 def links(fps: DataFrame, radius: int = 4, block: int = 2048, wide: int = 1 << 17) -> DataFrame:
@@ -292,13 +295,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """One document (all columns) of each component of ``near_copies``: that with the smallest id.
 
     Of rows that repeat the leading id one stays; rows with a null id have no identity and all stay.
+    The leaders are about as many as the documents, so they are merged with them and never broadcast.
     """
     found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, **options)
     leaders = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")), "leaders")
-    kept = docs.join(leaders.where("n = 1").select(id_col), id_col, "left_semi")
+    kept = docs.join(leaders.where("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
     again = leaders.where("n > 1")
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again.select(id_col), id_col, "left_semi").dropDuplicates([id_col]))
+        kept = kept.unionByName(docs.join(again.select(id_col).hint("merge"), id_col, "left_semi").dropDuplicates([id_col]))
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
 
 

@@ -158,7 +158,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1,
         weights = dict(totals)
     plan = MixturePlan(totals, weights, quantum, seq_len)
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("queue", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    # A row per queue and part; written, so that its size is known before the tokens would be dealt out to meet it.
+    starts = materialise(sums.select("queue", "part", F.coalesce(before, F.lit(0)).alias("base")), "starts")
     placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("at"), "n", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

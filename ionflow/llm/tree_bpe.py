@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LEAF = 4096
-CACHE_ENTRIES = 200_000  # half as many where decoded texts are kept too
+CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
 SLICE_BYTES = 8 << 20
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -55,6 +55,8 @@ class Bpe:
         spec = self._spec()
         self.leaf, self.tok = leaf, Tokenizer.from_str(json.dumps(spec))
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        if not self.suffix or "Lowercase" not in json.dumps(spec["normalizer"]):
+            raise ValueError(f"{path}: only lower-casing tokenizers with word ends, which drop white space, can be looked up by chunk")
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.words = self._bare({"pre_tokenizer": {"type": "WhitespaceSplit"}})

@@ -85,6 +85,23 @@ def test_keep_one(spark, odd, none):
     assert C.keep_one(none).count() == 0
 
 
+def test_block_edits_are_near_copies(spark):
+    rng, fresh = random.Random(5), itertools.count()
+    docs, want, far = [], [], []
+    for size, edit, share in itertools.product((100, 300, 800), ("append", "truncate", "insert"), (0.05, 0.1, 0.15, 0.2, 0.23, 0.3)):
+        for _ in range(6):
+            a = [f"w{next(fresh)}" for _ in range(size)]
+            block, at = [f"w{next(fresh)}" for _ in range(int(size * share))], rng.randrange(size)
+            b = a + block if edit == "append" else a[: size - len(block) * 4 // 5] if edit == "truncate" else a[:at] + block + a[at:]
+            x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+            (want if len(x & y) / len(x | y) >= 0.8 else far).append(len(docs))
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    found = {r.doc_id: r.component_id for r in C.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 200 and len(far) > 50
+    assert [i for i in want if found[i] != found[i + 1]] == []
+    assert [i for i in far if found[i] == found[i + 1]] == []
+
+
 def test_wide_simhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionflow.operators import ordered
+
 
 def _bin(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(float(width))).cast("long")
@@ -44,3 +46,19 @@ def nearest(marks: DataFrame, events: DataFrame, mark: str, at: str, span: float
     rest = [c for c in pairs.columns if c not in (*on, mark, "_low", "_high")]
     best = pairs.groupBy(mark, *on).agg(F.min(F.struct(F.abs(F.col(at) - F.col(mark)).alias("_distance"), *[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])).alias("_best"))
     return best.select(mark, *on, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
+def window_sums(points: DataFrame, windows: DataFrame, point: str, low: str, high: str, columns: list[str]) -> DataFrame:
+    """Each window with the sums of ``columns`` over the points in [low, high], without forming pairs: differences of running sums.
+
+    Windows in which no point lies have sums of zero; sums are exact for whole numbers.
+    """
+    windows = windows.where(F.col(low) <= F.col(high))
+    at = points.where(F.col(point).isNotNull()).select(F.col(point).alias("_at"), *columns)
+    for bound in (low, high):
+        at = at.unionByName(windows.select(F.col(bound).alias("_at"), *[F.lit(0).cast("long").alias(c) for c in columns]))
+    values = at.groupBy("_at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
+    run = ordered.running(values, "_at", {f"_to_{c}": ("sum", c) for c in columns})
+    below = run.select(F.col("_at").alias(low), *[(F.col(f"_to_{c}") - F.col(c)).alias(f"_below_{c}") for c in columns])
+    upto = run.select(F.col("_at").alias(high), *[f"_to_{c}" for c in columns])
+    return windows.join(below, low).join(upto, high).select(*windows.columns, *[(F.col(f"_to_{c}") - F.col(f"_below_{c}")).alias(c) for c in columns])

@@ -165,6 +165,18 @@ def eic_sum(spark, sf_dir):
     return hits.groupBy("p_partkey", "rt").agg(F.sum("intensity").alias("intensity"))
 
 
+@query
+def eic_sum_all(spark, sf_dir):
+    """``eic_sum`` over all parts; its SQL, an inequality join of whole tables, would be too slow as an oracle."""
+    ppm, months = 0.05, [*range(1, 13), None]
+    targets = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * (1 - ppm)).alias("lo"), (F.col("p_retailprice") * (1 + ppm)).alias("hi"))
+    peaks = read(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / F.col("l_quantity")).alias("mz"), F.month("l_shipdate").cast("long").alias("rt"), F.col("l_quantity").cast("long").alias("intensity"))
+    cells = {f"{kind}{m or 0}": F.when(F.col("rt").eqNullSafe(F.lit(m)), value) for m in months for kind, value in (("n", F.lit(1).cast("long")), ("s", F.col("intensity")))}
+    sums = ranges.window_sums(peaks.select("mz", *[F.coalesce(v, F.lit(0)).alias(c) for c, v in cells.items()]), targets, "mz", "lo", "hi", list(cells))
+    rows = sums.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("rt"), F.col(f"n{m or 0}").alias("n"), F.col(f"s{m or 0}").alias("intensity")) for m in months])).alias("x"))
+    return rows.where("x.n > 0").groupBy("p_partkey", F.col("x.rt").alias("rt")).agg(F.sum("x.intensity").alias("intensity"))
+
+
 @query
 def inner_left_fill(spark, sf_dir):
     sums = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(cents("o_totalprice")).alias("s"), F.count(F.lit(1)).alias("k"))
@@ -214,7 +226,17 @@ def similar_pairs(spark, sf_dir):
 @query
 def collision_band(spark, sf_dir):
     """Later parts of the same size within 5 and within 10 price units."""
-    p = read(spark, sf_dir, "part").where("p_partkey < 2000").select("p_partkey", "p_size", "p_retailprice")
+    return _collisions(read(spark, sf_dir, "part").where("p_partkey < 2000"))
+
+
+@query
+def collision_band_all(spark, sf_dir):
+    """``collision_band`` over all parts."""
+    return _collisions(read(spark, sf_dir, "part"))
+
+
+def _collisions(parts: DataFrame) -> DataFrame:
+    p = parts.select("p_partkey", "p_size", "p_retailprice")
     pairs = ranges.band_pairs(p, "p_retailprice", 10.0, "p_partkey", ["p_size"])
     near = F.abs(F.col("p_retailprice") - F.col("p_retailprice_b")) <= 5.0
     return pairs.groupBy("p_size").agg(F.sum(F.when(near, 1).otherwise(0)).alias("within_5"), F.count(F.lit(1)).alias("within_10"))

@@ -7,7 +7,7 @@ windows are exploded, never the points. ``width`` should be about the windows' w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.operators import ordered
@@ -62,3 +62,23 @@ def window_sums(points: DataFrame, windows: DataFrame, point: str, low: str, hig
     below = run.select(F.col("_at").alias(low), *[(F.col(f"_to_{c}") - F.col(c)).alias(f"_below_{c}") for c in columns])
     upto = run.select(F.col("_at").alias(high), *[f"_to_{c}" for c in columns])
     return windows.join(below, low).join(upto, high).select(*windows.columns, *[(F.col(f"_to_{c}") - F.col(f"_below_{c}")).alias(c) for c in columns])
+
+
+def nearest_of_all(marks: DataFrame, events: DataFrame, mark: str, at: str, step: int, on: list[str], order: list[str]) -> DataFrame:
+    """For each mark and group the nearest event, however far; ties by ``order``. Marks are multiples of ``step``.
+
+    Events are cut down to the first and last of each step, so the windows run over steps and not over events.
+    """
+    rest = [c for c in events.columns if c not in (*on, at)]
+    body = [F.col(c) for c in (at, *[c for c in order if c != at], *[c for c in rest if c not in order])]
+    e = events.where(F.col(at).isNotNull()).withColumn("_step", F.floor(F.col(at) / F.lit(step)).cast("long"))
+    ends = e.groupBy(*on, "_step").agg(F.min(F.struct(*body)).alias("_first"), F.min(F.struct((-F.col(at)).alias("_back"), *body)).alias("_last"))
+    ends = ends.withColumn("_last", F.struct(*[F.col("_last")[f.name].alias(f.name) for f in ends.schema["_first"].dataType.fields]))
+    grid = ends.select(*on).distinct().crossJoin(marks.select(mark)).withColumn("_step", F.floor(F.col(mark) / F.lit(step)).cast("long"))
+    both = ends.unionByName(grid, allowMissingColumns=True).groupBy(*on, "_step").agg(F.max(mark).alias(mark), F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    w = Window.partitionBy(*on)
+    before = F.last("_last", True).over(w.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("_first", True).over(w.orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.select(*on, mark, before.alias("_before"), after.alias("_after")).where(F.col(mark).isNotNull())
+    far = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.{at}") - F.col(mark)).alias("_distance"), F.col(c).alias("_event"))) for c in ("_before", "_after")]
+    return found.withColumn("_best", F.least(*far)).select(mark, *on, *[F.col(f"_best._event.{c}").alias(c) for c in (at, *rest)])

@@ -209,6 +209,16 @@ def nearest_asof(spark, sf_dir):
     return near.select("mark", "event_type", "event_id")
 
 
+@query
+def nearest_asof_all(spark, sf_dir):
+    """Event of each type nearest to every full hour from the first to the last event, however far."""
+    events = read(spark, sf_dir, "events").select("event_type", "event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"))
+    span = events.agg(F.floor(F.min("at") / 3600).alias("a"), F.floor(F.max("at") / 3600).alias("b")).first()
+    hours = spark.range(span["a"], span["b"] + 1) if span["a"] is not None else spark.range(0)
+    marks = hours.select((F.col("id") * 3600).alias("mark"))
+    return ranges.nearest_of_all(marks, events, "mark", "at", 3600, ["event_type"], ["at", "event_id"]).select("mark", "event_type", "event_id")
+
+
 @query
 def proximity_pairs(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal"))

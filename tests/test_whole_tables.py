@@ -7,6 +7,10 @@ from collections import defaultdict
 from ionflow import catalog
 
 
+def brute_nearest(events, marks):
+    return {(m, t, min((abs(at - m), at, i) for i, u, at in events if u == t)[2]) for m in marks for t in {u for _, u, _ in events}}
+
+
 def test_eic_and_collisions_of_all_parts(spark, tmp_path):
     rng = random.Random(3)
     parts = [(i, rng.randrange(1, 4), round(rng.uniform(900, 1100), 2)) for i in [*range(190, 230), *range(1980, 2040)]]
@@ -26,3 +30,17 @@ def test_eic_and_collisions_of_all_parts(spark, tmp_path):
                 near[size][0] += abs(x - y) <= 5.0
                 near[size][1] += 1
     assert {r.p_size: [r.within_5, r.within_10] for r in catalog.QUERIES["collision_band_all"](spark, str(tmp_path)).collect()} == near
+
+
+def test_nearest_of_all_hours(spark, tmp_path):
+    rng = random.Random(4)
+    start, days = datetime.datetime(2024, 1, 1, 5, 20), 14
+    rows = [(i, rng.choice(["dense", "dense", "dense", "sparse"][: 3 + (i % 9 == 0)]), start + datetime.timedelta(seconds=rng.randrange(0, days * 86400, 1800))) for i in range(150)]
+    rows += [(150 + i, t, at) for i, (_, t, at) in enumerate(rows[:20])]
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    events = [(i, t, int(at.replace(tzinfo=datetime.UTC).timestamp())) for i, t, at in rows]
+    first, last = (f(at for _, _, at in events) // 3600 * 3600 for f in (min, max))
+    marks = range(first, last + 1, 3600)
+    found = catalog.QUERIES["nearest_asof_all"](spark, str(tmp_path)).collect()
+    assert len(marks) > 240 and len(found) == 2 * len(marks)
+    assert {(r.mark, r.event_type, r.event_id) for r in found} == brute_nearest(events, marks)

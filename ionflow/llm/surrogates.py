@@ -6,7 +6,8 @@ all values of the same format: digits stay digits, vowels vowels and consonants
 their script, capitals capitals; card numbers keep their check digit valid (or as invalid as it
 was), account numbers their country and check digits, given names their gender and script,
 Slavic surnames the ending that tells the gender. Permuting keeps distinct values distinct, and
-one value has one replacement wherever and however it is written.
+one value has one replacement wherever and however it is written. A name is detected after a title
+or a listed given name; from then on its parts are names in the whole document, alone as well.
 
 What the permutation can't know is checked against the corpus: the distinct entities are
 gathered, and a replacement that is itself an entity of the corpus, or that another entity has
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -67,7 +69,7 @@ _NUMBER = re.compile(
       (?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})
     | (?P<ssn>\d{{3}}-\d\d-\d{{4}})
     | (?P<card>\d{{4}}(?P<gap>[ -])\d{{4}}(?P=gap)\d{{4}}(?P=gap)\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}}|\d{{13,19}})
-    | (?P<phone>\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{2,5}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|(?:1[ .-])?\d{{3}}[.-]\d{{3}}[.-]\d{{4}}|\d{{3}}-\d{{4}}|0\d{{1,4}}[ /-]\d{{5,8}}|0\d(?:[ .]\d\d){{4}})
+    | (?P<phone>\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{2,5}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}|(?:1[ .-])?\d{{3}}[.-]\d{{3}}[.-]\d{{4}}|(?:1[ ])?[2-9]\d\d[ ][2-9]\d\d[ ]\d{{4}}|\d{{3}}-\d{{4}}|0\d{{1,4}}[ /-]\d{{3,4}}[ -]\d{{3,4}}|0\d{{1,4}}[ /-]\d{{5,8}}|0\d(?:[ .]\d\d){{4}})
     )(?!\w|[.-]\d)""",
     re.X,
 )
@@ -76,6 +78,9 @@ _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
 _TITLED = re.compile(rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0](?:({_WORD})[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
 _NAMED = re.compile(rf"({'|'.join(sorted({n for names in GIVEN.values() for n in names}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
+_LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+# Words that a heading may capitalise after a given name; alone they are no names.
+PLAIN = frozenset("a an the of in on at by to for from with and or but is was are were has had as he she it they who der die das und oder in im von mit ist war hat zu le la les de du des et ou est un une dans par el los las y en es con del por".split())
 
 
 # Permutations ---------------------------------------------------------------------------------
@@ -281,12 +286,21 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 if m[g]:
                     given = g == 1 and (pattern is _NAMED or m[2]) or m[g].lower() in WHOSE
                     found.append((m.start(g), m.end(g), "given" if given else "surname"))
+    names: dict[str, str] = {}
+    for start, end, kind in found:
+        if kind in ("given", "surname") and text[start:end].lower() not in PLAIN:
+            for spelling in (text[start:end], text[start:end].upper(), text[start:end].capitalize()):
+                if names.get(spelling) != "given":
+                    names[spelling] = kind
+    if names:
+        found += [(m.start(), m.end(), names[m[0]]) for m in _LETTERS.finditer(text) if m[0] in names]
     found.sort(key=lambda s: (ORDER.index(s[2]), s[0], -s[1]))
     taken: list[tuple[int, int, str]] = []
     for s in found:
-        if all(s[1] <= t[0] or s[0] >= t[1] for t in taken):
-            taken.append(s)
-    return sorted(taken)
+        i = bisect(taken, s)
+        if (i == 0 or taken[i - 1][1] <= s[0]) and (i == len(taken) or s[1] <= taken[i][0]):
+            taken.insert(i, s)
+    return taken
 
 
 def replace(text: str, known: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:

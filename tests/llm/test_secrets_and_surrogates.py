@@ -105,3 +105,19 @@ def test_collisions_go_to_later_attempts(spark):
     assert not any(x in t for x in (a, b) for t in texts)
     one, three = (next(t for t in texts if t.startswith(w)) for w in ("call", "again"))
     assert {r.doc_id: r.text for r in P.pseudonymise(docs).collect()}[1].split()[1] == three.split()[1] and one
+
+
+def test_bare_mentions_follow_their_person():
+    text = "Anna Kowalska came. Kowalska said so, and Anna's friend wrote to KOWALSKA; Dr Novak left, Novak knew. Annabel stayed."
+    new, spans = P.replace(text, {})
+    given, surname, novak = (P.dress("given" if n == "Anna" else "surname", n, P.surrogate("given" if n == "Anna" else "surname", n.lower())) for n in ("Anna", "Kowalska", "Novak"))
+    assert len(spans) == 7
+    assert new == f"{given} {surname} came. {surname} said so, and {given}'s friend wrote to {surname.upper()}; Dr {novak} left, {novak} knew. Annabel stayed."
+    assert P.replace("Anna The Great, and The End.", {})[0].endswith("and The End.")
+
+
+def test_phones_with_spaces():
+    for phone in ("212 555 0123", "1 212 555 0123", "020 7946 0958", "0161 496 0000"):
+        text = f"call {phone} now"
+        assert P.entities(text) == [(5, 5 + len(phone), "phone")]
+    assert P.entities("in 100 200 3000 and 12 345 6789 cases") == []

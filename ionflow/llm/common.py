@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_BYTES = 8 << 20
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder shared by driver and executors; only where none is set (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,3 +62,13 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most about ``limit`` bytes, one row at least."""
+    sizes = np.cumsum(np.nan_to_num(np.array(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64)))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
+        yield at, end
+        at = end

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.llm import tree_bpe
-from ionflow.llm.common import materialise
+from ionflow.llm.common import materialise, slices
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue int, ids binary"
 
@@ -123,7 +123,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, named: list[str], qu
         bpe, part = tree_bpe.load(tokenizer), TaskContext.get().partitionId()
         kind, seen = np.dtype("<u2" if len(bpe.ends) <= 1 << 16 else "<u4"), {}
         for b in batches:
-            for at, to in tree_bpe.slices(b.column(2)):
+            for at, to in slices(b.column(2)):
                 part_rows = b.slice(at, to - at)
                 ids, bounds, _ = bpe.encode_all(part_rows.column(2), False)
                 n = np.diff(bounds)

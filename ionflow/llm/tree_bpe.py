@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ionflow.llm.common import slices
+
 LEAF = 4096
 CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
-SLICE_BYTES = 8 << 20
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)""")
@@ -238,16 +239,6 @@ def load(name: str, leaf: int = LEAF) -> Bpe:
     return Bpe(name if "/" in name else tokenizer_path(name), leaf)
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most about ``limit`` bytes, one row at least."""
-    sizes = np.cumsum(np.nan_to_num(np.array(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64)))
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
-        yield at, end
-        at = end
-
-
 def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``decoded`` string in place of the text."""
     keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids", "decoded")]

@@ -1,6 +1,12 @@
+import functools
 import hashlib
+import math
+import random
 import re
 
+import pytest
+
+from ionflow.llm import queries
 from ionflow.llm import secret_scan as S
 from ionflow.llm import surrogates as P
 
@@ -23,27 +29,46 @@ def test_base_spans():
         assert sorted(S.base_spans(t), key=lambda x: (x[0], S.KINDS.index(x[2]))) == brute(t)
 
 
+GUESS = S.Guesser()
+
+
 def test_guess_cost():
-    cheap = ["password", "password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "changeme", "P@ssw0rd"]
-    assert all(S.guess_cost(v) < S.MIN_LOG10 for v in cheap)
-    dear = ["xK9#mQ2$vL", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "zX8_a-4bQQw!"]
-    assert all(S.guess_cost(v) > 12 for v in dear)
-    assert S.guess_cost("Summer2024") < S.guess_cost("Sum7mer20Q24") and S.guess_cost("") == 0
+    cheap = ["password", "password123", "qwertyuiop", "aaaaaaaaaaaa", "20240131", "changeme", "P@ssw0rd", "qwerty" * 9, "a" * 100, "a" * 200, "a" * 1000, "x-y" * 50]
+    assert all(GUESS(v) < S.MIN_LOG10 for v in cheap)
+    dear = ["xK9#mQ2$vL", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "zX8_a-4bQQw!", "qzjxkvwpfhtm"]
+    assert all(GUESS(v) > 12 for v in dear)
+    assert GUESS("Summer2024") < GUESS("Sum7mer20Q24") and GUESS("") == 0
     long = hashlib.sha512(b"x").hexdigest() * 3
-    assert S.guess_cost(long) == sum(S.guess_cost(long[i : i + S.MAX_VALUE]) for i in range(0, len(long), S.MAX_VALUE)) > 300
-    assert S.guess_cost("z9Q!" * 200) < S.guess_cost(long[:400])  # repeats are cheap
+    assert GUESS(long) == S.CEILING and GUESS(long * 3000) == S.CEILING
+    assert GUESS("z9Q!" * 200) < 12 and GUESS("z9Q!" * 2000) - GUESS("z9Q!" * 200) < 1.001  # the count alone
+    assert S.Guesser(["qzjxkvwpfhtm"])("qzjxkvwpfhtm") < 3 < GUESS("qzjxkvwpfhtm")
+
+
+def test_repeats_are_all_found():
+    rng = random.Random(4)
+    for _ in range(400):
+        v = "".join(rng.choice("ab" if rng.random() < 0.7 else "abc") for _ in range(rng.randrange(1, 40)))
+        for i in range(len(v)):
+            want = set()
+            for p in range(1, (len(v) - i) // 2 + 1):
+                unit, n = v[i : i + p], 1
+                while v[i + n * p : i + (n + 1) * p] == unit:
+                    n += 1
+                if n > 1 and not any(p % q == 0 and unit == unit[:q] * (p // q) for q in range(1, p)):
+                    want.add((p, i + n * p))
+            assert set(S.repeats(v, i)) == want
 
 
 def test_guess_cost_is_minimal():
-    """Against all segmentations, written out."""
-    import functools
-    import math
-
-    for v in ["pass12ab", "qwe99xyz", "1990love", "aaab"]:
-        parts = {}
-        for i, j, c in S._parts(v):
-            parts[i, j] = min(c, parts.get((i, j), math.inf))
+    """Against all segmentations of the uncut value, written out."""
+    rng = random.Random(2)
+    values = ["pass12ab", "qwe99xyz", "1990love", "aaab", "abab7abab7", *("".join(rng.choice("ab1qwe") for _ in range(9)) for _ in range(20))]
+    for v in values:
         size = math.log10(max(10, S._alphabet(v)))
+        parts = {}
+        for i in range(len(v)):
+            for j, c in GUESS.parts(v, i, {}):
+                parts[i, j] = min(c, parts.get((i, j), math.inf))
 
         @functools.cache
         def walk(at, v=v, parts=parts, size=size):
@@ -51,18 +76,43 @@ def test_guess_cost_is_minimal():
                 return [(0, 0.0)]
             return [(m + 1, c + min((j - at) * size, parts.get((at, j), math.inf))) for j in range(at + 1, len(v) + 1) for m, c in walk(j)]
 
-        assert abs(min(c + math.lgamma(m + 1) / math.log(10) for m, c in walk(0)) - S._cost(v)) < 1e-9
+        assert abs(min(c + math.lgamma(m + 1) / math.log(10) for m, c in walk(0)) - GUESS(v)) < 1e-9
 
 
 def test_context():
-    assert S.guess_spans('password is "xK9#mQ2$vL"')[0][:3] == (13, 23, "guess")
-    assert not S.guess_spans("password: changeme") and not S.guess_spans("the secret garden was quiet")
+    assert S.guess_spans('password is "xK9#mQ2$vL"', GUESS)[0][:3] == (13, 23, "guess")
+    assert not S.guess_spans("password: changeme", GUESS) and not S.guess_spans("the secret garden was quiet; the token is glorious", GUESS)
+    assert [x[:2] for x in S.guess_spans("pwd=qzjxkvwpfhtm, or the token is qzjxkvwpfhtm", GUESS)] == [(4, 16), (34, 46)]
+
+
+def test_frequent_words(spark, odd, none):
+    rows = [(1, "Alpha beta, beta (gamma) x1 ab"), (2, "beta password=delta token is epsilon"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    assert S.frequent_words(docs) == ["beta", "alpha", "gamma"]
+    assert S.frequent_words(docs, share=2) == ["beta"]
+    assert S.frequent_words(none) == [] and "repeat" in S.frequent_words(odd)
 
 
 def test_scan(spark, odd, none):
-    rows = S.scan(odd.unionByName(odd.limit(1).withColumn("text", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(CASES[0])))).collect()
-    assert len(rows) == odd.count() + 1 and sum(len(r.spans) > 0 for r in rows) == 1
+    more = spark.createDataFrame([(77, CASES[0]), (78, "pwd=qzjxkvwpfhtm"), (79, "pwd=" + "x" * 260)], "doc_id long, text string")
+    rows = S.scan(odd.unionByName(more, allowMissingColumns=True)).collect()
+    assert len(rows) == odd.count() + 3 and {r.doc_id for r in rows if r.spans} == {77, 78}
     assert S.scan(none).count() == 0
+    with pytest.raises(ValueError):
+        S.scan(none, min_log10=41)
+
+
+def test_query(spark, tmp_path):
+    texts = [*CASES, None, "", "é" * 5 + "pwd=qzjxkvwpfhtm and " + CASES[2]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op2_secret_scan(spark, f"file://{tmp_path}").collect()}
+    assert len(rows) == len(texts)
+    for i, t in enumerate(texts):
+        base = brute(t or "")
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(k == x for _, _, k in base) for x in S.KINDS[:3]]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+        assert {f"{k}:{s}:{e}" for s, e, k in base} <= set(rows[i].spans.split(","))
+    assert rows[len(texts) - 1].spans.startswith("guess:9:21,")
 
 
 def test_surrogates_are_injective_and_keep_type():

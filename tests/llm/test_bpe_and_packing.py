@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from ionflow.llm import mixture_packing, tree_bpe
+from ionflow.llm import mixture_packing, queries, tree_bpe
 
 NAME = "word_bpe_49k.json"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -62,7 +62,7 @@ def check_pieces(pieces, want, seq_len):
 def test_packing(spark, odd, none, library):
     whole = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     want = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 1] for r in whole.collect()}
-    pieces = mixture_packing.pack(whole, NAME, seq_len=64, quantum=100).collect()
+    pieces = mixture_packing.pack(whole, NAME, seq_len=64).collect()
     by_doc = check_pieces(pieces, want.values(), 64)
     for i, ids in want.items():
         got = b"".join(p.ids for p in sorted(by_doc[i], key=lambda p: p.start))
@@ -75,26 +75,91 @@ def test_packing(spark, odd, none, library):
 def test_mixture(spark):
     rows = [(i, f"word{i} " * (30 + i % 7), "abc"[i % 3] if i % 5 else "rare") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    pieces = mixture_packing.pack(df, NAME, seq_len=128, quantum=512, targets={"a": 3, "b": 1}).collect()
     source = {i: s for i, _, s in rows}
-    head = [p for p in pieces if p.sequence_id < 16]
-    share = {s: sum(p.length for p in head if source[p.doc_id] == s) for s in "ab"}
-    assert 2.5 < share["a"] / share["b"] < 3.5
+
+    def shares(**how):
+        pieces = mixture_packing.pack(df, NAME, seq_len=128, **how).collect()
+        out = defaultdict(lambda: defaultdict(int))
+        for p in pieces:
+            out[p.sequence_id][source[p.doc_id]] += p.length
+        return out
+
+    by_target = shares(targets={"a": 0.6, "b": 0.2})
+    for s in range(30):  # the others share what is left
+        assert abs(by_target[s]["a"] - 0.6 * 128) <= 2 and abs(by_target[s]["b"] - 0.2 * 128) <= 2
+    equal = shares(power=0)
+    assert all(abs(equal[s][x] - 32) <= 1 for s in range(20) for x in ("a", "b", "c", "rare"))
+    own = shares(power=1)
+    size = defaultdict(int)
+    for s in own.values():
+        for x, n in s.items():
+            size[x] += n
+    assert all(abs(n - 128 * size[x] / sum(size.values())) <= 2 for s in range(len(own) - 8) for x, n in own[s].items())
+
+
+def test_many_sources(spark):
+    """Each large source has a queue of its own; the small ones share one."""
+    rows = [(i, "some words here " * 9, f"s{i}" if i % 2 else f"big{i % 6}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    pieces = mixture_packing.pack(df, NAME, seq_len=128, queues=10).collect()
+    check_pieces(pieces, [[0] * p.doc_tokens for p in pieces if not p.start], 128)
+    source = {i: s for i, _, s in rows}
+    by_queue = defaultdict(set)
+    for p in pieces:
+        by_queue[p.queue].add(source[p.doc_id])
+    assert sorted(map(len, by_queue.values())) == [1, 1, 1, 300]
 
 
 def test_plan_is_deficit_round_robin():
     rng = random.Random(5)
-    for _ in range(50):
-        totals = {k: rng.randrange(0, 5000) for k in range(rng.randrange(1, 9))}
-        weights = {k: rng.randrange(1, 100) for k in totals}
-        plan = mixture_packing.MixturePlan(totals, weights, rng.randrange(1, 300), 64)
+    for _ in range(60):
+        totals = {k: rng.randrange(0, 5000) for k in rng.sample(range(20), rng.randrange(1, 9))}
+        weights = {k: rng.choice([rng.randrange(1, 100), rng.random() * 1e-4]) for k in totals}
+        plan = mixture_packing.MixturePlan(totals, weights, 64)
         seen = np.zeros(sum(totals.values()), bool)
-        for k, n in totals.items():
-            for a, b, pos in plan.cells(k, 0, n) if n else ():
-                assert not seen[pos : pos + b - a].any()
-                seen[pos : pos + b - a] = True
+        for k, n in totals.items():  # each queue in uneven stretches, as documents are
+            cuts = sorted({0, n, *(rng.randrange(n + 1) for _ in range(20))})
+            first, size = np.array(cuts[:-1], np.int64), np.diff(cuts)
+            row, start, length, sequence, offset = plan.cut(np.full(len(first), k), first, size) if n else [np.zeros(0, np.int64)] * 5
+            assert np.array_equal(np.bincount(row, length, len(first)).astype(np.int64), size) or not n
+            whole = len(seen) // 64
+            begin = np.concatenate([np.arange(whole) * 64, plan.tail])
+            for s, o, m in zip(sequence, offset, length, strict=True):
+                assert not seen[begin[s] + o : begin[s] + o + m].any() and begin[s] + o + m <= begin[s + 1]
+                seen[begin[s] + o : begin[s] + o + m] = True
         assert seen.all()
-        for w in range(min(plan.windows, 40)):
-            first, base, quanta, den = [p for p in plan.phases if p[0] <= w][-1]
-            for g, b, q, n in zip(plan.given(w), base, quanta, plan.totals, strict=True):
-                assert g == n or 0 <= (w - first) * q / den - (g - b) < 1  # the deficit that is carried
+        # Against the round written out token by token: the queue whose next token is due first gives it.
+        order, given, left = [], dict.fromkeys(plan.queues.tolist(), 0), dict(zip(plan.queues.tolist(), plan.totals.tolist(), strict=True))
+        for p in range(len(plan.starts)):
+            end = plan.starts[p + 1] if p + 1 < len(plan.starts) else plan.total
+            rate = dict(zip(plan.queues.tolist(), plan.rates[p].tolist(), strict=True))
+            y = dict.fromkeys(given, 0)
+            for _ in range(int(end - plan.starts[p])):
+                k = min((q for q in given if rate[q]), key=lambda q: (((2 * y[q] + 1) << 31) // (2 * rate[q]), q))
+                assert given[k] < left[k]
+                y[k] += 1
+                given[k] += 1
+                order.append(k)
+            assert any(given[q] == left[q] for q in given if rate[q])
+        at = np.arange(0, plan.total + 1, 37)
+        want = np.array([[order[:x].count(q) for q in plan.queues.tolist()] for x in at.tolist()]).reshape(len(at), -1)
+        assert np.array_equal(plan.given(at), want) or not plan.total
+
+
+def test_packing_query(spark, tmp_path, library):
+    rows = [(i, "one two three " * (i * 7 % 90) if i % 9 else None, f"src{i % 4}" if i % 5 else None) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    pieces = queries.op4_mixture_packing(spark, f"file://{tmp_path}").collect()
+    want = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t, _ in rows}
+    for p in pieces:
+        ids = want[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    for i, ids in want.items():
+        own = sorted((p.start, p.length) for p in pieces if p.doc_id == i)
+        assert [s for s, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(n for _, n in own) == len(ids)
+    by_seq = defaultdict(list)
+    for p in pieces:
+        by_seq[p.sequence_id].append((p.offset, p.length))
+    for s in by_seq.values():
+        s.sort()
+        assert [o for o, _ in s] == [0, *np.cumsum([n for _, n in s])[:-1].tolist()] and sum(n for _, n in s) <= 2048

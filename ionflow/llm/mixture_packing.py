@@ -163,7 +163,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
         for b in batches:
             for at, to in slices(b.column(2)):
                 part_rows = b.slice(at, to - at)
-                ids, bounds, _ = bpe.encode_all(part_rows.column(2), False)
+                ids, bounds, *_ = bpe.encode_all(part_rows.column(2), False)
                 n = np.diff(bounds)
                 flat = np.full(len(ids) + len(n), end_id, kind)  # the end id follows each document
                 flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids

@@ -35,6 +35,7 @@ def op3_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENIZER = "word_bpe_49k.json"
+LEAF = 16  # characters; the longest words of prose and whatever else is unsplit are encoded as trees
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +70,13 @@ def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tree_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+    found = tree_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, LEAF)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "trees",
     )
 
 

@@ -1,14 +1,19 @@
 """BPE encoding and decoding with tree concatenation for long unsplit text.
 
-Text falls apart at ASCII white space, where no merge, normalisation or added token of the supported
-tokenizer files reaches across, so encodings are looked up chunk by chunk and only unseen chunks
-go to the tokenizers library. A chunk that stays in one piece over ``leaf`` characters is encoded
-as a tree: its runs are cut into leaves, the leaves are encoded in parallel as rows of their own,
-and neighbours are joined pairwise. A join encodes a window of tokens around it anew and doubles
-the window until its first token is the left side's and its last token is the right side's. From
-there on the pairs of adjacent tokens left and right of the window are unchanged, and since a
-token sequence is the BPE of its text exactly if each adjacent pair is, the result is that of the
-whole run. Interior pieces use the same merges without the end-of-word suffix.
+A run is what normalisation and splitting leave in one piece; the merges never reach across runs. A
+run over ``leaf`` characters is encoded as a tree: it is cut into leaves, the leaves are encoded
+each by itself, and neighbours are joined pairwise. A join encodes a window of tokens around it
+anew and doubles the window until its first token is the left side's and its last token is the
+right side's. From there on the pairs of adjacent tokens left and right of the window are unchanged,
+and since a token sequence is the BPE of its text exactly if each adjacent pair is, the result is
+that of the whole run. Interior pieces use the same merges without the end-of-word suffix. Leaves
+of a run are encoded in one batch; those of texts with a run over ``spread`` characters become rows
+of their own, which other tasks encode.
+
+Tokenizers that lower-case, mark word ends and drop white space are looked up chunk by chunk: no
+merge, normalisation or added token reaches across ASCII white space there, so only unseen chunks
+go to the tokenizers library, or to a tree if they are long. Others, byte-level ones for instance,
+are looked up run by run.
 
 Defined results: null and empty texts have no ids and decode to the empty string; special tokens
 written in a text become their ids, as the library does by default; repeated rows each keep their
@@ -35,6 +40,7 @@ from tokenizers import Tokenizer
 from ionflow.llm.common import slices
 
 LEAF = 4096
+SPREAD = 1 << 16
 CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
@@ -56,9 +62,10 @@ class Bpe:
         spec = self._spec()
         self.leaf, self.tok = leaf, Tokenizer.from_str(json.dumps(spec))
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        if not self.suffix or "Lowercase" not in json.dumps(spec["normalizer"]):
-            raise ValueError(f"{path}: only lower-casing tokenizers with word ends, which drop white space, can be looked up by chunk")
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.by_chunk = bool(self.suffix) and "Lowercase" in json.dumps(spec["normalizer"])
+        if spec["model"]["type"] != "BPE" or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: not a BPE whose added tokens stand for themselves alone")
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_re = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.words = self._bare({"pre_tokenizer": {"type": "WhitespaceSplit"}})
         self.names = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
@@ -68,6 +75,7 @@ class Bpe:
         self.gaps = (b"", " ")  # between the ids and the decoded texts of two parts
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, str] = {}
+        self.trees: dict[str, int] = {}  # of known chunks and runs that were encoded as trees: how many trees
 
     def _spec(self) -> dict:
         with open(self.path, encoding="utf-8") as f:
@@ -97,8 +105,9 @@ class Bpe:
         go to the model many at a time and are told apart by their last tokens.
         """
         ids: dict[str, bytes] = {}
-        words = sorted((c for c in chunks if _LETTERS.fullmatch(c)), key=str.isascii) if self.suffix else []
-        others = list(chunks.difference(words))
+        words = sorted((c for c in chunks if len(c) <= self.leaf and _LETTERS.fullmatch(c)), key=str.isascii)
+        long = [c for c in chunks if len(c) > self.leaf]
+        others = list(chunks.difference(words, long))
         batches = [" ".join(words[at : at + 64]) for at in range(0, len(words), 64)]
         spelled = [x if x.isascii() else x.translate(_BYTE_LEVEL) for x in batches]
         flat = np.array([i for e in self.words.encode_batch_fast(spelled, add_special_tokens=False) for i in e.ids], "<i4")
@@ -110,6 +119,10 @@ class Bpe:
             others += words
         for c, e in zip(others, self.tok.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids[c] = np.array(e.ids, "<i4").tobytes()
+        for c in long:
+            ids[c], trees = self.encode_text(c)
+            if trees and len(self.trees) < CACHE_ENTRIES:
+                self.trees[c] = trees
         names = self.names
         return ids, {c: " ".join([names[i] for i in np.frombuffer(x, "<i4").tolist()]) for c, x in ids.items()} if decode else {}
 
@@ -120,7 +133,7 @@ class Bpe:
         split, need = {}, set()
         for c in [c for c, v in zip(chunks, values[-1], strict=True) if v is None]:
             m = _WORD.fullmatch(c)
-            split[c] = parts = (m[1].lower(), m[2]) if m else (c, "")
+            split[c] = parts = (m[1].lower(), m[2]) if m and len(c) <= self.leaf else (c, "")
             need.update(parts)
         need.discard("")
         known_parts = {c for c in need if c in kept[-1]}
@@ -133,12 +146,18 @@ class Bpe:
             known.update(islice(chain(fresh.items(), found.items()), room))
         return values[0], values[1] if decode else None
 
-    def encode_all(self, texts: pa.Array, decode: bool) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
-        """Ids of all texts in a row, where each text's begin and the last's end, and on demand the decoded texts.
+    def encode_all(self, texts: pa.Array, decode: bool) -> tuple[np.ndarray, np.ndarray, pa.Array | None, np.ndarray]:
+        """Ids of all texts in a row, where each text's begin and the last's end, on demand the decoded texts, and the trees of each text.
 
         Splitting, finding the distinct chunks and gathering run on Arrow and NumPy arrays; only
         distinct chunks become Python strings.
         """
+        if not self.by_chunk:
+            each = [self.encode_text(t or "") for t in texts.to_pylist()]
+            flat = np.frombuffer(b"".join(x for x, _ in each), "<i4")
+            ends = np.cumsum([0, *(len(x) // 4 for x, _ in each)])
+            out = pa.array([self.decode(flat[s:e].tolist()) for s, e in zip(ends, ends[1:], strict=False)], pa.string()) if decode else None
+            return flat, ends, out, np.array([n for _, n in each], np.int64)
         lists = pc.ascii_split_whitespace(texts.fill_null("").combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
         codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -155,42 +174,64 @@ class Bpe:
             offsets = np.concatenate([[0], np.cumsum(some)])[bounds]
             pieces = pa.array(decoded, pa.string()).take(pa.array(codes[some]))
             out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces), " ")
-        return flat[at], ends[bounds], out
+        trees = np.zeros(len(ids) + 1, np.int64)
+        if self.trees:
+            trees[:-1] = [self.trees.get(c, 0) if len(c) > self.leaf else 0 for c in coded.dictionary.to_pylist()]
+        return flat[at], ends[bounds], out, np.diff(np.concatenate([[0], np.cumsum(trees[codes])])[bounds])
 
     # Long runs ------------------------------------------------------------------------------
-    def pieces(self, text: str) -> list[tuple[int, bool, str]]:
-        """(run, is the run's last leaf, piece) in order; run -1: plain text for ``encode_all``."""
-        out: list[tuple[int, bool, str]] = []
-        plain: list[str] = []
-        run = 0
-
-        def flush() -> None:
-            if plain:
-                out.append((-1, True, " ".join(plain)))
-                plain.clear()
-
-        for chunk in [x.decode() for x in text.encode().split()]:  # at ASCII white space
-            if len(chunk) <= self.leaf:
-                plain.append(chunk)
-                if len(plain) >= 4096:
-                    flush()
+    def runs(self, text: str) -> Iterator[tuple[int, str]]:
+        """(id, "") of the added tokens and (-1, run) of the runs between them, in order."""
+        for part in self.added_re.split(text) if self.added_re else [text]:
+            if part in self.added:
+                yield self.added[part], ""
+            elif part:
+                part = self.tok.normalizer.normalize_str(part) if self.tok.normalizer else part
+                for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(part) if self.tok.pre_tokenizer else [(part, None)]:
+                    yield -1, mapped
+
+    def encode_text(self, text: str) -> tuple[bytes, int]:
+        """Ids of a text by its runs, and how many of them were encoded as trees."""
+        out, trees = [], 0
+        for token, run in self.runs(text):
+            if token >= 0:
+                out.append(np.array([token], "<i4").tobytes())
                 continue
-            flush()
-            for part in self.added_re.split(chunk) if self.added_re else [chunk]:
-                if part in self.added or len(part) <= self.leaf:
-                    if part:
-                        out.append((-1, True, part))
+            found = None if self.by_chunk else self.ids.get(run)
+            if found is None:
+                found = self.tree(run) if len(run) > self.leaf else np.array(self.last.encode(run, add_special_tokens=False).ids, "<i4").tobytes()
+                if not self.by_chunk and len(self.ids) < CACHE_ENTRIES:
+                    self.ids[run] = found
+            trees += len(run) > self.leaf
+            out.append(found)
+        return b"".join(out), trees
+
+    def tree(self, run: str) -> bytes:
+        """Ids of one run: leaves in one batch, then joins."""
+        cuts = [run[at : at + self.leaf] for at in range(0, len(run), self.leaf)]
+        leaves = [*self.inner.encode_batch(cuts[:-1], add_special_tokens=False), self.last.encode(cuts[-1], add_special_tokens=False)]
+        return np.array(self.concatenate([list(x.ids) for x in leaves]), "<i4").tobytes()
+
+    def pieces(self, text: str, size: int) -> Iterator[tuple[int, bool, str | None, bytes | None]]:
+        """(run, is the run's last leaf, leaf, None) of the runs over ``size`` characters, cut at that, and (-1, True, None, ids) of what lies between, in order."""
+        held: list[bytes] = []
+        n = 0
+        for token, run in self.runs(text):
+            if len(run) <= size:
+                held.append(np.array([token] if token >= 0 else self.last.encode(run, add_special_tokens=False).ids, "<i4").tobytes())
+                if len(held) < 4096:
                     continue
-                for mapped, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(part)):
-                    cuts = range(0, len(mapped), self.leaf)
-                    out += [(run, at + self.leaf >= len(mapped), mapped[at : at + self.leaf]) for at in cuts]
-                    run += 1
-        flush()
-        return out
-
-    def encode_piece(self, run: int, is_last: bool, piece: str) -> bytes:
-        if run < 0:
-            return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<i4").tobytes()
+            if held:
+                yield -1, True, None, b"".join(held)
+                held = []
+            if len(run) > size:
+                for at in range(0, len(run), size):
+                    yield n, at + size >= len(run), run[at : at + size], None
+                n += 1
+        if held:
+            yield -1, True, None, b"".join(held)
+
+    def encode_piece(self, is_last: bool, piece: str) -> bytes:
         return np.array((self.last if is_last else self.inner).encode(piece, add_special_tokens=False).ids, "<i4").tobytes()
 
     def _spell(self, ids: list[int]) -> str:
@@ -239,45 +280,50 @@ def load(name: str, leaf: int = LEAF) -> Bpe:
     return Bpe(name if "/" in name else tokenizer_path(name), leaf)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` array<int> and ``decoded`` string in place of the text."""
-    keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids", "decoded")]
+def round_trip(docs: DataFrame, tokenizer: str, leaf: int = LEAF, spread: int = SPREAD, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` array<int>, ``decoded`` string and ``trees`` int (runs encoded as trees) in place of the text."""
+    keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), "ids", "decoded", "trees")]
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("decoded"))
-    long_run = F.coalesce(F.col("decoded"), F.lit("")).rlike(rf"\S{{{leaf + 1},}}")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "ids array<int>", "decoded string"])
+    # The length is looked at first: hardly any text is searched.
+    long_run = (F.coalesce(F.length("decoded"), F.lit(0)) > spread) & F.coalesce(F.col("decoded"), F.lit("")).rlike(rf"\S{{{spread + 1},}}")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "ids array<int>, decoded string, trees int"])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer, leaf)
         for b in batches:
             for at, end in slices(b.column(b.num_columns - 1)):
                 part = b.slice(at, end - at)
-                ids, bounds, decoded = bpe.encode_all(part.column(part.num_columns - 1), True)
+                ids, bounds, decoded, trees = bpe.encode_all(part.column(part.num_columns - 1), True)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, decoded], [*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, decoded, pa.array(trees, pa.int32())], [*keep, "ids", "decoded", "trees"])
+
+    size = max(leaf, spread // 16)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer, leaf)
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                p = bpe.pieces(text)
-                for at in range(0, len(p), 1024):
-                    part = p[at : at + 1024]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part]), pa.array([x[2] for x in part], pa.string())], ["key", "no", "run", "is_last", "piece"])
+                p = enumerate(bpe.pieces(text, size))
+                while part := list(islice(p, 256)):
+                    no, found = zip(*part, strict=True)
+                    columns = [pa.array([key] * len(part)), pa.array(no, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.bool_(), pa.string(), pa.binary()), strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "no", "run", "is_last", "piece", "ids"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer, leaf)
         for b in batches:
-            ids = [bpe.encode_piece(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            ids = [x if x is not None else bpe.encode_piece(last, piece) for last, piece, x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.binary())], ["key", "no", "run", "ids"])
 
     def assemble(t: pa.Table) -> pa.Table:
         bpe = load(tokenizer, leaf)
         ids = bpe.assemble(list(zip(*(t.column(c).to_pylist() for c in ("no", "run", "ids")), strict=True)))
-        return pa.table({"key": [t.column("key")[0].as_py()], "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": [bpe.decode(ids)]})
+        trees = len({r for r in t.column("run").to_pylist() if r >= 0})
+        return pa.table({"key": [t.column("key")[0].as_py()], "ids": pa.array([ids], pa.list_(pa.int32())), "decoded": [bpe.decode(ids)], "trees": pa.array([trees], pa.int32())})
 
     whole = rows.where(~long_run).mapInArrow(direct, schema)
     long_rows = rows.where(long_run).withColumn("ids", F.sha2("decoded", 256))
-    leaves = long_rows.select(F.col("ids").alias("key"), "decoded").dropDuplicates(["key"]).mapInArrow(cut, "key string, no long, run long, is_last boolean, piece string")
-    done = leaves.repartition("key", "no").mapInArrow(encode, "key string, no long, run long, ids binary").groupBy("key").applyInArrow(assemble, "key string, ids array<int>, decoded string")
-    joined = long_rows.alias("l").join(done.alias("r"), F.col("l.ids") == F.col("r.key")).select(*[F.col(f"l.`{c}`") for c in keep], "r.ids", "r.decoded")
+    leaves = long_rows.select(F.col("ids").alias("key"), "decoded").dropDuplicates(["key"]).mapInArrow(cut, "key string, no long, run long, is_last boolean, piece string, ids binary")
+    done = leaves.repartition("key", "no").mapInArrow(encode, "key string, no long, run long, ids binary").groupBy("key").applyInArrow(assemble, "key string, ids array<int>, decoded string, trees int")
+    joined = long_rows.alias("l").join(done.alias("r"), F.col("l.ids") == F.col("r.key")).select(*[F.col(f"l.`{c}`") for c in keep], "r.ids", "r.decoded", "r.trees")
     return whole.union(joined)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -18,28 +19,51 @@ def library():
     return Tokenizer.from_file(tree_bpe.tokenizer_path(NAME))
 
 
-def test_trees_are_exact(library):
-    bpe, rng = tree_bpe.load(NAME, 64), random.Random(1)
+@pytest.mark.parametrize("name", [NAME, "byte_bpe_50k.json"])
+def test_trees_are_exact(name):
+    library = Tokenizer.from_file(tree_bpe.tokenizer_path(name))
+    rng = random.Random(1)
     for k in range(150):
+        bpe = tree_bpe.load(name, 16 if k % 2 else 64)
         alphabet = rng.choice(["abcdefghijklmnopqrstuvwxyz", "ab", "aé", "!?#", "a!b1", "ÀÉİßΣ", "a  \x1c \u0085b.,'s\t\n"])
-        t = "".join(rng.choice(alphabet) for _ in range(rng.choice([65, 128, 129, 1000, 4000])))
+        t = "".join(rng.choice(alphabet) for _ in range(rng.choice([17, 65, 128, 129, 1000, 4000])))
         if k % 3 == 0:
             t += " <|endoftext|> x" + t[:70] + "<|endoftext|>" + t
         want = library.encode(t, add_special_tokens=False).ids
-        assert bpe.assemble([(i, p[0], bpe.encode_piece(*p)) for i, p in enumerate(bpe.pieces(t))]) == want
-        ids, bounds, decoded = bpe.encode_all(pa.array([None, t, ""]), True)
+        ids, bounds, decoded, trees = bpe.encode_all(pa.array([None, t, ""]), True)
         assert ids.tolist() == want and bounds.tolist() == [0, 0, len(want), len(want)]
         assert decoded.to_pylist() == ["", library.decode(want, skip_special_tokens=False), ""]
+        assert trees.tolist() == [0, sum(len(run) > bpe.leaf for _, run in bpe.runs(t)), 0]
+        rows = [(i, p[0], p[3] if p[3] is not None else bpe.encode_piece(p[1], p[2])) for i, p in enumerate(bpe.pieces(t, 50))]
+        assert bpe.assemble(rows) == want
+        assert (max((len(r) for _, r in bpe.runs(t)), default=0) > 50) == any(r >= 0 for _, r, _ in rows)
 
 
-def test_round_trip(spark, odd, none, library):
-    rows = tree_bpe.round_trip(odd, NAME, leaf=256).collect()
+@pytest.mark.parametrize("name", [NAME, "byte_bpe_50k.json"])
+def test_round_trip(spark, odd, none, name):
+    library = Tokenizer.from_file(tree_bpe.tokenizer_path(name))
+    rows = tree_bpe.round_trip(odd, name, leaf=16, spread=256).collect()
     texts = sorted((r.doc_id or -1, r.text or "") for r in odd.collect())
     assert len(rows) == len(texts)
     want = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in texts)
     assert sorted((r.doc_id or -1, list(r.ids)) for r in rows) == want
     assert all(r.decoded == library.decode(list(r.ids), skip_special_tokens=False) for r in rows)
-    assert tree_bpe.round_trip(none, NAME).count() == 0
+    assert {r.doc_id: r.trees for r in rows}[6] == 1
+    assert tree_bpe.round_trip(none, name).count() == 0
+
+
+def test_round_trip_query(spark, tmp_path, library):
+    rng = random.Random(8)
+    texts = [None, "", "x" * 70_000 + " end", *(" ".join("".join(rng.choice("abcdeéĀ19-") for _ in range(rng.randrange(1, 60))) for _ in range(30)) for _ in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op9_tree_bpe(spark, f"file://{tmp_path}").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+        bpe = tree_bpe.load(NAME, queries.LEAF)
+        assert rows[i].trees == sum(len(run) > bpe.leaf for c in (t or "").split() if len(c) > bpe.leaf for _, run in bpe.runs(c))
+    assert sum(r.trees > 0 for r in rows.values()) > 5
 
 
 def check_pieces(pieces, want, seq_len):

@@ -17,12 +17,14 @@ SLICE_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; only where none is set (tests) a local one."""
+    """The folder shared by driver and executors; only where none is set and the master is local (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ionflow-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -32,14 +34,25 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/ionflow-{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+def materialise(df: DataFrame, tag: str, held: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    The table's path is added to ``held``, for ``drop_all`` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_all(spark: SparkSession, held: list[str]) -> None:
+    """Delete the scratch tables of ``held``."""
+    while held:
+        drop_path(spark, held.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop, whatever store holds it."""
     jvm = spark.sparkContext._jvm

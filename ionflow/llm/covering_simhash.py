@@ -27,10 +27,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionflow.llm.common import drop_path, materialise, scratch_path
+from ionflow.llm.common import drop_all, drop_path, materialise, scratch_path
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -80,36 +81,44 @@ def _words(rows: np.ndarray, kind: type = np.uint64) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
-def _within(signs: np.ndarray, limit: int) -> Callable[[int, int], np.ndarray]:
-    """Which rows of 64-bit words from ``lo`` on differ from row ``i`` in at most ``limit`` bits."""
-    return lambda i, lo: np.bitwise_count(signs[lo:] ^ signs[i]).sum(axis=1, dtype=np.int32) <= limit
+#: Rows of a bucket that are near row i, out of some others.
+Near = Callable[[int, np.ndarray], np.ndarray]
 
 
-def _forest(nodes: np.ndarray, near: Callable[[int, int], np.ndarray], first: int | None = None, confirm: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among ``nodes``, or between the ``first`` ones and the others.
+def _within(signs: np.ndarray, limit: int) -> Near:
+    """Rows of 64-bit words that differ from row ``i`` in at most ``limit`` bits."""
+    return lambda i, rows: rows[np.bitwise_count(signs[rows] ^ signs[i]).sum(axis=1, dtype=np.int32) <= limit]
 
-    ``near`` tells the candidates of a row; those that would join two trees are put to ``confirm``.
-    """
-    n = len(nodes)
-    parent = list(range(n))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _forest(nodes: np.ndarray, near: Near, first: int | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among ``nodes``, or of those of the ``first`` ones with any.
 
+    Rows of one ``label`` are linked already. The search spreads over the links, so a row is only
+    compared with rows that no search has reached: a group of which one row is near to all costs
+    one comparison a row.
+    """
+    label = np.arange(len(nodes)) if label is None else np.unique(label, return_inverse=True)[1]
+    by_label, starts = np.argsort(label, kind="stable"), np.searchsorted(np.sort(label), np.arange(label.max() + 2 if len(label) else 1))
+    members = lambda x: by_label[starts[x] : starts[x + 1]]
+    left = np.ones(len(nodes), bool)
     edges = []
-    for i in range(first if first is not None else n - 1):
-        lo = first if first is not None else i + 1
-        found = np.flatnonzero(near(i, lo))
-        if len(found):
-            a = find(i)
-            for j in (found + lo).tolist():
-                b = find(j)
-                if a != b and (confirm is None or confirm(i, j)):
-                    parent[b] = a
-                    edges.append((int(nodes[i]), int(nodes[j])))
+    for seed in range(len(nodes)):
+        if not left[seed]:
+            continue
+        stack = members(label[seed]).tolist()
+        left[stack] = False
+        while stack:
+            i = stack.pop()
+            rows = np.flatnonzero(left if first is None or i < first else left[:first])
+            found = near(i, rows) if len(rows) else rows
+            labels, at = np.unique(label[found], return_index=True)
+            for x, j in zip(labels.tolist(), found[at].tolist(), strict=True):
+                edges.append((int(nodes[i]), int(nodes[j])))
+                more = members(x)
+                left[more] = False
+                stack += more.tolist()
+        if not left.any():
+            break
     return edges
 
 
@@ -131,37 +140,76 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held[2:]
 
 
-def _bucket_edges(members: DataFrame, compare_with: Callable[..., dict], block: int) -> DataFrame:
-    """Edges (a, b) within buckets; ``members``: key, n (the bucket's size), node and binary columns, from which ``compare_with`` makes the arguments of ``_forest``.
+def _compare(dealt: DataFrame, compare_with: Callable[..., Near]) -> DataFrame:
+    """Edges (a, b) found by ``_forest`` in every task of ``dealt``: key, task, node, label, side (0: the first ones, null: all) and columns for ``compare_with``."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, label, side, *held in _groups(batches):
+            order = np.argsort(side, kind="stable")
+            first = None if side.min() < 0 else int((side == 0).sum())
+            edges = [e for e in _forest(node[order], compare_with(*[x[order] for x in held]), first, label[order]) if e[0] != e[1]]
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.repartition("key", "task").sortWithinPartitions("key", "task").mapInArrow(compare, "a long, b long")
+
+
+def _pair_edges(members: DataFrame, compare_with: Callable[..., Near], block: int) -> DataFrame:
+    """Edges (a, b) within buckets; ``members``: key, n (the bucket's size), node and columns for ``compare_with``.
 
     A bucket is dealt out as pairs of blocks of about ``block`` members; each is one unit of work
     and gives a spanning forest of its links.
     """
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     part = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(part, j) * parts + F.greatest(part, j))
+    tasks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct((F.least(part, j) * parts + F.greatest(part, j)).alias("task"), F.when(part == j, -1).when(part < j, 0).otherwise(1).alias("side")))
     marks = [c for c in members.columns if c not in ("key", "n", "node")]
-    dealt = members.select("key", F.explode(tasks).alias("task"), "node", part.alias("part"), *marks).repartition("key", "task").sortWithinPartitions("key", "task")
+    dealt = members.select("key", F.explode(tasks).alias("t"), "node", *marks)
+    return _compare(dealt.select("key", "t.task", "node", F.col("node").alias("label"), "t.side", *marks), compare_with)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, side, *held in _groups(batches):
-            order = np.argsort(side, kind="stable")
-            first = int((side == side.min()).sum())
-            edges = _forest(node[order], first=None if first == len(side) else first, **compare_with(*[x[order] for x in held]))
-            if edges:
-                a, b = zip(*edges, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+def _minor_edges(members: DataFrame, compare_with: Callable[..., Near], block: int) -> DataFrame:
+    """Edges between the ``minor`` members of a bucket, of which there are ``u``, and all its ``n`` members: every minor block meets every block."""
+    parts, few = (F.ceil(F.col(c) / F.lit(block)).cast("int") for c in ("n", "u"))
+    part, own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int"), F.pmod(F.xxhash64("node"), few.cast("long")).cast("int")
+    as_any = F.transform(F.sequence(F.lit(0), few - 1), lambda m: F.struct((m * parts + part).alias("task"), F.lit(1).alias("side")))
+    as_minor = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct((own * parts + j).alias("task"), F.lit(0).alias("side")))
+    marks = [c for c in members.columns if c not in ("key", "n", "u", "minor", "node", "label")]
+    dealt = members.select("key", F.explode(F.when(F.col("minor"), F.concat(as_any, as_minor)).otherwise(as_any)).alias("t"), "node", "label", *marks)
+    return _compare(dealt.select("key", "t.task", "node", "label", "t.side", *marks), compare_with)
+
 
+def _bucket_edges(members: DataFrame, compare_with: Callable[..., Near], block: int, held: list[str] | None = None, leaders: int = 16) -> DataFrame:
+    """Edges (a, b) whose components are those of all links within buckets; ``members`` as for ``_pair_edges``.
 
-def _shared(keyed: DataFrame, tag: str) -> DataFrame:
+    Buckets up to ``block`` members are compared in one task each. Of wider ones ``leaders`` members
+    are compared with all, which links most of a large group of copies at a cost in proportion to
+    it; then only those outside the bucket's largest group so far, the minor members, are still
+    compared with all, so that no link between groups is lost.
+    """
+    edges = _pair_edges(members.where(F.col("n") <= block), compare_with, block)
+    if members.where(F.col("n") > block).isEmpty():
+        return edges
+    wide = materialise(members.where(F.col("n") > block), "wide", held)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
+    leading = wide.select("key", "node").withColumn("rank", rank).where(F.col("rank") <= leaders).select("key", "node", F.lit(True).alias("minor"))
+    led = wide.join(leading.hint("merge"), ["key", "node"], "left").withColumns({"minor": F.coalesce("minor", F.lit(False)), "u": F.lit(leaders), "label": F.col("node")})
+    star = materialise(_minor_edges(led, compare_with, block), "stars", held)
+    known = materialise(components(star), "known", held)
+    labelled = wide.join(known.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    largest = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"))
+    rest = labelled.join(largest.hint("merge"), "key").where("n > top.size").withColumns({"minor": F.col("label") != F.col("top.label"), "u": F.col("n") - F.col("top.size")}).drop("top")
+    return edges.union(star).union(_minor_edges(rest, compare_with, block))
+
+
+def _shared(keyed: DataFrame, tag: str, held: list[str] | None = None) -> DataFrame:
     """Rows (key, ...) whose key is not theirs alone, with the bucket's size ``n``.
 
     How many keys are shared has no bound, so they are merged and never broadcast.
     """
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialise(keyed.join(sizes.hint("merge"), "key"), tag)
+    return materialise(keyed.join(sizes.hint("merge"), "key"), tag, held)
 
 
 def links(fps: DataFrame, radius: int = 4, block: int = 2048, wide: int = 1 << 17) -> DataFrame:
@@ -172,7 +220,7 @@ def links(fps: DataFrame, radius: int = 4, block: int = 2048, wide: int = 1 << 1
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)])
     shared = _shared(fps.select("fp", F.explode(keys).alias("key")), "buckets")
     members = shared.where(F.col("n") <= wide).select("key", "n", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sign"))
-    edges = _bucket_edges(members, lambda sign: {"near": _within(_words(sign), radius)}, block)
+    edges = _pair_edges(members, lambda sign: _within(_words(sign), radius), block)
 
     # Wider buckets: a star around every midpoint.
     hot = shared.where(F.col("n") > wide).select("fp").distinct()
@@ -214,10 +262,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         mid, mid_path = write(large)
         down = mid.groupBy("a").agg(F.min("b").alias("m"))
-        small = mid.join(down, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = mid.join(down.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         nxt, nxt_path = write(small.where("a <> b").distinct())
         drop_path(spark, mid_path)
         drop_path(spark, path)
@@ -284,6 +332,49 @@ def minima(hashes: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The distinct upper 40 bits of sorted hashes: two shingles of a pair of texts with some thousand meet in about one pair of a hundred thousand."""
+    return np.unique(hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> Near:
+    """Rows whose sets of distinct hashes have an exact Jaccard similarity of ``similarity`` and more with that of row ``i``; empty sets are equal.
+
+    An inverted index gives the intersections with all rows at once.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    gram = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)[1].astype(np.int32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[np.argsort(gram, kind="stable")]
+    ends = np.cumsum(np.bincount(gram))
+
+    def near(i: int, rows: np.ndarray) -> np.ndarray:
+        own = gram[bounds[i] : bounds[i + 1]]
+        starts = np.where(own > 0, ends[own - 1], 0)
+        n = ends[own] - starts
+        both = np.bincount(owner[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[rows]
+        return rows[both >= similarity * (size[i] + size[rows] - both)]
+
+    return near
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """The distinct upper 40 bits of sorted hashes: two shingles of a pair of texts with some thousand meet in about one pair of a hundred thousand."""
+    return np.unique(hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Exact similarity of two sets of sorted distinct hashes; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -295,29 +386,32 @@ def covering_positions() -> list[list[int]]:
     return [[i for i in range(7) if ((i + 1) & v).bit_count() % 2] for v in range(1, 8)]
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 6, least: float = 0.5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 6, least: float = 0.5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: list[str] | None = None) -> DataFrame:
     """(doc_id, component_id) of near copies: the components of all pairs whose distinct shingles have a Jaccard similarity of ``similarity`` and more.
 
     A SimHash within a few bits would only tell copies that are almost equal or edited word by word.
     So each round covers 7 MinHash values of the shingles for radius 2: two texts meet in one of its
-    7 tables whenever at most 2 of the 7 differ. At 0.8 one round misses 12.5 % of pairs and 6 rounds
-    miss 4 in a million, wherever the texts differ. Pairs of a bucket that agree in the share
-    ``least`` of all values are candidates (at 0.8 fewer agree in about 2 pairs of a million), and
-    within components of candidates the pairs are confirmed by their exact similarity; only there
-    are the shingles needed, once for each text and pair of blocks.
-
-    Texts without words are copies of one another.
+    7 tables whenever at most 2 of the 7 differ. At 0.8 one round misses 14.8 % of pairs and 6 rounds
+    miss 11 in a million, wherever the texts differ. Pairs of a bucket that agree in the share
+    ``least`` of all values (at 0.8 fewer agree in about 2 pairs of a million) and whose numbers of
+    shingles allow it are candidates, and within components of candidates the pairs are confirmed
+    by their exact similarity; only there are the shingles needed.
+
+    Texts without words are copies of one another. The joins are merged at every size: none of
+    their sides has a bound. ``held`` gathers the paths of the scratch tables.
     """
     count = 7 * rounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40  # a number of its own for every row
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
                 sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
-                signs = [minima(x, count).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(signs, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "node", "sign", "grams"])
+                columns = [part.column(0), pa.array(np.arange(row, row + len(sets))), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array([minima(x, count).tobytes() for x in sets], pa.binary()), pa.array([packed(x) for x in sets], pa.binary())]
+                row += len(sets)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "sign", "grams"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [[7 * r + i for i in kept] for r in range(rounds) for kept in covering_positions()]
@@ -335,28 +429,31 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, roun
                 node = np.repeat(part.column(0).to_numpy(), len(tables))
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(keys.ravel().view(np.int64))], ["node", "key"])
 
-    def agree(sign: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    def agree(sign: np.ndarray, size: np.ndarray) -> Near:
         values = _words(sign, np.uint32)
-        return lambda i, lo: (values[lo:] == values[i]).sum(axis=1, dtype=np.int32) >= least * count
 
-    def exact(sign: np.ndarray, grams: np.ndarray) -> dict:
-        sets = [np.frombuffer(x, np.uint64) for x in grams]
-        return {"near": agree(sign), "confirm": lambda i, j: jaccard(sets[i], sets[j]) >= similarity}
+        def near(i: int, rows: np.ndarray) -> np.ndarray:
+            n = size[rows]
+            rows = rows[np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i])]
+            return rows[(values[rows] == values[i]).sum(axis=1, dtype=np.int32) >= least * count]
+
+        return near
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialise(rows.mapInArrow(run, "doc_id long, node long, sign binary, grams binary"), "marks")
-    # Equal shingles are one class, whose hash stands for it in all that follows.
-    classes = materialise(marks.groupBy("node", "sign").agg(F.min("doc_id").alias("first")), "classes")
-    shared = _shared(classes.select("node", "sign").mapInArrow(keyed, "node long, key long"), "buckets")
-    members = shared.join(classes.select("node", "sign"), "node").select("key", "n", "node", "sign")
-    wide = materialise(components(_bucket_edges(members, lambda sign: {"near": agree(sign)}, block).distinct()), "candidates")
+    marks = materialise(rows.mapInArrow(run, "doc_id long, row long, node long, size int, sign binary, grams binary"), "marks", held)
+    # Equal shingles are one class, whose hash stands for it in all that follows; one row of it brings the shingles.
+    classes = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sign").alias("sign")), "classes", held)
+    shared = _shared(classes.select("node", "sign").mapInArrow(keyed, "node long, key long"), "buckets", held)
+    members = shared.join(classes.select("node", "sign", "size").hint("merge"), "node").select("key", "n", "node", "sign", "size")
+    wide = materialise(components(_bucket_edges(members, agree, block, held).distinct()), "candidates", held)
     sizes = wide.groupBy(F.col("root").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    inside = wide.withColumnRenamed("root", "key").join(sizes.hint("merge"), "key")
-    texts = marks.select("node", "sign", "grams").join(inside.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    edges = _bucket_edges(inside.join(texts, "node").select("key", "n", "node", "sign", "grams"), exact, block)
-    found = classes.join(components(edges), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    labels = found.join(found.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return marks.select("doc_id", "node").join(labels, "node").select("doc_id", "component_id")
+    inside = wide.withColumnRenamed("root", "key").join(sizes.hint("merge"), "key").join(classes.select("node", "row").hint("merge"), "node")
+    texts = materialise(marks.select("row", "grams").join(inside.hint("merge"), "row").select("key", "n", "node", "grams"), "texts", held)
+    edges = _bucket_edges(texts, lambda grams: _alike(list(map(unpacked, grams)), similarity), max(1, block // 4), held)
+    roots = materialise(components(edges), "roots", held)
+    found = classes.select("node", "first").join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    labels = found.join(found.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("node", "component_id")
+    return marks.select("doc_id", "node").join(labels.hint("merge"), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -365,8 +462,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows that repeat the leading id one stays; rows with a null id have no identity and all stay.
     The leaders are about as many as the documents, so they are merged with them and never broadcast.
     """
-    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, **options)
+    held: list[str] = []
+    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, held=held, **options)
     leaders = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")), "leaders")
+    drop_all(docs.sparkSession, held)
     kept = docs.join(leaders.where("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
     again = leaders.where("n > 1")
     if not again.isEmpty():

@@ -123,19 +123,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rate: float = 0.5, trust_rate: float = 0.01) -> DataFrame:
     """The documents that pass, with exactly their own columns.
 
-    Verdicts depend on a row's text and source alone, so they are joined by host and not by id. A
-    row's failures and what its host holds against them are bit sets: the one test on both sides
-    can't be split, so no text is measured twice to filter before the join.
+    Each text is measured once: the documents are written with their host and their failures, as a
+    set of bits, and what each host holds against its documents, another set, is joined by host.
     """
-    verdicts = host_verdicts(materialise(measured(docs, id_col, text_col, source_col), "quality"), block_rate, trust_rate)
     host, salt, failed, counts = (free_name(docs, k) for k in ("host", "salt", "failed", "counts"))
     bit = lambda c, n: F.when(c, 1 << n).otherwise(0)
-    against = F.lit(1) + bit(F.col("symbols_counts"), 1) + bit(F.col("lines_counts"), 2) + bit(F.col("host_blocked"), 3)
-    hosts = verdicts.select(F.col("host").alias(host), against.alias(counts), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt))
+    order = {"base": 0, "symbols": 1, "lines": 2}
 
     def bits(m: Column) -> Column:
         fails = {r: test(lambda name: m[name]) for r, test in RULES.items()}
         return F.lit(1 << 3) + bit(fails["base"], 0) + bit(fails["symbols"], 1) + bit(fails["lines"], 2)
 
-    rows = docs.withColumns({host: host_of(F.col(source_col)), salt: F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALT)).cast("int"), failed: F.coalesce(let(measures(F.col(text_col)), bits), F.lit(0))})
+    spread = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALT)).cast("int")
+    rows = materialise(docs.withColumns({host: host_of(F.col(source_col)), salt: spread, failed: F.coalesce(let(measures(F.col(text_col)), bits), F.lit(0))}), "quality")
+    marks = rows.select(F.col(host).alias("host"), *[(F.col(failed).bitwiseAND(F.lit(1 << order[r])) > 0).alias(f"{r}_failed") for r in RULES])
+    verdicts = host_verdicts(marks, block_rate, trust_rate)
+    against = F.lit(1) + bit(F.col("symbols_counts"), 1) + bit(F.col("lines_counts"), 2) + bit(F.col("host_blocked"), 3)
+    hosts = verdicts.select(F.col("host").alias(host), against.alias(counts), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(salt))
     return rows.join(hosts, [host, salt]).where(F.col(failed).bitwiseAND(F.col(counts)) == 0).select(docs.columns)

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from ionflow.llm import covering_simhash as C
@@ -102,6 +103,78 @@ def test_block_edits_are_near_copies(spark):
     assert [i for i in far if found[i] == found[i + 1]] == []
 
 
+def exact_components(texts, similarity=0.8, n=5):
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {" ".join(w)} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if not x and not y or len(x & y) >= similarity * len(x | y) > 0:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_wide_buckets_of_near_copies(spark, block):
+    """A large group of near copies, a crowd that shares a passage, chains and strangers; blocks far smaller than the groups."""
+    rng, fresh = random.Random(9), itertools.count()
+    new = lambda k: [f"n{next(fresh)}" for _ in range(k)]
+    base, passage = new(200), new(120)
+    docs = []
+    for _ in range(150):  # similar to the base, often not to one another
+        t = base[:]
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(200)] = f"n{next(fresh)}"
+        docs.append(t)
+    docs += [passage + new(rng.randrange(40, 100)) for _ in range(120)]
+    chain = new(150)
+    for _ in range(40):
+        chain = chain[8:] + new(8)
+        docs.append(chain)
+    docs += [new(80) for _ in range(60)] + [docs[3], docs[3], docs[160], [], []]
+    rng.shuffle(docs)
+    texts = {i: " ".join(t) for i, t in enumerate(docs)}
+    found = C.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), block=block).collect()
+    assert {r.doc_id: r.component_id for r in found} == exact_components(texts)
+
+
+def test_forest_spans_all_links():
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        n = int(rng.integers(1, 40))
+        link = rng.random((n, n)) < rng.choice([0.02, 0.1, 0.5])
+        link |= link.T
+        first = None if k % 2 else int(rng.integers(0, n + 1))
+        label = rng.integers(0, n, n) if k % 3 else None
+        edges = C._forest(np.arange(n), lambda i, rows: rows[link[i, rows]], first, label)
+        root = list(range(n))
+
+        def merge(pairs, root):
+            for a, b in pairs:
+                a, b = root[a], root[b]
+                root[:] = [a if x == b else x for x in root]
+            return root
+
+        same = [] if label is None else [(i, int(np.flatnonzero(label == label[i])[0])) for i in range(n)]
+        want = merge([(i, j) for i in range(n) for j in range(n) if link[i, j] and (first is None or min(i, j) < first)] + same, list(range(n)))
+        got = merge(edges + same, root)
+        assert [want.index(x) for x in want] == [got.index(x) for x in got]
+        assert len(edges) == len(set(merge(same, list(range(n))))) - len(set(want))
+
+
+def test_packed_shingles():
+    x = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
+    assert (C.unpacked(C.packed(x)) == x >> np.uint64(24)).all() and len(C.unpacked(C.packed(x[:0]))) == 0
+
+
 def test_wide_simhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

@@ -5,9 +5,12 @@ names, credentials) get replacements of their own kind. A replacement is a keyed
 all values of the same format: digits stay digits, vowels vowels and consonants consonants of
 their script, capitals capitals; card numbers keep their check digit valid (or as invalid as it
 was), account numbers their country and check digits, given names their gender and script,
-Slavic surnames the ending that tells the gender. Permuting keeps distinct values distinct, and
-one value has one replacement wherever and however it is written. A name is detected after a title
-or a listed given name; from then on its parts are names in the whole document, alone as well.
+Slavic surnames and given names that are not listed the ending that tells the gender; a listed given
+name never stands for itself. Permuting keeps distinct values distinct, and one value has one
+replacement wherever and however it is written. A name is detected after a title, after a listed
+given name in capitals or not, after words that introduce one ("my name is", "signed"), and where
+two capitalised words come before a verb of speech ("wrote", "said"); from then on its parts are
+names in the whole document, alone as well. A name that nothing of this points to is not found.
 
 What the permutation can't know is checked against the corpus: the distinct entities are
 gathered, and a replacement that is itself an entity of the corpus, or that another entity has
@@ -31,7 +34,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -77,8 +80,14 @@ _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}|:)
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
 _TITLED = re.compile(rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0](?:({_WORD})[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
-_NAMED = re.compile(rf"({'|'.join(sorted({n for names in GIVEN.values() for n in names}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
+_NAMED = re.compile(rf"({'|'.join(sorted({x for names in GIVEN.values() for n in names for x in (n, n.upper())}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
 _LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+# Words that introduce a name, and verbs that follow one.
+BEFORE = "my name is|name|signed|sincerely|regards|contact person|on behalf of|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε".split("|")
+AFTER = "wrote|writes|said|says|asked|replied|answered|signed|called|lives|schrieb|schreibt|sagte|sagt|fragte|antwortete|écrit|dit|demande|répond|escribió|dijo|preguntó|respondió|написал|написала|сказал|сказала|έγραψε|είπε".split("|")
+_FULL = rf"({_WORD})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)"
+_INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(BEFORE)}))[ \xa0]?[:,]?[ \xa0\n]{_FULL}")
+_SPEAKING = re.compile(rf"{_FULL}(?=[ \xa0](?:{'|'.join(AFTER)})(?!\w))")
 # Words that a heading may capitalise after a given name; alone they are no names.
 PLAIN = frozenset("a an the of in on at by to for from with and or but is was are were has had as he she it they who der die das und oder in im von mit ist war hat zu le la les de du des et ou est un une dans par el los las y en es con del por".split())
 
@@ -185,11 +194,14 @@ def _iban(key: bytes, label: str, v: str) -> str:
 
 
 def _given(key: bytes, label: str, v: str) -> str:
+    """A listed name goes to the next one on a keyed circle of its group, a later attempt further on; another keeps its last letter, which tells the gender."""
     group = WHOSE.get(v)
     if not group:
-        return respell(key, label, v)
-    names = GIVEN[group]
-    return names[permute(key, f"{label}|{group}", [n.lower() for n in names].index(v), len(names))].lower()
+        return respell(key, label + v[-1:], v[:-1]) + v[-1:]
+    names = [n.lower() for n in GIVEN[group]]
+    circle = sorted(range(len(names)), key=lambda i: permute(key, f"circle|{group}", i, len(names)))
+    step = 1 + int(label.rpartition("|")[2]) % (len(names) - 1)
+    return names[circle[(circle.index(names.index(v)) + step) % len(names)]]
 
 
 def _surname(key: bytes, label: str, v: str) -> str:
@@ -278,13 +290,13 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if "::" in text or text.count(":") >= 3:
         found += [(m.start(), m.end(), "ip") for m in _IP6.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if len(m[0].replace(" ", "")) >= 15 and not text[max(0, m.start() - 1) : m.start()].isalnum()]
-    for pattern in (_TITLED, _NAMED):
+    for pattern in (_TITLED, _NAMED, _INTRODUCED, _SPEAKING):
         for m in pattern.finditer(text):
             if text[max(0, m.start() - 1) : m.start()].isalnum():
                 continue
             for g in (1, 2, 3):
-                if m[g]:
-                    given = g == 1 and (pattern is _NAMED or m[2]) or m[g].lower() in WHOSE
+                if m[g] and not (pattern in (_INTRODUCED, _SPEAKING) and m[g].lower() in PLAIN):
+                    given = g == 1 and (pattern is not _TITLED or m[2]) or m[g].lower() in WHOSE
                     found.append((m.start(g), m.end(g), "given" if given else "surname"))
     names: dict[str, str] = {}
     for start, end, kind in found:
@@ -323,6 +335,11 @@ def _first(kind: str, value: str, key: bytes) -> str:
 # Corpus ------------------------------------------------------------------------------------------
 
 
+def key_of(id_col: str, text_col: str) -> Column:
+    """What a document's later replacements are kept under: its id, or a hash of its text where that is null."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(text_col).cast("string")).cast("string")))
+
+
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, value): the distinct entities of each document, in canonical form."""
 
@@ -336,7 +353,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["id", "kind", "value"])
 
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id string, kind string, value string")
+    return docs.select(key_of(id_col, text_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id string, kind string, value string")
 
 
 def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -374,12 +391,12 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text
     found = materialise(mentions(docs, id_col, text_col), "mentions")
     later = resolve(found, key).where("attempt > 0")
     extra, own, id_name = free_name(docs, "later"), free_name(docs, "replaced"), free_name(docs, "key")
-    per_doc = found.join(later, ["kind", "value"]).groupBy(F.coalesce("id", F.lit("")).alias(id_name)).agg(F.to_json(F.collect_set(F.struct("kind", "value", "surrogate"))).alias(extra))
+    per_doc = found.join(later, ["kind", "value"]).groupBy(F.col("id").alias(id_name)).agg(F.to_json(F.collect_set(F.struct("kind", "value", "surrogate"))).alias(extra))
     per_doc = materialise(per_doc, "later")  # so its size is known to the planner
     if per_doc.isEmpty():
         joined = docs.withColumn(extra, F.lit(None).cast("string"))
     else:
-        joined = docs.withColumn(id_name, F.coalesce(F.col(id_col).cast("string"), F.lit(""))).join(per_doc, id_name, "left").select(*docs.columns, extra)
+        joined = docs.withColumn(id_name, key_of(id_col, text_col)).join(per_doc, id_name, "left").select(*docs.columns, extra)
     at, names = [c.lower() for c in docs.columns].index(text_col.lower()), [*docs.columns, own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,8 +51,10 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    found = warc.read_archives(spark, folder, "verify")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+    # Two reads, each with its predicate pushed down: responses with their payloads, revisits by their headers alone.
+    kept = warc.read_archives(spark, folder, "verify").where("record_type = 'response'")
+    again = warc.read_archives(spark, folder, "skip").where("record_type = 'revisit'")
+    return kept.union(again).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"), "payload_read")
 
 
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +66,11 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     slices = materialise(resharding.plan(spark, path, 16), "slices")
-    resharding.rewrite(spark, path, slices, scratch_path(spark, "shards"))
-    found = resharding.assign(spark, path, slices)
-    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = scratch_path(spark, "shards")
+    affected = resharding.rewrite(spark, path, slices, out)
+    found = resharding.read_back(spark, path, slices, out, affected, ["doc_id", "text"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), resharding.size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

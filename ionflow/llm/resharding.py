@@ -2,15 +2,16 @@
 
 The rows of a Parquet dataset lie in files, the old shards; each old shard belongs to the new
 shard that it is counted to at no cost. From the bytes that each new shard holds so and the new
-capacities a minimum-cost flow (successive shortest paths; a byte that stays is free, a byte that
-moves costs one, or what the cost matrix says) gives the transfers that move the fewest bytes.
+capacities a minimum-cost flow gives the transfers that move the fewest bytes: a byte that stays is
+free and one that moves costs one, for which surpluses meet deficits in linear time; with a cost
+matrix, by successive shortest paths.
 
 Transfers are cut from the ends of a shard's files as blocks of consecutive rows, so the whole
 plan is a short list of slices (file, first row, last row, new shard): one per file and two per
 transfer. A row's place follows from its file and row number alone: no row is shuffled to learn
 its shard or its slot. Row sizes are summed per block of ``block_rows`` rows; single rows are
 looked at only in the blocks that a cut falls into. ``rewrite`` writes the shards anew that gain
-or lose rows and leaves the files of the others alone.
+or lose rows and leaves the files of the others alone; ``read_back`` reads both.
 
 Law: ``bytes`` - shard sizes are equal to within one row at each cut.
 
@@ -75,6 +76,22 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]] |
     return {k: x for k, x in flow.items() if x}
 
 
+def fewest_bytes(held: list[int], wanted: list[int]) -> dict[tuple[int, int], int]:
+    """The minimum-cost flow where staying is free and every move costs one: what can stays, and surpluses meet deficits in order."""
+    if sum(held) != sum(wanted):
+        raise ValueError("supply and demand differ")
+    flow = {(s, s): min(a, b) for s, (a, b) in enumerate(zip(held, wanted, strict=True)) if min(a, b)}
+    over, under = (deque((s, x) for s, x in enumerate(d) if x > 0) for d in ([a - b for a, b in zip(held, wanted, strict=True)], [b - a for a, b in zip(held, wanted, strict=True)]))
+    while over:
+        (s, x), (t, y) = over.popleft(), under.popleft()
+        flow[s, t] = min(x, y)
+        if x > y:
+            over.appendleft((s, x - y))
+        elif y > x:
+            under.appendleft((t, y - x))
+    return flow
+
+
 def place() -> list[Column]:
     """A row's file and its number in it."""
     return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
@@ -109,7 +126,7 @@ def _cuts(files: list[tuple[str, int]], flow: dict[tuple[int, int], int], shards
     return out
 
 
-def plan(spark: SparkSession, path: str, shards: int = 16, capacities: list[float] | None = None, text_col: str = "text", block_rows: int = 1024) -> DataFrame:
+def plan(spark: SparkSession, path: str, shards: int = 16, capacities: list[float] | None = None, cost: list[list[int]] | None = None, text_col: str = "text", block_rows: int = 1024) -> DataFrame:
     """Slices: rows ``lo`` to ``hi`` (exclusive) of ``file`` go to ``shard``, row ``lo`` to its slot ``base``; ``home`` is where they were."""
     rows = spark.read.parquet(path).select(*place(), size_of(F.col(text_col)).alias("size")).withColumn("block", F.floor(F.col("row") / F.lit(block_rows)).cast("long"))
     blocks = materialise(rows.groupBy("file", "block").agg(F.sum("size").alias("bytes"), (F.max("row") + 1).alias("end")), "blocks")
@@ -117,7 +134,8 @@ def plan(spark: SparkSession, path: str, shards: int = 16, capacities: list[floa
     files, ends = [(f, b) for f, b, _ in listed], {f: n for f, _, n in listed}
     home = {f: i % shards for i, (f, _) in enumerate(files)}
     held = [sum(b for _, b in files[s::shards]) for s in range(shards)]
-    cuts = _cuts(files, min_cost_flow(held, _wanted(sum(held), shards, capacities)), shards)
+    wanted = _wanted(sum(held), shards, capacities)
+    cuts = _cuts(files, min_cost_flow(held, wanted, cost) if cost else fewest_bytes(held, wanted), shards)
 
     # Bytes to row numbers: of the row that a cut falls into, the nearer end.
     asked = F.broadcast(spark.createDataFrame([(f, a) for f, a, _ in cuts if a], "file string, at long"))  # fewer than files and transfers
@@ -167,3 +185,20 @@ def rewrite(spark: SparkSession, path: str, slices: DataFrame, out: str) -> set[
         raise ValueError("the input has a column shard; the output is partitioned by that name")
     rows.select("own.*", "shard").write.partitionBy("shard").parquet(out)
     return affected
+
+
+def read_back(spark: SparkSession, path: str, slices: DataFrame, out: str, affected: set[int], columns: list[str]) -> DataFrame:
+    """``columns``, shard and slot of every row, from the rewritten shards and the files that were left alone.
+
+    A row's slot is the rows of its shard's earlier files and its own number in its file.
+    """
+    slices = slices.where(~F.col("shard").isin(sorted(affected)))
+    kept = _placed(spark, path, slices, *columns).select(*columns, "shard", (F.col("base") + F.col("row") - F.col("lo")).alias("slot"))
+    if not affected:
+        return kept
+    rows = spark.read.parquet(out).select(*columns, "shard", *place())
+    counts = rows.groupBy("shard", "file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per written file; written, so that its size is known to the planner.
+    bases = materialise(counts.select("shard", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    return rows.join(bases, ["shard", "file"]).select(*columns, "shard", (F.col("base") + F.col("row")).alias("slot")).union(kept)

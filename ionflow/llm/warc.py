@@ -17,7 +17,8 @@ Files are opened through pyarrow's file systems, so the folder may be on any sto
 Defined results: null html is an empty payload; a null page id is written as an empty header and
 read back as null, and it is never revisited nor a revisit; rows that repeat the smallest id of
 their payload are all responses; an empty table gives an empty result; further columns
-are ignored. A truncated archive fails with its path and position.
+are ignored. A truncated or damaged archive, one cut within the trailer of a compressed member too,
+fails with its path and the position up to which it was read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from ionflow.llm.common import materialise
 
-SCHEMA = "page_id long, record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, refers_to_page long, content_length long, payload binary"
+SCHEMA = "page_id long, record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, refers_to_page long, content_length long, payload binary, payload_read boolean"
 #: Column of the source: header of the record.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 EPOCH = "1970-01-01T00:00:00Z"
@@ -78,7 +79,7 @@ class _Deflated:
     """Reads the members of a gzip file as one stream."""
 
     def __init__(self, raw):
-        self.raw, self.left, self.out, self.inflate = raw, b"", b"", zlib.decompressobj(31)
+        self.raw, self.left, self.out, self.inflate, self.begun = raw, b"", b"", zlib.decompressobj(31), False
 
     def read(self, n: int) -> bytes:
         parts, got = [], 0
@@ -86,9 +87,12 @@ class _Deflated:
             if not self.out:
                 self.left = self.left or self.raw.read(BLOCK)
                 if not self.left:
+                    if self.begun and not self.inflate.eof:
+                        raise ValueError("compressed member cut off")
                     break
                 if self.inflate.eof:
                     self.inflate = zlib.decompressobj(31)
+                self.begun = True
                 self.out = self.inflate.decompress(self.left)
                 self.left = self.inflate.unused_data
                 continue
@@ -208,7 +212,7 @@ class WarcReader(DataSourceReader):
         return all(self.header(head, n) in values for n, values in self.tests) and all(self.header(head, n) is not None for n in self.present)
 
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.int64() if n in ("page_id", "payload_bytes", "refers_to_page", "content_length") else pa.string()) for n in self.columns])
+        schema = pa.schema([(n, pa.binary() if n == "payload" else pa.bool_() if n == "payload_read" else pa.int64() if n in ("page_id", "payload_bytes", "refers_to_page", "content_length") else pa.string()) for n in self.columns])
         rows: list[dict] = []
         size = 0
         for path in partition.paths:
@@ -218,6 +222,7 @@ class WarcReader(DataSourceReader):
                         row = {n: self.header(head, n) for n in HEADERS}
                         for column, key in (("page_id", "x-page-id"), ("payload_bytes", "x-payload-length"), ("refers_to_page", "x-refers-to-page"), ("content_length", "content-length")):
                             row[column] = int(head[key]) if head.get(key) else None
+                        row["payload_read"] = body is not None
                         if body is not None and row["record_type"] != "revisit":
                             body = body.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else body
                             if row["payload_digest"] and digest(body) != row["payload_digest"]:
@@ -229,8 +234,8 @@ class WarcReader(DataSourceReader):
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
-                except ValueError as e:
-                    raise ValueError(f"{path}: {e}") from e
+                except (ValueError, zlib.error) as e:
+                    raise ValueError(f"{path}, before byte {raw.tell()}: {e}") from e
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 

@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from ionflow.llm import queries
 from ionflow.llm import resharding as R
 from ionflow.llm import string_kernel as K
 from ionflow.llm import warc as W
@@ -145,10 +146,61 @@ def test_resharding(spark, tmp_path, files):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(sizes) - min(sizes) <= 301 * 4
     moved = R.rewrite(spark, path, slices, f"file://{tmp_path}/new")
+    back = R.read_back(spark, path, slices, f"file://{tmp_path}/new", moved, ["doc_id", "text"]).collect()
+    contents = lambda rows: sorted((r.shard, -1 if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()) if "text" in r else r.text_crc32) for r in rows)
+    assert contents(back) == contents(out)
+    for s in range(8):
+        assert sorted(r.slot for r in back if r.shard == s) == list(range(len(slots.get(s, []))))
     new = spark.read.parquet(f"file://{tmp_path}/new")
     assert new.columns == ["doc_id", "text", "row", "shard"] and new.count() == sum(len(slots[s]) for s in moved)
 
 
+def test_fewest_bytes_is_the_flow():
+    rng = random.Random(4)
+    for _ in range(100):
+        n = rng.randrange(1, 9)
+        held = [rng.randrange(0, 50) for _ in range(n)]
+        wanted = R._wanted(sum(held), n, None)
+        a, b = R.fewest_bytes(held, wanted), R.min_cost_flow(held, wanted)
+        assert sum(x for (s, t), x in a.items() if s != t) == sum(x for (s, t), x in b.items() if s != t)
+        for k in range(n):
+            assert sum(x for (s, _), x in a.items() if s == k) == held[k] and sum(x for (_, t), x in a.items() if t == k) == wanted[k]
+
+
+def test_shards_query(spark, tmp_path):
+    rows = [(i if i % 40 else None, "é" * (i * 7 % 90) if i % 13 else None) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = queries.op8_flow_resharding(spark, f"file://{tmp_path}").collect()
+    key = lambda i, t: (-1 if i is None else i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == sorted(key(*r) for r in rows)
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 2 * 181 and {r.law for r in got} == {"bytes"}
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_warc_query(spark, pages, tmp_path):
+    pages.where("page_id IS NOT NULL").write.parquet(f"file://{tmp_path}/pages.parquet")
+    rows = {r.page_id: r for r in queries.op6_warc(spark, f"file://{tmp_path}").collect()}
+    html = {r.page_id: (r.html or "").encode() for r in pages.collect() if r.page_id is not None}
+    assert set(rows) == set(html)
+    for i, r in rows.items():
+        first = min(j for j in html if html[j] == html[i])
+        assert (r.payload_bytes, r.payload_digest) == (len(html[i]), base64.b32encode(hashlib.sha1(html[i]).digest()).decode())
+        assert (r.record_type, r.refers_to, r.payload_read) == (("response", None, True) if first == i else ("revisit", first, False))
+
+
+def test_damaged_archives_are_refused(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/d"
+    W.write_archives(pages.where("page_id < 4").coalesce(1), folder)
+    (name,) = (tmp_path / "d").glob("*.gz")
+    data = name.read_bytes()
+    for bad in (data[:-6], data[:-1], data[: len(data) // 2], data[:40] + b"\xff\xff\xff" + data[43:]):
+        name.write_bytes(bad)
+        with pytest.raises(Exception, match=rf"{name.name}, before byte \d+"):
+            W.read_archives(spark, folder).collect()
+
+
 def test_resharding_weights_and_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     df = spark.createDataFrame([(i, "abc") for i in range(100)], "doc_id long, text string")

@@ -152,6 +152,19 @@ def groups_by_shape(rt: np.ndarray, eics: dict[str, np.ndarray], share: float =
     return out
 
 
+def groups_at(rt: np.ndarray, eics: dict[str, np.ndarray], spans: list[tuple[int, int, int]], high: np.ndarray, low: np.ndarray, ms1: np.ndarray | None) -> list[dict]:
+    """Peak groups at given (apex, left, right) scans."""
+    out = []
+    noise = {c: series.signal_to_noise(rt, y.astype(float)) for c, y in eics.items()} if spans else {}
+    for k, a, b in spans:
+        hull = {c: y[a : b + 1].astype(float) for c, y in eics.items()}
+        total = sum(y.sum() for y in hull.values())
+        if total:
+            out.append({"apex_rt": float(rt[k]), "selected_rt": float(rt[k]), "left_rt": float(rt[a]), "right_rt": float(rt[b]), "scan": k, "hull": hull, "span": (a, b), "intensity_sum": total,
+                        "ms1_sum": float(ms1[k]) if ms1 is not None else 0.0, "ions_low": int(low[k]), "ions_high": int(high[k]), "sn": sum(n[k] for n in noise.values()) / len(noise), "apex": {c: float(y[k]) for c, y in eics.items()}})
+    return out
+
+
 def best_ion(hull: dict[str, np.ndarray], library: list[str], weights: dict[str, float]) -> str:
     """The first library ion that is there, unless it is the largest by over twice its library ratio to the next one."""
     there = [c for c in library if c in hull]
@@ -162,8 +175,8 @@ def best_ion(hull: dict[str, np.ndarray], library: list[str], weights: dict[str,
     return first
 
 
-def score_group(g: dict, library: dict[str, float], mzs: dict[str, float], charges: dict[str, int], spectrum: Spectrum, most_high: int, lib_rt: float, slope: float, intercept: float, ms1: np.ndarray | None, own: np.ndarray | None) -> dict[str, float]:
-    """All sub-scores of one peak group and its best ion and fitted quantity."""
+def score_group(g: dict, library: dict[str, float], mzs: dict[str, float], charges: dict[str, int], spectrum: Spectrum, most_high: int, lib_rt: float, slope: float, intercept: float, ms1: np.ndarray | None, own: np.ndarray | None, whole: float | None = None) -> dict[str, float]:
+    """All sub-scores of one peak group and its best ion and fitted quantity; ``most_high`` counts over all scans, ``whole`` is the library intensity of all fragments, seen or not."""
     ions = [c for c in library if c in g["hull"]]
     lib = np.array([library[c] for c in ions])
     weight = {c: library[c] / sum(library.values()) for c in library}
@@ -201,12 +214,7 @@ def score_group(g: dict, library: dict[str, float], mzs: dict[str, float], charg
     one = ms1[a : b + 1].astype(float) if ms1 is not None else None
     self_ = own[a : b + 1].astype(float) if own is not None else np.zeros_like(y)
     s |= {"MS1": pearson(y, one, -1.0) if one is not None else -1.0, "SELF": pearson(y, self_, -1.0), "MS1_SELF": pearson(one, self_, -1.0) if one is not None else -1.0, "SELF_DP": root_product(y, self_)}
-    return s | {"best_ion": best, "fit_int_sum": float(y.sum() * sum(library.values()) / library[best])}
-
-
-def looks_good(s: dict[str, float]) -> bool:
-    """Quality predicate over the sub-scores."""
-    return (s["CorrShape"] + s["CorrShapeW"]) / 2 > 0.85 and s["Dotprod"] > 0.9 and s["IonsDelta"] < 0.2 and s["IsoCorr"] > 0.8 and s["IsoOverlap"] < 0.05
+    return s | {"best_ion": best, "fit_int_sum": float(y.sum() * (sum(library.values()) if whole is None else whole) / library[best])}
 
 
 def irt_score(s: dict[str, float]) -> float:

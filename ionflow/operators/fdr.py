@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.operators.ordered import running
@@ -43,9 +43,12 @@ def empirical(df: DataFrame, score: str, decoy: str) -> DataFrame:
 
 
 def parametric(df: DataFrame, score: str, decoy: str) -> DataFrame:
-    """Targets with p from a normal distribution of the decoys' scores."""
+    """Targets with p from a normal distribution of the decoys' scores; no p without decoys, 1 up to and 0 over their score if they all have one."""
     s = F.col(score).cast("double")
     m = df.where(F.col(decoy)).agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("sd")).first()
+    if not m["sd"]:
+        p = F.lit(None) if m["mean"] is None else F.when(s > m["mean"], 0.0).otherwise(1.0)
+        return df.where(~F.col(decoy)).withColumn("p", p.cast("double"))
     z = (s - F.lit(m["mean"])) / F.lit(m["sd"])
     return df.where(~F.col(decoy)).withColumn("p", 1 - 0.5 * (1 + erf(z / math.sqrt(2.0))))
 
@@ -125,3 +128,53 @@ def threshold(df: DataFrame, score: str, fdr: str, cut: float = 0.01) -> DataFra
 def nearest_cutoff(df: DataFrame, score: str, q: str, cutoff: float) -> DataFrame:
     """Score whose q lies nearest to the cutoff; of equals the lowest score."""
     return df.agg(F.min_by(score, F.struct(F.abs(F.col(q) - cutoff).alias("d"), F.col(score).alias("s"))).alias("score"))
+
+
+# Per group ---------------------------------------------------------------------------------------
+
+
+def levels_by(df: DataFrame, by: list[str], score: str, decoy: str) -> DataFrame:
+    """Per group and distinct score with targets: p, and the group's pi0 with its best lambda.
+
+    The windows run over one group each. A group is a run: it has no more scores than the library
+    has peptides, while the number of runs has no bound.
+    """
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.when(F.col(decoy), 0).otherwise(1)).alias("targets"), F.sum(F.when(F.col(decoy), 1).otherwise(0)).alias("decoys"))
+    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
+    some = lambda c: F.when(c > 0, F.col("score"))
+    seen = counts.select(
+        "*", F.coalesce(F.sum("decoys").over(down), F.lit(0)).alias("above"), F.sum("decoys").over(every).alias("all_decoys"),
+        (F.min(some(F.col("targets"))).over(every) > F.max(some(F.col("decoys"))).over(every)).alias("apart"),
+    )
+    total = F.nullif(F.col("all_decoys"), F.lit(0)).cast("double")
+    return seen.where("targets > 0").select(*by, "score", "targets", F.greatest(F.col("above") / total, 1.0 / total).alias("p"), "apart")
+
+
+def shares_by(p: DataFrame, by: list[str], lambdas=LAMBDAS) -> DataFrame:
+    """Per group of ``levels_by``: its targets and pi0, next to none where targets and decoys are apart."""
+    sums = p.groupBy(*by).agg(F.sum("targets").alias("n"), F.max("apart").alias("apart"), *[F.sum(F.when(F.col("p") >= x, F.col("targets")).otherwise(0)).alias(f"w{i}") for i, x in enumerate(lambdas)])
+    estimate = [F.col(f"w{i}") / F.col("n") / (1 - x) for i, x in enumerate(lambdas)]
+    least = F.array_min(F.array(*estimate))
+    error = [F.col(f"w{i}") / (F.col("n") * F.col("n") * F.lit((1 - x) ** 2)) * (1 - F.col(f"w{i}") / F.col("n")) + (estimate[i] - least) * (estimate[i] - least) for i, x in enumerate(lambdas)]
+    options = F.array(*[F.struct(error[i].alias("mse"), F.lit(x).alias("lambda"), estimate[i].alias("pi0")) for i, x in enumerate(lambdas)])
+    best = F.array_min(F.filter(options, lambda o: o["pi0"] > 0))["pi0"]
+    return sums.select(*by, "n", F.when(F.col("apart"), 1 / PRECISION).otherwise(F.least(best, F.lit(1.0))).alias("pi0"))
+
+
+def rates_by(p: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and score of ``levels_by``: p, pi0, q_value, fdr."""
+    points = p.groupBy(*by, "p").agg(F.sum("targets").alias("targets")).join(shares_by(p, by), by)
+    up = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    raw = points.withColumn("raw", F.col("p") * F.col("pi0") * F.col("n") / F.sum("targets").over(up))
+    clip = F.greatest(F.least(F.col("raw"), F.lit(1.0)), F.lit(0.0))
+    rates = raw.select(*by, "p", "pi0", F.min(F.least("raw", F.lit(1.0))).over(down).alias("q_value"), clip.alias("fdr"))
+    return p.select(*by, "score", "p").join(rates, [*by, "p"])
+
+
+def pipeline_by(df: DataFrame, by: list[str], keys: list[str], score: str, decoy: str, cut: float = 0.01) -> DataFrame:
+    """``pipeline`` for each group of ``by`` as if it were alone; targets of a group without decoys have no rates and fail."""
+    per_score = rates_by(settle(levels_by(df, by, score, decoy)), by)
+    rows = df.where(~F.col(decoy)).select(*by, *keys, F.col(score).cast("double").alias("score")).join(per_score, [*by, "score"], "left")
+    return rows.select(*by, *keys, "score", "p", "pi0", "q_value", "fdr", F.when(F.col("fdr") <= cut, SUCCESS).otherwise(FAILED).alias("status"))

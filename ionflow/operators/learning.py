@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Score columns of a peak group, in order; fixed names.
 SCORES = "CorrShape CorrShapeW CorrCoe CorrCoeW Pearson Dotprod IntShift Rsmd Manhattan Sangle AvgSqr NormRt IonsDelta IsoCorr IsoOverlap MassDev MassDevW LogSn Elution MS1 SELF MS1_SELF SELF_DP".split()
+#: The scores of a perfect target; those not named are zero.
+IDEAL = {"CorrShape": 1.0, "CorrShapeW": 1.0, "Pearson": 1.0, "Dotprod": 1.0, "IsoCorr": 1.0, "Elution": 1.0, "MS1": 1.0, "SELF": 1.0, "MS1_SELF": 1.0, "SELF_DP": 1.0, "LogSn": 5.0}
 #: Columns that the discriminant leaves at weight zero.
 MUTED = ("CorrShape", "CorrShapeW")
 
@@ -26,38 +28,64 @@ def weighted(weights: dict[str, float]) -> Column:
 
 def least_squares(df: DataFrame, columns: list[str], label: str, muted: tuple[str, ...] = MUTED) -> dict[str, float]:
     """Weights of the least-squares fit of the label without intercept; muted columns get zero."""
+    return least_squares_by(df.withColumn("_all", F.lit(0)), ["_all"], columns, label, muted).get((0,), dict.fromkeys(columns, 0.0))
+
+
+def least_squares_by(df: DataFrame, by: list[str], columns: list[str], label: str, muted: tuple[str, ...] = MUTED) -> dict[tuple, dict[str, float]]:
+    """``least_squares`` of each group: one aggregate for all, one row of sums per group (a run) to the driver."""
     used = [c for c in columns if c not in muted]
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used}
     cross = [F.sum(x[a] * x[b]).alias(f"x{i}_{j}") for i, a in enumerate(used) for j, b in enumerate(used) if i <= j]
     right = [F.sum(x[a] * F.col(label)).alias(f"y{i}") for i, a in enumerate(used)]
-    row = df.agg(*cross, *right).first()
-    m = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(used))] for i in range(len(used))])
-    w = np.linalg.pinv(m) @ np.array([row[f"y{i}"] or 0.0 for i in range(len(used))])
-    return {c: float(w[used.index(c)]) if c in used else 0.0 for c in columns}
+    out = {}
+    for row in df.groupBy(*by).agg(*cross, *right).toLocalIterator():
+        m = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(used))] for i in range(len(used))])
+        w = np.linalg.pinv(m) @ np.array([row[f"y{i}"] or 0.0 for i in range(len(used))])
+        out[tuple(row[k] for k in by)] = {c: float(w[used.index(c)]) if c in used else 0.0 for c in columns}
+    return out
+
+
+def with_total(df: DataFrame, by: list[str], weights: dict[tuple, dict[str, float]], columns: list[str], name: str) -> DataFrame:
+    """``df`` with the weighted sum of each row under its group's weights; rows of groups without weights go."""
+    types = dict(df.dtypes)
+    table = df.sparkSession.createDataFrame([(*k, [w[c] for c in columns]) for k, w in weights.items()], ", ".join([*(f"`{k}` {types[k]}" for k in by), "_w array<double>"]))
+    scores = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    total = F.aggregate(F.zip_with(scores, "_w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return df.join(table, by).withColumn(name, total).drop("_w")  # one row per run
 
 
-def train(df: DataFrame, group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED) -> dict[str, float]:
-    """Semi-supervised weights: best rows per group, decoys against targets over a cutoff, new weights blended with old ones.
+def train(df: DataFrame, by: list[str], group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED) -> dict[tuple, dict[str, float]]:
+    """Semi-supervised weights of each run in ``by``, as if it were alone: best rows per group, decoys against targets over a cutoff.
 
-    The first round sets all decoys (best by ``first``) against one ideal target.
+    The first weights set all decoys (best by ``first``) against one ideal target; the next round's
+    replace them, and from then on new weights are blended with the last ones. A run with under 500
+    peptides and decoys makes 10 rounds at most, at a rate of 0.02; under 100 targets the cutoff is
+    the middle between the best decoy and the best target, none of them below zero.
     """
-    from ionflow.operators.fdr import empirical, metrics, nearest_cutoff, pi0
+    from ionflow.operators.fdr import levels_by, rates_by
     from ionflow.operators.groups import best
 
-    keep = [*columns, decoy]
-    ideal = df.sparkSession.createDataFrame([tuple([1.0] * len(columns))], [*columns]).withColumn("label", F.lit(1.0))
-    decoys = best(df.where(F.col(decoy)), [group], first, [F.col(columns[0])], keep).select(*columns).withColumn("label", F.lit(0.0))
-    weights = least_squares(decoys.unionByName(ideal), columns, "label", muted)
-    for _ in range(iterations):
-        scored = df.withColumn("_total", weighted(weights))
-        top = best(scored, [group, decoy], "_total", [F.col(columns[0])], [*columns, "_total"]).cache()
-        p = empirical(top, "_total", decoy)
-        q = p.select("score", "p").join(metrics(p, max(pi0(p), 1e-6)).select("p", "q_value"), "p")
-        cut = nearest_cutoff(q, "score", "q_value", fdr).first()["score"]
-        rows = top.where(F.col(decoy) | (F.col("_total") >= cut)).withColumn("label", F.when(F.col(decoy), 0.0).otherwise(1.0))
-        new = least_squares(rows, columns, "label", muted)
+    runs = df.select(*by).distinct()
+    ideal = runs.select(*by, *[F.lit(IDEAL.get(c, 0.0)).alias(c) for c in columns], F.lit(1.0).alias("label"))
+    decoys = best(df.where(F.col(decoy)), [*by, group], first, [F.col(columns[0])], columns).select(*by, *columns).withColumn("label", F.lit(0.0))
+    weights = least_squares_by(decoys.unionByName(ideal), by, columns, "label", muted)
+    small = {tuple(r[k] for k in by) for r in df.select(*by, group, decoy).distinct().groupBy(*by).count().where("count < 500").toLocalIterator()}  # runs
+    for turn in range(iterations):
+        top = best(with_total(df, by, weights, columns, "_total"), [*by, group, decoy], "_total", [F.col(columns[0])], [*columns, "_total"]).cache()
+        total = F.col("_total").cast("double")
+        rates = rates_by(levels_by(top, by, "_total", decoy), by)
+        few = runs.join(runs.sparkSession.createDataFrame([(*k, True) for k in small], ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in by), "few boolean"])), by, "left").select(*by, F.when(F.col("few"), min(fdr, 0.02)).otherwise(fdr).alias("rate"))
+        near = rates.join(few, by).groupBy(*by).agg(F.min_by("score", F.struct(F.abs(F.col("q_value") - F.col("rate")).alias("d"), F.col("score").alias("s"))).alias("cut"))
+        tops = top.groupBy(*by).agg(F.sum(F.when(F.col(decoy), 0).otherwise(1)).alias("n"), ((F.greatest(F.max(F.when(F.col(decoy), total)), F.lit(0.0)) + F.greatest(F.max(F.when(~F.col(decoy), total)), F.lit(0.0))) / 2).alias("middle"))
+        cuts = tops.join(near, by, "left").select(*by, F.when(F.col("n") < 100, F.col("middle")).otherwise(F.col("cut")).alias("cut"))
+        rows = top.join(cuts, by).where(F.col(decoy) | (total >= F.col("cut"))).withColumn("label", F.when(F.col(decoy), 0.0).otherwise(1.0))
+        new = least_squares_by(rows, by, columns, "label", muted)
         top.unpersist()
-        weights = {c: blend * new[c] + (1 - blend) * weights[c] for c in columns}
+        for k, w in new.items():
+            if turn == 0:
+                weights[k] = w
+            elif turn < 10 or k not in small:
+                weights[k] = {c: blend * w[c] + (1 - blend) * weights[k][c] for c in columns}
     return weights
 
 

@@ -89,15 +89,14 @@ def gauss_filter(x: np.ndarray, y: np.ndarray, sigma: float = 6.25, spacing: flo
 
 def natural_spline(x: np.ndarray, y: np.ndarray):
     """Coefficients (y, b, c, d) of the natural cubic spline through the points."""
-    n = len(x) - 1
-    h = np.diff(x)
-    a = np.zeros((n + 1, n + 1))
-    a[0, 0] = a[n, n] = 1
-    r = np.zeros(n + 1)
+    n, h = len(x) - 1, np.diff(x)
+    slope = np.diff(y) / h
+    c, left, right = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)  # two sweeps over the tridiagonal system
     for i in range(1, n):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 3 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
-    c = np.linalg.solve(a, r)
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * left[i - 1]
+        left[i], right[i] = h[i] / pivot, (3 * (slope[i] - slope[i - 1]) - h[i - 1] * right[i - 1]) / pivot
+    for i in range(n - 1, 0, -1):
+        c[i] = right[i] - left[i] * c[i + 1]
     return y[:-1], np.diff(y) / h - h * (2 * c[:-1] + c[1:]) / 3, c[:-1], np.diff(c) / (3 * h)
 
 
@@ -191,3 +190,30 @@ def per_series(df: DataFrame, keys: list[str], order: str, value: str, kernel, s
         return out[fields] if len(out) else pd.DataFrame(columns=fields)
 
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
+
+
+def shape_of_pairs(df: DataFrame, keys: list[str], name: str, order: str, value: str) -> DataFrame:
+    """``shape_scores`` of the curves ``name`` of each key with equal weights, on the key's points of any curve (0 where a curve has none).
+
+    Each pair of curves is a row of its own, so pairs spread over the tasks; a curve is one array.
+    """
+    points = df.select(*keys, order).distinct().join(df.select(*keys, name).distinct(), keys).join(df.select(*keys, name, order, value), [*keys, name, order], "left")
+    filled = points.select(*keys, name, F.struct(F.col(order), F.coalesce(F.col(value), F.lit(0.0)).alias("v")).alias("p"))
+    curves = filled.groupBy(*keys, name).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]).alias("curve"))
+    other = curves.select(*keys, F.col(name).alias("_other"), F.col("curve").alias("_curve"))
+    pairs = curves.join(other, keys).where(F.col(name) <= F.col("_other"))
+
+    @F.pandas_udf("struct<best:double,lag:double>")
+    def correlate(a, b):
+        import pandas as pd
+
+        out = []
+        for x, y in zip(a, b, strict=True):
+            r = np.round(cross_correlation(np.asarray(x, float), np.asarray(y, float)), 9)
+            out.append((r.max(), abs(int(r.argmax()) - (len(x) - 1))))
+        return pd.DataFrame(out, columns=["best", "lag"])
+
+    count = curves.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = pairs.withColumn("c", correlate("curve", "_curve")).join(count, keys).withColumn("w", F.when(F.col(name) == F.col("_other"), 1.0).otherwise(2.0) / (F.col("_n") * F.col("_n")))
+    best, lag = F.col("c.best"), F.col("c.lag")
+    return found.groupBy(*keys).agg(F.avg(best).alias("shape"), F.sum(best * F.col("w")).alias("shape_weighted"), (F.avg(lag) + F.coalesce(F.stddev_samp(lag), F.lit(0.0))).alias("coelution"), F.sum(lag * F.col("w")).alias("coelution_weighted"))

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.functions import kernels as K
 from ionflow.operators import fdr, groups, learning, ranges
-from ionflow.operators.ordered import running
+from ionflow.operators.settle import settle
 
-SCORED = ["run_id", "peptide_ref", "decoy", "idx", "apex_rt", "selected_rt", "left_rt", "right_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "ions_low", "ions_high", "best_ion", *learning.SCORES]
-SCORED_SCHEMA = "run_id string, peptide_ref string, decoy boolean, idx int, apex_rt double, selected_rt double, left_rt double, right_rt double, intensity_sum double, fit_int_sum double, ms1_sum double, ions_low int, ions_high int, best_ion string, " + ", ".join(f"{s} double" for s in learning.SCORES)
+SCORED = ["run_id", "window_id", "peptide_ref", "decoy", "idx", "apex_rt", "selected_rt", "left_rt", "right_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "ions_low", "ions_high", "low_delta", "best_ion", *learning.SCORES]
+SCORED_SCHEMA = "run_id string, window_id int, peptide_ref string, decoy boolean, idx int, apex_rt double, selected_rt double, left_rt double, right_rt double, intensity_sum double, fit_int_sum double, ms1_sum double, ions_low int, ions_high int, low_delta double, best_ion string, " + ", ".join(f"{s} double" for s in learning.SCORES)
 
 
 def coordinates(peptides: DataFrame, windows: DataFrame, runs: DataFrame, rt_window: float = 300.0, fragments: int = 6, unique: bool = False) -> DataFrame:
@@ -37,9 +37,20 @@ def with_decoys(coords: DataFrame) -> DataFrame:
     if "decoy_fragments" not in coords.columns:
         return target
     decoy = coords.where(F.size("decoy_fragments") > 0).withColumn("fragments", F.slice("decoy_fragments", 1, 6)).withColumn("sequence", F.coalesce("decoy_sequence", "sequence")).withColumn("decoy", F.lit(True))
+    if "decoy_unimod_map" in coords.columns:
+        decoy = decoy.withColumn("unimod_map", F.coalesce("decoy_unimod_map", "unimod_map"))
     return target.unionByName(decoy)
 
 
+def with_masses(coords: DataFrame, unimod: DataFrame, most: int = 10_000) -> DataFrame:
+    """``coords`` with ``mods``: position -> mass of each modification in ``unimod_map``; ``unimod`` is a term list of at most ``most`` rows (UniMod has some 1500)."""
+    terms = unimod.select("id", "mono_mass").limit(most + 1).collect()
+    if len(terms) > most:
+        raise ValueError(f"more than {most} modifications")
+    table = F.create_map(*[F.lit(x) for r in terms for x in (r["id"], r["mono_mass"])]) if terms else F.create_map().cast("map<string,double>")
+    return coords.withColumn("mods", F.transform_values("unimod_map", lambda _, i: F.coalesce(F.element_at(table, i), F.lit(0.0))))
+
+
 def spectra_by_window(spectra: DataFrame, windows: DataFrame, margin: float = 1.0) -> DataFrame:
     """Scans keyed by (run, window): MS2 as they are, MS1 as slices of each window's m/z range."""
     two = spectra.where("level = 2").select("run_id", "window_id", "level", "rt", "mz", "intensity")
@@ -48,7 +59,7 @@ def spectra_by_window(spectra: DataFrame, windows: DataFrame, margin: float = 1.
     return two.unionByName(one.select("run_id", "window_id", "level", "rt", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity")))
 
 
-def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray, one: list[K.Spectrum], ppm: float = 15, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0) -> list[dict]:
+def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray, one: list[K.Spectrum], ppm: float = 15, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0, picker: str = "counts") -> list[dict]:
     """Scored peak groups of one coordinate; one retry in a wider range with a lower count threshold."""
     frags = {f["cut_info"]: f for f in c.fragments}
     for extra, limit in ((0.0, high), (widen, retry_high)):
@@ -67,20 +78,25 @@ def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray,
             at = np.clip(np.searchsorted(rt1, rt), 1, max(1, len(rt1) - 1)) if len(rt1) > 1 else np.zeros(len(rt), int)
             at = np.where((len(rt1) > 1) & (rt - rt1[at - 1] < rt1[at] - rt), at - 1, at) if len(rt1) > 1 else at
             ms1 = K.chromatograms(one, np.array([c.mz]), ppm)[0][at]
-        mods = {int(k): 0.0 for k in (c.unimod_map or {})}
+        mods = {int(k): float(x) for k, x in dict(c.mods or {}).items()}
         most = np.max(list(eics.values()), axis=0)
         n_low, n_high = K.ion_counts(scans, K.series_masses(c.sequence, mods, int(c.charge)), most, low, limit)
         library = {k: f["intensity"] for k, f in frags.items() if k in eics}
-        found = K.groups_by_counts(rt, eics, list(frags), n_high, n_low, ms1, own)
+        if picker == "shape":
+            found = K.groups_at(rt, eics, K.groups_by_shape(rt, eics), n_high, n_low, ms1)
+        else:
+            found = K.groups_by_counts(rt, eics, list(frags), n_high, n_low, ms1, own)
         if found:
-            best = max(g["ions_high"] for g in found)
+            best, best_low = int(n_high.max()), int(n_low.max())
+            whole = sum(f["intensity"] for f in frags.values())
             charges, mzs = {k: int(f["charge"] or 1) for k, f in frags.items()}, {k: f["mz"] for k, f in frags.items()}
-            return [g | K.score_group(g, library, mzs, charges, scans[g["scan"]], best, c.rt, c.irt_slope, c.irt_intercept, ms1, own) for g in found]
+            low_delta = lambda g: (best_low - g["ions_low"]) / best_low if best_low else 1.0  # noqa: B023, E731
+            return [g | {"low_delta": low_delta(g)} | K.score_group(g, library, mzs, charges, scans[g["scan"]], best, c.rt, c.irt_slope, c.irt_intercept, ms1, own, whole) for g in found]
     return []
 
 
-def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15) -> DataFrame:
-    """Scored peak groups of all coordinates, one task per (run, window)."""
+def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker: str = "counts") -> DataFrame:
+    """Scored peak groups of all coordinates, one task per (run, window); ``picker``: at maxima of the ion counts, or where fragments peak together ("shape")."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         scans: dict[int, tuple[np.ndarray, list[K.Spectrum]]] = {}
@@ -89,11 +105,13 @@ def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15) -> DataF
             scans[level] = part.rt.to_numpy(float), [K.Spectrum(np.asarray(m, np.float32), np.asarray(y, np.float32)) for m, y in zip(part.mz, part.intensity, strict=True)]
         rows = []
         for c in left.itertuples():
-            for i, g in enumerate(analyse_peptide(c, scans[2][0], scans[2][1], scans[1][0], scans[1][1], ppm)):
-                rows.append({"run_id": key[0], "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "idx": i} | {k: g[k] for k in SCORED[4:]})
+            for i, g in enumerate(analyse_peptide(c, scans[2][0], scans[2][1], scans[1][0], scans[1][1], ppm, picker=picker)):
+                rows.append({"run_id": key[0], "window_id": key[1], "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "idx": i} | {k: g[k] for k in SCORED[5:]})
         return pd.DataFrame(rows, columns=SCORED)
 
-    keep = ["run_id", "window_id", "peptide_ref", "decoy", "sequence", "charge", "mz", "rt", "rt_start", "rt_end", "irt_slope", "irt_intercept", "fragments", "unimod_map"]
+    keep = ["run_id", "window_id", "peptide_ref", "decoy", "sequence", "charge", "mz", "rt", "rt_start", "rt_end", "irt_slope", "irt_intercept", "fragments", "mods"]
+    if "mods" not in coords.columns:
+        coords = coords.withColumn("mods", F.lit(None).cast("map<int,double>"))
     return coords.select(*keep).groupBy("run_id", "window_id").cogroup(spectra.groupBy("run_id", "window_id")).applyInPandas(run, SCORED_SCHEMA)
 
 
@@ -102,32 +120,54 @@ def calibrate_run(peptides: DataFrame, spectra: DataFrame, windows: DataFrame, p
     runs = windows.select("run_id").distinct().select("run_id", F.lit(0.0).alias("irt_slope"), F.lit(0.0).alias("irt_intercept"))
     coords = coordinates(peptides, windows, runs, -1).withColumn("decoy", F.lit(False))
     found = peak_groups(coords, spectra_by_window(spectra, windows), ppm)
-    scored = found.withColumn("irt", F.col("CorrShapeW") + F.col("Dotprod") + F.col("Pearson") - F.col("IonsDelta")).where("irt >= 1")
+    scored = found.withColumn("irt", F.col("CorrShapeW") + F.col("Dotprod") + F.col("Pearson") - F.col("low_delta")).where("irt >= 1")
     best = groups.best(scored, ["run_id", "peptide_ref"], "irt", [F.col("idx")], ["apex_rt"])
     return learning.calibrate_groups(best.join(peptides.select("peptide_ref", F.col("rt").alias("lib_rt")), "peptide_ref"), ["run_id"], "lib_rt", "apex_rt")
 
 
-def identify(scored: DataFrame, cut: float = 0.01, iterations: int = 20) -> DataFrame:
-    """Weights, best group per peptide and rates: rows of run_id, peptide_ref, decoy, total_score, q_value, fdr, status."""
-    weights = learning.train(scored, "peptide_ref", list(learning.SCORES), "decoy", iterations=iterations)
-    total = scored.withColumn("total_score", learning.weighted(weights))
-    keep = ["apex_rt", "selected_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "best_ion", "total_score"]
-    top = groups.best(total, ["run_id", "peptide_ref", "decoy"], "total_score", [F.col("idx")], keep)
-    rows = fdr.pipeline(top, ["run_id", "peptide_ref"], "total_score", "decoy", cut)
-    return rows.select("run_id", "peptide_ref", "q_value", "fdr", "status").join(top.where("NOT decoy"), ["run_id", "peptide_ref"])
-
+def identify(scored: DataFrame, cut: float = 0.01, iterations: int = 20, peptides: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
+    """Weights, best group per peptide and rates of each run as if it were alone: run_id, peptide_ref, q_value, fdr, status and the selected group.
 
-def similar_peaks(found: DataFrame, ranks: int = 2) -> DataFrame:
-    """Pairs of selected groups within ``ranks`` distinct times whose fingerprints overlap: rows of the weaker, not its own.
-
-    ``found``: peptide_ref, apex_rt, total_score, fingerprints.
+    With ``peptides`` (peptide_ref, sequence, fingerprints) a second round follows: of two selected
+    peptides that look alike and lie next to each other in one window, the weaker one's group is
+    taken from it, so its next best is ranked. ``scans`` (run_id, window_id, rt): see ``similar_peaks``.
+    """
+    weights = learning.train(scored, ["run_id"], "peptide_ref", list(learning.SCORES), "decoy", iterations=iterations)
+    total = learning.with_total(scored, ["run_id"], weights, list(learning.SCORES), "total_score")
+    keep = ["apex_rt", "selected_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "best_ion", "total_score", *(["window_id"] if "window_id" in scored.columns else [])]
+
+    def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        top = groups.best(rows, ["run_id", "peptide_ref", "decoy"], "total_score", [F.col("idx")], keep)
+        return top, fdr.pipeline_by(top, ["run_id"], ["peptide_ref"], "total_score", "decoy", cut)
+
+    top, rates = ranked(total)
+    if peptides is not None:
+        chosen = rates.where(F.col("fdr") <= cut).select("run_id", "peptide_ref").join(top.where("NOT decoy"), ["run_id", "peptide_ref"])
+        chosen = chosen.join(peptides.select("peptide_ref", "fingerprints", F.length("sequence").alias("length")), "peptide_ref")
+        wrong = settle(similar_peaks(chosen, scans)).withColumn("decoy", F.lit(False))
+        top, rates = ranked(total.join(wrong, ["run_id", "peptide_ref", "selected_rt", "decoy"], "left_anti"))
+    return rates.select("run_id", "peptide_ref", "q_value", "fdr", "status").join(top.where("NOT decoy"), ["run_id", "peptide_ref"])
+
+
+def similar_peaks(found: DataFrame, scans: DataFrame | None = None, ranks: int = 2, gap: float = 0.1) -> DataFrame:
+    """(run_id, peptide_ref, selected_rt) of selected groups that belong to a stronger peptide of the same run and window.
+
+    Two groups meet within ``ranks`` of the window's distinct times (those of ``scans`` and of the
+    groups). They look alike if they share 5 fragment masses, 6 for sequences over 8 letters; the
+    one whose score is lower by ``gap`` and more is not its own. ``found``: run_id, window_id,
+    peptide_ref, apex_rt, selected_rt, total_score, fingerprints, length.
     """
-    times = found.select("apex_rt").distinct()
-    ranked = running(times.withColumn("one", F.lit(1)), "apex_rt", {"rank": ("sum", "one")}).drop("one")
-    rows = found.join(ranked, "apex_rt").select("peptide_ref", "rank", "total_score", "fingerprints")
-    pairs = ranges.band_pairs(rows, "rank", ranks, "peptide_ref")
+    keys = ["run_id", "window_id"]
+    times = found.select(*keys, F.col("apex_rt").alias("time"))
+    if scans is not None:
+        times = times.union(scans.select(*keys, F.col("rt").alias("time")))
+    # One window of a run has some thousand scans.
+    ranked = times.distinct().withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("time")).cast("double"))
+    rows = found.withColumnRenamed("apex_rt", "time").join(ranked, [*keys, "time"]).select(*keys, "peptide_ref", "selected_rt", "rank", "total_score", "fingerprints", "length")
+    pairs = ranges.band_pairs(rows, "rank", float(ranks), "peptide_ref", keys)
     shared = F.size(F.array_intersect("fingerprints", "fingerprints_b"))
-    short = F.least(F.size("fingerprints"), F.size("fingerprints_b")) <= 8
-    hit = pairs.where(shared >= F.when(short, 5).otherwise(6))
-    weaker = F.when(F.col("total_score") >= F.col("total_score_b"), F.col("peptide_ref_b")).otherwise(F.col("peptide_ref"))
-    return hit.select(weaker.alias("peptide_ref")).distinct()
+    alike = shared >= F.when(F.least("length", "length_b") <= 8, 5).otherwise(6)
+    hit = pairs.where(alike & (F.abs(F.col("total_score") - F.col("total_score_b")) >= gap))
+    first = F.col("total_score") < F.col("total_score_b")
+    weaker = lambda c: F.when(first, F.col(c)).otherwise(F.col(f"{c}_b")).alias(c)
+    return hit.select("run_id", weaker("peptide_ref"), weaker("selected_rt")).distinct()

@@ -13,6 +13,7 @@ from ionflow.functions import peptides
 from ionflow.operators import fdr, filters, groups, learning, ordered, ranges, series, similarity
 from ionflow.operators.groups import fixed
 from ionflow.plans import crossrun
+from ionflow.sources import libraries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -54,6 +55,14 @@ def fdr_pipeline(spark, sf_dir):
     return d.select("doc_id", "score", *[fixed(F.col(c)).alias(c) for c in ("p", "pi0", "q_value", "fdr")], F.when(fixed(F.col("fdr")) <= 0.05, fdr.SUCCESS).otherwise(fdr.FAILED).cast("int").alias("status"))
 
 
+@query
+def fdr_per_run(spark, sf_dir):
+    """The same for each language on its own."""
+    runs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("run_id"))
+    d = fdr.pipeline_by(labelled(spark, sf_dir).join(runs, "doc_id"), ["run_id"], ["doc_id"], "n_chars", "decoy", 0.05)
+    return d.select("run_id", "doc_id", "score", *[fixed(F.col(c)).alias(c) for c in ("p", "pi0", "q_value", "fdr")], F.when(fixed(F.col("fdr")) <= 0.05, fdr.SUCCESS).otherwise(fdr.FAILED).cast("int").alias("status"))
+
+
 @query
 def pvalue_empirical(spark, sf_dir):
     rows = labelled(spark, sf_dir)
@@ -255,10 +264,11 @@ def _collisions(parts: DataFrame) -> DataFrame:
 @query
 def data_with_sums(spark, sf_dir):
     """Orders with their line sums; an order without lines that waits becomes status 4."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("status"))
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 45").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
-    joined = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
-    return joined.select("o_orderkey", "quantity", F.when(F.col("quantity").isNull() & (F.col("status") == 0), 4).otherwise(F.col("status")).cast("int").alias("status"))
+    status = F.when(F.col("o_orderstatus") == "O", 0).otherwise(1)
+    o = read(spark, sf_dir, "orders").select(F.lit("all").alias("overview_id"), F.col("o_orderkey").alias("peptide_ref"), F.lit(False).alias("decoy"), status.alias("status"), F.array().cast("array<double>").alias("selected_rts"))
+    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_orderkey").alias("peptide_ref")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q_value"))
+    sums = o.drop("selected_rts").join(lines, "peptide_ref").select("*", *[F.lit(None).cast("double").alias(c) for c in ("fdr", "total_score", "selected_rt")])
+    return crossrun.with_sums(o, sums).select(F.col("peptide_ref").alias("o_orderkey"), F.col("q_value").alias("quantity"), F.col("status").cast("int").alias("status"))
 
 
 @query
@@ -408,12 +418,14 @@ def noise_sn(spark, sf_dir):
         sn = series.signal_to_noise(x, y, 200.0)
         return {"hour": x, "sn": sn, "denoised": series.denoise(y, sn)}
 
-    return series.per_series(hourly(spark, sf_dir), ["event_type"], "hour", "v", kernel, "event_type string, hour double, sn double, denoised double")
+    out = series.per_series(hourly(spark, sf_dir), ["event_type"], "hour", "v", kernel, "event_type string, hour double, sn double, denoised double")
+    return out.select("event_type", F.col("hour").cast("long").alias("hour"), fixed(F.col("sn")).alias("sn"), fixed(F.col("denoised")).alias("denoised"))
 
 
 @query
 def gauss_kernel(spark, sf_dir):
-    return series.per_series(hourly(spark, sf_dir), ["event_type"], "hour", "v", lambda x, y: {"hour": x, "smooth": series.gauss_filter(x, y)}, "event_type string, hour double, smooth double")
+    out = series.per_series(hourly(spark, sf_dir), ["event_type"], "hour", "v", lambda x, y: {"hour": x, "smooth": series.gauss_filter(x, y)}, "event_type string, hour double, smooth double")
+    return out.select("event_type", F.col("hour").cast("long").alias("hour"), fixed(F.col("smooth")).alias("smooth"))
 
 
 @query
@@ -430,18 +442,10 @@ def peak_pick(spark, sf_dir):
 
 @query
 def xcorr_shape(spark, sf_dir):
-    """Cross-correlation of the hourly series of all pairs of event types on their common hours, per project (one here)."""
-    wide = hourly(spark, sf_dir).groupBy("hour").pivot("event_type").agg(F.first("v")).na.fill(0.0)
-    names = sorted(c for c in wide.columns if c != "hour")
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("hour")
-        s = series.shape_scores([pdf[n].to_numpy(float) for n in names], np.ones(len(names)))
-        return pd.DataFrame([s])
-
-    return wide.withColumn("run", F.lit(1)).groupBy("run").applyInPandas(run, "shape double, shape_weighted double, coelution double, coelution_weighted double")
+    """Cross-correlation of the hourly series of all pairs of event types on the hours of any of them; an hour without events counts 0."""
+    v = hourly(spark, sf_dir)
+    s = series.shape_of_pairs(v.withColumn("run", F.lit(1)), ["run"], "event_type", "hour", "v")
+    return s.select(*[fixed(F.col(c)).alias(c) for c in ("shape", "shape_weighted", "coelution", "coelution_weighted")])
 
 
 # Scores and learning ---------------------------------------------------------------------------
@@ -487,7 +491,7 @@ def linear_discriminant(spark, sf_dir):
     columns = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
     rows = read(spark, sf_dir, "lineitem").select(*columns, F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
     w = learning.least_squares(rows, columns, "y", muted=())
-    return spark.createDataFrame(sorted(w.items()), "name string, weight double")
+    return spark.createDataFrame(sorted(w.items()), "name string, weight double").select("name", fixed(F.col("weight"), 6).alias("weight"))
 
 
 # Scalars -------------------------------------------------------------------------------------------
@@ -530,10 +534,21 @@ def peptide_mass(spark, sf_dir):
     return p.select("p_partkey", fixed(peptides.mz(F.col("s"), "full", 2)).alias("mz2"), fixed(peptides.mz(F.col("s"), "y", 1)).alias("y1"), peptides.decoy_by_ends(F.col("s")).alias("decoy"))
 
 
+@query
+def decoy_fragments(spark, sf_dir):
+    """Decoys by ends of the part names' letters, with a modification of 57.021464 on the second to last letter, and their fragments."""
+    letters = F.upper(F.regexp_replace("p_name", "[^A-Za-z]", ""))
+    names = F.array(*[F.struct(F.lit(c).alias("cut_info"), F.lit(0.0).alias("mz"), F.lit(1.0).alias("intensity")) for c in ("y3", "b4^2")])
+    p = read(spark, sf_dir, "part").select("p_partkey", letters.alias("s"), F.create_map(F.length(letters) - 2, F.lit("4")).alias("mods"), names.alias("fragments"))
+    d = peptides.decoys(p, "p_partkey", "s", "ends", "mods", "fragments", {"4": 57.021464})
+    mz = lambda c: fixed(F.element_at(F.filter("decoy_fragments", lambda f: f["cut_info"] == c), 1)["mz"])
+    return d.select("p_partkey", "decoy_sequence", F.map_keys("decoy_unimod_map")[0].cast("long").alias("modified"), mz("y3").alias("y3"), mz("b4^2").alias("b4"))
+
+
 @query
 def kv_json(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.str_to_map(F.regexp_replace("props", r'[{}" ]', ""), F.lit(";"), F.lit(":")).alias("m"))
-    return e.select("event_id", "k", F.transform_values("m", lambda _, v: v.cast("double"))["k"].alias("kv"))
+    e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), libraries.parse_pairs(F.regexp_replace("props", r'[{}" ]', "")).alias("m"))
+    return e.select("event_id", "k", F.col("m")["k"].alias("kv"))
 
 
 @query
@@ -563,9 +578,8 @@ def running_total(spark, sf_dir):
 @query
 def alias_ordinals(spark, sf_dir):
     """Ordinal alias per list and one default per group (the first)."""
-    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    s = read(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", F.concat(F.lit("run-"), F.row_number().over(w)).alias("alias"), (F.row_number().over(w) == 1).alias("is_default"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("project_id"), F.col("s_suppkey").alias("name"))
+    return crossrun.ordinal_aliases(s, "run").select("s_suppkey", "alias", (F.col("alias") == "run-1").alias("is_default"))
 
 
 # Products over runs and other query shapes --------------------------------------------------------

@@ -49,7 +49,63 @@ _RES = """s AS (SELECT l_returnflag AS run_id, l_partkey, l_partkey::VARCHAR AS
 k AS (SELECT *, c / 100.0::DOUBLE AS v, 'P' || (l_partkey % 50)::VARCHAR AS protein, l_partkey % 3 > 0 AS is_unique, c / 1e6::DOUBLE AS total_score FROM s),
 ok AS (SELECT * FROM k WHERE q > 1 AND NOT decoy)"""
 
+_BY_RUN = """r AS (SELECT coalesce(lang, 'none') AS run_id, doc_id, n_chars::DOUBLE AS s, quality = 0 AS decoy FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT run_id, count(*) FILTER (decoy) AS nd, count(*) FILTER (NOT decoy) AS n, min(s) FILTER (NOT decoy) > max(s) FILTER (decoy) AS sep FROM r GROUP BY 1),
+l AS (SELECT run_id, s, count(*) FILTER (NOT decoy) AS k, count(*) FILTER (decoy) AS d FROM r GROUP BY 1, 2),
+a AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY run_id ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM l),
+p AS (SELECT run_id, s, k, n, sep, CASE WHEN nd > 0 THEN greatest(above / nd::DOUBLE, 1.0::DOUBLE / nd) END AS p FROM a JOIN t USING (run_id) WHERE k > 0),
+w AS (SELECT run_id, i / 20.0::DOUBLE AS x, n, sep, coalesce(sum(k) FILTER (p >= i / 20.0::DOUBLE), 0)::BIGINT AS w FROM p, range(10) q(i) GROUP BY run_id, i, n, sep),
+e AS (SELECT *, w::DOUBLE / n / (1 - x) AS pi0 FROM w),
+ms AS (SELECT *, w / (n::DOUBLE ** 2 * (1 - x) ** 2) * (1 - w::DOUBLE / n) + (pi0 - min(pi0) OVER (PARTITION BY run_id)) ** 2 AS mse FROM e),
+z AS (SELECT run_id, CASE WHEN any_value(sep) THEN 1e-6 ELSE least(arg_min(pi0, (mse, x)) FILTER (pi0 > 0), 1.0) END AS z FROM ms GROUP BY 1),
+g AS (SELECT run_id, p, n, sum(k) AS k FROM p GROUP BY 1, 2, 3),
+c AS (SELECT run_id, p, p * z * n / sum(k) OVER (PARTITION BY run_id ORDER BY p) AS raw, z FROM g JOIN z USING (run_id)),
+m AS (SELECT *, min(least(raw, 1.0)) OVER (PARTITION BY run_id ORDER BY p DESC) AS q_value, greatest(least(raw, 1.0), 0.0) AS fdr FROM c)"""
+_PAIRS = f"""{_HOURLY}, h AS (SELECT hour, row_number() OVER (ORDER BY hour) AS i FROM (SELECT DISTINCT hour FROM v)), k AS (SELECT DISTINCT event_type FROM v),
+f AS (SELECT event_type, i, coalesce(v, 0.0::DOUBLE) AS v FROM h CROSS JOIN k LEFT JOIN v USING (event_type, hour)),
+y AS (SELECT event_type, i, (v - avg(v) OVER o) / stddev_pop(v) OVER o AS y, count(*) OVER o AS n FROM f WINDOW o AS (PARTITION BY event_type)),
+c AS (SELECT a.event_type AS a, b.event_type AS b, a.i - b.i AS lag, round(sum(a.y * b.y) / any_value(a.n), 9) AS r FROM y a JOIN y b ON a.event_type <= b.event_type GROUP BY 1, 2, 3),
+x AS (SELECT a, b, max(r) AS best, abs(arg_min(lag, (-r, lag)))::DOUBLE AS lag FROM c GROUP BY 1, 2),
+z AS (SELECT *, CASE WHEN a = b THEN 1.0 ELSE 2.0 END / (SELECT count(*) ** 2 FROM k) AS w FROM x)"""
+_NOISE = f"""{_HOURLY}, u AS (SELECT *, greatest(1.0, (avg(v) OVER o + 3 * stddev_pop(v) OVER o) / 30) AS size FROM v WINDOW o AS (PARTITION BY event_type)),
+l AS (SELECT *, least(trunc(v / size), 29) AS slot FROM u),
+m AS (SELECT a.event_type, a.hour, any_value(a.v) AS v, any_value(a.size) AS size, count(*) AS n, list_sort(list(b.slot))[(count(*) + 1) // 2] AS median FROM l a JOIN l b ON a.event_type = b.event_type AND b.hour BETWEEN a.hour - 100 AND a.hour + 100 GROUP BY 1, 2),
+s AS (SELECT event_type, hour, v, v / CASE WHEN n < 10 THEN 2.0 ELSE greatest(1.0, (median + 0.5) * size) END AS sn FROM m)"""
+_GAUSS = f"""{_HOURLY}, d AS (SELECT a.event_type, a.hour, b.hour AS x, b.v AS y, abs(b.hour - a.hour) / 0.01::DOUBLE AS d FROM v a JOIN v b ON a.event_type = b.event_type AND abs(b.hour - a.hour) < 25),
+g AS (SELECT *, least(floor(d), 2499) AS q FROM d), e AS (SELECT *, exp(-((q * 0.01::DOUBLE) ** 2) / (2 * 6.25::DOUBLE * 6.25)) AS k0, exp(-(((q + 1) * 0.01::DOUBLE) ** 2) / (2 * 6.25::DOUBLE * 6.25)) AS k1 FROM g),
+k AS (SELECT *, k0 + (d - q) * (k1 - k0) AS k FROM e),
+t AS (SELECT event_type, hour, y, lead(x) OVER w - x AS dx, k, lead(k) OVER w AS kn, lead(y) OVER w AS yn FROM k WINDOW w AS (PARTITION BY event_type, hour ORDER BY x)),
+s AS (SELECT event_type, hour, count(*) AS n, any_value(y) AS lone, sum(dx * (kn + k) / 2) AS norm, sum(dx * (kn * yn + k * y) / 2) AS total FROM t GROUP BY 1, 2)"""
+_XS = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+
+
+def _det(m: list[list[str]]) -> str:
+    """The determinant of a matrix of SQL terms, by its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {x} * {_det([r[:j] + r[j + 1 :] for r in m[1:]])}" for j, x in enumerate(m[0])) + ")"
+
+
+def _discriminant() -> str:
+    """Normal equations by Cramer's rule, columns scaled to the same size."""
+    scale = dict(zip(_XS, ("1.0", "500.0", "500.0", "0.001"), strict=True))
+    x = [f"({c}::DOUBLE * {scale[c]})" for c in _XS]
+    sums = ", ".join([f"sum({x[i]} * {x[j]}) AS x{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum({x[i]} * (l_returnflag = 'R')::INT) AS y{i}" for i in range(4)])
+    m = [[f"x{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+    one = lambda k: _det([[f"y{i}" if j == k else m[i][j] for j in range(4)] for i in range(4)])
+    return f"WITH s AS (SELECT {sums} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS name, {f4(f'{one(k)} / {_det(m)} * {scale[c]}', 6)} AS weight FROM s" for k, c in enumerate(_XS))
+
+
 SQL: dict[str, str] = {
+    "fdr_per_run": f"WITH {_BY_RUN} SELECT run_id, doc_id, r.s AS score, {f4('p.p')} AS p, {f4('z')} AS pi0, {f4('q_value')} AS q_value, {f4('fdr')} AS fdr, CASE WHEN {f4('fdr')} <= 0.05 THEN 1 ELSE 2 END::INT AS status FROM r JOIN p USING (run_id, s) LEFT JOIN m USING (run_id, p) WHERE NOT decoy",
+    "xcorr_shape": f"WITH {_PAIRS} SELECT {f4('avg(best)')} AS shape, {f4('sum(best * w)')} AS shape_weighted, {f4('avg(lag) + stddev_samp(lag)')} AS coelution, {f4('sum(lag * w)')} AS coelution_weighted FROM z",
+    "noise_sn": f"WITH {_NOISE} SELECT event_type, hour, {f4('sn')} AS sn, {f4('v * sn / (sn + 1)')} AS denoised FROM s",
+    "gauss_kernel": f"WITH {_GAUSS} SELECT event_type, hour, {f4('CASE WHEN n = 1 THEN lone ELSE total / norm END')} AS smooth FROM s",
+    "linear_discriminant": _discriminant(),
+    "decoy_fragments": f"""WITH s AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS s FROM part),
+d AS (SELECT p_partkey, length(s) AS n, translate(s[1], '{SWAP_FROM}', '{SWAP_TO}') || s[2:-2] || translate(s[-1], '{SWAP_FROM}', '{SWAP_TO}') AS s FROM s),
+l AS (SELECT p_partkey, n, s, i, coalesce(m, 0) + CASE WHEN i = n - 1 THEN 57.021464::DOUBLE ELSE 0 END AS m FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM d) LEFT JOIN {_MASS} ON c = s[i])
+SELECT p_partkey, s AS decoy_sequence, (n - 2)::BIGINT AS modified, {f4(f'coalesce(sum(m) FILTER (i > n - 3), 0) + {ENDS["y"]}::DOUBLE + {H}::DOUBLE')} AS y3, {f4(f'(coalesce(sum(m) FILTER (i <= 4), 0) + {ENDS["b"]}::DOUBLE + 2 * {H}::DOUBLE) / 2')} AS b4 FROM l GROUP BY 1, 2, 3""",
     "fdr_pipeline": f"WITH {_M}, sep AS (SELECT min(s) FILTER (NOT decoy) > max(s) FILTER (decoy) AS sep FROM r) SELECT doc_id, r.s AS score, {f4('p')} AS p, {f4('z')} AS pi0, {f4('q_value')} AS q_value, {f4('fdr')} AS fdr, CASE WHEN {f4('fdr')} <= 0.05 THEN 1 ELSE 2 END::INT AS status FROM r JOIN ps USING (s), z WHERE NOT decoy",
     "pvalue_empirical": f"WITH {_P} SELECT doc_id, {f4('p')} AS p FROM r JOIN p USING (s) WHERE NOT decoy",
     "pvalue_parametric": f"WITH {_ROWS}, d AS (SELECT avg(s) AS mu, stddev_pop(s) AS sd FROM r WHERE decoy), x AS (SELECT doc_id, (s - mu) / sd / sqrt(2.0) AS x FROM r, d WHERE NOT decoy), e AS (SELECT doc_id, sum(exp(-((i * x / 100.0) ** 2))) * any_value(x) * 2.0 / sqrt(pi()) / 100.0 AS e FROM x, range(1, 101) q(i) GROUP BY doc_id) SELECT doc_id, {f4('1 - 0.5 * (1 + e)')} AS p FROM e",

@@ -88,23 +88,94 @@ def test_isotopes_and_ions():
     assert K.groups_by_shape(np.arange(60.0), {c: np.exp(-((np.arange(60.0) - 30) ** 2) / 50) * 100 + 0.01 for c in ("a", "b", "c")})[0][0] == 30
 
 
-def test_identify(spark):
+def scored_run(spark, run="r", seed=5, shift=0.0, peptides=80):
     from ionflow.operators.learning import SCORES
 
-    rng = np.random.default_rng(5)
+    rng = np.random.default_rng(seed)
     rows = []
-    for i in range(160):
+    for i in range(2 * peptides):
         decoy = i % 2 == 1
         for g in range(2):
-            good = not decoy and g == 0 and i < 120
-            rows.append(("r", f"p{i // 2}", decoy, g, 1.0, 1.0, 10.0, 10.0, 1.0, "y1", *[float(x) for x in rng.normal(1.0 if good else 0.0, 0.35, len(SCORES))]))
-    df = spark.createDataFrame(rows, "run_id string, peptide_ref string, decoy boolean, idx int, apex_rt double, selected_rt double, intensity_sum double, fit_int_sum double, ms1_sum double, best_ion string, " + ", ".join(f"{s} double" for s in SCORES))
-    got = A.identify(df, 0.01, iterations=3).toPandas()
-    planted = got[got.peptide_ref.isin([f"p{i // 2}" for i in range(0, 120, 2)])]
+            good = not decoy and g == 0 and i < 1.5 * peptides
+            rows.append((run, 1, f"p{i // 2}", decoy, g, 1.0 + i // 2, 1.0 + i // 2 + 100 * g, 10.0, 10.0, 1.0, "y1", *[float(x) for x in rng.normal(1.0 if good else 0.0, 0.35, len(SCORES)) + shift]))
+    return spark.createDataFrame(rows, "run_id string, window_id int, peptide_ref string, decoy boolean, idx int, apex_rt double, selected_rt double, intensity_sum double, fit_int_sum double, ms1_sum double, best_ion string, " + ", ".join(f"{s} double" for s in SCORES))
+
+
+def test_identify(spark):
+    got = A.identify(scored_run(spark), 0.01, iterations=3).toPandas()
+    planted = got[got.peptide_ref.isin([f"p{i}" for i in range(60)])]
     assert len(got) == 80 and (planted.status == 1).mean() > 0.9 and (got[~got.index.isin(planted.index)].status == 1).mean() <= 0.25
 
 
+def test_runs_are_ranked_alone(spark):
+    a, b = scored_run(spark, "a"), scored_run(spark, "b", 6, 5.0, 120)
+    rows = lambda d: {(r.run_id, r.peptide_ref): (round(r.total_score, 6), r.status, round(r.fdr, 9)) for r in A.identify(d, 0.05, iterations=2).collect()}
+    together = rows(a.unionByName(b))
+    assert together == {**rows(a), **rows(b)} and sum(x[1] == 1 for k, x in together.items() if k[0] == "a") > 40
+
+
+def test_second_round_takes_groups_from_the_weaker(spark):
+    df = scored_run(spark)
+    masses = [float(i) for i in range(8)]
+    peptides = spark.createDataFrame([(f"p{i}", "PEPTIDEAAK", masses if i in (3, 4) else [1000.0 + 20 * i + k for k in range(8)]) for i in range(80)], "peptide_ref string, sequence string, fingerprints array<double>")
+    one = {r.peptide_ref: r for r in A.identify(df, 0.05, iterations=2).collect()}
+    two = {r.peptide_ref: r for r in A.identify(df, 0.05, iterations=2, peptides=peptides).collect()}
+    weak = min("p3", "p4", key=lambda p: one[p].total_score)
+    assert one["p3"].fdr <= 0.05 >= one["p4"].fdr and one[weak].selected_rt < 100 < two[weak].selected_rt
+    assert all(one[p].selected_rt == two[p].selected_rt for p in one if p != weak)
+
+
 def test_similar_peaks(spark):
-    rows = [("a", 1.0, 5.0, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), ("b", 1.2, 3.0, [1.0, 2.0, 3.0, 4.0, 5.0, 9.0]), ("c", 50.0, 1.0, [7.0]), ("d", 60.0, 1.0, [8.0]), ("e", 70.0, 9.0, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])]
-    df = spark.createDataFrame(rows, "peptide_ref string, apex_rt double, total_score double, fingerprints array<double>")
-    assert {r.peptide_ref for r in A.similar_peaks(df).collect()} == {"b"}
+    a, b = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], [1.0, 2.0, 3.0, 4.0, 5.0, 9.0]
+    rows = [("r", 1, "a", 1.0, 1.0, 5.0, a, 8), ("r", 1, "b", 1.2, 1.2, 3.0, b, 8), ("r", 1, "c", 50.0, 50.0, 1.0, [7.0], 8), ("r", 1, "d", 60.0, 60.0, 1.0, [8.0], 8), ("r", 1, "e", 70.0, 70.0, 9.0, a, 8), ("r", 2, "f", 1.1, 1.1, 1.0, a, 8), ("s", 1, "g", 1.1, 1.1, 1.0, a, 8), ("r", 1, "h", 70.5, 70.5, 8.95, a, 8), ("r", 1, "i", 71.0, 71.0, 2.0, b, 9)]
+    df = spark.createDataFrame(rows, "run_id string, window_id int, peptide_ref string, apex_rt double, selected_rt double, total_score double, fingerprints array<double>, length int")
+    assert {(r.peptide_ref, r.selected_rt) for r in A.similar_peaks(df).collect()} == {("b", 1.2), ("i", 71.0)}  # i shares 5, and the shorter has 8 letters
+    scans = spark.createDataFrame([("r", 1, 1.05 + k / 100) for k in range(5)], "run_id string, window_id int, rt double")
+    assert {r.peptide_ref for r in A.similar_peaks(df, scans).collect()} == {"i"}
+
+
+def test_small_runs_and_fixed_rates(spark):
+    from ionflow.operators import fdr
+
+    rows = [("a", i, float(i), i % 3 == 0) for i in range(60)] + [("b", i, float(i), False) for i in range(10)] + [("c", i, float(i + 100 * (i % 2)), i % 2 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "run_id string, k int, s double, decoy boolean")
+    got = {(r.run_id, r.k): r for r in fdr.pipeline_by(df, ["run_id"], ["k"], "s", "decoy", 0.05).collect()}
+    alone = {r.k: r for r in fdr.pipeline(df.where("run_id = 'a'"), ["k"], "s", "decoy", 0.05).collect()}
+    assert all(got["a", k].fdr == pytest.approx(r.fdr) and got["a", k].q_value == pytest.approx(r.q_value) and got["a", k].pi0 == pytest.approx(r.pi0) for k, r in alone.items())
+    assert all(got["b", k].fdr is None and got["b", k].status == fdr.FAILED for k in range(10))
+    assert got["c", 1].pi0 == 1e-6
+    assert {r.p for r in fdr.parametric(spark.createDataFrame([(1.0, True), (1.0, True), (2.0, False), (0.5, False)], "s double, decoy boolean"), "s", "decoy").collect()} == {0.0, 1.0}
+    assert [r.p for r in fdr.parametric(df.where("run_id = 'b'"), "s", "decoy").collect()] == [None] * 10
+
+
+def test_quantities_and_deltas():
+    """The fitted sum counts fragments without signal too; counts are compared with the largest over all scans; modifications weigh."""
+    rt = np.arange(40.0)
+    bell = np.exp(-((rt - 20) ** 2) / 18) * 1000
+    scans = [K.Spectrum(np.array([300.0, 400.0], np.float32), np.array([y, y / 2], np.float32)) for y in bell]
+    g = {"apex_rt": 20.0, "hull": {"y1": bell[10:31], "y2": bell[10:31] / 2}, "span": (10, 30), "apex": {"y1": 1000.0, "y2": 500.0}, "sn": 5.0, "ions_high": 3}
+    s = K.score_group(g, {"y1": 100.0, "y2": 50.0}, {"y1": 300.0, "y2": 400.0}, {"y1": 1, "y2": 1}, scans[20], 12, 0.0, 1.0, 0.0, None, None, whole=200.0)
+    assert s["fit_int_sum"] == pytest.approx(bell[10:31].sum() * 2) and s["IonsDelta"] == pytest.approx(9 / 12)
+    plain, heavy = K.series_masses("PEPTIDEK", {}, 2), K.series_masses("PEPTIDEK", {2: 79.966331}, 2)
+    assert len(plain) == len(heavy) and np.isclose(heavy.sum() - plain.sum(), 79.966331 * 14, atol=1e-2)
+    x = np.arange(12.0) ** 1.1
+    y = np.sin(x)
+    v, b, c, d = __import__("ionflow.operators.series", fromlist=["x"]).natural_spline(x, y)
+    h = np.diff(x)
+    assert np.allclose(v + b * h + c * h**2 + d * h**3, y[1:]) and np.allclose(b[1:], (b + 2 * c * h + 3 * d * h**2)[:-1]) and np.allclose(c[1:], (c + 3 * d * h)[:-1])
+
+
+def test_library_to_results(spark, run):
+    """Decoys from the library, both pickers, masses of modifications, rates."""
+    from ionflow.plans import library
+
+    lib, w, s, (k, b) = run
+    with_decoys = library.with_decoys(lib.drop("decoy_fragments", "decoy_sequence"))
+    runs = spark.createDataFrame([("r", k, b)], "run_id string, irt_slope double, irt_intercept double")
+    coords = A.with_decoys(A.coordinates(with_decoys, w, runs, 100.0))
+    unimod = spark.createDataFrame([("4", 57.02)], "id string, mono_mass double")
+    assert coords.where("decoy").count() == 30
+    for picker in ("counts", "shape"):
+        found = A.peak_groups(A.with_masses(coords, unimod), A.spectra_by_window(s, w), picker=picker)
+        targets = found.where("NOT decoy").groupBy("peptide_ref").count().count()
+        assert targets >= 24 and found.where("low_delta < 0 OR IonsDelta < 0").count() == 0

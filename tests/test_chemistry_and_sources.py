@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ionflow.plans import library
 from ionflow.functions import peptides as P
 from ionflow.sources import libraries as L
 from ionflow.sources.tables import Table, cascade
@@ -40,6 +41,56 @@ def test_decoys(spark):
     assert len(one(spark, P.fingerprint(F.lit("PEPTIDEK")))) == 14
 
 
+def plain_mz(sequence, mods, note):
+    kind, n, z = note[0], int(note[1:].split("^")[0]), int(note.partition("^")[2] or 1)
+    at = range(n) if kind in "abc" else range(len(sequence) - n, len(sequence))
+    return (sum(P.RESIDUES.get(sequence[i], 0.0) + {"4": 57.02, "35": 15.99}.get(mods.get(i), 0.0) for i in at) + P.ENDS[kind] + z * P.H) / z
+
+
+@pytest.mark.parametrize("method", ["shuffle", "derange", "ends"])
+def test_decoy_fragments(spark, method):
+    rows = [("a", "PEPTMDECK", {7: "4", 4: "35"}), ("b", "ACDEFGHIR", {}), ("c", "AC", {0: "35"})]
+    frags = F.array(*[F.struct(F.lit(c).alias("cut_info"), F.lit(1.0).alias("mz"), F.lit(5.0).alias("intensity")) for c in ("y3", "b4^2", "y9", "b1")])
+    df = spark.createDataFrame(rows, "peptide_ref string, sequence string, unimod_map map<int,string>").withColumn("fragments", frags)
+    for r in library.with_decoys(df, method, {"4": 57.02, "35": 15.99}).collect():
+        mods = dict(r.unimod_map)
+        assert sorted(r.decoy_unimod_map.values()) == sorted(mods.values())
+        if method != "ends":
+            assert sorted(zip(r.sequence, (mods.get(i, "") for i in range(len(r.sequence))), strict=True)) == sorted(zip(r.decoy_sequence, (r.decoy_unimod_map.get(i, "") for i in range(len(r.sequence))), strict=True))
+        want = {c: plain_mz(r.decoy_sequence, r.decoy_unimod_map, c) for c in ("y3", "b4^2", "y9", "b1") if int(c[1]) <= len(r.sequence)}
+        assert {f.cut_info: f.mz for f in r.decoy_fragments} == pytest.approx(want) and all(f.intensity == 5.0 for f in r.decoy_fragments)
+
+
+def test_library_tables(spark):
+    proteins = spark.createDataFrame([("P1", "AAAAAAKCCCCCCR"), ("P2", "CCCCCCRDDDDDDDK"), ("P3", None)], "identifier string, sequence string")
+    lib = library.of_proteins(proteins, charges=(2, 3))
+    rows = {r.peptide_ref: r for r in lib.collect()}
+    assert set(rows) == {f"{s}_{z}" for s in ("AAAAAAK", "CCCCCCR", "DDDDDDDK") for z in (2, 3)}
+    r = rows["CCCCCCR_2"]
+    assert r.proteins == ["P1", "P2"] and not r.is_unique and rows["AAAAAAK_3"].is_unique
+    assert [f.cut_info for f in r.fragments] == ["y6", "b6", "y5", "b5", "y4", "b4"] and r.fragments[0].mz == pytest.approx(plain_mz("CCCCCCR", {}, "y6"))
+    assert r.mz == pytest.approx(one(spark, P.mz(F.lit("CCCCCCR"), "full", 2)))
+    assert {x.peptide_ref for x in library.peptides_of(lib, "P1").collect()} == {"AAAAAAK_2", "AAAAAAK_3", "CCCCCCR_2", "CCCCCCR_3"}
+    with_ = library.with_decoys(lib)
+    assert "decoy_fragments" in library.clone(with_, "x").columns and "decoy_fragments" not in library.clone(with_, "x", decoys=False).columns
+    more = library.with_fragments(lib.where("charge = 2"), F.array(F.struct(F.lit("y6").alias("cut_info"), F.lit(1.0).alias("mz"), F.lit(2.0).alias("intensity"), F.lit(1).alias("charge")), F.struct(F.lit("b1").alias("cut_info"), F.lit(1.0).alias("mz"), F.lit(2.0).alias("intensity"), F.lit(1).alias("charge")))).first()
+    assert [f.cut_info for f in more.fragments].count("y6") == 1 and more.fragments[-1].cut_info == "b1"
+    rest, report = library.removed(lib, spark.createDataFrame([("CCCCCCR_2",), ("nope",), ("nope",)], "peptide_ref string"), "peptide_ref")
+    assert rest.count() == 5 and {r.peptide_ref: r.rows for r in report.collect()} == {"CCCCCCR_2": 1, "nope": 0}
+    found = spark.createDataFrame([("r", "p", 1.0, 2.0, 1.4, 1.5, 7.0), ("r", "q", 1.0, 2.0, 1.4, 1.5, 7.0)], "run_id string, peptide_ref string, left_rt double, right_rt double, apex_rt double, selected_rt double, total_score double")
+    hand = {r.peptide_ref: r for r in library.override(found, spark.createDataFrame([("r", "p", 3.0, 5.0)], "run_id string, peptide_ref string, left_rt double, right_rt double")).collect()}
+    assert hand["p"].apex_rt == 4.0 and hand["p"].by_hand and hand["p"].total_score is None and hand["q"].total_score == 7.0
+
+
+def test_names_and_masses(spark):
+    mods = F.create_map(F.lit(0), F.lit("1"), F.lit(2), F.lit("4"))
+    assert one(spark, P.full_name(F.lit("ACDE"), mods)) == "A(UniMod:1)CD(UniMod:4)E"
+    assert [(b.peptide_ref, b.charge, b.mz) for b in one(spark, P.brothers(F.lit("ACDE"), F.lit(600.0), F.lit(2)))] == [("ACDE_1", 1, 1200.0), ("ACDE_3", 3, 400.0)]
+    assert one(spark, P.formula(F.lit("H:2, O:1"))) == {"H": 2, "O": 1} and one(spark, P.formula(F.lit(""))) == {}
+    assert one(spark, P.mz(F.lit("PEPTIDE"), "full", 1, average=True)) == pytest.approx(799.83 + 1.00794, abs=0.02)
+    assert one(spark, P.mz(F.lit("PEPTIDE"), "full", 1)) == pytest.approx(799.36 + P.H, abs=0.01)
+
+
 HEAD = "PrecursorMz\tProductMz\tTr_recalibrated\ttransition_name\ttransition_group_id\tdecoy\tLibraryIntensity\tPeptideSequence\tProteinName\tAnnotation\tFullUniModPeptideName\tPrecursorCharge"
 ROWS = ["500.1\t300.1\t10\tn\tg\t0\t50\tACD\t1/P1\ty3\tAC(UniMod:4)D\t2", "500.1\t301.1\t10\tn\tg\t0\t80\tACD\t1/P1\tb2^2/0.1\tAC(UniMod:4)D\t2", "500.1\t999.9\t10\tn\tg\t0\t99\tACD\t1/P1\ty3/0.3\tAC(UniMod:4)D\t2", "600.1\t1\t1\tn\tg\t1\t5\tDDD\t1/P1\ty1\tDDD\t1", "700.5\t400\t12\tn\tg\t0\t7\tEEK\t2/P1/P2\ty2\tEEK\t3"]
 

@@ -176,7 +176,7 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
     leads = F.col("id") == F.get(F.array(*[F.lit(x).cast("long") for x in head]), F.col("bucket"))
     own, ahead = F.struct("bucket", F.lit(0).alias("copy")), F.struct(F.get(F.lit(before), F.col("bucket")).alias("bucket"), F.lit(1).alias("copy"))
     dealt = rows.select("id", "doc_id", "text", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
-    ordered = dealt.repartition(F.col("to.bucket")).sortWithinPartitions("to", "id", "text").select("to.bucket", "to.copy", "doc_id", "text")
+    ordered = dealt.repartitionById(len(cuts) + 1, F.col("to.bucket").cast("int")).sortWithinPartitions("to", "id", "text").select("to.bucket", "to.copy", "doc_id", "text")
     names = ["doc_id", "text", "fingerprint", "edited", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,8 +215,3 @@ def score_group(g: dict, library: dict[str, float], mzs: dict[str, float], charg
     self_ = own[a : b + 1].astype(float) if own is not None else np.zeros_like(y)
     s |= {"MS1": pearson(y, one, -1.0) if one is not None else -1.0, "SELF": pearson(y, self_, -1.0), "MS1_SELF": pearson(one, self_, -1.0) if one is not None else -1.0, "SELF_DP": root_product(y, self_)}
     return s | {"best_ion": best, "fit_int_sum": float(y.sum() * (sum(library.values()) if whole is None else whole) / library[best])}
-
-
-def irt_score(s: dict[str, float]) -> float:
-    """Score of a calibration standard; the overlap of isotopes is not weighed."""
-    return s["CorrShapeW"] + s["Dotprod"] + s["Pearson"] - s["IonsDelta"]

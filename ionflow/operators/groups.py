@@ -63,21 +63,25 @@ def legacy_percentile(values: Column, percent: Column) -> Column:
 
 
 def percentiles(df: DataFrame, group: str, value: str, percents: range = range(1, 100)) -> DataFrame:
-    """(n + 1) p percentiles per group.
+    """(n + 1) p percentiles per group; rows without a group are left out.
 
-    Only the neighbours of the wanted ranks are looked at: ranks come from counts per distinct
-    value, so no group is ever gathered.
+    Ranks come from running counts per distinct value, by quantile buckets within each group, so no
+    group is gathered or sorted in one task. Each value tells by arithmetic which percentiles need it.
     """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = counts.select(group, value, F.sum("c").over(w).alias("upto"), F.col("c"), F.sum("c").over(Window.partitionBy(group)).alias("n"))
-    wanted = ranked.select(group, "n").distinct().select(group, "n", F.explode(F.lit(list(percents))).alias("pct")).withColumn("pos", F.col("pct") / 100.0 * (F.col("n") + 1))
-    wanted = wanted.withColumn("pos", F.least(F.greatest(F.col("pos"), F.lit(1.0)), F.col("n").cast("double")))
-    asked = wanted.select(group, "pct", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("rank")).distinct()
-    hit = asked.join(ranked, group).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
-    both = hit.groupBy(group, "pct", "pos").agg(F.min_by(value, "rank").alias("a"), F.max_by(value, "rank").alias("b"))
+    from ionflow.operators.ordered import running
+
+    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = running(counts, value, {"upto": ("sum", "c")}, keys=[group]).join(counts.groupBy(group).agg(F.sum("c").alias("n")), group)
+    pos = lambda pct: F.least(F.greatest(pct / 100.0 * (F.col("n") + 1), F.lit(1.0)), F.col("n").cast("double"))
+    within = lambda rank: (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))
+    # Percentiles that may need ranks (upto - c, upto]; the least and largest value serve those off the ends too.
+    first = F.when(F.col("upto") == F.col("c"), percents[0]).otherwise(F.greatest(F.lit(percents[0]), F.floor((F.col("upto") - F.col("c")) * 100.0 / (F.col("n") + 1)) - 1))
+    last = F.when(F.col("upto") == F.col("n"), percents[-1]).otherwise(F.least(F.lit(percents[-1]), F.ceil((F.col("upto") + 1) * 100.0 / (F.col("n") + 1)) + 1))
+    near = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    wanted = F.filter(near, lambda p: within(F.floor(pos(p))) | within(F.ceil(pos(p))))
+    hit = ranked.select(group, value, "n", "upto", "c", F.explode(wanted).alias("pct")).withColumn("pos", pos(F.col("pct")))
+    low, high = (F.max(F.when(within(f("pos")), F.col(value))) for f in (F.floor, F.ceil))
+    both = hit.groupBy(group, "pct", "pos").agg(low.alias("a"), high.alias("b")).where(F.col("pct").isin(list(percents)) if percents.step != 1 else F.lit(True))
     return both.select(group, "pct", (F.col("a") + (F.col("pos") - F.floor("pos")) * (F.col("b") - F.col("a"))).alias("value"))
 
 

@@ -28,13 +28,14 @@ def range_bucket(df: DataFrame, column: str, buckets: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(value >= F.get(F.lit(cuts), acc + step - 1), acc + step).otherwise(acc))
 
 
-def running(df: DataFrame, order: str, wanted: dict[str, tuple[str, str]], descending: bool = False, exclusive: bool = False, buckets: int | None = None) -> DataFrame:
-    """``df`` with running aggregates; ``wanted``: new column -> (sum, min, max or count; column). ``order`` must be unique."""
+def running(df: DataFrame, order: str, wanted: dict[str, tuple[str, str]], descending: bool = False, exclusive: bool = False, buckets: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with running aggregates; ``wanted``: new column -> (sum, min, max or count; column). ``order`` must be unique, within the values of ``keys`` (not null) if there are any."""
+    keys = list(keys or [])
     df = df.withColumn("_bucket", range_bucket(df, order, buckets or bucket_count(df)))
-    inside = Window.partitionBy("_bucket").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    across = Window.orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("_bucket").agg(*[KINDS[k](c).alias(f"_{n}") for n, (k, c) in wanted.items()])  # one row per bucket
-    carried = totals.select("_bucket", *[(F.sum if k == "count" else KINDS[k])(f"_{n}").over(across).alias(f"_{n}") for n, (k, _) in wanted.items()])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    across = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, "_bucket").agg(*[KINDS[k](c).alias(f"_{n}") for n, (k, c) in wanted.items()])  # one row per key and bucket
+    carried = totals.select(*keys, "_bucket", *[(F.sum if k == "count" else KINDS[k])(f"_{n}").over(across).alias(f"_{n}") for n, (k, _) in wanted.items()])
     local = df.select("*", *[KINDS[k](c).over(inside).alias(n) for n, (k, c) in wanted.items()])
-    joined = local.join(F.broadcast(carried), "_bucket")
+    joined = local.join(carried if keys else F.broadcast(carried), [*keys, "_bucket"])
     return joined.select(*[c for c in df.columns if c != "_bucket"], *[JOINED[k](F.col(n), F.col(f"_{n}")).alias(n) for n, (k, _) in wanted.items()])

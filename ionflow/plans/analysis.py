@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.functions import kernels as K
-from ionflow.operators import fdr, groups, learning, ranges
+from ionflow.operators import fdr, groups, learning, ranges, series
 from ionflow.operators.settle import settle
+from ionflow.plans import crossrun
 
 SCORED = ["run_id", "window_id", "peptide_ref", "decoy", "idx", "apex_rt", "selected_rt", "left_rt", "right_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "ions_low", "ions_high", "low_delta", "best_ion", *learning.SCORES]
 SCORED_SCHEMA = "run_id string, window_id int, peptide_ref string, decoy boolean, idx int, apex_rt double, selected_rt double, left_rt double, right_rt double, intensity_sum double, fit_int_sum double, ms1_sum double, ions_low int, ions_high int, low_delta double, best_ion string, " + ", ".join(f"{s} double" for s in learning.SCORES)
@@ -171,3 +172,79 @@ def similar_peaks(found: DataFrame, scans: DataFrame | None = None, ranks: int =
     first = F.col("total_score") < F.col("total_score_b")
     weaker = lambda c: F.when(first, F.col(c)).otherwise(F.col(f"{c}_b")).alias(c)
     return hit.select("run_id", weaker("peptide_ref"), weaker("selected_rt")).distinct()
+
+
+# One peptide at a time ----------------------------------------------------------------------------
+
+
+def predict(peptides: DataFrame, peptide_ref: str, windows: DataFrame, runs: DataFrame, spectra: DataFrame, charge: int | None = None, rt_window: float = 300.0, ppm: float = 15) -> DataFrame:
+    """Scored peak groups of one peptide in all runs, at another charge if one is given (then named after it)."""
+    one = peptides.where(F.col("peptide_ref") == peptide_ref)
+    if charge is not None:
+        name = F.concat(F.substring_index("peptide_ref", "_", 1), F.lit(f"_{charge}"))
+        one = one.withColumns({"peptide_ref": name, "mz": F.col("mz") * F.col("charge") / charge, "charge": F.lit(charge)})
+    return peak_groups(with_decoys(coordinates(one, windows, runs, rt_window)).where("NOT decoy"), spectra, ppm)
+
+
+def reselect(coords: DataFrame, spectra: DataFrame, weights: dict[tuple, dict[str, float]], ppm: float = 15) -> DataFrame:
+    """The group of each coordinate that most of its variants without one fragment agree on, from the variant that scores it highest.
+
+    ``weights`` are those of ``learning.train`` by run. Of times chosen equally often the earliest counts.
+    """
+    mark = "\x1f"
+    variants = crossrun.leave_one_out(coords).withColumn("peptide_ref", F.concat("peptide_ref", F.lit(mark), "without"))
+    total = learning.with_total(peak_groups(variants, spectra, ppm), ["run_id"], weights, list(learning.SCORES), "total_score")
+    keep = [c for c in SCORED if c not in ("run_id", "peptide_ref", "decoy")]
+    best = settle(groups.best(total, ["run_id", "peptide_ref", "decoy"], "total_score", [F.col("idx")], [*keep, "total_score"]))
+    parts = F.split("peptide_ref", mark)
+    best = best.withColumns({"without": parts[1], "peptide_ref": parts[0]})
+    keys = ["run_id", "peptide_ref", "decoy"]
+    hits = best.groupBy(*keys, "selected_rt").agg(F.count(F.lit(1)).alias("hits"))
+    chosen = hits.groupBy(*keys).agg(F.min(F.struct((-F.col("hits")).alias("o"), "selected_rt")).alias("m")).select(*keys, F.col("m.selected_rt").alias("selected_rt"), (-F.col("m.o")).alias("hits"))
+    rows = best.join(chosen, [*keys, "selected_rt"])
+    return groups.best(rows, keys, "total_score", [F.col("without")], [*keep, "total_score", "without", "hits"])
+
+
+def looks_good() -> Column:
+    """Whether the sub-scores of a peak group are those of a clear peak."""
+    shape = (F.col("CorrShape") + F.col("CorrShapeW")) / 2
+    return (shape > 0.85) & (F.col("Dotprod") > 0.9) & (F.col("IonsDelta") < 0.2) & (F.col("IsoCorr") > 0.8) & (F.col("IsoOverlap") < 0.05)
+
+
+def chromatogram_view(coords: DataFrame, spectra: DataFrame, ppm: float = 15, smooth: bool = False, denoise: bool = False) -> DataFrame:
+    """Curves of coordinates: run_id, peptide_ref, decoy, ion, rt, intensity, smoothed or weighed by signal to noise on demand.
+
+    Ions are the fragments and, as ``MS1`` and ``SELF``, the precursor in MS1 and MS2 scans.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for c in left.itertuples():
+            for level in (1, 2):
+                part = right[(right.level == level) & right.rt.between(c.rt_start, c.rt_end)].sort_values("rt")
+                rt, scans = part.rt.to_numpy(float), [K.Spectrum(np.asarray(m, np.float32), np.asarray(y, np.float32)) for m, y in zip(part.mz, part.intensity, strict=True)]
+                ions = {"MS1": c.mz} if level == 1 else {"SELF": c.mz} | {f["cut_info"]: f["mz"] for f in c.fragments}
+                for ion, y in zip(ions, K.chromatograms(scans, np.array(list(ions.values())), ppm) if scans else [], strict=False):
+                    y = y.astype(float)
+                    y = series.gauss_filter(rt, y) if smooth else y
+                    y = series.denoise(y, series.signal_to_noise(rt, y)) if denoise else y
+                    out.append(pd.DataFrame({"run_id": key[0], "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "ion": ion, "rt": rt, "intensity": y}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["run_id", "peptide_ref", "decoy", "ion", "rt", "intensity"])
+
+    keep = ["run_id", "window_id", "peptide_ref", "decoy", "mz", "rt_start", "rt_end", "fragments"]
+    schema = "run_id string, peptide_ref string, decoy boolean, ion string, rt double, intensity double"
+    return coords.select(*keep).groupBy("run_id", "window_id").cogroup(spectra.groupBy("run_id", "window_id")).applyInPandas(run, schema)
+
+
+def spectrum_view(spectra: DataFrame, low: float | None = None, high: float | None = None, smooth: bool = False) -> DataFrame:
+    """Peaks of scans as rows: run_id, level, window_id, rt, mz, intensity, of an m/z range and smoothed (5 points) on demand."""
+    rows = spectra.select("run_id", "level", "window_id", "rt", F.posexplode(F.arrays_zip("mz", "intensity")).alias("at", "p"))
+    rows = rows.select("run_id", "level", "window_id", "rt", "at", F.col("p.mz").cast("double").alias("mz"), F.col("p.intensity").cast("double").alias("intensity"))
+    if smooth:
+        scan = ["run_id", "level", F.coalesce("window_id", F.lit(-1)), "rt"]
+        w, near = series.weights("gauss", 5), Window.partitionBy(*scan).orderBy("at")
+        at = lambda k: F.coalesce(F.lag("intensity", k).over(near) if k > 0 else F.lead("intensity", -k).over(near), F.lit(0.0))
+        rows = rows.withColumn("intensity", w[0] * F.col("intensity") + sum(w[k] * (at(k) + at(-k)) for k in (1, 2)))
+    if low is not None or high is not None:
+        rows = rows.where(F.col("mz").between(-float("inf") if low is None else low, float("inf") if high is None else high))
+    return rows.drop("at")

@@ -116,7 +116,3 @@ def leave_one_out(coords: DataFrame) -> DataFrame:
     """Each coordinate once without each of its fragments."""
     at = coords.withColumn("without", F.explode(F.transform("fragments", lambda f: f["cut_info"])))
     return at.withColumn("fragments", F.filter("fragments", lambda f: f["cut_info"] != F.col("without")))
-
-
-def fit_runs(pairs: DataFrame) -> DataFrame:
-    return learning.line(pairs, ["run_id"], "x", "y")

@@ -121,14 +121,14 @@ SELECT p_partkey, s AS decoy_sequence, (n - 2)::BIGINT AS modified, {f4(f'coales
     "stab_window": "WITH w AS (SELECT i AS window_id, 900.0 + 12.5 * i AS a, 920.0 + 12.5 * i AS b FROM range(8) q(i)) SELECT p_partkey, min(window_id)::BIGINT AS window_id, count(*) AS windows FROM part JOIN w ON p_retailprice BETWEEN a AND b GROUP BY 1",
     "enabled_default": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT (c_acctbal < 0) GROUP BY 1",
     "range_join_windows": "SELECT i::BIGINT AS window_id, count(*) AS n, sum(round(p_retailprice * 100)::BIGINT)::BIGINT AS price_cents FROM part JOIN range(10) q(i) ON p_retailprice >= 900 + 10 * i AND p_retailprice < 910 + 10 * i GROUP BY 1",
-    "eic_sum": "SELECT p_partkey, month(l_shipdate)::BIGINT AS rt, sum(l_quantity::BIGINT)::BIGINT AS intensity FROM part JOIN lineitem ON l_extendedprice / l_quantity BETWEEN p_retailprice * (1 - 0.05::DOUBLE) AND p_retailprice * (1 + 0.05::DOUBLE) WHERE p_partkey < 200 GROUP BY 1, 2",
+    "eic_sum": "SELECT p_partkey, month(l_shipdate)::BIGINT AS rt, sum(l_quantity::BIGINT)::BIGINT AS intensity FROM part JOIN lineitem ON l_extendedprice / l_quantity BETWEEN p_retailprice * (1 - 0.05::DOUBLE) AND p_retailprice * (1 + 0.05::DOUBLE) GROUP BY 1, 2",
     "inner_left_fill": "SELECT c_custkey, coalesce(sum(round(o_totalprice * 100)::BIGINT), 0)::BIGINT AS total_cents, CASE WHEN count(o_orderkey) = 0 THEN 5 ELSE 1 END::INT AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "semi_anti": "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) THEN 'with' ELSE 'without' END AS rule FROM customer",
     "report_pivot": 'SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'F\')::BIGINT AS "F", sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'O\')::BIGINT AS "O", sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'P\')::BIGINT AS "P" FROM orders GROUP BY 1',
-    "nearest_asof": "WITH e AS (SELECT event_type, event_id, floor(epoch(ts))::BIGINT AS sec FROM events), m AS (SELECT (SELECT min(sec) - min(sec) % 3600 FROM e) + i * 3600 AS mark FROM range(240) q(i)) SELECT mark::BIGINT AS mark, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY mark, event_type ORDER BY abs(sec - mark), sec, event_id) AS k FROM m JOIN e ON sec BETWEEN mark - 7200 AND mark + 7200) WHERE k = 1",
+    "nearest_asof": "WITH e AS (SELECT event_type, event_id, floor(epoch(ts))::BIGINT AS sec FROM events), m AS (SELECT i * 3600 AS mark FROM (SELECT unnest(range((SELECT min(sec) // 3600 FROM e), (SELECT max(sec) // 3600 + 1 FROM e))) AS i)) SELECT mark::BIGINT AS mark, event_type, arg_min(event_id, (abs(sec - mark), sec, event_id)) AS event_id FROM m CROSS JOIN e GROUP BY 1, 2",
     "proximity_pairs": "SELECT a.c_custkey, count(*) AS links FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 50 GROUP BY 1",
     "similar_pairs": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x * 10::FLOAT)::BIGINT) AS p FROM embeddings) SELECT a.vec_id, b.vec_id AS vec_id_b, len(list_distinct(list_intersect(a.p, b.p)))::BIGINT AS overlap FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= 2",
-    "collision_band": "SELECT a.p_size, sum((abs(a.p_retailprice - b.p_retailprice) <= 5)::INT)::BIGINT AS within_5, count(*) AS within_10 FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 10 WHERE a.p_partkey < 2000 AND b.p_partkey < 2000 GROUP BY 1",
+    "collision_band": "SELECT a.p_size, sum((abs(a.p_retailprice - b.p_retailprice) <= 5)::INT)::BIGINT AS within_5, count(*) AS within_10 FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 10 GROUP BY 1",
     "data_with_sums": "WITH l AS (SELECT l_orderkey, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) SELECT o_orderkey, quantity, CASE WHEN quantity IS NULL AND o_orderstatus = 'O' THEN 4 WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END::INT AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey",
     "dims_and_counts": "SELECT n_name, r_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation LEFT JOIN region ON r_regionkey = n_regionkey",
     "group_first_page": "SELECT p_brand, min(p_partkey) AS first_key, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1 ORDER BY 1 LIMIT 5 OFFSET 5",
@@ -191,3 +191,5 @@ f AS (SELECT 'b' || i AS name, pre + {ENDS["b"]}::DOUBLE AS w FROM b WHERE i < l
 z AS (SELECT CASE WHEN z = 1 THEN name ELSE name || '^2' END AS cut_info, (w + z * {H}::DOUBLE) / z AS mz FROM f, (VALUES (1), (2)) q(z))
 SELECT cut_info, count(*) AS n, {f4("sum(round(mz, 6)::DECIMAL(20, 6))::DOUBLE", 2)} AS mz FROM z GROUP BY 1""",
 }
+
+SQL |= {f"{n}_all": SQL[n] for n in ("eic_sum", "nearest_asof", "collision_band")}

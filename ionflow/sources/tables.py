@@ -90,5 +90,5 @@ def cascade(steps: list[tuple[Table, list[str]]], keys: DataFrame) -> None:
 
 
 def write_report(report: DataFrame, path: str, order: str) -> None:
-    """One CSV file with a header, in order; a report has a line per peptide and is meant for people."""
-    report.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, in order from file to file and within each; a small report is one file."""
+    report.orderBy(order).write.mode("overwrite").option("header", True).csv(path)

@@ -179,3 +179,31 @@ def test_library_to_results(spark, run):
         found = A.peak_groups(A.with_masses(coords, unimod), A.spectra_by_window(s, w), picker=picker)
         targets = found.where("NOT decoy").groupBy("peptide_ref").count().count()
         assert targets >= 24 and found.where("low_delta < 0 OR IonsDelta < 0").count() == 0
+
+
+def test_one_peptide_and_views(spark, run):
+    lib, w, s, (k, b) = run
+    runs = spark.createDataFrame([("r", k, b)], "run_id string, irt_slope double, irt_intercept double")
+    spectra, ref = A.spectra_by_window(s, w), lib.first().peptide_ref
+    truth = {r.peptide_ref: (r.rt - b) / k for r in lib.collect()}
+    one = A.predict(lib, ref, w, runs, spectra).collect()
+    assert {r.peptide_ref for r in one} == {ref} and min(abs(r.apex_rt - truth[ref]) for r in one) <= 3.0
+    mz = lib.first().mz
+    other = A.coordinates(lib.where(lib.peptide_ref == ref), w, runs).first()
+    assert A.predict(lib, ref, w.withColumns({"mz_start": w.mz_start * 2, "mz_end": w.mz_end * 2}), runs, spectra, charge=1).schema["peptide_ref"] and other.mz == mz
+    coords = A.with_decoys(A.coordinates(lib, w, runs, 100.0)).where("NOT decoy")
+    weights = {("r",): {c: float(c in ("Dotprod", "CorrShape")) for c in A.learning.SCORES}}
+    chosen = A.reselect(coords, spectra, weights).collect()
+    assert len(chosen) >= 25 and sum(abs(r.apex_rt - truth[r.peptide_ref]) <= 3.0 for r in chosen) >= 0.9 * len(chosen) and all(1 <= r.hits <= 6 for r in chosen)
+    good = A.peak_groups(coords, spectra).where(A.looks_good()).collect()
+    assert all(abs(r.apex_rt - truth[r.peptide_ref]) <= 6.0 for r in good)
+    view = A.chromatogram_view(coords.where(coords.peptide_ref == ref), spectra).toPandas()
+    assert set(view.ion) == {"MS1", "SELF", *(f"y{i}" for i in range(1, 7))}
+    top = view[view.ion == "y1"].sort_values("intensity").iloc[-1]
+    assert abs(top.rt - truth[ref]) <= 3.0
+    smooth = A.chromatogram_view(coords.where(coords.peptide_ref == ref), spectra, smooth=True, denoise=True).toPandas()
+    assert len(smooth) == len(view) and smooth.intensity.max() < view.intensity.max()
+    peaks = A.spectrum_view(s.where("rt = 350"), 400.0, 600.0)
+    rows = s.where("rt = 350").collect()
+    assert peaks.count() == sum(400 <= m <= 600 for r in rows for m in r.mz)
+    assert A.spectrum_view(s.where("rt = 350"), smooth=True).count() == sum(len(r.mz) for r in rows)

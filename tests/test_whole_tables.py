@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force, with ids beyond every cut of the queries that follow their SQL."""
+"""Queries over whole tables against brute force."""
 
 import datetime
 import random
@@ -22,14 +22,14 @@ def test_eic_and_collisions_of_all_parts(spark, tmp_path):
         for total, q, day in lines:
             if price * (1 - 0.05) <= total / q <= price * (1 + 0.05):
                 want[key, day and day.month] += int(q)
-    assert {(r.p_partkey, r.rt): r.intensity for r in catalog.QUERIES["eic_sum_all"](spark, str(tmp_path)).collect()} == want
+    assert {(r.p_partkey, r.rt): r.intensity for r in catalog.QUERIES["eic_sum"](spark, str(tmp_path)).collect()} == want
     near = defaultdict(lambda: [0, 0])
     for a, size, x in parts:
         for b, other, y in parts:
             if a < b and size == other and abs(x - y) <= 10.0:
                 near[size][0] += abs(x - y) <= 5.0
                 near[size][1] += 1
-    assert {r.p_size: [r.within_5, r.within_10] for r in catalog.QUERIES["collision_band_all"](spark, str(tmp_path)).collect()} == near
+    assert {r.p_size: [r.within_5, r.within_10] for r in catalog.QUERIES["collision_band"](spark, str(tmp_path)).collect()} == near
 
 
 def test_nearest_of_all_hours(spark, tmp_path):
@@ -41,6 +41,6 @@ def test_nearest_of_all_hours(spark, tmp_path):
     events = [(i, t, int(at.replace(tzinfo=datetime.UTC).timestamp())) for i, t, at in rows]
     first, last = (f(at for _, _, at in events) // 3600 * 3600 for f in (min, max))
     marks = range(first, last + 1, 3600)
-    found = catalog.QUERIES["nearest_asof_all"](spark, str(tmp_path)).collect()
+    found = catalog.QUERIES["nearest_asof"](spark, str(tmp_path)).collect()
     assert len(marks) > 240 and len(found) == 2 * len(marks)
     assert {(r.mark, r.event_type, r.event_id) for r in found} == brute_nearest(events, marks)

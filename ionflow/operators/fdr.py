@@ -120,6 +120,11 @@ def decoy_rates(scored: DataFrame, score: str, decoy: str, fdr: str) -> DataFram
     return level.where("has_decoy").select("score", nearest.alias("fdr"))
 
 
+def found_under(df: DataFrame, by: list[str], fdr: str, cut: float = 0.01) -> DataFrame:
+    """Per group how many rows have a rate of at most ``cut``."""
+    return df.groupBy(*by).agg(F.sum(F.when(F.col(fdr) <= cut, 1).otherwise(0)).cast("long").alias("found"))
+
+
 def threshold(df: DataFrame, score: str, fdr: str, cut: float = 0.01) -> DataFrame:
     """Score of the row with the largest fdr under the cut; of equals the lowest score; no row if there is none."""
     return df.where(F.col(fdr) < cut).agg(F.min_by(score, F.struct((-F.col(fdr)).alias("f"), F.col(score).alias("s"))).alias("score")).where("score IS NOT NULL")

@@ -105,8 +105,9 @@ def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))
 
 
-def huber_line(x: np.ndarray, y: np.ndarray, delta: float, rounds: int = 100) -> tuple[float, float]:
-    """Slope and intercept under Huber's loss by iteratively reweighted least squares."""
+def robust_line(x: np.ndarray, y: np.ndarray, delta: float, loss: str = "huber", rounds: int = 100) -> tuple[float, float]:
+    """Slope and intercept by iteratively reweighted least squares: squares up to ``delta``, then linear (huber), logarithmic (log) or squares throughout (squares)."""
+    tail = {"huber": lambda r: delta / r, "log": lambda r: (delta / r) ** 2, "squares": np.ones_like}[loss]
     w = np.ones(len(x))
     slope = intercept = 0.0
     for _ in range(rounds):
@@ -117,12 +118,15 @@ def huber_line(x: np.ndarray, y: np.ndarray, delta: float, rounds: int = 100) ->
         if abs(new[0] - slope) + abs(new[1] - intercept) < 1e-12:
             break
         slope, intercept = new
-        r = np.abs(y - slope * x - intercept)
-        w = np.minimum(1.0, delta / np.maximum(r, 1e-12))
+        w = np.minimum(1.0, tail(np.maximum(np.abs(y - slope * x - intercept), 1e-12)))
     return slope, intercept
 
 
-def calibrate(lib: np.ndarray, real: np.ndarray, r2: float = 0.95, most: float = 50.0) -> dict:
+def huber_line(x: np.ndarray, y: np.ndarray, delta: float, rounds: int = 100) -> tuple[float, float]:
+    return robust_line(x, y, delta, "huber", rounds)
+
+
+def calibrate(lib: np.ndarray, real: np.ndarray, r2: float = 0.95, most: float = 50.0, loss: str = "huber") -> dict:
     """Robust line lib = slope * real + intercept: points far off the line through the extremes go first, then the worst one until R squared suffices."""
     delta = (lib.max() - lib.min()) / 30
     lo, hi = int(np.argmin(lib * real)), int(np.argmax(lib * real))
@@ -131,7 +135,7 @@ def calibrate(lib: np.ndarray, real: np.ndarray, r2: float = 0.95, most: float =
         k = (lib[hi] - lib[lo]) / (real[hi] - real[lo])
         keep = np.abs(lib - (lib[lo] + k * (real - real[lo]))) <= most
     while True:
-        slope, intercept = huber_line(real[keep], lib[keep], delta)
+        slope, intercept = robust_line(real[keep], lib[keep], delta, loss)
         with np.errstate(invalid="ignore"):
             found = np.corrcoef(real[keep], lib[keep])[0, 1] ** 2 if keep.sum() > 2 else 1.0
         if found >= r2 or keep.sum() <= 3:
@@ -140,16 +144,21 @@ def calibrate(lib: np.ndarray, real: np.ndarray, r2: float = 0.95, most: float =
         keep[worst] = False
 
 
-def calibrate_groups(df: DataFrame, keys: list[str], lib: str, real: str) -> DataFrame:
-    """``calibrate`` per group; a group holds the standards of one run, a few hundred rows."""
+def calibrate_groups(df: DataFrame, keys: list[str], lib: str, real: str, loss: str = "huber") -> DataFrame:
+    """``calibrate`` per group; a group holds the standards of one run, a few hundred rows.
+
+    ``points`` lists what the line was laid through and ``left_out`` the rest, as (real, lib).
+    """
     import pandas as pd
 
-    fields = [*keys, "slope", "intercept", "r2", "selected"]
+    fields = [*keys, "slope", "intercept", "r2", "selected", "points", "left_out"]
     types = dict(df.dtypes)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = calibrate(pdf[lib].to_numpy(float), pdf[real].to_numpy(float))
-        return pd.DataFrame([[*key, r["slope"], r["intercept"], r["r2"], int(r["selected"].sum())]], columns=fields)
+        x, y = pdf[real].to_numpy(float), pdf[lib].to_numpy(float)
+        r = calibrate(y, x, loss=loss)
+        sets = [[{"real": a, "lib": b} for a, b, k in zip(x.tolist(), y.tolist(), r["selected"].tolist(), strict=True) if k is side] for side in (True, False)]
+        return pd.DataFrame([[*key, r["slope"], r["intercept"], r["r2"], int(r["selected"].sum()), *sets]], columns=fields)
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "slope double, intercept double, r2 double, selected long"])
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "slope double, intercept double, r2 double, selected long, points array<struct<real:double,lib:double>>, left_out array<struct<real:double,lib:double>>"])
     return df.select(*keys, lib, real).groupBy(*keys).applyInPandas(run, schema)

@@ -150,6 +150,41 @@ def integrate(x: np.ndarray, y: np.ndarray, apex: int, width: float = 5.0) -> tu
     return left, right, float(y[left : right + 1].sum())
 
 
+def moments(y: np.ndarray) -> dict[str, float]:
+    """Sum, mean, population variance and standard deviation of the numbers that are there; zeros if none is."""
+    y = y[~np.isnan(y)]
+    return {"sum": float(y.sum()), "mean": float(y.mean()), "variance": float(y.var()), "sd": float(y.std())} if len(y) else dict.fromkeys(("sum", "mean", "variance", "sd"), 0.0)
+
+
+def first_at_least(x: np.ndarray, target: float) -> int:
+    """Index of the first of ascending numbers that is not below ``target``; -1 if there is none."""
+    i = int(np.searchsorted(x, target, "left"))
+    return i if i < len(x) else -1
+
+
+def around(x: np.ndarray, low: float, high: float) -> tuple[int, int]:
+    """Indexes of the first and last of ascending numbers in [low, high]; (-1, -1) if none lies there."""
+    a, b = int(np.searchsorted(x, low, "left")), int(np.searchsorted(x, high, "right")) - 1
+    return (a, b) if a <= b else (-1, -1)
+
+
+def adaptive_sum(mz: np.ndarray, y: np.ndarray, target: float, reach: float = 0.01) -> float:
+    """Intensity of the peak nearest to ``target``, within ``reach``: its flanks go on while they fall and gaps stay under twice the peak's own."""
+    if not len(mz):
+        return 0.0
+    k = int(np.abs(mz - target).argmin())
+    if abs(mz[k] - target) > reach:
+        return 0.0
+    last = len(mz) - 1
+    left, right = max(k - 1, 0), min(k + 1, last)
+    pace = 2 * min(mz[k] - mz[left], mz[right] - mz[k])
+    while left > 0 and mz[left] - mz[left - 1] < pace and y[left] > y[left - 1]:
+        left -= 1
+    while right < last and mz[right + 1] - mz[right] < pace and y[right] > y[right + 1]:
+        right += 1
+    return float(y[left : right + 1].sum())
+
+
 def standardise(y: np.ndarray) -> np.ndarray:
     sd = y.std()
     return (y - y.mean()) / sd if sd > 0 else np.zeros(len(y))

@@ -60,7 +60,18 @@ def spectra_by_window(spectra: DataFrame, windows: DataFrame, margin: float = 1.
     return two.unionByName(one.select("run_id", "window_id", "level", "rt", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity")))
 
 
-def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray, one: list[K.Spectrum], ppm: float = 15, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0, picker: str = "counts") -> list[dict]:
+def _aligned(y: np.ndarray, rt1: np.ndarray, rt: np.ndarray, how: str, start: float, end: float) -> np.ndarray:
+    """MS1 intensities at MS2 times: of the nearest scan, or scan by scan within the range, with zeros added or the last ones dropped (order)."""
+    if how == "order":
+        own = y[(rt1 >= start) & (rt1 <= end)][: len(rt)]
+        return np.concatenate([own, np.zeros(len(rt) - len(own), own.dtype)])
+    if len(rt1) < 2:
+        return y[np.zeros(len(rt), int)]
+    at = np.clip(np.searchsorted(rt1, rt), 1, len(rt1) - 1)
+    return y[np.where(rt - rt1[at - 1] < rt1[at] - rt, at - 1, at)]
+
+
+def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray, one: list[K.Spectrum], ppm: float = 15, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0, picker: str = "counts", align: str = "nearest") -> list[dict]:
     """Scored peak groups of one coordinate; one retry in a wider range with a lower count threshold."""
     frags = {f["cut_info"]: f for f in c.fragments}
     for extra, limit in ((0.0, high), (widen, retry_high)):
@@ -75,10 +86,8 @@ def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray,
             return []
         own = K.chromatograms(scans, np.array([c.mz]), ppm)[0]
         ms1 = None
-        if len(rt1):  # aligned by the nearest scan
-            at = np.clip(np.searchsorted(rt1, rt), 1, max(1, len(rt1) - 1)) if len(rt1) > 1 else np.zeros(len(rt), int)
-            at = np.where((len(rt1) > 1) & (rt - rt1[at - 1] < rt1[at] - rt), at - 1, at) if len(rt1) > 1 else at
-            ms1 = K.chromatograms(one, np.array([c.mz]), ppm)[0][at]
+        if len(rt1):
+            ms1 = _aligned(K.chromatograms(one, np.array([c.mz]), ppm)[0], rt1, rt, align, c.rt_start - extra, c.rt_end + extra)
         mods = {int(k): float(x) for k, x in dict(c.mods or {}).items()}
         most = np.max(list(eics.values()), axis=0)
         n_low, n_high = K.ion_counts(scans, K.series_masses(c.sequence, mods, int(c.charge)), most, low, limit)
@@ -96,8 +105,12 @@ def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray,
     return []
 
 
-def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker: str = "counts") -> DataFrame:
-    """Scored peak groups of all coordinates, one task per (run, window); ``picker``: at maxima of the ion counts, or where fragments peak together ("shape")."""
+def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker: str = "counts", align: str = "nearest") -> DataFrame:
+    """Scored peak groups of all coordinates, one task per (run, window).
+
+    ``picker``: at maxima of the ion counts, or where fragments peak together ("shape"); ``align``:
+    MS1 scans go to the nearest MS2 scan, or to that of the same number ("order").
+    """
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         scans: dict[int, tuple[np.ndarray, list[K.Spectrum]]] = {}
@@ -106,7 +119,7 @@ def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker:
             scans[level] = part.rt.to_numpy(float), [K.Spectrum(np.asarray(m, np.float32), np.asarray(y, np.float32)) for m, y in zip(part.mz, part.intensity, strict=True)]
         rows = []
         for c in left.itertuples():
-            for i, g in enumerate(analyse_peptide(c, scans[2][0], scans[2][1], scans[1][0], scans[1][1], ppm, picker=picker)):
+            for i, g in enumerate(analyse_peptide(c, scans[2][0], scans[2][1], scans[1][0], scans[1][1], ppm, picker=picker, align=align)):
                 rows.append({"run_id": key[0], "window_id": key[1], "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "idx": i} | {k: g[k] for k in SCORED[5:]})
         return pd.DataFrame(rows, columns=SCORED)
 

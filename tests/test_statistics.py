@@ -124,3 +124,31 @@ def test_filters(spark):
     assert ids(filters.fewer_than("p", 2)) == [1, 3] and ids(filters.contains("p", "y")) == [2] and ids(filters.half_open("i", 1, 3)) == [1, 2]
     assert ids(filters.one_of("i", [1, 2], 3)) == [1, 2] and ids(filters.one_of("i", [1, 2], 3, single_wins=True)) == [3] and ids(filters.not_prefixed("p", "x")) == [3]
     assert [r.i for r in filters.page(df, [F.col("i")], 2, 2).collect()] == [3] and filters.exists(df, F.col("i") == 2)
+
+
+def test_fits_and_point_sets(spark):
+    rng = np.random.default_rng(4)
+    x = np.arange(40.0)
+    y = 2 * x + 5 + rng.normal(0, 0.1, 40)
+    y[[3, 30]] += 40
+    lines = {k: learning.robust_line(x, y, 0.5, k) for k in ("huber", "log", "squares")}
+    assert abs(lines["log"][0] - 2) < 0.01 and abs(lines["huber"][0] - 2) < 0.02
+    assert lines["squares"] == pytest.approx(tuple(np.polyfit(x, y, 1)))
+    losses = lambda a, b: sum(r * r / 2 if r <= 0.5 else (np.log(r / 0.5) + 0.5) * 0.25 for r in np.abs(y - a * x - b))
+    assert losses(*lines["log"]) <= min(losses(lines["log"][0] + d, lines["log"][1] - 20 * d) for d in (-0.01, 0.01))
+    df = spark.createDataFrame([("r", float(a), float(b)) for a, b in zip(x, y, strict=True)], "run string, x double, y double")
+    r = learning.calibrate_groups(df, ["run"], "y", "x", "log").first()
+    assert r.selected == len(r.points) and len(r.points) + len(r.left_out) == 40
+
+
+def test_small_kernels():
+    assert series.moments(np.array([1.0, np.nan, 3.0])) == {"sum": 4.0, "mean": 2.0, "variance": 1.0, "sd": 1.0} and series.moments(np.array([np.nan]))["sd"] == 0
+    x = np.array([1.0, 2.0, 4.0])
+    assert [series.first_at_least(x, t) for t in (0, 2, 3, 5)] == [0, 1, 2, -1] and series.around(x, 1.5, 4) == (1, 2) and series.around(x, 2.5, 3) == (-1, -1)
+    mz, y = np.array([100.0, 100.002, 100.004, 100.006, 100.05]), np.array([1.0, 5.0, 9.0, 4.0, 7.0])
+    assert series.adaptive_sum(mz, y, 100.0045) == 19.0 and series.adaptive_sum(mz, y, 100.03) == 0.0 and series.adaptive_sum(mz[:0], y[:0], 1.0) == 0.0
+
+
+def test_found_under(spark):
+    df = spark.createDataFrame([("a", 0.001), ("a", 0.5), ("b", 0.2)], "run string, fdr double")
+    assert {r.run: r.found for r in fdr.found_under(df, ["run"], "fdr").collect()} == {"a": 1, "b": 0}

@@ -13,21 +13,25 @@ a row. Equal fingerprints are alike at 1.
 
 Defined results: null and empty texts have the fingerprint ``3::``, alike to one another only; a
 fingerprint depends on the text alone, so repeated rows agree; in ``with_next`` rows of equal ids
-follow each other in the order of their texts, null ids come first, and a single row is its own
-next; an empty table gives an empty result; further columns are ignored.
+follow each other in the order of a hash of their texts (of equal ones in that of the texts), null
+ids come first, and a single row is its own next; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionflow.llm.common import let
+
 SMALLEST, LENGTH, WINDOW = 3, 64, 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _RUN = re.compile(r"(.)\1{3,}", re.S)
@@ -156,27 +160,43 @@ def with_next(docs: DataFrame, buckets: int | None = None, id_col: str = "doc_id
 
     The text meets the next row by ascending id (the first after the last) in one shuffle: quantiles
     of the ids cut the table into buckets, and the first row of each bucket goes along, once more,
-    to the bucket before it. ``edited`` is the text with its last quarter replaced by the next one's
+    to the bucket before it. An id that fills more than one bucket, null for instance, is dealt to
+    as many by the hash of the text. ``edited`` is the text with its last quarter replaced by the next one's
     beginning of that length.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("id", F.lit([i / buckets for i in range(1, buckets)]), max(10_000, 4 * buckets)).alias("c")).first()["c"] if buckets > 1 else []
-    cuts = sorted(set(cuts or []))
+    times = Counter(cuts or [])
+    cuts = sorted(times)
+    # A cut that comes up m times is an id that fills m buckets: its rows go to m of them by their hash, larger ids to one more.
+    parts = [1] + [times[c] if times[c] > 1 else 0 for c in cuts]
+    offsets = list(accumulate((m + 1 if k and m else 1 for k, m in enumerate(parts)), initial=0))
+    count = offsets.pop()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
     bucket = F.lit(0)
     if cuts:  # binary search
         bounds, steps = F.lit(cuts), F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
         bucket = F.aggregate(steps, F.lit(0), lambda acc, step: F.when(F.col("id") >= F.get(bounds, acc + step - 1), acc + step).otherwise(acc))
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())  # one row per bucket
-    head, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
-    for k, (b, i) in enumerate(firsts):
-        head[b], before[b] = i, firsts[k - 1][0]
-    leads = F.col("id") == F.get(F.array(*[F.lit(x).cast("long") for x in head]), F.col("bucket"))
+
+        def part_of(b: Column) -> Column:
+            many = F.get(F.lit(parts), b)
+            own = F.least(F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * many).cast("int"), many - 1)
+            inside = F.when((b == 0) | (many == 0), 0).when(F.col("id") == F.get(bounds, b - 1), own).otherwise(many)
+            return F.get(F.lit(offsets), b) + inside
+
+        bucket = let(bucket, part_of)
+    rows = rows.withColumn("bucket", bucket.cast("int"))
+    firsts = sorted((r["bucket"], r["first"]["id"], r["first"]["hash"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("id", "hash")).alias("first")).collect())  # one row per bucket
+    head, mark_of, before = [None] * count, [None] * count, [0] * count
+    for k, (b, i, h) in enumerate(firsts):
+        head[b], mark_of[b], before[b] = i, h, firsts[k - 1][0]
+    known = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("bucket"))
+    leads = (F.col("id") == known(head)) & (F.col("hash") == known(mark_of))
     own, ahead = F.struct("bucket", F.lit(0).alias("copy")), F.struct(F.get(F.lit(before), F.col("bucket")).alias("bucket"), F.lit(1).alias("copy"))
-    dealt = rows.select("id", "doc_id", "text", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
-    ordered = dealt.repartitionById(len(cuts) + 1, F.col("to.bucket").cast("int")).sortWithinPartitions("to", "id", "text").select("to.bucket", "to.copy", "doc_id", "text")
+    dealt = rows.select("id", "hash", "doc_id", "text", F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
+    ordered = dealt.repartitionById(count, F.col("to.bucket")).sortWithinPartitions("to", "id", "hash", "text").select("to.bucket", "to.copy", "doc_id", "text")
     names = ["doc_id", "text", "fingerprint", "edited", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

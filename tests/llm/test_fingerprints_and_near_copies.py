@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -7,6 +8,7 @@ import xxhash
 
 from ionflow.llm import covering_simhash as C
 from ionflow.llm import piecewise_hash as P
+from ionflow.llm import queries
 
 
 def plain_simhash(text):
@@ -215,15 +217,56 @@ def test_common_length():
         assert P.common_length(a, b) == slow(a, b)
 
 
-def test_next_documents(spark, odd, none):
-    rows = P.with_next(odd, buckets=3).collect()
-    order = sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in odd.collect())
+def check_next(df, buckets):
+    rows = P.with_next(df, buckets=buckets).collect()
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
+    order = sorted((r.doc_id if r.doc_id is not None else -(1 << 63), signed(r.text or ""), r.text or "") for r in df.collect())
     want = []
-    for k, (i, t) in enumerate(order):
-        nxt = order[(k + 1) % len(order)][1]
+    for k, (i, _, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][2]
         n = len(t) // 4
         want.append((i, t, t[: len(t) - n] + nxt[:n], P.likeness(P.fingerprint(t), P.fingerprint(nxt))))
     assert sorted((r.doc_id if r.doc_id is not None else -(1 << 63), r.text, r.edited, r.near_next) for r in rows) == sorted(want)
+
+
+def test_next_documents(spark, odd, none):
+    for buckets in (1, 3, 8):
+        check_next(odd, buckets)
     assert P.with_next(none).count() == 0
     one = P.with_next(odd.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_next_documents_of_hot_ids(spark):
+    """Null ids and one id that hold a third of the rows each are dealt to several buckets, in order."""
+    rng = random.Random(2)
+    rows = [((None, 5, i)[i % 3], " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(1, 30)))) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_next(df, 9)
+
+
+def test_fingerprint_query(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(3 * i, " ".join(rng.choice(["alpha", "beta", "gamma", "éa"]) for _ in range(rng.randrange(0, 200))) if i % 9 else None) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_piecewise_hash(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 60
+    for k, (i, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % 60][1] or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + nxt[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), P.fingerprint(t), P.fingerprint(edited))
+        assert r.near_edited == P.likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == P.likeness(r.fingerprint, P.fingerprint(nxt))
+
+
+def test_simhash_query(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(50)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = [(i, " ".join(base[: 300 - i % 3] if i % 2 else [rng.choice(words) for _ in range(i)]) if i % 10 else None) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_covering_simhash(spark, f"file://{tmp_path}").collect()}
+    marks = {i: C.fingerprint(t) for i, t in rows}
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{m:016x}" for i, m in marks.items()}
+    assert {i: r.component_id for i, r in got.items()} == plain_components(marks, 4)

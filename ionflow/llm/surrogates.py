@@ -80,14 +80,18 @@ _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}|:)
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
 _TITLED = re.compile(rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0](?:({_WORD})[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
-_NAMED = re.compile(rf"({'|'.join(sorted({x for names in GIVEN.values() for n in names for x in (n, n.upper())}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
+_NAMED = re.compile(rf"({'|'.join(sorted({n for names in GIVEN.values() for n in names}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
 _LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 # Words that introduce a name, and verbs that follow one.
 BEFORE = "my name is|name|signed|sincerely|regards|contact person|on behalf of|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε".split("|")
 AFTER = "wrote|writes|said|says|asked|replied|answered|signed|called|lives|schrieb|schreibt|sagte|sagt|fragte|antwortete|écrit|dit|demande|répond|escribió|dijo|preguntó|respondió|написал|написала|сказал|сказала|έγραψε|είπε".split("|")
 _FULL = rf"({_WORD})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)"
 _INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(BEFORE)}))[ \xa0]?[:,]?[ \xa0\n]{_FULL}")
-_SPEAKING = re.compile(rf"{_FULL}(?=[ \xa0](?:{'|'.join(AFTER)})(?!\w))")
+_SPEAKS = re.compile(rf"[ \xa0](?:{'|'.join(AFTER)})(?!\w)")
+_SPEAKER = re.compile(rf"(?<![^\W\d_]){_FULL}\Z")
+_CAPITALS = re.compile(r"[A-ZÀ-ÞА-ЯЁΑ-Ω]{2,}[ \xa0](?:[A-Z]\.[ \xa0])?[A-ZÀ-ÞА-ЯЁΑ-Ω]{2,}")
+_NAMED_IN_CAPITALS = re.compile(rf"({'|'.join(sorted({n.upper() for names in GIVEN.values() for n in names}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
+_NAME_LENGTH = 120
 # Words that a heading may capitalise after a given name; alone they are no names.
 PLAIN = frozenset("a an the of in on at by to for from with and or but is was are were has had as he she it they who der die das und oder in im von mit ist war hat zu le la les de du des et ou est un une dans par el los las y en es con del por".split())
 
@@ -269,6 +273,20 @@ def dress(kind: str, mention: str, value: str) -> str:
     return value.upper() if ":" in mention and kind == "ip" and mention.isupper() else value
 
 
+def _full_names(text: str, low: str) -> Iterator[re.Match]:
+    """Matches of full names in their contexts; the dearer patterns are only tried where a cheap look finds their cue."""
+    yield from _TITLED.finditer(text)
+    yield from _NAMED.finditer(text)
+    if _CAPITALS.search(text):
+        yield from _NAMED_IN_CAPITALS.finditer(text)
+    if any(w in low for w in BEFORE):
+        yield from _INTRODUCED.finditer(text)
+    for cue in _SPEAKS.finditer(text):
+        m = _SPEAKER.search(text, max(0, cue.start() - _NAME_LENGTH), cue.start())
+        if m:
+            yield m
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind) in order; where kinds overlap the first in ``ORDER`` wins."""
     found: list[tuple[int, int, str]] = []
@@ -290,14 +308,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if "::" in text or text.count(":") >= 3:
         found += [(m.start(), m.end(), "ip") for m in _IP6.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if len(m[0].replace(" ", "")) >= 15 and not text[max(0, m.start() - 1) : m.start()].isalnum()]
-    for pattern in (_TITLED, _NAMED, _INTRODUCED, _SPEAKING):
-        for m in pattern.finditer(text):
-            if text[max(0, m.start() - 1) : m.start()].isalnum():
-                continue
-            for g in (1, 2, 3):
-                if m[g] and not (pattern in (_INTRODUCED, _SPEAKING) and m[g].lower() in PLAIN):
-                    given = g == 1 and (pattern is not _TITLED or m[2]) or m[g].lower() in WHOSE
-                    found.append((m.start(g), m.end(g), "given" if given else "surname"))
+    low = text.lower()
+    for m in _full_names(text, low):
+        listed = m.re in (_NAMED, _NAMED_IN_CAPITALS)
+        if text[max(0, m.start() - 1) : m.start()].isalnum():
+            continue
+        for g in (1, 2, 3):
+            if m[g] and (listed or m.re is _TITLED or m[g].lower() not in PLAIN):
+                given = g == 1 and (m.re is not _TITLED or m[2]) or m[g].lower() in WHOSE
+                found.append((m.start(g), m.end(g), "given" if given else "surname"))
     names: dict[str, str] = {}
     for start, end, kind in found:
         if kind in ("given", "surname") and text[start:end].lower() not in PLAIN:

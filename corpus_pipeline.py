@@ -13,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionflow.llm import covering_simhash, host_quality, mixture_packing, string_kernel, surrogates
-from ionflow.llm.common import materialise
+from ionflow.llm.common import drop_all, materialise
 
 TOKENIZER = "word_bpe_49k.json"
+#: Scratch tables of the quality stage. A stage's result is written before the next one begins, which drops them.
+_HELD: list[str] = []
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules, on hosts that are not blocked, without soft failures that count there."""
-    return host_quality.filter_documents(docs)
+    return host_quality.filter_documents(docs, held=_HELD)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the string kernel tells; the rest go."""
+    drop_all(spark, _HELD)
     return string_kernel.filter_documents(docs, string_kernel.fit(docs))
 
 

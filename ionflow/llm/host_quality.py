@@ -120,11 +120,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rate: float = 0.5, trust_rate: float = 0.01) -> DataFrame:
+def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rate: float = 0.5, trust_rate: float = 0.01, held: list[str] | None = None) -> DataFrame:
     """The documents that pass, with exactly their own columns.
 
     Each text is measured once: the documents are written with their host and their failures, as a
     set of bits, and what each host holds against its documents, another set, is joined by host.
+    The path of what was written is added to ``held``; it may be dropped once the result is stored.
     """
     host, salt, failed, counts = (free_name(docs, k) for k in ("host", "salt", "failed", "counts"))
     bit = lambda c, n: F.when(c, 1 << n).otherwise(0)
@@ -135,7 +136,7 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return F.lit(1 << 3) + bit(fails["base"], 0) + bit(fails["symbols"], 1) + bit(fails["lines"], 2)
 
     spread = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALT)).cast("int")
-    rows = materialise(docs.withColumns({host: host_of(F.col(source_col)), salt: spread, failed: F.coalesce(let(measures(F.col(text_col)), bits), F.lit(0))}), "quality")
+    rows = materialise(docs.withColumns({host: host_of(F.col(source_col)), salt: spread, failed: F.coalesce(let(measures(F.col(text_col)), bits), F.lit(0))}), "quality", held)
     marks = rows.select(F.col(host).alias("host"), *[(F.col(failed).bitwiseAND(F.lit(1 << order[r])) > 0).alias(f"{r}_failed") for r in RULES])
     verdicts = host_verdicts(marks, block_rate, trust_rate)
     against = F.lit(1) + bit(F.col("symbols_counts"), 1) + bit(F.col("lines_counts"), 2) + bit(F.col("host_blocked"), 3)

@@ -85,3 +85,23 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, "right")))
         yield at, end
         at = end
+
+
+def whole_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str, *more: Column) -> DataFrame:
+    """(vec_id long, x array<long>, *more): the rows whose vector has only finite entries, each entry c as floor(scale * c).
+
+    Rows of a null vector or with a null or non-finite entry go, and so do those with an entry whose
+    product is beyond 2^62, since it is no long. Vectors of a space have one length: where a table
+    mixes lengths, that of most rows counts (of equals the larger) and rows of other lengths go.
+    """
+    entries = F.col(vector_col).cast("array<double>")
+    good = F.col(vector_col).isNotNull() & F.forall(entries, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) * scale < float(1 << 62)))
+    rows = df.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(entries, lambda c: F.floor(c * scale)).alias("x"), *more)
+    lengths = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.col("count").desc(), F.col("size").desc()).limit(1).collect()
+    return rows.where(F.size("x") == (lengths[0]["size"] if lengths else 0))
+
+
+def rows_of(column: pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))

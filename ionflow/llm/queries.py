@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionflow.llm import covering_simhash, host_quality, mixture_packing, piecewise_hash, resharding, secret_scan, string_kernel, surrogates, tree_bpe, warc
+from ionflow.llm import covering_simhash, host_quality, mixture_packing, ngram_join, piecewise_hash, resharding, secret_scan, string_kernel, surrogates, tree_bpe, vector_codes, warc, whitening
 from ionflow.llm.common import materialise, scratch_path, table
 
 
@@ -89,6 +89,19 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", covering_simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("code", vector_codes.hex_code("code"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_secret_scan": op2_secret_scan,
@@ -100,8 +113,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_flow_resharding": op8_flow_resharding,
     "op9_tree_bpe": op9_tree_bpe,
     "op10_covering_simhash": op10_covering_simhash,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_lanczos_whitening": op12_lanczos_whitening,
+    "op13_elkan_codes": op13_elkan_codes,
 }
 
+def _lloyd(rounds: int) -> str:
+    """DuckDB text of plain Lloyd's algorithm: each round compares every part with every entry."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT r, part, min({{'d': list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m FROM p JOIN b{k} USING (part) GROUP BY r, part)")
+        if k < rounds:
+            steps.append(f"s{k} AS (SELECT part, m.e AS e, i, sum(y[i + 1]) AS s, count(*) AS n FROM a{k} JOIN (SELECT r, part, y, unnest(range(len(y))) AS i FROM p) USING (r, part) GROUP BY part, m.e, i)")
+            steps.append(f"b{k + 1} AS (SELECT part, e, coalesce(f, c) AS c FROM b{k} LEFT JOIN (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS f FROM s{k} GROUP BY part, e) USING (part, e))")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+o AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, * FROM v),
+p AS (SELECT r, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS y FROM o, (SELECT unnest(range(4)) AS part)),
+b0 AS (SELECT part, r - 1 AS e, y AS c FROM p WHERE r <= 256),
+{",\n".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds}),
+f AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN o USING (r), h
+"""
+
+
 SQL: dict[str, str] = {
     "op1_host_quality": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
@@ -132,4 +169,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   host_docs, base_failures, host_blocked
 FROM f JOIN v USING (host)
 """,
+    "op11_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT r, ws, unnest(range(1, len(ws) - 2)) AS p FROM d WHERE len(ws) >= 4),
+g AS (SELECT DISTINCT r, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] || ' ' || ws[p + 3] AS s FROM i
+      UNION ALL SELECT r, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+b AS (SELECT x.r AS r, y.r AS q, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY x.r, y.r),
+l AS (SELECT b.r, b.q FROM b JOIN n x ON x.r = b.r JOIN n y ON y.r = b.q WHERE 100 * c >= 85 * (x.n + y.n - c)),
+z AS (SELECT r, r AS q FROM d UNION SELECT z.r, l.q FROM z JOIN l ON l.r = z.q)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN z ON z.r = d.r JOIN d o ON o.r = z.q GROUP BY d.r, d.doc_id
+""",
+    "op13_elkan_codes": _lloyd(4),
 }

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionflow.llm.common import drop_all, materialise, slices
-from ionflow.llm.covering_simhash import Near, _bucket_edges, _shared, components
+from ionflow.llm.covering_simhash import Near, _bucket_edges, components
 
-STRETCH = 1 << 22
+STRETCH = 1 << 21
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -69,7 +69,7 @@ def shingle_sets(texts: list[str | None], shingle: int, words: dict) -> list[np.
 def _sets(batches: Iterator[pa.RecordBatch], column: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     words = _Words()
     for b in batches:
-        for start, end in slices(b.column(column), 4 << 20):
+        for start, end in slices(b.column(column), 2 << 20):
             part = b.slice(start, end - start)
             yield part, shingle_sets(part.column(column).to_pylist(), shingle, words)
 
@@ -176,11 +176,19 @@ def do_link(percent: int):
     return compare
 
 
-def tiles(keyed: DataFrame, held: list[str]) -> DataFrame:
-    """(key, node) of the shingles that several classes have; of shingles with the same members one stays."""
-    sums = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64("node", F.lit(s)).cast("decimal(38,0)")).alias(f"s{s}") for s in (0, 1)]).where("n > 1")
-    chosen = sums.groupBy("n", "s0", "s1").agg(F.min("key").alias("key"))
-    return materialise(keyed.join(chosen.select("key").hint("merge"), "key", "left_semi"), "tiles", held)
+def tiles(classes: DataFrame, percent: int, held: list[str]) -> DataFrame:
+    """(key, n, node): tiles of two classes and more; of tiles with the same members one stays.
+
+    Rows are dealt by shingle once and by tile once; counts and rows come from the same exchange.
+    """
+    keyed = classes.select("node", "size", F.explode("prefix").alias("shingle")).repartition("shingle")
+    shared = keyed.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = keyed.join(shared.hint("merge"), "shingle")
+    band = F.floor(F.log(F.col("size")) / F.lit(float(-np.log(percent / 100) * (1 + 1e-9)))).cast("long")
+    banded = materialise(rows.select(F.explode(F.array(F.xxhash64("shingle", band), F.xxhash64("shingle", band + 1))).alias("key"), "node"), "banded", held).repartition("key")
+    sums = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]).where("n > 1")
+    chosen = materialise(sums.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key", "n"), "chosen", held)
+    return banded.join(chosen.hint("merge"), "key").select("key", "n", "node")
 
 
 def similar(docs: DataFrame, shingle: int = 4, percent: int = 85, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,15 +207,11 @@ def similar(docs: DataFrame, shingle: int = 4, percent: int = 85, block: int = 2
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), *first], ["doc_id", "node", "size", "prefix", "sign"])
 
     marks = materialise(rows.mapInArrow(run, "doc_id long, node long, size long, prefix array<long>, sign binary"), "marks", held)
-    classes = materialise(marks.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size")), "classes", held)
-    # A class may have been met by several tasks: its prefixes are equal, so distinct pairs are enough, and one bitmap.
-    keyed = materialise(marks.where("prefix IS NOT NULL").select("node", F.explode("prefix").alias("key")).distinct(), "prefixes", held)
-    chosen = tiles(keyed, held)
-    signs = marks.where("sign IS NOT NULL").select("node", "size", "sign").join(chosen.select("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("sign").alias("sign"))
-    signs = materialise(signs, "signs", held)
-    band = F.floor(F.log(F.col("size")) / F.lit(float(-np.log(percent / 100) * (1 + 1e-9)))).cast("long")
-    banded = chosen.join(signs.hint("merge"), "node").select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"), "node", "size", "sign")
-    candidates = materialise(components(_bucket_edges(_shared(banded, "bands", held), may_link(percent), block, held).distinct()), "candidates", held)
+    # A class may have been met by several tasks: one of its equal prefixes and bitmaps stays.
+    firsts = marks.where("prefix IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sign").alias("sign"))
+    classes = materialise(firsts, "classes", held)
+    members = tiles(classes, percent, held).join(classes.select("node", "size", "sign").hint("merge"), "node").select("key", "n", "node", "size", "sign")
+    candidates = materialise(components(_bucket_edges(members, may_link(percent), block, held).distinct()), "candidates", held)
 
     sizes = candidates.groupBy(F.col("root").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     inside = candidates.withColumnRenamed("root", "key").join(sizes.hint("merge"), "key")
@@ -227,7 +231,8 @@ def similar(docs: DataFrame, shingle: int = 4, percent: int = 85, block: int = 2
     texts = materialise(grams, "grams", held)
     roots = materialise(components(_bucket_edges(texts.select("key", "n", "node", "grams"), do_link(percent), max(1, block // 4), held)), "roots", held)
 
-    found = classes.select("node", "first").join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = marks.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    found = least.join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     labels = materialise(found.join(found.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("node", "component_id"), "labels")
     result = marks.select("doc_id", "node", "size").join(labels.hint("merge"), "node", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = materialise(result, "similar")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionflow.llm.common import drop_all, drop_path, materialise, scratch_path
+from ionflow.llm.common import drop_all, drop_path, free_name, materialise, scratch_path
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -290,28 +290,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: in
     return marks.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Odd numbers to mix hashes with.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
-    """SimHash of 64 * ``words`` bits of distinct features, given by 64-bit hashes; zero without features."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words if len(hashes) else 0):
-        counts = np.zeros(BITS, np.int64)
-        for start in range(0, len(hashes), _CHUNK):
-            x = (hashes[start : start + _CHUNK] ^ _ODD[k % 8]) * (_ODD[(k + 3) % 8] + np.uint64(2 * (k // 8)))
-            x = (x ^ (x >> np.uint64(29))) * _ODD[(k + 5) % 8]
-            x ^= x >> np.uint64(32)
-            counts += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-    return out
-
-
-def limit_for(similarity: float, bits: int) -> int:
-    """Differing bits at which two feature sets of this Jaccard similarity are expected: their cosine is 2 s / (1 + s)."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def shingles(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -332,19 +314,8 @@ def minima(hashes: np.ndarray, count: int, seed: int = 11) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The distinct upper 40 bits of sorted hashes: two shingles of a pair of texts with some thousand meet in about one pair of a hundred thousand."""
-    return np.unique(hashes >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _alike(sets: list[np.ndarray], similarity: float) -> Near:
-    """Rows whose sets of distinct hashes have an exact Jaccard similarity of ``similarity`` and more with that of row ``i``; empty sets are equal.
+    """Rows whose sets of distinct hashes have a Jaccard similarity of ``similarity`` and more with that of row ``i``; empty sets are equal.
 
     An inverted index gives the intersections with all rows at once.
     """
@@ -375,30 +346,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact similarity of two sets of sorted distinct hashes; two empty ones are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 def covering_positions() -> list[list[int]]:
     """The positions that each of 7 tables keeps of 7 symbols: the construction of ``covering_masks`` for radius 2."""
     return [[i for i in range(7) if ((i + 1) & v).bit_count() % 2] for v in range(1, 8)]
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 6, least: float = 0.5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: list[str] | None = None) -> DataFrame:
-    """(doc_id, component_id) of near copies: the components of all pairs whose distinct shingles have a Jaccard similarity of ``similarity`` and more.
+def _near_classes(docs: DataFrame, shingle: int, similarity: float, rounds: int, least: float, block: int, id_col: str, text_col: str, held: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, node) of the documents, and (node, lead) of their classes: ``lead`` is the least (missing, doc_id, key) of the component.
 
-    A SimHash within a few bits would only tell copies that are almost equal or edited word by word.
-    So each round covers 7 MinHash values of the shingles for radius 2: two texts meet in one of its
-    7 tables whenever at most 2 of the 7 differ. At 0.8 one round misses 14.8 % of pairs and 6 rounds
-    miss 11 in a million, wherever the texts differ. Pairs of a bucket that agree in the share
-    ``least`` of all values (at 0.8 fewer agree in about 2 pairs of a million) and whose numbers of
-    shingles allow it are candidates, and within components of candidates the pairs are confirmed
-    by their exact similarity; only there are the shingles needed.
-
-    Texts without words are copies of one another. The joins are merged at every size: none of
-    their sides has a bound. ``held`` gathers the paths of the scratch tables.
+    ``key`` is a hash of the whole text, ``node`` one of its set of shingles.
     """
     count = 7 * rounds
 
@@ -407,11 +363,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, roun
         for b in batches:
             for start in range(0, b.num_rows, 512):
                 part = b.slice(start, 512)
-                sets = [shingles(t.as_py(), shingle) for t in part.column(1)]
+                sets = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
-                columns = [part.column(0), pa.array(np.arange(row, row + len(sets))), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array([minima(x, count).tobytes() for x in sets], pa.binary()), pa.array([packed(x) for x in sets], pa.binary())]
+                columns = [part.column(0), part.column(1), pa.array(np.arange(row, row + len(sets))), pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array([minima(x, count).tobytes() for x in sets], pa.binary()), pa.array([packed(x) for x in sets], pa.binary())]
                 row += len(sets)
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "node", "size", "sign", "grams"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "row", "node", "size", "sign", "grams"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [[7 * r + i for i in kept] for r in range(rounds) for kept in covering_positions()]
@@ -439,10 +395,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, roun
 
         return near
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = materialise(rows.mapInArrow(run, "doc_id long, row long, node long, size int, sign binary, grams binary"), "marks", held)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    marks = materialise(rows.mapInArrow(run, "doc_id long, key long, row long, node long, size int, sign binary, grams binary"), "marks", held)
     # Equal shingles are one class, whose hash stands for it in all that follows; one row of it brings the shingles.
-    classes = materialise(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sign").alias("sign")), "classes", held)
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key"))
+    classes = materialise(marks.groupBy("node").agg(lead.alias("lead"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("sign").alias("sign")), "classes", held)
     shared = _shared(classes.select("node", "sign").mapInArrow(keyed, "node long, key long"), "buckets", held)
     members = shared.join(classes.select("node", "sign", "size").hint("merge"), "node").select("key", "n", "node", "sign", "size")
     wide = materialise(components(_bucket_edges(members, agree, block, held).distinct()), "candidates", held)
@@ -451,26 +408,64 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, roun
     texts = materialise(marks.select("row", "grams").join(inside.hint("merge"), "row").select("key", "n", "node", "grams"), "texts", held)
     edges = _bucket_edges(texts, lambda grams: _alike(list(map(unpacked, grams)), similarity), max(1, block // 4), held)
     roots = materialise(components(edges), "roots", held)
-    found = classes.select("node", "first").join(roots.hint("merge"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    labels = found.join(found.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("node", "component_id")
-    return marks.select("doc_id", "node").join(labels.hint("merge"), "node").select("doc_id", "component_id")
+    found = classes.select("node", "lead").join(roots.hint("merge"), "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
+    labels = found.join(found.groupBy("root").agg(F.min("lead").alias("first")).hint("merge"), "root").select("node", F.col("first").alias("lead"))
+    return marks.select("doc_id", "key", "node"), labels
+
 
+def text_key(text_col: str):
+    """Hash of a whole text; null for a null one."""
+    text = F.col(text_col).cast("string")
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document (all columns) of each component of ``near_copies``: that with the smallest id.
 
-    Of rows that repeat the leading id one stays; rows with a null id have no identity and all stay.
-    The leaders are about as many as the documents, so they are merged with them and never broadcast.
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 6, least: float = 0.5, block: int = 2048, id_col: str = "doc_id", text_col: str = "text", held: list[str] | None = None) -> DataFrame:
+    """(doc_id, component_id) of near copies: the components of all pairs whose distinct shingles have a Jaccard similarity of ``similarity`` and more.
+
+    A SimHash within a few bits would only tell copies that are almost equal or edited word by word.
+    So each round covers 7 MinHash values of the shingles for radius 2: two texts meet in one of its
+    7 tables whenever at most 2 of the 7 differ. At 0.8 one round misses 14.8 % of pairs and 6 rounds
+    miss 11 in a million, wherever the texts differ. Pairs of a bucket that agree in the share
+    ``least`` of all values (at 0.8 fewer agree in about 2 pairs of a million) and whose numbers of
+    shingles allow it are candidates, and within components of candidates the pairs are confirmed
+    by the similarity of their shingles, each known by 40 bits of its hash; only there are the
+    shingles needed.
+
+    Texts without words are copies of one another. A component is named by its smallest id; one in
+    which all ids are missing has none. The joins are merged at every size: none of their sides has
+    a bound. ``held`` gathers the paths of the scratch tables.
+    """
+    rows, labels = _near_classes(docs, shingle, similarity, rounds, least, block, id_col, text_col, [] if held is None else held)
+    return rows.join(labels.hint("merge"), "node").select("doc_id", F.col("lead.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, rounds: int = 6, least: float = 0.5, block: int = 2048) -> DataFrame:
+    """One document (all columns) of each component of ``near_copies``: that with the smallest id, of equal ids that with the smallest hash of its text.
+
+    Rows are told apart by id and text: different texts under one id, or without an id, are judged
+    as any others, and a row without an id stays only where no row of its component has one. Of rows
+    that repeat id and text of the leader one stays. The leaders are about as many as the documents,
+    so they are merged with them and never broadcast.
     """
     held: list[str] = []
-    found = near_copies(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, held=held, **options)
-    leaders = materialise(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_col)).agg(F.count(F.lit(1)).alias("n")), "leaders")
+    rows, labels = _near_classes(docs, shingle, similarity, rounds, least, block, id_col, text_col, held)
+    of, key, many = (free_name(docs, n) for n in ("_of", "_key", "_many"))
+    counts = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    chosen = labels.select("lead.doc_id", "lead.key").distinct()
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["key"].eqNullSafe(b["key"])
+    leaders = materialise(chosen.join(counts.hint("merge"), same(chosen, counts)).select(chosen["doc_id"].alias(of), chosen["key"].alias(key), (F.col("n") > 1).alias(many)), "leaders")
     drop_all(docs.sparkSession, held)
-    kept = docs.join(leaders.where("n = 1").select(id_col).hint("merge"), id_col, "left_semi")
-    again = leaders.where("n > 1")
+
+    def of_leaders(some: DataFrame) -> DataFrame:
+        meet = F.col(id_col).cast("long").eqNullSafe(some[of]) & text_key(text_col).eqNullSafe(some[key])
+        return docs.join(some.hint("merge"), meet, "left_semi")
+
+    kept = of_leaders(leaders.where(~F.col(many)))
+    again = leaders.where(many)
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again.select(id_col).hint("merge"), id_col, "left_semi").dropDuplicates([id_col]))
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+        repeated = of_leaders(again).withColumns({of: F.col(id_col).cast("long"), key: text_key(text_col)})
+        kept = kept.unionByName(repeated.dropDuplicates([of, key]).drop(of, key))
+    return kept.select(docs.columns)
 
 
 def hex_fingerprint(fp):

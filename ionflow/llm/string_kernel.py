@@ -6,7 +6,7 @@ bits per length. The kernel of two texts sums, over the lengths, the shared n-gr
 geometric mean of the texts' own numbers.
 
 Training takes a bounded sample (``per_class`` documents of each label, those with the smallest
-hash of their id), of which ``landmarks`` per label span a Nyström feature space: K(x, L) times
+hash of their id and text, each pair of them once), of which ``landmarks`` per label span a Nyström feature space: K(x, L) times
 the inverse square root of K(L, L). One ridge regression per label against all others is solved
 there. Scoring multiplies a batch of presence vectors with the landmarks' vectors, scales by the
 norms, and multiplies with the weights: two matrix products per batch.
@@ -15,8 +15,10 @@ The score is the share of the winning label among the clipped, squared one-versu
 
 Defined results: a null text and one without letters get ``und`` at score 0; whole texts of any
 length are read, in stretches; texts of equal letters get equal results, so repeats and ties do
-too (the first label in order wins a tie); without any labelled rows all are ``und``; an empty
-table gives an empty result; columns of the input other than id and text never reach the model's
+too (the first label in order wins a tie); without any labelled rows all are ``und``, and
+``filter_documents`` keeps every text with a letter, since nothing can be told; of more than
+``max_labels`` labels those of most rows are learned; a label has its sample however often ids or
+texts repeat; an empty table gives an empty result; columns of the input other than id and text never reach the model's
 predictions.
 """
 
@@ -96,7 +98,7 @@ class Model:
 
     def __init__(self, labels: list[str], packed: np.ndarray, weights: np.ndarray):
         self.labels, self.packed, self.weights = labels, packed, weights
-        self._ready = None
+        self.rows, self._ready = 0, None
 
     def _landmarks(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per length: the buckets that some landmark has, and the landmarks' scaled vectors there."""
@@ -141,31 +143,46 @@ def in_fold(id_col: str, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % folds == 0
 
 
+def ridge_weights(k: np.ndarray, landmarks: np.ndarray, y: np.ndarray, labels: int, ridge: float) -> np.ndarray:
+    """Weights (landmark, label) of one-versus-rest ridge regressions in the Nyström space of the landmarks.
+
+    ``k`` is the kernel of all rows with the landmarks, which are rows too; every label weighs the same.
+    """
+    values, vectors = np.linalg.eigh(k[landmarks] / 2 + k[landmarks].T / 2)
+    good = values > values.max() * 1e-6
+    root = vectors[:, good] / np.sqrt(values[good])  # Nyström map
+    phi = k @ root
+    weight = 1 / np.bincount(y, minlength=labels)[y]
+    targets = np.where(y[:, None] == np.arange(labels), 1.0, -1.0)
+    left = phi.T @ (phi * weight[:, None]) + ridge * labels / len(y) * np.eye(phi.shape[1])
+    return root @ np.linalg.solve(left, phi.T @ (targets * weight[:, None]))
+
+
 def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 32, ridge: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_labels: int = 1000) -> Model | None:
     """Fit on labelled rows that are not held out. At most ``per_class`` documents of each of ``max_labels`` labels reach the driver, as bit vectors."""
+    text = F.col(text_col).cast("string")
+    # Of a pair of id and text that repeats, all rows share one order and count once.
+    order = F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 1)
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~in_fold(id_col))
-    known = known.select(F.col(label_col).cast("string").alias("label"), F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 1).alias("order"), F.col(id_col).alias("id"))
-    counts = known.groupBy("label").count().limit(max_labels + 1).collect()
-    if len(counts) > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
+    known = known.select(F.col(label_col).cast("string").alias("label"), order.alias("order"), text.alias("text"))
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("order", 0.02).alias("n")).orderBy(F.col("rows").desc(), "label").limit(max_labels).collect()
     if not counts:
         return None
-    # Hashes are spread evenly, so about twice as many rows as wanted pass this bound, however many there are.
-    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min((1 << 63) - 1, (2 * per_class << 63) // r["count"]))])
+    # Orders are spread evenly, so about twice as many pairs as wanted lie under this bound, however many there are.
+    bound = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min((1 << 63) - 1, (2 * per_class << 63) // max(1, r["n"])))])
     near = known.where(F.col("order") <= F.element_at(bound, F.col("label")))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("order", "id"))
-    chosen = materialise(near.withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "id").distinct(), "sample")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("order"))
+    chosen = materialise(near.select("label", "order").distinct().withColumn("rank", rank).where(F.col("rank") <= per_class).select("label", "order"), "sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _rows(batches, 1):
+        for part, texts in _rows(batches, 2):
             flags, letters = presence(texts)
             bits = np.packbits(flags, axis=1)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(letters), part.column(2)], ["label", "bits", "letters", "id"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(letters)], ["label", "order", "bits", "letters"])
 
-    # The sample's size is bounded by per_class and max_labels, so its ids may be broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
-    picked = texts.join(F.broadcast(chosen), ["id", "label"]).select("label", "text", F.col("id").cast("string"))
-    rows = sorted(picked.mapInArrow(vectors, "label string, bits binary, letters boolean, id string").where("letters").collect(), key=lambda r: (r["label"], r["id"], r["bits"]))
+    # The sample's size is bounded by per_class and max_labels, so its keys may be broadcast; rows of one pair are equal, and one of them stays.
+    picked = near.join(F.broadcast(chosen), ["label", "order"]).groupBy("label", "order").agg(F.first("text").alias("text"))
+    rows = sorted(picked.mapInArrow(vectors, "label string, order long, bits binary, letters boolean").where("letters").collect(), key=lambda r: (r["label"], r["order"]))
     if not rows:
         return None
     labels = sorted({r["label"] for r in rows})
@@ -174,14 +191,7 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 32, ridge: float
     chosen_rows = np.concatenate([np.flatnonzero(y == i)[:landmarks] for i in range(len(labels))])
     model = Model(labels, packed[chosen_rows], np.zeros((len(chosen_rows), len(labels))))
     k = np.concatenate([model.kernel(np.unpackbits(packed[i : i + 256], axis=1).astype(bool)) for i in range(0, len(packed), 256)]).astype(np.float64)
-    values, vectors_ = np.linalg.eigh(k[chosen_rows] / 2 + k[chosen_rows].T / 2)
-    good = values > values.max() * 1e-6
-    root = vectors_[:, good] / np.sqrt(values[good])  # Nyström map
-    phi = k @ root
-    weight = 1 / np.bincount(y, minlength=len(labels))[y]
-    targets = np.where(y[:, None] == np.arange(len(labels)), 1.0, -1.0)
-    left = phi.T @ (phi * weight[:, None]) + ridge * len(labels) / len(rows) * np.eye(phi.shape[1])
-    model.weights = root @ np.linalg.solve(left, phi.T @ (targets * weight[:, None]))
+    model.weights, model.rows = ridge_weights(k, chosen_rows, y, len(labels), ridge), len(rows)
     return model
 
 
@@ -205,7 +215,9 @@ def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], list
 
 
 def filter_documents(docs: DataFrame, model: Model | None, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose language is told with at least ``min_score``, with exactly their own columns."""
+    """The documents whose language is told with at least ``min_score``, with exactly their own columns; without a model, those with a letter."""
+    if model is None:
+        return docs.where(F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,10 +84,33 @@ def test_keep_one(spark, odd, none):
     kept = C.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(0) == 1 and ids.count(None) == 2 and 1 not in ids
+    assert ids.count(0) == 1 and None not in ids and 1 not in ids  # rows without an id are copies of rows with one
     assert C.keep_one(none).count() == 0
 
 
+def test_keep_one_goes_by_row(spark):
+    """Different texts under one id, copies under several, and rows without an id, against every pair."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefgh"}
+    close = text["g"].replace("g30", "other")
+    rows = [(7, "a"), (7, "b"), (3, "d"), (9, "d"), (9, "e"), (None, "a"), (None, "f"), (None, "f"), (9, "e"), (None, "h"), (5, None), (6, ""), (None, None)]
+    data = [(i, text.get(t, t), n) for n, (i, t) in enumerate(rows)] + [(20, close, 100), (4, text["g"], 101), (4, text["g"], 102), (4, close, 103)]
+    sets = [frozenset(tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)) for _, t, _ in data]
+    alike = lambda x, y: x == y or (x and y and len(x & y) >= 0.8 * len(x | y))
+    root = list(range(len(data)))
+    for _ in data:
+        root = [min(root[j] for j in range(len(data)) if alike(sets[i], sets[j])) for i in range(len(data))]
+    kept = C.keep_one(spark.createDataFrame(data, "doc_id long, text string, n long").repartition(3))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    want = {}
+    for (i, t, _), r in zip(data, root, strict=True):
+        want.setdefault(r, []).append((i is None, i or 0, i, t))
+    assert len(got) == len(want) == len(set(root))
+    for rows_ in want.values():
+        least = min(x[:2] for x in rows_)
+        assert sum((x[2], x[3]) in got for x in {y for y in rows_ if y[:2] == least}) == 1
+    assert not [g for g in got if g[0] is None and g[1] not in (text["f"], text["h"])]
+
+
 def test_block_edits_are_near_copies(spark):
     rng, fresh = random.Random(5), itertools.count()
     docs, want, far = [], [], []
@@ -177,16 +200,6 @@ def test_packed_shingles():
     assert (C.unpacked(C.packed(x)) == x >> np.uint64(24)).all() and len(C.unpacked(C.packed(x[:0]))) == 0
 
 
-def test_wide_simhash_estimates():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
-    for j in (0.9, 0.8, 0.6):
-        n = int(2000 * (1 - j) / (1 + j))
-        b = np.concatenate([a[n:], rng.integers(0, 1 << 63, n).astype(np.uint64)])
-        d = np.bitwise_count(C.wide_simhash(a, 8) ^ C.wide_simhash(b, 8)).sum()
-        assert abs(int(d) - C.limit_for(j, 512)) < 30
-
-
 def test_fingerprints(spark, odd, none):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]

@@ -5,6 +5,8 @@ import itertools
 import random
 import zlib
 
+import numpy as np
+
 import pytest
 
 from ionflow.llm import queries
@@ -91,6 +93,38 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and not {2, 3, 8, 9} & {r.doc_id for r in kept.collect()}
 
 
+def test_sample_holds_when_ids_repeat(spark):
+    """One id with thousands of rows, equal or not, costs no label its sample and sends no more rows to the driver."""
+    ids = list(range(400))
+    fold = {r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").where(K.in_fold("doc_id")).collect()}
+    own = [i for i in ids if i not in fold]
+    rng = random.Random(1)
+    en, de = LANGS["xa"].split(), LANGS["xb"].split()
+    make = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(own[0], make(en), "en") for _ in range(2000)] + [(own[1], "the same words again and again", "en")] * 2000 + [(i, make(de), "de") for i in own[2:52]]
+    model = K.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_class=40, landmarks=8)
+    assert model.labels == ["de", "en"] and model.rows == 80
+    few = K.fit(spark.createDataFrame([*rows, (own[60], "drei", "xx")], "doc_id long, text string, lang string"), per_class=40, landmarks=8, max_labels=2)
+    assert few.labels == ["de", "en"]  # the labels of most rows
+
+
+def test_ridge_against_least_squares():
+    """The weights are those of the weighted, padded least-squares system of the Nyström features."""
+    rng = np.random.default_rng(0)
+    x = rng.random((30, 12)) < 0.4
+    gram = (x.astype(float) @ x.T + np.eye(30)) / 12
+    y, landmarks, ridge = np.arange(30) % 3, np.arange(0, 30, 3), 0.05
+    k = gram[:, landmarks]
+    weights = K.ridge_weights(k, landmarks, y, 3, ridge)
+    values, vectors = np.linalg.eigh(gram[np.ix_(landmarks, landmarks)])
+    phi = k @ vectors @ np.diag(values**-0.5)
+    for label in range(3):
+        w = np.sqrt(1 / np.bincount(y)[y])
+        padded = np.vstack([phi * w[:, None], np.sqrt(ridge * 3 / 30) * np.eye(len(landmarks))])
+        beta = np.linalg.lstsq(padded, np.concatenate([np.where(y == label, 1.0, -1.0) * w, np.zeros(len(landmarks))]), rcond=None)[0]
+        assert np.allclose(k @ weights[:, label], phi @ beta, atol=1e-9)
+
+
 def test_kernel_is_the_named_one():
     """Kernel values against sets of n-grams, for texts without hash collisions to speak of."""
     texts = ["abc abd", "abd xyz", "qrs"]

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionflow.functions import peptides as P
@@ -83,8 +80,9 @@ def read_msms(spark: SparkSession, path: str, largest: bool = True) -> DataFrame
     raw = raw.toDF(*[P.header(c) for c in raw.columns]).withColumn("order", F.monotonically_increasing_id())
     modified = F.regexp_replace(F.regexp_replace(F.regexp_replace("modifiedsequence", "_", ""), r"\((?i:ox|oxidation( \(M\))?)\)", "(UniMod:35)"), r"\((?i:ac|acetyl( \(.*?\))?)\)", "(UniMod:1)")
     rows = raw.withColumn("ref", F.concat_ws("_", modified, "charge")).withColumn("pep", F.col("pep").try_cast("double"))
-    w = Window.partitionBy("ref").orderBy(F.col("pep").desc() if largest else F.col("pep"), "order")
-    best = rows.withColumn("k", F.row_number().over(w)).where("k = 1")
+    # A minimum over a struct aggregates before rows move; missing values come last either way.
+    first = F.struct(F.col("pep").isNull().alias("missing"), (-F.col("pep") if largest else F.col("pep")).alias("o"), "order", F.struct(*[f"`{c}`" for c in rows.columns]).alias("row"))
+    best = rows.groupBy("ref").agg(F.min(first).alias("m")).select("m.row.*")
     ions = F.arrays_zip(F.split("matches", ";").alias("ion"), F.split("masses", ";").alias("mass"), F.split("intensities", ";").alias("intensity"))
     f = best.select("*", modified.alias("full_name"), F.posexplode(ions).alias("at", "i")).where(F.col("i.ion").rlike("^[by]") & ~F.col("i.ion").contains("-"))
     return peptide_table(f.select(
@@ -114,51 +112,6 @@ def protein_links(df: DataFrame) -> DataFrame:
     return df.withColumn("uniprot_link", F.when(known, F.concat(F.lit("https://www.uniprot.org/uniprot/"), F.element_at(parts, 2)))).withColumn("alphafold_link", F.when(known, F.concat(F.lit("https://alphafold.ebi.ac.uk/entry/"), F.element_at(parts, 2))))
 
 
-def read_run_index(spark: SparkSession, path: str) -> DataFrame:
-    """Block index of a run's JSON file: one row per block with level, window and times."""
-    raw = spark.read.option("multiLine", True).json(path)
-    return raw.select(F.explode("indexList").alias("b")).select("b.*")
-
-
-def decode_mz(data: bytes) -> np.ndarray:
-    """Sorted m/z values: compressed little-endian 32-bit differences in thousandths."""
-    return (np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int64) / 1000).astype(np.float32)
-
-
-def decode_intensity(data: bytes, log10: bool = False) -> np.ndarray:
-    values = np.frombuffer(zlib.decompress(data), "<f4")
-    return np.power(np.float32(10), values) if log10 else values
-
-
-def encode_mz(values: np.ndarray) -> bytes:
-    ints = np.round(np.asarray(values, float) * 1000).astype(np.int64)
-    return zlib.compress(np.diff(ints, prepend=0).astype("<i4").tobytes())
-
-
-def read_spectra(spark: SparkSession, index: DataFrame, data_path: str, log10: bool = False) -> DataFrame:
-    """Spectra of a run's binary file by its block index (level, startPtr, rts, mzs, ints: compressed sizes of each scan's arrays, which lie in turn).
-
-    Tasks read only the byte ranges of their blocks.
-    """
-    from pyarrow import fs
-
-    def run(batches):
-        import pyarrow as pa
-
-        system, inner = fs.FileSystem.from_uri(data_path) if ":" in data_path else (fs.LocalFileSystem(), data_path)
-        with system.open_input_file(inner) as f:
-            for b in batches:
-                for level, window, at, rts, mzs, ints in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    out = []
-                    for rt, m, i in zip(rts, mzs, ints, strict=True):
-                        out.append((level, window, float(rt), decode_mz(f.read_at(m, at)), decode_intensity(f.read_at(i, at + m), log10)))
-                        at += m + i
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.float32())), pa.array([x[4] for x in out], pa.list_(pa.float32()))], ["level", "window_id", "rt", "mz", "intensity"])
-
-    blocks = index.select(F.col("level").cast("int"), F.col("window_id").cast("int"), F.col("startPtr").cast("long"), "rts", "mzs", "ints")
-    return blocks.mapInArrow(run, "level int, window_id int, rt double, mz array<float>, intensity array<float>")
-
-
 def read_unimod(spark: SparkSession, path: str) -> DataFrame:
     """id, name and masses of an OBO file's terms."""
     raw = spark.read.option("lineSep", "[Term]").text(path)

@@ -149,14 +149,6 @@ def test_fasta_and_chemistry(spark, tmp_path):
     assert one(spark, L.format_pairs(L.parse_pairs(F.lit("a:1;b:2.5;")))) == "a:1.0;b:2.5"
 
 
-def test_spectrum_codecs():
-    mz = np.array([100.001, 250.5, 999.123])
-    assert L.decode_mz(L.encode_mz(mz)) == pytest.approx(mz, abs=1e-4)
-    import zlib
-
-    assert L.decode_intensity(zlib.compress(np.array([1, 2], "<f4").tobytes()), log10=True).tolist() == [10, 100]
-
-
 def test_tables(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"), ["k"])
     t.insert(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0)], "k long, s string, v double"))

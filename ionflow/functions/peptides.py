@@ -79,8 +79,10 @@ def annotation(s: Column) -> Column:
     )
 
 
-def header(name: str) -> str:
-    """A column name of a library file in normal form."""
+def header(name: str | Column) -> str | Column:
+    """A column name of a library file, or a column of such names, in normal form: lower case without quotes and blanks."""
+    if isinstance(name, Column):
+        return F.lower(F.regexp_replace(name, r'[\s"]', ""))
     return "".join(name.lower().replace('"', "").split())
 
 

@@ -85,7 +85,7 @@ def metrics(p: DataFrame, share: float) -> DataFrame:
     n = by_p.agg(F.sum("targets").alias("n")).first()["n"]
     null = share * n
     clip = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0))
-    m = running(by_p, "p", {"n_positive": ("sum", "targets")})
+    m = running(by_p, "p", {"n_positive": ("sum", "targets")}, settled=True)
     negative = F.lit(n) - F.col("n_positive")
     fp, fn = F.col("p") * null, negative - (1 - F.col("p")) * null
     m = m.select(
@@ -94,7 +94,7 @@ def metrics(p: DataFrame, share: float) -> DataFrame:
         clip(fp / F.col("n_positive")).alias("fdr"), F.when(negative == 0, 0.0).otherwise(clip(fn / negative)).alias("fnr"),
         clip((F.col("n_positive") - fp) / F.lit(float(n) - null) if n != null else F.lit(0.0)).alias("sensitivity"),
     )
-    m = running(settle(m).withColumn("capped", F.least("raw", F.lit(1.0))), "p", {"q_value": ("min", "capped")}, descending=True)
+    m = running(settle(m).withColumn("capped", F.least("raw", F.lit(1.0))), "p", {"q_value": ("min", "capped")}, descending=True, settled=True)
     return running(m, "p", {"s_value": ("max", "sensitivity")}).drop("raw", "capped")
 
 

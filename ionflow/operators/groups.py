@@ -69,9 +69,10 @@ def percentiles(df: DataFrame, group: str, value: str, percents: range = range(1
     group is gathered or sorted in one task. Each value tells by arithmetic which percentiles need it.
     """
     from ionflow.operators.ordered import running
+    from ionflow.operators.settle import settle
 
-    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running(counts, value, {"upto": ("sum", "c")}, keys=[group]).join(counts.groupBy(group).agg(F.sum("c").alias("n")), group)
+    counts = settle(df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c")))
+    ranked = running(counts, value, {"upto": ("sum", "c")}, keys=[group], settled=True).join(counts.groupBy(group).agg(F.sum("c").alias("n")), group)
     pos = lambda pct: F.least(F.greatest(pct / 100.0 * (F.col("n") + 1), F.lit(1.0)), F.col("n").cast("double"))
     within = lambda rank: (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))
     # Percentiles that may need ranks (upto - c, upto]; the least and largest value serve those off the ends too.

@@ -6,8 +6,11 @@ a matrix of the columns' number squared reaches the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Score columns of a peak group, in order; fixed names.
@@ -28,78 +31,104 @@ def weighted(weights: dict[str, float]) -> Column:
 
 def least_squares(df: DataFrame, columns: list[str], label: str, muted: tuple[str, ...] = MUTED) -> dict[str, float]:
     """Weights of the least-squares fit of the label without intercept; muted columns get zero."""
-    return least_squares_by(df.withColumn("_all", F.lit(0)), ["_all"], columns, label, muted).get((0,), dict.fromkeys(columns, 0.0))
+    found = least_squares_by(df.withColumn("_all", F.lit(0)), ["_all"], columns, label, muted).first()
+    return dict(zip(columns, found["w"], strict=True)) if found else dict.fromkeys(columns, 0.0)
+
 
+def least_squares_by(df: DataFrame, by: list[str], columns: list[str], label: str, muted: tuple[str, ...] = MUTED) -> DataFrame:
+    """(by..., w array<double>): ``least_squares`` of each group (a run), in the order of ``columns``.
 
-def least_squares_by(df: DataFrame, by: list[str], columns: list[str], label: str, muted: tuple[str, ...] = MUTED) -> dict[tuple, dict[str, float]]:
-    """``least_squares`` of each group: one aggregate for all, one row of sums per group (a run) to the driver."""
+    One aggregate adds up the normal equations of all groups; each group's row is solved where it lies.
+    """
     used = [c for c in columns if c not in muted]
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used}
-    cross = [F.sum(x[a] * x[b]).alias(f"x{i}_{j}") for i, a in enumerate(used) for j, b in enumerate(used) if i <= j]
-    right = [F.sum(x[a] * F.col(label)).alias(f"y{i}") for i, a in enumerate(used)]
-    out = {}
-    for row in df.groupBy(*by).agg(*cross, *right).toLocalIterator():
-        m = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(used))] for i in range(len(used))])
-        w = np.linalg.pinv(m) @ np.array([row[f"y{i}"] or 0.0 for i in range(len(used))])
-        out[tuple(row[k] for k in by)] = {c: float(w[used.index(c)]) if c in used else 0.0 for c in columns}
-    return out
+    pairs = [(i, j) for i in range(len(used)) for j in range(i, len(used))]
+    sums = [*[F.sum(x[used[i]] * x[used[j]]) for i, j in pairs], *[F.sum(x[a] * F.col(label)) for a in used]]
+    names = [f"_s{i}" for i in range(len(sums))]
+    rows = df.groupBy(*by).agg(*[s.alias(n) for s, n in zip(sums, names, strict=True)])
+    rows = rows.select(*by, F.array(*[F.coalesce(n, F.lit(0.0)) for n in names]).alias("w"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s in b.column(len(by)).to_pylist():
+                m, w = np.zeros((len(used), len(used))), np.zeros(len(columns))
+                for (i, j), v in zip(pairs, s, strict=False):
+                    m[i, j] = m[j, i] = v
+                w[[columns.index(c) for c in used]] = np.linalg.pinv(m) @ np.array(s[len(pairs) :])
+                out.append(w.tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=b.schema.names)
+
+    return rows.mapInArrow(solve, rows.schema)
 
 
-def with_total(df: DataFrame, by: list[str], weights: dict[tuple, dict[str, float]], columns: list[str], name: str) -> DataFrame:
+def weight_table(spark: SparkSession, by: list[str], weights: dict[tuple, dict[str, float]], columns: list[str], types: dict[str, str]) -> DataFrame:
+    """Weights by hand as a table of ``least_squares_by``."""
+    return spark.createDataFrame([(*k, [float(w[c]) for c in columns]) for k, w in weights.items()], ", ".join([*(f"`{k}` {types[k]}" for k in by), "w array<double>"]))
+
+
+def with_total(df: DataFrame, by: list[str], weights: DataFrame | dict[tuple, dict[str, float]], columns: list[str], name: str) -> DataFrame:
     """``df`` with the weighted sum of each row under its group's weights; rows of groups without weights go."""
-    types = dict(df.dtypes)
-    table = df.sparkSession.createDataFrame([(*k, [w[c] for c in columns]) for k, w in weights.items()], ", ".join([*(f"`{k}` {types[k]}" for k in by), "_w array<double>"]))
+    if isinstance(weights, dict):
+        weights = weight_table(df.sparkSession, by, weights, columns, dict(df.dtypes))
     scores = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
     total = F.aggregate(F.zip_with(scores, "_w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return df.join(table, by).withColumn(name, total).drop("_w")  # one row per run
+    return df.join(weights.withColumnRenamed("w", "_w"), by).withColumn(name, total).drop("_w")
+
+
+def training_rows(top: DataFrame, by: list[str], decoy: str, total: str, fdr: float, small: DataFrame) -> DataFrame:
+    """Of the best rows per peptide all decoys (label 0) and the targets from a cutoff on (label 1), run by run.
 
+    The cutoff is the score whose q-value lies nearest to ``fdr`` (0.02 at most in the runs of
+    ``small``); under 100 targets it is the middle between the best decoy and the best target, none
+    of them below zero.
+    """
+    from ionflow.operators.fdr import levels_by, rates_by
+
+    value = F.col(total).cast("double")
+    rates = rates_by(levels_by(top, by, total, decoy), by)
+    few = small.select(*by, F.lit(min(fdr, 0.02)).alias("_rate"))
+    near = rates.join(few, by, "left").withColumn("_rate", F.coalesce("_rate", F.lit(fdr)))
+    near = near.groupBy(*by).agg(F.min_by("score", F.struct(F.abs(F.col("q_value") - F.col("_rate")).alias("d"), F.col("score").alias("s"))).alias("cut"))
+    best = lambda kind: F.greatest(F.max(F.when(kind, value)), F.lit(0.0))
+    tops = top.groupBy(*by).agg(F.sum(F.when(F.col(decoy), 0).otherwise(1)).alias("n"), ((best(F.col(decoy)) + best(~F.col(decoy))) / 2).alias("middle"))
+    cuts = tops.join(near, by, "left").select(*by, F.when(F.col("n") < 100, F.col("middle")).otherwise(F.col("cut")).alias("cut"))
+    rows = top.join(cuts, by).where(F.col(decoy) | (value >= F.col("cut")))
+    return rows.drop("cut").withColumn("label", F.when(F.col(decoy), 0.0).otherwise(1.0))
+
+
+def small_runs(df: DataFrame, by: list[str], group: str, decoy: str) -> DataFrame:
+    """Runs of under 500 peptides and decoys."""
+    return df.select(*by, group, decoy).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n < 500").select(*by)
 
-def train(df: DataFrame, by: list[str], group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED) -> dict[tuple, dict[str, float]]:
-    """Semi-supervised weights of each run in ``by``, as if it were alone: best rows per group, decoys against targets over a cutoff.
+
+def train(df: DataFrame, by: list[str], group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED) -> DataFrame:
+    """(by..., w): semi-supervised weights of each run in ``by``, as if it were alone: best rows per group, decoys against targets over a cutoff.
 
     The first weights set all decoys (best by ``first``) against one ideal target; the next round's
     replace them, and from then on new weights are blended with the last ones. A run with under 500
-    peptides and decoys makes 10 rounds at most, at a rate of 0.02; under 100 targets the cutoff is
-    the middle between the best decoy and the best target, none of them below zero.
+    peptides and decoys makes 10 rounds at most; see ``training_rows`` for the cutoffs. Weights are
+    a table of one row per run in every round; nothing of them passes through the driver.
     """
-    from ionflow.operators.fdr import levels_by, rates_by
     from ionflow.operators.groups import best
+    from ionflow.operators.settle import cut, drop, settle
 
-    runs = df.select(*by).distinct()
-    ideal = runs.select(*by, *[F.lit(IDEAL.get(c, 0.0)).alias(c) for c in columns], F.lit(1.0).alias("label"))
+    df = settle(df)
+    ideal = df.select(*by).distinct().select(*by, *[F.lit(IDEAL.get(c, 0.0)).alias(c) for c in columns], F.lit(1.0).alias("label"))
     decoys = best(df.where(F.col(decoy)), [*by, group], first, [F.col(columns[0])], columns).select(*by, *columns).withColumn("label", F.lit(0.0))
-    weights = least_squares_by(decoys.unionByName(ideal), by, columns, "label", muted)
-    small = {tuple(r[k] for k in by) for r in df.select(*by, group, decoy).distinct().groupBy(*by).count().where("count < 500").toLocalIterator()}  # runs
+    weights = cut(least_squares_by(decoys.unionByName(ideal), by, columns, "label", muted))
+    small = cut(small_runs(df, by, group, decoy))
     for turn in range(iterations):
-        top = best(with_total(df, by, weights, columns, "_total"), [*by, group, decoy], "_total", [F.col(columns[0])], [*columns, "_total"]).cache()
-        total = F.col("_total").cast("double")
-        rates = rates_by(levels_by(top, by, "_total", decoy), by)
-        few = runs.join(runs.sparkSession.createDataFrame([(*k, True) for k in small], ", ".join([*(f"`{k}` {dict(df.dtypes)[k]}" for k in by), "few boolean"])), by, "left").select(*by, F.when(F.col("few"), min(fdr, 0.02)).otherwise(fdr).alias("rate"))
-        near = rates.join(few, by).groupBy(*by).agg(F.min_by("score", F.struct(F.abs(F.col("q_value") - F.col("rate")).alias("d"), F.col("score").alias("s"))).alias("cut"))
-        tops = top.groupBy(*by).agg(F.sum(F.when(F.col(decoy), 0).otherwise(1)).alias("n"), ((F.greatest(F.max(F.when(F.col(decoy), total)), F.lit(0.0)) + F.greatest(F.max(F.when(~F.col(decoy), total)), F.lit(0.0))) / 2).alias("middle"))
-        cuts = tops.join(near, by, "left").select(*by, F.when(F.col("n") < 100, F.col("middle")).otherwise(F.col("cut")).alias("cut"))
-        rows = top.join(cuts, by).where(F.col(decoy) | (total >= F.col("cut"))).withColumn("label", F.when(F.col(decoy), 0.0).otherwise(1.0))
-        new = least_squares_by(rows, by, columns, "label", muted)
-        top.unpersist()
-        for k, w in new.items():
-            if turn == 0:
-                weights[k] = w
-            elif turn < 10 or k not in small:
-                weights[k] = {c: blend * w[c] + (1 - blend) * weights[k][c] for c in columns}
+        top = cut(best(with_total(df, by, weights, columns, "_total"), [*by, group, decoy], "_total", [F.col(columns[0])], [*columns, "_total"]))
+        new = least_squares_by(training_rows(top, by, decoy, "_total", fdr, small), by, columns, "label", muted).withColumnRenamed("w", "_new")
+        if turn >= 10:
+            new = new.join(small, by, "left_anti")
+        mixed = F.col("_new") if turn == 0 else F.zip_with("_new", "w", lambda a, b: blend * a + (1 - blend) * b)
+        last, weights = weights, cut(weights.join(new, by, "left").select(*by, F.when(F.col("_new").isNull(), F.col("w")).otherwise(mixed).alias("w")))
+        drop(last, top)
     return weights
 
 
-def boosted(df: DataFrame, columns: list[str], label: str, rounds: int = 40, depth: int = 5, rate: float = 0.1, seed: int = 7):
-    """Gradient-boosted trees on the score columns: a fitted pipeline whose ``transform`` adds probability and prediction."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = df.na.fill(0.0, columns)
-    stages = [VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)]
-    return Pipeline(stages=stages).fit(filled)
-
-
 def line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and R squared of y on x per group."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionflow.operators.settle import settle
+
 KINDS = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
 JOINED = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
 
@@ -23,14 +25,29 @@ def range_bucket(df: DataFrame, column: str, buckets: int) -> Column:
     cuts = sorted(set(cuts or []))
     if not cuts:
         return F.lit(0)
-    steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
     value = F.col(column).cast("double")
-    return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(value >= F.get(F.lit(cuts), acc + step - 1), acc + step).otherwise(acc))
+    if len(cuts) > 256:  # too many conditions to compile: a search through an array
+        steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(value >= F.get(F.lit(cuts), acc + step - 1), acc + step).otherwise(acc))
+
+    def halved(low: int, high: int) -> Column:
+        """Bucket among ``low`` to ``high``: nested conditions, which are compiled where a fold over an array is not."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value >= cuts[mid], halved(mid + 1, high)).otherwise(halved(low, mid))
+
+    return halved(0, len(cuts))
+
 
+def running(df: DataFrame, order: str, wanted: dict[str, tuple[str, str]], descending: bool = False, exclusive: bool = False, buckets: int | None = None, keys: list[str] | None = None, settled: bool = False) -> DataFrame:
+    """``df`` with running aggregates; ``wanted``: new column -> (sum, min, max or count; column). ``order`` must be unique, within the values of ``keys`` (not null) if there are any.
 
-def running(df: DataFrame, order: str, wanted: dict[str, tuple[str, str]], descending: bool = False, exclusive: bool = False, buckets: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """``df`` with running aggregates; ``wanted``: new column -> (sum, min, max or count; column). ``order`` must be unique, within the values of ``keys`` (not null) if there are any."""
+    The input is read three times (for the cuts, the totals and the rows), so it is computed once
+    beforehand, unless it is ``settled`` already.
+    """
     keys = list(keys or [])
+    df = df if settled else settle(df)
     df = df.withColumn("_bucket", range_bucket(df, order, buckets or bucket_count(df)))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     across = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket")).rowsBetween(Window.unboundedPreceding, -1)

@@ -49,20 +49,23 @@ def nearest(marks: DataFrame, events: DataFrame, mark: str, at: str, span: float
     return best.select(mark, *on, *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
-def window_sums(points: DataFrame, windows: DataFrame, point: str, low: str, high: str, columns: list[str], on: list[str] | None = None) -> DataFrame:
-    """Each window with the sums of ``columns`` over the points in [low, high] of its values of ``on`` (not null), without forming pairs: differences of running sums.
+def window_sums(points: DataFrame, windows: DataFrame, point: str, low: str, high: str, columns: list[str], on: list[str] | None = None, closed: str = "both") -> DataFrame:
+    """Each window with the sums of ``columns`` over the points in [low, high] (closed both) or (low, high) (neither) of its values of ``on`` (not null), without forming pairs: differences of running sums.
 
     Windows in which no point lies have sums of zero; sums are exact for whole numbers.
     """
+    if closed not in ("both", "neither"):
+        raise ValueError(closed)
     on = list(on or [])
-    windows = windows.where(F.col(low) <= F.col(high))
+    windows = windows.where(F.col(low) <= F.col(high) if closed == "both" else F.col(low) < F.col(high))
     at = points.where(F.col(point).isNotNull()).select(*on, F.col(point).alias("_at"), *columns)
     for bound in (low, high):
         at = at.unionByName(windows.select(*on, F.col(bound).alias("_at"), *[F.lit(0).cast("long").alias(c) for c in columns]))
-    values = at.groupBy(*on, "_at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns])
-    run = settle(ordered.running(values, "_at", {f"_to_{c}": ("sum", c) for c in columns}, keys=on))
-    below = run.select(*on, F.col("_at").alias(low), *[(F.col(f"_to_{c}") - F.col(c)).alias(f"_below_{c}") for c in columns])
-    upto = run.select(*on, F.col("_at").alias(high), *[f"_to_{c}" for c in columns])
+    values = settle(at.groupBy(*on, "_at").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]))
+    run = settle(ordered.running(values, "_at", {f"_to_{c}": ("sum", c) for c in columns}, keys=on, settled=True))
+    before = lambda c: F.col(f"_to_{c}") - F.col(c)
+    below = run.select(*on, F.col("_at").alias(low), *[(before(c) if closed == "both" else F.col(f"_to_{c}")).alias(f"_below_{c}") for c in columns])
+    upto = run.select(*on, F.col("_at").alias(high), *[(F.col(f"_to_{c}") if closed == "both" else before(c)).alias(f"_to_{c}") for c in columns])
     return windows.join(below, [*on, low]).join(upto, [*on, high]).select(*windows.columns, *[(F.col(f"_to_{c}") - F.col(f"_below_{c}")).alias(c) for c in columns])
 
 

@@ -1,18 +1,24 @@
 """Analysis of a run: coordinates, chromatograms, peak groups, scores, weights, identification.
 
-Spectra meet their peptides by (run, window); one cogroup does extraction, picking and scoring, so
-spectra are shipped once per window. MS1 scans go to each window as the slice of its m/z range.
+Spectra meet their peptides in tiles. A tile is a stretch of time of one isolation window of a run,
+with a bounded number of coordinates whose middle lies in it; scans are copied to the tiles that
+need them. One cogroup per tile does extraction, picking and scoring, all chromatograms of a tile
+at once. MS1 scans go to each window as the slice of its m/z range.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.functions import kernels as K
-from ionflow.operators import fdr, groups, learning, ranges, series
+from ionflow.operators import boosting, fdr, groups, learning, ranges, series
 from ionflow.operators.settle import settle
 from ionflow.plans import crossrun
 
@@ -66,33 +72,57 @@ def _aligned(y: np.ndarray, rt1: np.ndarray, rt: np.ndarray, how: str, start: fl
         own = y[(rt1 >= start) & (rt1 <= end)][: len(rt)]
         return np.concatenate([own, np.zeros(len(rt) - len(own), own.dtype)])
     if len(rt1) < 2:
-        return y[np.zeros(len(rt), int)]
+        return y[np.zeros(len(rt), int)]  # of one scan, that one
     at = np.clip(np.searchsorted(rt1, rt), 1, len(rt1) - 1)
     return y[np.where(rt - rt1[at - 1] < rt1[at] - rt, at - 1, at)]
 
 
-def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray, one: list[K.Spectrum], ppm: float = 15, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0, picker: str = "counts", align: str = "nearest") -> list[dict]:
-    """Scored peak groups of one coordinate; one retry in a wider range with a lower count threshold."""
+@dataclass
+class Tile:
+    """Scans of one tile, in order of time, and the chromatograms of all its coordinates: fragments and precursor in MS2, precursor in MS1."""
+
+    rt2: np.ndarray
+    two: list[K.Spectrum]
+    rt1: np.ndarray
+    one: list[K.Spectrum]
+    coords: list[SimpleNamespace]
+    ppm: float
+
+    def __post_init__(self):
+        masses = [[*(f["mz"] for f in {f["cut_info"]: f for f in c.fragments}.values()), c.mz] for c in self.coords]
+        self.starts = np.concatenate([[0], np.cumsum([len(m) for m in masses])]).astype(int)
+        every = np.array([m for own in masses for m in own], float)
+        self.curves = K.chromatograms(self.two, every, self.ppm)
+        self.precursors = K.chromatograms(self.one, np.array([c.mz for c in self.coords], float), self.ppm)
+
+    def fragments(self, i: int, part: slice) -> np.ndarray:
+        return self.curves[self.starts[i] : self.starts[i + 1] - 1, part]
+
+    def own(self, i: int, part: slice) -> np.ndarray:
+        return self.curves[self.starts[i + 1] - 1, part]
+
+
+def analyse_peptide(tile: Tile, i: int, low: float = 50, high: float = 300, widen: float = 200.0, retry_high: float = 100.0, picker: str = "counts", align: str = "nearest") -> list[dict]:
+    """Scored peak groups of coordinate ``i`` of a tile; one retry in a wider range, with a lower count threshold and always by ion counts."""
+    c = tile.coords[i]
     frags = {f["cut_info"]: f for f in c.fragments}
     for extra, limit in ((0.0, high), (widen, retry_high)):
-        inside = (rt2 >= c.rt_start - extra) & (rt2 <= c.rt_end + extra)
-        scans = [s for s, keep in zip(two, inside, strict=True) if keep]
-        rt = rt2[inside]
+        part = slice(*np.searchsorted(tile.rt2, [c.rt_start - extra, np.nextafter(c.rt_end + extra, np.inf)]))
+        scans, rt = tile.two[part], tile.rt2[part]
         if len(rt) < 5 or not frags:
             return []
-        eics = dict(zip(frags, K.chromatograms(scans, np.array([f["mz"] for f in frags.values()]), ppm), strict=True))
-        eics = {k: y for k, y in eics.items() if y.any()}
+        eics = {k: y for k, y in zip(frags, tile.fragments(i, part), strict=True) if y.any()}
         if len(eics) <= len(frags) // 2:
             return []
-        own = K.chromatograms(scans, np.array([c.mz]), ppm)[0]
+        own = tile.own(i, part)
         ms1 = None
-        if len(rt1):
-            ms1 = _aligned(K.chromatograms(one, np.array([c.mz]), ppm)[0], rt1, rt, align, c.rt_start - extra, c.rt_end + extra)
+        if len(tile.rt1):
+            ms1 = _aligned(tile.precursors[i], tile.rt1, rt, align, c.rt_start - extra, c.rt_end + extra)
         mods = {int(k): float(x) for k, x in dict(c.mods or {}).items()}
         most = np.max(list(eics.values()), axis=0)
         n_low, n_high = K.ion_counts(scans, K.series_masses(c.sequence, mods, int(c.charge)), most, low, limit)
         library = {k: f["intensity"] for k, f in frags.items() if k in eics}
-        if picker == "shape":
+        if picker == "shape" and not extra:
             found = K.groups_at(rt, eics, K.groups_by_shape(rt, eics), n_high, n_low, ms1)
         else:
             found = K.groups_by_counts(rt, eics, list(frags), n_high, n_low, ms1, own)
@@ -105,28 +135,82 @@ def analyse_peptide(c, rt2: np.ndarray, two: list[K.Spectrum], rt1: np.ndarray,
     return []
 
 
-def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker: str = "counts", align: str = "nearest") -> DataFrame:
-    """Scored peak groups of all coordinates, one task per (run, window).
+TILE = ["run_id", "window_id", "tile", "part"]
+WIDEN = 200.0
+
+
+def dealt(coords: DataFrame, spectra: DataFrame, width: float | None = 600.0, block: int = 2500, widen: float = WIDEN) -> tuple[DataFrame, DataFrame]:
+    """Coordinates and scans with the tile and part that they are worked on in.
+
+    A coordinate belongs to the tile of ``width`` seconds that holds the middle of its range; tiles
+    of more than ``block`` coordinates are cut into parts by hash. A part gets the scans from the
+    first start to the last end of its coordinates, each widened for the retry. MS1 scans are looked
+    up by the nearest time, so a part's MS1 range reaches one gap further, and the two first and last
+    MS1 scans of a run are everywhere. Without a ``width`` a window is one tile and one part.
+    """
+    keys = TILE[:2]
+    if width is None:
+        return (df.withColumns({"tile": F.lit(0), "part": F.lit(0)}) for df in (coords, spectra.join(coords.select(*keys).distinct(), keys, "left_semi")))
+    middle = F.floor((F.col("rt_start") + F.col("rt_end")) / 2 / width).cast("int")
+    coords = coords.withColumn("tile", middle)
+    sizes = coords.groupBy(*TILE[:3]).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    coords = coords.join(sizes, TILE[:3]).withColumn("part", F.pmod(F.xxhash64("peptide_ref", "decoy"), F.col("parts")).cast("int")).drop("parts")
+    reach = coords.groupBy(*TILE).agg((F.min("rt_start") - widen).alias("from_rt"), (F.max("rt_end") + widen).alias("to_rt"))
+
+    # Times of a run's MS1 scans are some thousand; their largest gap, and the outermost ones.
+    times = spectra.where("level = 1").select("run_id", "rt").distinct()
+    order = Window.partitionBy("run_id").orderBy("rt")
+    gaps = times.withColumns({"gap": F.col("rt") - F.lag("rt").over(order), "first": F.row_number().over(order), "last": F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("rt").desc()))})
+    largest = gaps.groupBy("run_id").agg(F.coalesce(F.max("gap"), F.lit(0.0)).alias("gap"))
+    outer = gaps.where("first <= 2 OR last <= 2").select("run_id", "rt")
+
+    two = ranges.interval_join(spectra.where("level = 2"), reach, "rt", "from_rt", "to_rt", width, keys, closed="both")
+    reach1 = reach.join(largest, "run_id").select(*TILE, (F.col("from_rt") - F.col("gap")).alias("from_rt"), (F.col("to_rt") + F.col("gap")).alias("to_rt"))
+    far = reach1.join(outer, "run_id").where(~F.col("rt").between(F.col("from_rt"), F.col("to_rt"))).select(*TILE, F.col("rt").alias("from_rt"), F.col("rt").alias("to_rt"))
+    one = ranges.interval_join(spectra.where("level = 1"), reach1.union(far), "rt", "from_rt", "to_rt", width, keys, closed="both")
+    columns = [*spectra.columns, "tile", "part"]
+    return coords, two.select(columns).unionByName(one.select(columns))
+
+
+def _scans(table: pa.Table, level: int) -> tuple[np.ndarray, list[K.Spectrum]]:
+    """Times and spectra of a level in order of time; peaks are views into the table's flat lists."""
+    table = table.combine_chunks()
+    rt, at = table["rt"].to_numpy().astype(float), np.flatnonzero(table["level"].to_numpy() == level)
+    at = at[np.argsort(rt[at], kind="stable")]
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        chunk = table[name].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.float32()))
+        return chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+
+    (mo, m), (yo, y) = lists("mz"), lists("intensity")
+    return rt[at], [K.Spectrum(m[mo[i] : mo[i + 1]], y[yo[i] : yo[i + 1]]) for i in at.tolist()]
+
+
+def peak_groups(coords: DataFrame, spectra: DataFrame, ppm: float = 15, picker: str = "counts", align: str = "nearest", width: float | None = 600.0, block: int = 2500) -> DataFrame:
+    """Scored peak groups of all coordinates, one task per tile (see ``dealt``).
 
     ``picker``: at maxima of the ion counts, or where fragments peak together ("shape"); ``align``:
     MS1 scans go to the nearest MS2 scan, or to that of the same number ("order").
     """
+    numbers = {"window_id": pa.int32(), "decoy": pa.bool_(), "idx": pa.int32(), "ions_low": pa.int32(), "ions_high": pa.int32()}
+    schema = pa.schema([(c, pa.string() if c in ("run_id", "peptide_ref", "best_ion") else numbers.get(c, pa.float64())) for c in SCORED])
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        scans: dict[int, tuple[np.ndarray, list[K.Spectrum]]] = {}
-        for level in (1, 2):
-            part = right[right.level == level].sort_values("rt")
-            scans[level] = part.rt.to_numpy(float), [K.Spectrum(np.asarray(m, np.float32), np.asarray(y, np.float32)) for m, y in zip(part.mz, part.intensity, strict=True)]
+    def run(key, left, right):
+        coords = [SimpleNamespace(**row) for row in left.to_pylist()]
+        tile = Tile(*_scans(right, 2), *_scans(right, 1), coords, ppm)
         rows = []
-        for c in left.itertuples():
-            for i, g in enumerate(analyse_peptide(c, scans[2][0], scans[2][1], scans[1][0], scans[1][1], ppm, picker=picker, align=align)):
-                rows.append({"run_id": key[0], "window_id": key[1], "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "idx": i} | {k: g[k] for k in SCORED[5:]})
-        return pd.DataFrame(rows, columns=SCORED)
+        for i, c in enumerate(coords):
+            for k, g in enumerate(analyse_peptide(tile, i, picker=picker, align=align, widen=WIDEN)):
+                rows.append({"run_id": c.run_id, "window_id": c.window_id, "peptide_ref": c.peptide_ref, "decoy": bool(c.decoy), "idx": k} | {n: g[n] for n in SCORED[5:]})
+        return pa.Table.from_pylist(rows, schema)
 
-    keep = ["run_id", "window_id", "peptide_ref", "decoy", "sequence", "charge", "mz", "rt", "rt_start", "rt_end", "irt_slope", "irt_intercept", "fragments", "mods"]
+    keep = [*TILE, "peptide_ref", "decoy", "sequence", "charge", "mz", "rt", "rt_start", "rt_end", "irt_slope", "irt_intercept", "fragments", "mods"]
     if "mods" not in coords.columns:
         coords = coords.withColumn("mods", F.lit(None).cast("map<int,double>"))
-    return coords.select(*keep).groupBy("run_id", "window_id").cogroup(spectra.groupBy("run_id", "window_id")).applyInPandas(run, SCORED_SCHEMA)
+    left, right = dealt(coords, spectra, width, block)
+    # New names for the keys: they come from the coordinates, and Spark would not tell the two sides apart.
+    scans = right.select(*[F.col(c).alias(c) for c in TILE], "level", F.col("rt").cast("double").alias("rt"), F.col("mz").cast("array<float>").alias("mz"), F.col("intensity").cast("array<float>").alias("intensity"))
+    return left.select(*keep).groupBy(*TILE).cogroup(scans.groupBy(*TILE)).applyInArrow(run, SCORED_SCHEMA)
 
 
 def calibrate_run(peptides: DataFrame, spectra: DataFrame, windows: DataFrame, ppm: float = 15) -> DataFrame:
@@ -139,15 +223,23 @@ def calibrate_run(peptides: DataFrame, spectra: DataFrame, windows: DataFrame, p
     return learning.calibrate_groups(best.join(peptides.select("peptide_ref", F.col("rt").alias("lib_rt")), "peptide_ref"), ["run_id"], "lib_rt", "apex_rt")
 
 
-def identify(scored: DataFrame, cut: float = 0.01, iterations: int = 20, peptides: DataFrame | None = None, scans: DataFrame | None = None) -> DataFrame:
-    """Weights, best group per peptide and rates of each run as if it were alone: run_id, peptide_ref, q_value, fdr, status and the selected group.
+def identify(scored: DataFrame, cut: float = 0.01, iterations: int = 20, peptides: DataFrame | None = None, scans: DataFrame | None = None, learner: str = "linear", trees: boosting.Settings = boosting.Settings()) -> DataFrame:  # noqa: B008
+    """Scores, best group per peptide and rates of each run as if it were alone: run_id, peptide_ref, q_value, fdr, status and the selected group.
+
+    ``learner``: weights of a linear discriminant (``iterations`` rounds), or boosted trees of the
+    shape ``trees`` ("boosted"; two rounds of choosing rows are enough).
 
     With ``peptides`` (peptide_ref, sequence, fingerprints) a second round follows: of two selected
     peptides that look alike and lie next to each other in one window, the weaker one's group is
     taken from it, so its next best is ranked. ``scans`` (run_id, window_id, rt): see ``similar_peaks``.
     """
-    weights = learning.train(scored, ["run_id"], "peptide_ref", list(learning.SCORES), "decoy", iterations=iterations)
-    total = learning.with_total(scored, ["run_id"], weights, list(learning.SCORES), "total_score")
+    if learner == "boosted":
+        total = boosting.rank(scored, ["run_id"], "peptide_ref", list(learning.SCORES), "decoy", iterations=min(iterations, 2), settings=trees)
+    elif learner == "linear":
+        weights = learning.train(scored, ["run_id"], "peptide_ref", list(learning.SCORES), "decoy", iterations=iterations)
+        total = learning.with_total(scored, ["run_id"], weights, list(learning.SCORES), "total_score")
+    else:
+        raise ValueError(learner)
     keep = ["apex_rt", "selected_rt", "intensity_sum", "fit_int_sum", "ms1_sum", "best_ion", "total_score", *(["window_id"] if "window_id" in scored.columns else [])]
 
     def ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +291,7 @@ def predict(peptides: DataFrame, peptide_ref: str, windows: DataFrame, runs: Dat
     return peak_groups(with_decoys(coordinates(one, windows, runs, rt_window)).where("NOT decoy"), spectra, ppm)
 
 
-def reselect(coords: DataFrame, spectra: DataFrame, weights: dict[tuple, dict[str, float]], ppm: float = 15) -> DataFrame:
+def reselect(coords: DataFrame, spectra: DataFrame, weights: DataFrame | dict[tuple, dict[str, float]], ppm: float = 15) -> DataFrame:
     """The group of each coordinate that most of its variants without one fragment agree on, from the variant that scores it highest.
 
     ``weights`` are those of ``learning.train`` by run. Of times chosen equally often the earliest counts.

@@ -176,9 +176,6 @@ def eic_sum(spark, sf_dir):
     return sums.groupBy("p_partkey", F.nullif("rt", F.lit(0)).alias("rt")).agg(F.sum("intensity").alias("intensity"))
 
 
-QUERIES["eic_sum_all"] = eic_sum  # its name while eic_sum was cut to some parts
-
-
 @query
 def inner_left_fill(spark, sf_dir):
     sums = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum(cents("o_totalprice")).alias("s"), F.count(F.lit(1)).alias("k"))
@@ -209,9 +206,6 @@ def nearest_asof(spark, sf_dir):
     return ranges.nearest_of_all(marks, events, "mark", "at", 3600, ["event_type"], ["at", "event_id"]).select("mark", "event_type", "event_id")
 
 
-QUERIES["nearest_asof_all"] = nearest_asof
-
-
 @query
 def proximity_pairs(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal"))
@@ -235,9 +229,6 @@ def collision_band(spark, sf_dir):
     return pairs.groupBy("p_size").agg(F.sum(F.when(near, 1).otherwise(0)).alias("within_5"), F.count(F.lit(1)).alias("within_10"))
 
 
-QUERIES["collision_band_all"] = collision_band
-
-
 @query
 def data_with_sums(spark, sf_dir):
     """Orders with their line sums; an order without lines that waits becomes status 4."""
@@ -482,7 +473,7 @@ def string_ops(spark, sf_dir):
         peptides.strip_modifications(F.col("full")).alias("stripped"),
         F.array_join(peptides.proteins(F.col("label")), ",").alias("proteins"),
         peptides.cut_charge(F.col("cut")).cast("long").alias("charge"),
-        F.lower(F.regexp_replace("p_type", r"\s", "")).alias("header"),
+        peptides.header(F.col("p_type")).alias("header"),
         F.coalesce(peptides.between(F.concat(F.lit("OS="), F.col("p_type"), F.lit(" GN=")), "OS=", " GN="), F.lit("")).alias("organism"),
         fixed(peptides.identity(F.col("p_name"), F.reverse("p_name"))).alias("identity"),
     )

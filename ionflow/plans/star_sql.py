@@ -191,5 +191,3 @@ f AS (SELECT 'b' || i AS name, pre + {ENDS["b"]}::DOUBLE AS w FROM b WHERE i < l
 z AS (SELECT CASE WHEN z = 1 THEN name ELSE name || '^2' END AS cut_info, (w + z * {H}::DOUBLE) / z AS mz FROM f, (VALUES (1), (2)) q(z))
 SELECT cut_info, count(*) AS n, {f4("sum(round(mz, 6)::DECIMAL(20, 6))::DOUBLE", 2)} AS mz FROM z GROUP BY 1""",
 }
-
-SQL |= {f"{n}_all": SQL[n] for n in ("eic_sum", "nearest_asof", "collision_band")}

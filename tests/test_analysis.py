@@ -207,3 +207,50 @@ def test_one_peptide_and_views(spark, run):
     rows = s.where("rt = 350").collect()
     assert peaks.count() == sum(400 <= m <= 600 for r in rows for m in r.mz)
     assert A.spectrum_view(s.where("rt = 350"), smooth=True).count() == sum(len(r.mz) for r in rows)
+
+
+def test_tiles_give_the_untiled_rows(spark, run):
+    """Tiles and parts of any size, with sparse MS1 scans and times outside of them."""
+    lib, w, s, (k, b) = run
+    runs = spark.createDataFrame([("r", k, b)], "run_id string, irt_slope double, irt_intercept double")
+    coords = A.with_decoys(A.coordinates(lib, w, runs, 60.0)).cache()
+    every = A.spectra_by_window(s, w)
+    sparse = every.where("level = 2 OR (rt > 440 AND CAST((rt - 350) / 3 AS INT) % 9 = 0)").cache()
+    for spectra in (every, sparse):
+        for picker, align in (("counts", "nearest"), ("shape", "order")):
+            want = sorted(A.peak_groups(coords, spectra, width=None, picker=picker, align=align).collect())
+            assert len(want) > 20
+            for width, block in ((45.0, 2500), (300.0, 4)):
+                left, right = A.dealt(coords, spectra, width, block)
+                assert left.select(*A.TILE).distinct().count() > 9 and left.count() == coords.count()
+                assert sorted(A.peak_groups(coords, spectra, picker=picker, align=align, width=width, block=block).collect()) == want
+    parts = A.dealt(coords, sparse, 300.0, 4)[1]
+    assert parts.groupBy(*A.TILE).agg({"rt": "count"}).count() > 9
+
+
+def test_a_hot_window_spreads(spark):
+    """20 000 coordinates of one window go to 8 parts and more, and give what one task gives."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    rts = np.arange(200.0) * 5
+    frag = "array<struct<cut_info:string,mz:double,intensity:double,charge:int>>"
+    bell = lambda at: 5000 * np.exp(-((rts - at) ** 2) / 200)
+    peps, scans = [], [([], []) for _ in rts]
+    for i in range(40):
+        own, at = np.sort(rng.uniform(200, 1200, 6)), float(rng.uniform(100, 900))
+        for (m, y), v in zip(scans, bell(at), strict=True):
+            if v > 1:
+                m += own.tolist()
+                y += [float(v)] * 6
+        peps.append((f"p{i}", "PEPTIDEK", 2, float(rng.uniform(400, 500)), at, [(f"y{j + 1}", float(x), 100.0 - j, 1) for j, x in enumerate(own)]))
+    rows = [("r", 2, 0, float(t), *(list(x) for x in zip(*sorted(zip(m, y, strict=True)), strict=True))) if m else ("r", 2, 0, float(t), [1.0], [1.0]) for t, (m, y) in zip(rts, scans, strict=True)]
+    spectra = spark.createDataFrame(rows, "run_id string, level int, window_id int, rt double, mz array<double>, intensity array<double>")
+    few = spark.createDataFrame(peps, f"peptide_ref string, sequence string, charge int, mz double, rt double, fragments {frag}")
+    blank = spark.range(20_000 - 40).select(F.concat(F.lit("q"), "id").alias("peptide_ref"), F.lit("PEPTIDEK").alias("sequence"), F.lit(2).alias("charge"), F.lit(450.0).alias("mz"), F.lit(500.0).alias("rt"), F.array(*[F.struct(F.lit(f"y{j}").alias("cut_info"), (1300 + F.col("id") / 100 + j).alias("mz"), F.lit(1.0).alias("intensity"), F.lit(1).alias("charge")) for j in range(6)]).alias("fragments"))
+    coords = few.unionByName(blank).select("*", F.lit("r").alias("run_id"), F.lit(0).alias("window_id"), F.lit(False).alias("decoy"), (F.col("rt") - 50).alias("rt_start"), (F.col("rt") + 50).alias("rt_end"), F.lit(1.0).alias("irt_slope"), F.lit(0.0).alias("irt_intercept"))
+    left, _ = A.dealt(coords, spectra)
+    sizes = [r["count"] for r in left.groupBy(*A.TILE).count().collect()]
+    assert sum(sizes) == 20_000 and sum(n > 1000 for n in sizes) >= 8 and max(sizes) < 3500
+    got = sorted(A.peak_groups(coords, spectra).collect())
+    assert got == sorted(A.peak_groups(coords, spectra, width=None).collect()) and len({r.peptide_ref for r in got}) >= 5

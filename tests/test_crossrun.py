@@ -3,9 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionflow.functions import simulate as S
-from ionflow.operators import learning
 from ionflow.plans import crossrun as X
-from ionflow.sources import libraries as L
 
 
 def test_defaults_clinic_and_items(spark):
@@ -44,24 +42,3 @@ def test_simulator(spark):
     assert len(got[0].predicted) == 3 and got[1].predicted is None
     table = spark.createDataFrame([("bias", "", -0.5)], "term string, key string, weight double")
     assert S.model_of(table) == {("bias", ""): -0.5}
-
-
-def test_spectra(spark, tmp_path):
-    import zlib
-
-    scans = [([100.5, 200.25], [1.0, 2.0]), ([300.125], [9.0])]
-    blob, mzs, ints = b"xx", [], []
-    for m, y in scans:
-        a, b = L.encode_mz(np.array(m)), zlib.compress(np.array(y, "<f4").tobytes())
-        blob, mzs, ints = blob + a + b, [*mzs, len(a)], [*ints, len(b)]
-    (tmp_path / "run.bin").write_bytes(blob)
-    index = spark.createDataFrame([(2, 7, 2, [1.5, 2.5], mzs, ints)], "level int, window_id int, startPtr long, rts array<double>, mzs array<long>, ints array<long>")
-    rows = L.read_spectra(spark, index, str(tmp_path / "run.bin")).orderBy("rt").collect()
-    assert [(r.rt, r.mz, r.intensity) for r in rows] == [(t, m, y) for t, (m, y) in zip([1.5, 2.5], scans, strict=True)]
-
-
-def test_boosted(spark):
-    rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(float(a), float(b), float(a + b > 0)) for a, b in rng.normal(size=(200, 2))], "a double, b double, y double")
-    out = learning.boosted(df, ["a", "b"], "y", rounds=5, depth=3).transform(df)
-    assert out.where("prediction = y").count() > 180

@@ -12,6 +12,12 @@ given name in capitals or not, after words that introduce one ("my name is", "si
 two capitalised words come before a verb of speech ("wrote", "said"); from then on its parts are
 names in the whole document, alone as well. A name that nothing of this points to is not found.
 
+Words are no names on weak evidence: an introduction or a verb of speech makes no name of words
+that the corpus also writes in lower case (at least one in ``RARE`` of its words, so at most so many,
+counted over all texts) or that are listed as common, and such words are never names alone, whatever found
+them. Four numbers with dots after "version" and the like are no address, and 13 to 19 bare digits are
+a card number only if their check digit holds or a word before them says so.
+
 What the permutation can't know is checked against the corpus: the distinct entities are
 gathered, and a replacement that is itself an entity of the corpus, or that another entity has
 already, goes to a further attempt under another key until none is left. Documents are rewritten
@@ -30,6 +36,7 @@ import hashlib
 import json
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -48,8 +55,8 @@ LONGER = 8  # from this attempt on, letters and digits are appended, so small fo
 
 # Frequent given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Sophie Marie Claire Camille Lucia Carmen Elena Marta Paula Petra Sabine Ursula Monika Ingrid Mary Linda Susan Karen Nancy Emily Alice Helen Ruth Jane".split(),
-    ("latin", "m"): "John James Robert Michael William David Richard Thomas Charles Daniel Peter Paul Hans Klaus Jürgen Stefan Wolfgang Pierre Jacques Michel Antoine Luc Carlos Miguel Javier Pablo Diego Luis George Edward".split(),
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sarah Sophie Marie Claire Camille Lucia Carmen Elena Marta Paula Petra Sabine Ursula Monika Ingrid Mary Linda Susan Karen Nancy Emily Alice Helen Ruth Jane Olivia Charlotte Amelia Isabella Hannah Chloe Margaret Barbara Jennifer Jessica Rebecca Patricia Elizabeth Katharina Birgit Heike Nathalie Isabelle Sofia Rosa".split(),
+    ("latin", "m"): "John James Robert Michael William David Richard Thomas Charles Daniel Peter Paul Hans Klaus Jürgen Stefan Wolfgang Pierre Jacques Michel Antoine Luc Carlos Miguel Javier Pablo Diego Luis George Edward Liam Noah Oliver Henry Benjamin Matthew Andrew Joseph Anthony Steven Kevin Brian Jason Andreas Matthias Martin Laurent Philippe Alejandro Fernando Ricardo Antonio".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Людмила Екатерина".split(),
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Михаил Николай Андрей Владимир Павел Борис".split(),
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Βασιλική Σοφία Αγγελική".split(),
@@ -78,12 +85,12 @@ _NUMBER = re.compile(
 )
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{1,4})*(?![\w:])")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
+_WORD = r"(?:[ODL]['’])?[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][^\W\d_]+"
 _TITLED = re.compile(rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ \xa0](?:({_WORD})[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
 _NAMED = re.compile(rf"({'|'.join(sorted({n for names in GIVEN.values() for n in names}, key=len, reverse=True))})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)")
-_LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_LETTERS = re.compile(r"(?<![\w'’])(?:[ODL]['’](?=[A-Z]))?[^\W\d_]+(?!\w)")
 # Words that introduce a name, and verbs that follow one.
-BEFORE = "my name is|name|signed|sincerely|regards|contact person|on behalf of|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε".split("|")
+BEFORE = "my name is|name|signed|sincerely|regards|contact|contact person|on behalf of|ich heiße|mein name ist|je m'appelle|mon nom est|me llamo|mi nombre es|меня зовут|με λένε".split("|")
 AFTER = "wrote|writes|said|says|asked|replied|answered|signed|called|lives|schrieb|schreibt|sagte|sagt|fragte|antwortete|écrit|dit|demande|répond|escribió|dijo|preguntó|respondió|написал|написала|сказал|сказала|έγραψε|είπε".split("|")
 _FULL = rf"({_WORD})[ \xa0](?:[A-Z]\.[ \xa0])?({_WORD})(?:-({_WORD}))?(?!\w)"
 _INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(BEFORE)}))[ \xa0]?[:,]?[ \xa0\n]{_FULL}")
@@ -96,6 +103,14 @@ _NAME_LENGTH = 120
 PLAIN = frozenset("a an the of in on at by to for from with and or but is was are were has had as he she it they who der die das und oder in im von mit ist war hat zu le la les de du des et ou est un une dans par el los las y en es con del por".split())
 
 
+# Words of headings, institutions and places that stand in capitals without being names of people.
+COMMON = frozenset("new old white black red green house street city county state states united national international general first second north south east west central press times post news daily report office bureau board council committee department ministry government court university college school institute society association company group team bank fund market marketing sales product service services support customer description title subject project program center centre research science technology development management security health public private president minister director chairman chief editor author reader user manager doctor nurse mother father brother sister king queen prince princess lord lady saint captain january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
+#: A word that is at least one in so many of the corpus's words in lower case is common.
+RARE = 20_000
+_VERSION = re.compile(r"(?:version|release|revision|rev|section|chapter|build|firmware|ver|v)[.:#]? ?\Z", re.I)
+_BOOK_CUE = re.compile(r"(?:isbn|ean|gtin|issn)(?:-1[03])?[:#]?[ ]?\Z", re.I)
+_CARD_CUE = re.compile(r"(?:card|visa|mastercard|amex|karte|carte|tarjeta|kreditkarte)\W{0,3}(?:\w{1,8}\W{1,3}){0,2}\Z", re.I)
+
 # Permutations ---------------------------------------------------------------------------------
 
 
@@ -287,8 +302,22 @@ def _full_names(text: str, low: str) -> Iterator[re.Match]:
             yield m
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind) in order; where kinds overlap the first in ``ORDER`` wins."""
+def _number_kind(text: str, m: re.Match) -> str | None:
+    """What a number is; None for versions and for bare digits that nothing makes a card number."""
+    kind = next(k for k in ("ip", "ssn", "card", "phone") if m[k])
+    before = text[max(0, m.start() - 30) : m.start()]
+    if kind == "ip" and _VERSION.search(before):
+        return None
+    if kind == "card" and _BOOK_CUE.search(before):
+        return None
+    if kind == "card" and m[0].isdigit() and _luhn(m[0][:-1] + "0") != (10 - int(m[0][-1])) % 10 and not _CARD_CUE.search(before):
+        return None
+    return kind
+
+
+def entities(text: str, common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, kind) in order; where kinds overlap the first in ``ORDER`` wins. ``common``: the corpus's words in lower case."""
+    usual = lambda word: word.lower() in common or word.lower() in COMMON
     found: list[tuple[int, int, str]] = []
     for start, end, kind in secret_scan.base_spans(text):
         if kind == "assign":
@@ -304,7 +333,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 found.append((start, right.end(), "email"))
         at = text.find("@", at + 1)
     for c in _CANDIDATE.finditer(text):
-        found += [(m.start(), m.end(), next(k for k in ("ip", "ssn", "card", "phone") if m[k])) for m in _NUMBER.finditer(text, c.start(), c.end() + 1)]
+        found += [(m.start(), m.end(), kind) for m in _NUMBER.finditer(text, c.start(), c.end() + 1) if (kind := _number_kind(text, m))]
     if "::" in text or text.count(":") >= 3:
         found += [(m.start(), m.end(), "ip") for m in _IP6.finditer(text)]
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if len(m[0].replace(" ", "")) >= 15 and not text[max(0, m.start() - 1) : m.start()].isalnum()]
@@ -313,13 +342,15 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         listed = m.re in (_NAMED, _NAMED_IN_CAPITALS)
         if text[max(0, m.start() - 1) : m.start()].isalnum():
             continue
+        if not listed and m.re is not _TITLED and any(usual(m[g]) for g in (1, 2, 3) if m[g]):
+            continue  # an introduction or a verb alone makes no name of common words
         for g in (1, 2, 3):
             if m[g] and (listed or m.re is _TITLED or m[g].lower() not in PLAIN):
                 given = g == 1 and (m.re is not _TITLED or m[2]) or m[g].lower() in WHOSE
                 found.append((m.start(g), m.end(g), "given" if given else "surname"))
     names: dict[str, str] = {}
     for start, end, kind in found:
-        if kind in ("given", "surname") and text[start:end].lower() not in PLAIN:
+        if kind in ("given", "surname") and text[start:end].lower() not in PLAIN and not usual(text[start:end]):
             for spelling in (text[start:end], text[start:end].upper(), text[start:end].capitalize()):
                 if names.get(spelling) != "given":
                     names[spelling] = kind
@@ -334,9 +365,9 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return taken
 
 
-def replace(text: str, known: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def replace(text: str, known: dict[tuple[str, str], str], key: bytes = KEY, common: frozenset[str] = frozenset()) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and the spans they replaced; ``known``: replacements of later attempts."""
-    spans = entities(text)
+    spans = entities(text, common)
     out, at = [], 0
     for start, end, kind in spans:
         mention = text[start:end]
@@ -359,7 +390,35 @@ def key_of(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(text_col).cast("string")).cast("string")))
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common_words(docs: DataFrame, text_col: str = "text", rare: int = RARE) -> frozenset[str]:
+    """Words in lower case that are at least one in ``rare`` of all words, so at most ``rare``; counted over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        total = 0
+
+        def part() -> pa.RecordBatch:
+            own = [(w, n) for w, n in counts.items() if w.islower() and w.isalpha() and len(w) < 64]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([None, *(w for w, _ in own)], pa.string()), pa.array([total, *(n for _, n in own)], pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for text in b.column(0):
+                words = (text.as_py() or "").split()
+                counts.update([w.rstrip(".,;:!?") for w in words])
+                total += len(words)
+            if len(counts) > 1 << 17:
+                yield part()
+                total = 0
+        yield part()
+
+    sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = materialise(sums, "words")
+    total = sums.where("word IS NULL").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return frozenset(r["word"] for r in sums.where("word IS NOT NULL").where(F.col("n") * rare >= max(total, 1)).select("word").toLocalIterator())
+
+
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: frozenset[str] = frozenset()) -> DataFrame:
     """(id, kind, value): the distinct entities of each document, in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +427,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py()
                 if text:
-                    out += [(i.as_py(), k, v) for k, v in sorted({(k, canonical(k, text[s:e])) for s, e, k in entities(text)})]
+                    out += [(i.as_py(), k, v) for k, v in sorted({(k, canonical(k, text[s:e])) for s, e, k in entities(text, common)})]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["id", "kind", "value"])
 
@@ -407,7 +466,8 @@ def resolve(found: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """``docs`` with surrogates in the text; ``spans`` adds the replaced spans (kind:start:end of the original, comma-joined)."""
-    found = materialise(mentions(docs, id_col, text_col), "mentions")
+    common = common_words(docs, text_col)
+    found = materialise(mentions(docs, id_col, text_col, common), "mentions")
     later = resolve(found, key).where("attempt > 0")
     extra, own, id_name = free_name(docs, "later"), free_name(docs, "replaced"), free_name(docs, "key")
     per_doc = found.join(later, ["kind", "value"]).groupBy(F.col("id").alias(id_name)).agg(F.to_json(F.collect_set(F.struct("kind", "value", "surrogate"))).alias(extra))
@@ -425,7 +485,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text
                 texts, marks = [], []
                 for text, known in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     table = {(x["kind"], x["value"]): x["surrogate"] for x in json.loads(known)} if known else {}
-                    new, gone = replace(text, table, key) if text else (text, [])
+                    new, gone = replace(text, table, key, common) if text else (text, [])
                     texts.append(new)
                     marks.append(",".join(f"{k}:{s}:{e}" for s, e, k in gone))
                 columns = [*part.columns[:-1], pa.array(marks, pa.string())]

@@ -27,22 +27,45 @@ from ionflow.llm.common import free_name, let, materialise
 SALT = 16
 
 
+#: Bits of a marked hash that hold the position of a window; longer texts have every window compared as words.
+PLACE = 24
+
+
+def _again(windows: Column) -> Column:
+    """Places of an array of (words, place) that is sorted whose words an entry next to it has too."""
+    m = F.size(windows)
+    return F.transform(F.filter(windows, lambda x, j: ((j > 0) & (x["g"] == windows[F.greatest(j - 1, F.lit(0))]["g"])) | ((j < m - 1) & (x["g"] == windows[F.least(j + 1, m - 1)]["g"]))), lambda x: x["p"])
+
+
 def repeated_words(words: Column) -> Column:
-    """Positions of an array of words, bound before, that lie in a three-word window found twice or more."""
+    """Positions of an array of words, bound before, that lie in a three-word window found twice or more.
 
+    Windows are told apart by hashes, as longs; texts without two equal ones end there. Else hashes
+    are sorted with their place in the lowest bits, and only windows whose upper bits meet others are
+    compared as words.
+    """
     n = F.size(words)
-    grams = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("p"))),
-    ).otherwise(F.array().cast("array<struct<g:string,p:int>>"))
-
-    def found(s: Column) -> Column:
-        m = F.size(s)
-        again = F.filter(s, lambda x, j: ((j > 0) & (x["g"] == s[F.greatest(j - 1, F.lit(0))]["g"])) | ((j < m - 1) & (x["g"] == s[F.least(j + 1, m - 1)]["g"])))
-        starts = F.transform(again, lambda x: x["p"])
+    all_places = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    hashes = F.transform(all_places, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    upper = lambda x: F.shiftright(x, PLACE)
+
+    def meeting(marked: Column) -> Column:
+        """Places whose upper bits an entry next to them shares."""
+        m = F.size(marked)
+        near = F.filter(marked, lambda x, j: ((j > 0) & (upper(x) == upper(marked[F.greatest(j - 1, F.lit(0))]))) | ((j < m - 1) & (upper(x) == upper(marked[F.least(j + 1, m - 1)]))))
+        return F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
+
+    def counted(places: Column) -> Column:
+        grams = F.array_sort(F.transform(places, lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("g"), i.alias("p"))))
+        starts = let(grams, _again)
         return let(starts, lambda p: F.size(F.array_distinct(F.concat(p, F.transform(p, lambda x: x + 1), F.transform(p, lambda x: x + 2)))))
 
-    return let(F.array_sort(grams), found)
+    def of(h: Column) -> Column:
+        marked = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE)).bitwiseOR(i.cast("long"))))
+        places = F.when(n - 2 > (1 << PLACE), all_places).otherwise(let(marked, meeting))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places, counted))
+
+    return F.when(n < 4, F.lit(0)).otherwise(let(hashes, of))
 
 
 def measures(text: Column) -> Column:

@@ -144,6 +144,43 @@ def residue_masses(sequence: Column, mods: Column | None = None, table: dict[str
     added = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.transform(F.split(sequence, ""), lambda c, i: own(c) + F.coalesce(F.element_at(added, F.element_at(mods, i)), F.lit(0.0)))
 
+def fragment_span(length: Column, note: Column) -> tuple[Column, Column]:
+    """(start, end) of the residues that an ``annotation`` names in a sequence, from 0 and with the end; null if it is longer or of no known type."""
+    at, kind = note["location"], note["type"]
+    head, tail = kind.isin("a", "b", "c"), kind.isin("x", "y", "z")
+    good = (head | tail) & at.between(1, length)
+    return F.when(good, F.when(head, 0).otherwise(length - at)), F.when(good, F.when(head, at - 1).otherwise(length - 1))
+
+
+def fragment(sequence: Column, note: Column, mods: Column | None = None, table: dict[str, float] | None = None) -> Column:
+    """What an ``annotation`` names in a sequence: struct of its residues, start, end, the modifications in it (by place in the whole) and m/z, monoisotopic and average.
+
+    ``mods``: position from 0 -> id, ``table``: id -> mass. Null where the annotation names nothing.
+    """
+    start, end = fragment_span(F.length(sequence), note)
+    inside = F.map_filter(mods, lambda k, _: k.between(start, end)) if mods is not None else F.create_map().cast("map<int,string>")
+    mono = fragment_mz(residue_masses(sequence, mods, table), note)
+    letters = F.substring(sequence, start + 1, end - start + 1)
+    ends = ends_of(AVERAGE_ELEMENTS)
+    side = F.element_at(F.create_map(*[F.lit(x) for k in "abcxyz" for x in (k, ends[k])]), note["type"])
+    added = F.aggregate(F.map_values(inside), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), i), F.lit(0.0))) if table else F.lit(0.0)
+    average = (residue_mass(letters, AVERAGE_RESIDUES) + side + note["charge"] * AVERAGE_ELEMENTS["H"] + note["adjust"] + added + F.when(note["isotope"], 1.0).otherwise(0.0)) / note["charge"] + note["deviation"]
+    return F.when(start.isNotNull(), F.struct(letters.alias("sequence"), start.alias("start"), end.alias("end"), inside.alias("mods"), mono.alias("mono_mz"), average.alias("average_mz")))
+
+
+#: What the theory mass adds at both ends, and the proton that it takes off again.
+B_SIDE, Y_SIDE, PROTON = 1.007276466771, 19.01784153, 1.007276466771
+
+
+def theory_mass(sequence: Column, mods: Column | None = None, table: dict[str, float] | None = None) -> Column:
+    """Mass of the whole neutral peptide: residues, modifications of known mass and both ends. Unknown letters and modifications weigh nothing."""
+    total = F.aggregate(residue_masses(sequence), F.lit(B_SIDE + Y_SIDE - 2 * PROTON), lambda acc, m: acc + m)
+    if mods is None or not table:
+        return total
+    added = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return total + F.coalesce(F.aggregate(F.map_values(mods), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.element_at(added, i), F.lit(0.0))), F.lit(0.0))
+
+
 def ion_series(sequence: Column) -> Column:
     """b and y masses of every cut, undivided, at four digits, in one array."""
     n = F.length(sequence)

@@ -341,6 +341,24 @@ def chromatogram_view(coords: DataFrame, spectra: DataFrame, ppm: float = 15, sm
     return coords.select(*keep).groupBy("run_id", "window_id").cogroup(spectra.groupBy("run_id", "window_id")).applyInPandas(run, schema)
 
 
+def peptide_view(coords: DataFrame, spectra: DataFrame, weights: DataFrame | dict[tuple, dict[str, float]], least: DataFrame | None = None, ppm: float = 15, picker: str = "counts", smooth: bool = False, denoise: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Curves of coordinates as ``chromatogram_view`` gives them, and their peak groups scored anew under the runs' weights.
+
+    The groups: those of ``peak_groups``, total_score, rank (1 is the best of a coordinate) and
+    status: success where the best group's score reaches the run's ``least`` one (run_id,
+    min_total_score), else failed, as all are of runs that have none.
+    """
+    curves = chromatogram_view(coords, spectra, ppm, smooth, denoise)
+    total = learning.with_total(peak_groups(coords, spectra, ppm, picker), ["run_id"], weights, list(learning.SCORES), "total_score")
+    order = Window.partitionBy("run_id", "peptide_ref", "decoy").orderBy(F.col("total_score").desc(), "idx")  # the groups of one coordinate
+    ranked = total.withColumn("rank", F.row_number().over(order))
+    if least is None:
+        return curves, ranked.withColumn("status", F.lit(fdr.FAILED))
+    joined = ranked.join(least.select("run_id", "min_total_score"), "run_id", "left")
+    good = (F.col("rank") == 1) & (F.col("total_score") >= F.col("min_total_score"))
+    return curves, joined.withColumn("status", F.when(good, fdr.SUCCESS).otherwise(fdr.FAILED)).drop("min_total_score")
+
+
 def spectrum_view(spectra: DataFrame, low: float | None = None, high: float | None = None, smooth: bool = False) -> DataFrame:
     """Peaks of scans as rows: run_id, level, window_id, rt, mz, intensity, of an m/z range and smoothed (5 points) on demand."""
     rows = spectra.select("run_id", "level", "window_id", "rt", F.posexplode(F.arrays_zip("mz", "intensity")).alias("at", "p"))

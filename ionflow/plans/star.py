@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ionflow.functions import peptides
 from ionflow.operators import fdr, filters, groups, learning, ordered, ranges, series, similarity
 from ionflow.operators.groups import fixed
-from ionflow.plans import crossrun
+from ionflow.plans import crossrun, proximity
 from ionflow.sources import libraries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,6 +213,22 @@ def proximity_pairs(spark, sf_dir):
     return pairs.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("links"))
 
 
+@query
+def proximity_links(spark, sf_dir):
+    """Line prices near those of later lines of the same customer, and of other customers' orders in the same price window.
+
+    Orders stand for peptides, their customers for proteins, lines for fragments; prices are in cents.
+    """
+    whole = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("double")
+    one = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("l_extendedprice"), F.max("l_quantity").alias("l_quantity"))  # numbers repeat
+    lines = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("cut_info"), whole("l_extendedprice").alias("mz"), F.col("l_quantity").cast("double").alias("intensity")))).alias("fragments"))
+    orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    peptides = orders.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("peptide_ref"), F.array(F.col("o_custkey").cast("string")).alias("proteins"), whole("o_totalprice").alias("mz"), F.lit(0.0).alias("rt"), "fragments")
+    windows = spark.range(12).select(F.col("id").cast("int").alias("window_id"), (F.col("id") * 5_000_000.0).alias("mz_start"), ((F.col("id") + 1) * 5_000_000.0 + 100_000.0).alias("mz_end"))
+    links = proximity.link_counts(peptides, windows, 2000.0, 5_000_000.0)
+    return links.select(F.col("protein").cast("long").alias("o_custkey"), F.col("peptide_ref").cast("long").alias("o_orderkey"), F.col("cut_info").cast("int").alias("l_linenumber"), "own_links", "other_links")
+
+
 @query
 def similar_pairs(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 10)).alias("parts"))

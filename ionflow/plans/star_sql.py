@@ -127,6 +127,15 @@ SELECT p_partkey, s AS decoy_sequence, (n - 2)::BIGINT AS modified, {f4(f'coales
     "report_pivot": 'SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'F\')::BIGINT AS "F", sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'O\')::BIGINT AS "O", sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = \'P\')::BIGINT AS "P" FROM orders GROUP BY 1',
     "nearest_asof": "WITH e AS (SELECT event_type, event_id, floor(epoch(ts))::BIGINT AS sec FROM events), m AS (SELECT i * 3600 AS mark FROM (SELECT unnest(range((SELECT min(sec) // 3600 FROM e), (SELECT max(sec) // 3600 + 1 FROM e))) AS i)) SELECT mark::BIGINT AS mark, event_type, arg_min(event_id, (abs(sec - mark), sec, event_id)) AS event_id FROM m CROSS JOIN e GROUP BY 1, 2",
     "proximity_pairs": "SELECT a.c_custkey, count(*) AS links FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) <= 50 GROUP BY 1",
+    "proximity_links": """
+WITH p AS (SELECT o_orderkey, o_custkey, floor(o_totalprice * 100 + 0.5) AS pm FROM orders),
+w AS (SELECT range AS w, range * 5000000.0 AS a, (range + 1) * 5000000.0 + 100000.0 AS b FROM range(12)),
+f AS (SELECT o_custkey, o_orderkey, pm, l_linenumber, floor(max(l_extendedprice) * 100 + 0.5) AS m FROM lineitem JOIN p ON l_orderkey = o_orderkey GROUP BY ALL),
+h AS (SELECT o_orderkey, max(w) AS w FROM p JOIN w ON pm BETWEEN a AND b GROUP BY 1),
+o AS (SELECT t.o_orderkey, t.l_linenumber, count(*) AS n FROM f t JOIN f s ON s.o_custkey = t.o_custkey AND abs(s.m - t.m) <= 2000 AND (s.o_orderkey, s.l_linenumber) > (t.o_orderkey, t.l_linenumber) GROUP BY 1, 2),
+g AS (SELECT f.*, w.w FROM f JOIN w ON pm BETWEEN a AND b),
+x AS (SELECT t.o_orderkey, t.l_linenumber, count(*) AS n FROM f t JOIN h USING (o_orderkey) JOIN g s ON s.w = h.w AND s.m > t.m - 2000 AND s.m < t.m + 2000 WHERE s.o_custkey <> t.o_custkey GROUP BY 1, 2)
+SELECT f.o_custkey, f.o_orderkey, f.l_linenumber, coalesce(o.n, 0) AS own_links, coalesce(x.n, 0) AS other_links FROM f LEFT JOIN o USING (o_orderkey, l_linenumber) LEFT JOIN x USING (o_orderkey, l_linenumber)""",
     "similar_pairs": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x * 10::FLOAT)::BIGINT) AS p FROM embeddings) SELECT a.vec_id, b.vec_id AS vec_id_b, len(list_distinct(list_intersect(a.p, b.p)))::BIGINT AS overlap FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= 2",
     "collision_band": "SELECT a.p_size, sum((abs(a.p_retailprice - b.p_retailprice) <= 5)::INT)::BIGINT AS within_5, count(*) AS within_10 FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 10 GROUP BY 1",
     "data_with_sums": "WITH l AS (SELECT l_orderkey, sum(l_quantity::BIGINT)::BIGINT AS quantity FROM lineitem WHERE l_quantity >= 45 GROUP BY 1) SELECT o_orderkey, quantity, CASE WHEN quantity IS NULL AND o_orderstatus = 'O' THEN 4 WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END::INT AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey",

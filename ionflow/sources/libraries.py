@@ -125,6 +125,29 @@ def read_amino_acids(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("oneLetterCode").alias("code"), "name", F.col("monoIsotopicMass").cast("double").alias("mono_mass"), F.col("averageMass").cast("double").alias("average_mass"))
 
 
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of a JSON file: symbol, name, number, isotopes (mass and natural share, by falling share), mono_mass (of the most frequent isotope) and average_mass.
+
+    Isotopes are ``percent:mass``; the masses come from them, whatever the file says, and are null
+    for an element without any.
+    """
+    raw = spark.read.schema("symbol string, name string, atomicNumber int, isotopes array<string>").option("multiLine", True).json(path)
+    part = lambda x, i: F.get(F.split(x, ":"), F.lit(i)).try_cast("double")
+    isotopes = F.transform(F.coalesce("isotopes", F.array().cast("array<string>")), lambda x: F.struct((-part(x, 0)).alias("o"), part(x, 1).alias("mass"), (part(x, 0) / 100).alias("share")))
+    sorted_ = F.array_sort(F.filter(isotopes, lambda x: x["mass"].isNotNull() & x["share"].isNotNull()))
+    rows = raw.select("symbol", "name", F.col("atomicNumber").alias("number"), F.transform(sorted_, lambda x: F.struct(x["mass"].alias("mass"), x["share"].alias("share"))).alias("isotopes"))
+    total = lambda f: F.aggregate("isotopes", F.lit(0.0), lambda acc, x: acc + f(x))
+    shares = total(lambda x: x["share"])
+    return rows.withColumns({"mono_mass": F.get("isotopes", F.lit(0))["mass"], "average_mass": F.when(shares > 0, total(lambda x: x["share"] * x["mass"]) / shares)})
+
+
+def formula_mass(formula: Column, elements: DataFrame, average: bool = False) -> Column:
+    """Mass of a formula (``peptides.formula``: element -> count) by the elements of ``read_elements``; null if one of them is not listed."""
+    rows = elements.select("symbol", F.col("average_mass" if average else "mono_mass").alias("m")).where("m IS NOT NULL").limit(1000).collect()  # a periodic table
+    table = F.create_map(*[F.lit(x) for r in rows for x in (r["symbol"], r["m"])])
+    return F.aggregate(F.map_entries(formula), F.lit(0.0), lambda acc, e: acc + e["value"] * F.element_at(table, e["key"]))
+
+
 def unseen_files(spark: SparkSession, folder: str, known: DataFrame, pattern: str = "*") -> DataFrame:
     """Files under a folder whose name is not in ``known`` (name)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length")

@@ -203,6 +203,13 @@ def test_one_peptide_and_views(spark, run):
     assert abs(top.rt - truth[ref]) <= 3.0
     smooth = A.chromatogram_view(coords.where(coords.peptide_ref == ref), spectra, smooth=True, denoise=True).toPandas()
     assert len(smooth) == len(view) and smooth.intensity.max() < view.intensity.max()
+    least = spark.createDataFrame([("r", 0.5)], "run_id string, min_total_score double")
+    curves, scored = A.peptide_view(coords.where(coords.peptide_ref == ref), spectra, weights, least)
+    scored = sorted(scored.collect(), key=lambda r: r["rank"])
+    assert curves.count() == len(view) and [r["rank"] for r in scored] == list(range(1, len(scored) + 1))
+    assert all(r.total_score == pytest.approx(r.Dotprod + r.CorrShape) for r in scored) and [r.total_score for r in scored] == sorted((r.total_score for r in scored), reverse=True)
+    assert scored[0].status == A.fdr.SUCCESS and {r.status for r in scored[1:]} <= {A.fdr.FAILED}
+    assert {r.status for r in A.peptide_view(coords.where(coords.peptide_ref == ref), spectra, weights)[1].collect()} == {A.fdr.FAILED}
     peaks = A.spectrum_view(s.where("rt = 350"), 400.0, 600.0)
     rows = s.where("rt = 350").collect()
     assert peaks.count() == sum(400 <= m <= 600 for r in rows for m in r.mz)

@@ -149,6 +149,57 @@ def test_fasta_and_chemistry(spark, tmp_path):
     assert one(spark, L.format_pairs(L.parse_pairs(F.lit("a:1;b:2.5;")))) == "a:1.0;b:2.5"
 
 
+def test_fragments_and_theory_masses(spark):
+    table = {"4": 57.021464, "35": 15.994915}
+    mods = F.create_map(F.lit(1), F.lit("4"), F.lit(5), F.lit("35"))
+    full = one(spark, P.theory_mass(F.lit("ACDEFM")))
+    assert full == pytest.approx(sum(P.RESIDUES[c] for c in "ACDEFM") + 18.010565, abs=1e-4)
+    assert one(spark, P.theory_mass(F.lit("ACDEFM"), mods, table)) == pytest.approx(full + sum(table.values()))
+    assert one(spark, P.theory_mass(F.lit("ACDEFM"), F.create_map(F.lit(0), F.lit("999")), table)) == pytest.approx(full)
+    look = lambda note: one(spark, P.fragment(F.lit("ACDEFM"), P.annotation(F.lit(note)), mods, table))
+    b, y = look("b3"), look("y2^2")
+    assert (b.sequence, b.start, b.end, b.mods) == ("ACD", 0, 2, {1: "4"}) and (y.sequence, y.start, y.end, y.mods) == ("FM", 4, 5, {5: "35"})
+    assert b.mono_mz == pytest.approx(plain_mz("ACD", {}, "b3") + table["4"]) and y.mono_mz == pytest.approx((P.RESIDUES["F"] + P.RESIDUES["M"] + table["35"] + P.ENDS["y"] + 2 * P.H) / 2)
+    assert abs(b.average_mz - b.mono_mz) < 0.5 and b.average_mz > b.mono_mz
+    assert look("y7") is None and look("q2") is None and look("b6").sequence == "ACDEFM"
+
+
+def test_elements(spark, tmp_path):
+    (tmp_path / "e.json").write_text('[{"symbol":"H","name":"Hydrogen","atomicNumber":1,"monoWeight":0,"isotopes":["0.0115:2.01410178","99.9885:1.0078250319"]},{"symbol":"O","name":"Oxygen","atomicNumber":8,"isotopes":["99.757:15.9949146","0.038:16.9991312","0.205:17.9991603"]},{"symbol":"Xx","name":"None"}]')
+    e = L.read_elements(spark, str(tmp_path / "e.json"))
+    rows = {r.symbol: r for r in e.collect()}
+    assert rows["H"].mono_mass == 1.0078250319 and rows["H"].average_mass == pytest.approx(1.00794, abs=1e-5) and [i.mass for i in rows["H"].isotopes] == [1.0078250319, 2.01410178]
+    assert rows["O"].average_mass == pytest.approx(15.9994, abs=1e-4) and rows["Xx"].mono_mass is None
+    assert one(spark, L.formula_mass(P.formula(F.lit("H:2,O:1")), e)) == pytest.approx(18.0105647) and one(spark, L.formula_mass(P.formula(F.lit("C:1")), e)) is None
+    assert one(spark, L.formula_mass(P.formula(F.lit("H:2,O:1")), e, average=True)) == pytest.approx(18.0153, abs=1e-3)
+
+
+def test_learned_intensities(spark):
+    """Shares of a measured library, by an average over its own rows, told to a library of proteins."""
+    proteins = spark.createDataFrame([("P1", "AAPAAAKCCCDCCRGGEGGGGK")], "identifier string, sequence string")
+    lib = library.of_proteins(proteins, charges=(2, 3), most=6)
+    level = lambda f: {"y": 100.0, "b": 40.0}[f[0]] + int(f[1:])
+    rows = [(r.peptide_ref, r.sequence, r.charge, [(f.cut_info, f.mz, level(f.cut_info), 1) for f in r.fragments]) for r in lib.collect()]
+    measured = spark.createDataFrame(rows, "peptide_ref string, sequence string, charge int, fragments array<struct<cut_info:string,mz:double,intensity:double,charge:int>>")
+    learned = library.learned_intensities(measured, least=2).cache()
+    got = {r["type"]: (r.share, r.n) for r in learned.where(f"level = {len(library.LEVELS) - 1}").collect()}
+    top = {ref: max(f[2] for f in frags) for ref, _, _, frags in rows}
+    for kind in "by":
+        own = [f[2] / top[ref] for ref, _, _, frags in rows for f in frags if f[0][0] == kind]
+        assert got[kind] == (pytest.approx(sum(own) / len(own)), len(own))
+    assert learned.where("level = 0 AND n < 2").count() == 0 and learned.where("level = 1").count() > 0
+    told = {r.peptide_ref: r for r in library.with_intensities(lib, learned).collect()}
+    assert set(told) == {r[0] for r in rows} and library.with_intensities(lib, learned).columns == lib.columns
+    for r in told.values():
+        y = [f.intensity for f in r.fragments]
+        assert y[0] == 10_000.0 and y == sorted(y, reverse=True) and len(set(y)) > 1 and r.fragments[0].cut_info[0] == "y"
+    blank = library.with_intensities(lib, learned.where("false")).first()
+    assert {f.intensity for f in blank.fragments} == {10_000.0}
+    hand = spark.createDataFrame([("r", "p", 3.0, 5.0), ("r", "p", 3.0, 4.0), ("r", "p", 2.0, 1.0)], "run_id string, peptide_ref string, left_rt double, right_rt double")
+    found = spark.createDataFrame([("r", "p", 1.0, 2.0, 1.4, 1.5)], "run_id string, peptide_ref string, left_rt double, right_rt double, apex_rt double, selected_rt double")
+    assert [(r.left_rt, r.apex_rt) for r in library.override(found, hand).collect()] == [(3.0, 3.5)]
+
+
 def test_tables(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"), ["k"])
     t.insert(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0)], "k long, s string, v double"))

@@ -1,10 +1,12 @@
 """Minimum-cost-flow resharding.
 
-The rows of a Parquet dataset lie in files, the old shards; each old shard belongs to the new
-shard that it is counted to at no cost. From the bytes that each new shard holds so and the new
-capacities a minimum-cost flow gives the transfers that move the fewest bytes: a byte that stays is
-free and one that moves costs one, for which surpluses meet deficits in linear time; with a cost
-matrix, by successive shortest paths.
+The rows of a Parquet dataset lie in files, the old shards; each stays in one new shard at no cost
+for what fits there. Which one is chosen from the largest file on, where most room is left, and
+then by single moves and exchanges of files for as long as fewer bytes are over (``homes``). From the
+bytes that each new shard holds so and the new capacities a minimum-cost flow gives the transfers that
+move the fewest bytes: a byte that stays is free and one that moves costs one, or what a cost matrix says.
+It is solved by successive shortest paths; over ``FLOW`` shards without a cost matrix, where any way for
+surpluses to meet deficits is as cheap, in linear time.
 
 Transfers are cut from the ends of a shard's files as blocks of consecutive rows, so the whole
 plan is a short list of slices (file, first row, last row, new shard): one per file and two per
@@ -92,6 +94,48 @@ def fewest_bytes(held: list[int], wanted: list[int]) -> dict[tuple[int, int], in
     return flow
 
 
+#: Most shards for which plain costs go through the flow's shortest paths.
+FLOW = 64
+
+
+def moved_bytes(held: list[int], wanted: list[int]) -> int:
+    """Bytes that have to leave their shard."""
+    return sum(max(0, a - b) for a, b in zip(held, wanted, strict=True))
+
+
+def homes(sizes: list[int], wanted: list[int], rounds: int = 20, search: int = 256) -> list[int]:
+    """The shard that each file stays in, so that few bytes are over: the largest file first, each to the shard with most room; then moves and exchanges that leave fewer over.
+
+    Files are compared with one another up to ``search`` of them, the largest ones; beyond that
+    small files fill the gaps well enough by themselves.
+    """
+    shards, held, home = len(wanted), [0] * len(wanted), [0] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for i in order:
+        home[i] = max(range(shards), key=lambda s: (wanted[s] - held[s], -s))
+        held[home[i]] += sizes[i]
+    over = lambda s, x: max(0, x - wanted[s])
+    head = order[:search]
+    for _ in range(rounds):
+        better = False
+        for i in head:
+            a = home[i]
+            if held[a] <= wanted[a]:
+                continue
+            steps = [(over(a, held[a] - sizes[i]) + over(b, held[b] + sizes[i]) - over(a, held[a]) - over(b, held[b]), b, None) for b in range(shards) if b != a]
+            steps += [(over(a, held[a] - sizes[i] + sizes[j]) + over(home[j], held[home[j]] + sizes[i] - sizes[j]) - over(a, held[a]) - over(home[j], held[home[j]]), home[j], j) for j in head if home[j] != a and sizes[j] < sizes[i]]
+            gain, b, j = min(steps, key=lambda x: (x[0], x[1]), default=(0, 0, None))
+            if gain < 0:
+                home[i], better = b, True
+                held[a], held[b] = held[a] - sizes[i], held[b] + sizes[i]
+                if j is not None:
+                    home[j] = a
+                    held[a], held[b] = held[a] + sizes[j], held[b] - sizes[j]
+        if not better:
+            break
+    return home
+
+
 def place() -> list[Column]:
     """A row's file and its number in it."""
     return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
@@ -107,12 +151,14 @@ def _wanted(total: int, shards: int, capacities: list[float] | None) -> list[int
     return [b - a for a, b in zip([0, *bounds], bounds, strict=False)]
 
 
-def _cuts(files: list[tuple[str, int]], flow: dict[tuple[int, int], int], shards: int) -> list[tuple[str, int, int]]:
+def _cuts(files: list[tuple[str, int]], home: dict[str, int], flow: dict[tuple[int, int], int], shards: int) -> list[tuple[str, int, int]]:
     """(file, byte in it, shard): from that byte on the file's rows go to the shard, up to the next cut.
 
     The files of a shard follow one another; the share that stays comes first, then the transfers.
     """
-    out = []
+    out, of = [], [[] for _ in range(shards)]
+    for name, size in files:
+        of[home[name]].append((name, size))
     for s in range(shards):
         edges, at = [], 0
         for t in [s, *(t for t in range(shards) if t != s)]:
@@ -120,7 +166,7 @@ def _cuts(files: list[tuple[str, int]], flow: dict[tuple[int, int], int], shards
                 edges.append((at, at + flow[s, t], t))
                 at += flow[s, t]
         offset = 0
-        for name, size in files[s::shards]:
+        for name, size in of[s]:
             out += [(name, max(0, a - offset), t) for a, b, t in edges if a < offset + size and b > offset]
             offset += size
     return out
@@ -132,10 +178,13 @@ def plan(spark: SparkSession, path: str, shards: int = 16, capacities: list[floa
     blocks = materialise(rows.groupBy("file", "block").agg(F.sum("size").alias("bytes"), (F.max("row") + 1).alias("end")), "blocks")
     listed = [tuple(r) for r in blocks.groupBy("file").agg(F.sum("bytes"), F.max("end")).orderBy("file").toLocalIterator()]  # one row per file
     files, ends = [(f, b) for f, b, _ in listed], {f: n for f, _, n in listed}
-    home = {f: i % shards for i, (f, _) in enumerate(files)}
-    held = [sum(b for _, b in files[s::shards]) for s in range(shards)]
-    wanted = _wanted(sum(held), shards, capacities)
-    cuts = _cuts(files, min_cost_flow(held, wanted, cost) if cost else fewest_bytes(held, wanted), shards)
+    wanted = _wanted(sum(b for _, b in files), shards, capacities)
+    home = dict(zip((f for f, _ in files), homes([b for _, b in files], wanted), strict=True))
+    held = [0] * shards
+    for f, b in files:
+        held[home[f]] += b
+    flow = min_cost_flow(held, wanted, cost) if cost or shards <= FLOW else fewest_bytes(held, wanted)
+    cuts = _cuts(files, home, flow, shards)
 
     # Bytes to row numbers: of the row that a cut falls into, the nearer end.
     asked = F.broadcast(spark.createDataFrame([(f, a) for f, a, _ in cuts if a], "file string, at long"))  # fewer than files and transfers

@@ -283,3 +283,46 @@ def test_simhash_query(spark, tmp_path):
     marks = {i: C.fingerprint(t) for i, t in rows}
     assert {i: r.fingerprint for i, r in got.items()} == {i: f"{m:016x}" for i, m in marks.items()}
     assert {i: r.component_id for i, r in got.items()} == plain_components(marks, 4)
+
+
+def byte_by_byte(text):
+    """The fingerprint with a hash that is rolled from byte to byte, chunk by chunk."""
+    import xxhash
+
+    data = (text or "").encode()
+    if not data:
+        return "3::"
+
+    def signature(size, most):
+        window, mixed, out, chunk = [0] * 7, 0, "", b""
+        for c in data:
+            window = [*window[1:], c]
+            total, weighted = sum(window), sum((i + 1) * w for i, w in enumerate(window))
+            mixed = 0
+            for w in window:
+                mixed = (mixed << 5 ^ w) & 0xFFFFFFFF
+            h = (total + weighted + mixed) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            h ^= h >> 13
+            chunk += bytes([c])
+            if h % size == size - 1 and len(out) < most - 1:
+                out, chunk = out + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[xxhash.xxh32_intdigest(chunk) % 64], b""
+        if chunk:
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[xxhash.xxh32_intdigest(chunk) % 64]
+        return out
+
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+    while size > 3 and len(signature(size, 64)) < 32:
+        size //= 2
+    return f"{size}:{signature(size, 64)}:{signature(2 * size, 32)}"
+
+
+def test_fingerprint_byte_by_byte(odd):
+    from ionflow.llm import piecewise_hash
+
+    rng = random.Random(12)
+    texts = [r.text for r in odd.collect()] + ["".join(rng.choice("abcdeé \n") for _ in range(n)) for n in (1, 6, 7, 8, 60, 500, 4000)] + ["ab" * 3000, "z" * 900, "€" * 50]
+    for t in texts:
+        assert piecewise_hash.fingerprint(t) == byte_by_byte(t)

@@ -89,3 +89,11 @@ def test_odd_rows_pass_every_stage(spark, odd, none, tmp_path, stage):
         out = spark.read.parquet(path)
         assert out.columns == names or stage == "packing"
         assert out.count() <= (df.count() if stage != "packing" else 10**9) and (name == "odd" or out.count() == 0)
+
+
+def test_language_without_labels_keeps_texts(spark):
+    """No label outside the fold means that no language can be told, not that documents go."""
+    rows = [(i, f"plain words of text number {i}" if i % 5 else ["", None, "123 !"][i % 3], None, "s", 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = C.language(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(20) if i % 5}

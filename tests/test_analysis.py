@@ -259,5 +259,5 @@ def test_a_hot_window_spreads(spark):
     left, _ = A.dealt(coords, spectra)
     sizes = [r["count"] for r in left.groupBy(*A.TILE).count().collect()]
     assert sum(sizes) == 20_000 and sum(n > 1000 for n in sizes) >= 8 and max(sizes) < 3500
-    got = sorted(A.peak_groups(coords, spectra).collect())
-    assert got == sorted(A.peak_groups(coords, spectra, width=None).collect()) and len({r.peptide_ref for r in got}) >= 5
+    got = sorted(A.peak_groups(coords, spectra, picker="shape").collect())
+    assert got == sorted(A.peak_groups(coords, spectra, width=None, picker="shape").collect()) and len({r.peptide_ref for r in got}) >= 5

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Score columns of a peak group, in order; fixed names.
@@ -102,18 +102,27 @@ def small_runs(df: DataFrame, by: list[str], group: str, decoy: str) -> DataFram
     return df.select(*by, group, decoy).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n < 500").select(*by)
 
 
-def train(df: DataFrame, by: list[str], group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED) -> DataFrame:
+def split(df: DataFrame, by: list[str], group: str, decoy: str, share: float, seed: int = 7) -> DataFrame:
+    """The rows of ``share`` of each run's peptides and of its decoys, rounded up: the first ones in the order of a hash."""
+    each = df.select(*by, group, decoy).distinct()
+    kind = Window.partitionBy(*by, decoy)  # a run has as many peptides as the library
+    ranked = each.withColumns({"_k": F.row_number().over(kind.orderBy(F.xxhash64(group, F.lit(seed)), group)), "_n": F.count(F.lit(1)).over(kind)})
+    return df.join(ranked.where(F.col("_k") <= F.ceil(F.col("_n") * share)).select(*by, group, decoy), [*by, group, decoy], "left_semi")
+
+
+def train(df: DataFrame, by: list[str], group: str, columns: list[str], decoy: str, first: str = "Dotprod", iterations: int = 20, blend: float = 0.8, fdr: float = 0.05, muted: tuple[str, ...] = MUTED, share: float = 1.0) -> DataFrame:
     """(by..., w): semi-supervised weights of each run in ``by``, as if it were alone: best rows per group, decoys against targets over a cutoff.
 
     The first weights set all decoys (best by ``first``) against one ideal target; the next round's
     replace them, and from then on new weights are blended with the last ones. A run with under 500
     peptides and decoys makes 10 rounds at most; see ``training_rows`` for the cutoffs. Weights are
-    a table of one row per run in every round; nothing of them passes through the driver.
+    a table of one row per run in every round; nothing of them passes through the driver. With a
+    ``share`` under 1 only so many of the peptides and decoys train (see ``split``).
     """
     from ionflow.operators.groups import best
     from ionflow.operators.settle import cut, drop, settle
 
-    df = settle(df)
+    df = settle(df if share >= 1 else split(df, by, group, decoy, share))
     ideal = df.select(*by).distinct().select(*by, *[F.lit(IDEAL.get(c, 0.0)).alias(c) for c in columns], F.lit(1.0).alias("label"))
     decoys = best(df.where(F.col(decoy)), [*by, group], first, [F.col(columns[0])], columns).select(*by, *columns).withColumn("label", F.lit(0.0))
     weights = cut(least_squares_by(decoys.unionByName(ideal), by, columns, "label", muted))

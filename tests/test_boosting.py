@@ -110,7 +110,7 @@ def test_odd_scores(spark):
 
 def test_identify_by_trees(spark):
     a, b = scored_run(spark, "a"), scored_run(spark, "b", 6, 5.0)
-    s = B.Settings(rounds=4, depth=2, rate=0.5, bins=8)
+    s = B.Settings(rounds=2, depth=2, rate=0.8, bins=8)
     rows = lambda d: {(r.run_id, r.peptide_ref): (r.total_score, r.selected_rt, r.status, round(r.fdr, 9)) for r in A.identify(d, 0.05, learner="boosted", trees=s).collect()}
     together = rows(a.unionByName(b))
     assert {k: v for k, v in together.items() if k[0] == "a"} == rows(a)

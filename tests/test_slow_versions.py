@@ -49,8 +49,11 @@ def plain_peaks(x, y):
         if min(y[i] - y[i - 1], y[i] - y[i + 1]) > 0 and min(y[i - 1], y[i + 1]) >= 1e-6:
             left, right = flank(y, i, -1), flank(y, i, 1)
             f = dense_spline(x[left : right + 1], y[left : right + 1])
-            grid = np.linspace(x[i - 1], x[i + 1], 4001)
-            apex = grid[int(np.argmax([f(t) for t in grid]))]
+            low, high = x[i - 1], x[i + 1]
+            for _ in range(3):
+                grid = np.linspace(low, high, 101)
+                apex = grid[int(np.argmax([f(t) for t in grid]))]
+                low, high = apex - (grid[1] - grid[0]), apex + (grid[1] - grid[0])
             out.append((apex, f(apex), i))
             i = right
         i += 1
@@ -90,15 +93,15 @@ def huber(x, y, delta):
         r = np.abs(y - k * x - b)
         return np.sum(np.where(r <= delta, r * r / 2, delta * (r - delta / 2)))
 
-    def least(f, lo, hi):
-        for _ in range(90):
+    def least(f, lo, hi, rounds):
+        for _ in range(rounds):
             a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
             lo, hi = (lo, b) if f(a) <= f(b) else (a, hi)
         return (lo + hi) / 2
 
     wide = 4 * (np.abs(y).max() + 1)
-    intercept = lambda k: least(lambda b: loss(k, b), -wide, wide)
-    k = least(lambda k: loss(k, intercept(k)), -10.0, 10.0)
+    intercept = lambda k: least(lambda b: loss(k, b), -wide, wide, 62)
+    k = least(lambda k: loss(k, intercept(k)), -10.0, 10.0, 46)
     return k, intercept(k)
 
 

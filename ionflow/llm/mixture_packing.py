@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionflow.llm import tree_bpe
-from ionflow.llm.common import materialise, slices
+from ionflow.llm.common import SLICE_BYTES, materialise, slices, tidy
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, queue int, ids binary"
 _UNITS = 1 << 30  # weights are whole numbers that add up to about this
@@ -154,20 +154,23 @@ class MixturePlan:
         return tuple(np.concatenate([old[early], fresh]) for old, fresh in zip((row, start, length, at), new, strict=True))
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, rest: bool = False) -> DataFrame:
     """Token table: source, part, the document's first token in its part of the source, ids as little-endian 16 or 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = tree_bpe.load(tokenizer), TaskContext.get().partitionId()
         kind, seen = np.dtype("<u2" if len(bpe.ends) <= 1 << 16 else "<u4"), {}
         for b in batches:
-            for at, to in slices(b.column(2)):
+            for at, to in slices(b.column(2), SLICE_BYTES // 2):
                 part_rows = b.slice(at, to - at)
                 ids, bounds, *_ = bpe.encode_all(part_rows.column(2), False)
                 n = np.diff(bounds)
                 flat = np.full(len(ids) + len(n), end_id, kind)  # the end id follows each document
-                flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                ends = (bounds + np.arange(len(bounds))) * kind.itemsize
+                ends = bounds + np.arange(len(bounds))
+                inside = np.ones(len(flat), bool)
+                inside[ends[1:] - 1] = False
+                flat[inside] = ids
+                ends *= kind.itemsize
                 tokens = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
                 starts = []
                 for s, size in zip(part_rows.column(1).to_pylist(), (n + 1).tolist(), strict=True):
@@ -177,14 +180,19 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
                     [part_rows.column(0), part_rows.column(1), pa.array(np.full(len(n), part, np.int32)), pa.array(starts, pa.int64()), pa.array(n + 1, pa.int64()), tokens],
                     ["doc_id", "source", "part", "local", "n", "tokens"],
                 )
+        if rest:
+            bpe.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(run, "doc_id long, source string, part int, local long, n long, tokens binary"), "tokens")
+    return materialise(rows.mapInArrow(tidy(run), "doc_id long, source string, part int, local long, n long, tokens binary"), "tokens")
 
 
-def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None, power: float = 0.5, queues: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pieces of documents: which tokens of which document lie where; ``ids`` are little-endian 32-bit."""
-    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col, source_col)
+def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1, targets: dict[str, float] | None = None, power: float = 0.5, queues: int = 128, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rest: bool = False) -> DataFrame:
+    """Pieces of documents: which tokens of which document lie where; ``ids`` are little-endian 32-bit.
+
+    ``rest``: tasks leave small caches behind in their workers, for sessions whose next stages need the memory; words are then encoded more often.
+    """
+    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col, source_col, rest)
     sums = materialise(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
     large = sums.where("source IS NOT NULL").groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * queues >= total)
@@ -228,4 +236,4 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 2048, end_id: int = 1,
                 columns = [part.column(0).take(pa.array(row)), start - first[row], length, n[row], sequence, offset, queue[row].astype(np.int32), pieces]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in PIECES.split(", ")])
 
-    return placed.mapInArrow(run, PIECES)
+    return placed.mapInArrow(tidy(run), PIECES)

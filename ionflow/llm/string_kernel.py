@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ionflow.llm.common import materialise
+from ionflow.llm.common import materialise, tidy
 
 MAX_N = 3
 BITS = 13
 BUCKETS = 1 << BITS
-STRETCH = 1 << 19
+STRETCH = 1 << 17
 _GAP = re.compile(r"[\W\d_]+")
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, per_class: int = 400, landmarks: int = 32, ridge: float
 
     # The sample's size is bounded by per_class and max_labels, so its keys may be broadcast; rows of one pair are equal, and one of them stays.
     picked = near.join(F.broadcast(chosen), ["label", "order"]).groupBy("label", "order").agg(F.first("text").alias("text"))
-    rows = sorted(picked.mapInArrow(vectors, "label string, order long, bits binary, letters boolean").where("letters").collect(), key=lambda r: (r["label"], r["order"]))
+    rows = sorted(picked.mapInArrow(tidy(vectors), "label string, order long, bits binary, letters boolean").where("letters").collect(), key=lambda r: (r["label"], r["order"]))
     if not rows:
         return None
     labels = sorted({r["label"] for r in rows})
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             names, scores = label(model, texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def label(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -226,4 +226,4 @@ def filter_documents(docs: DataFrame, model: Model | None, min_score: float = 0.
             keep = pa.array([n != "und" and s >= min_score for n, s in zip(names, scores, strict=True)])
             yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

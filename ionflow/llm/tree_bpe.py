@@ -42,6 +42,7 @@ from ionflow.llm.common import slices
 LEAF = 4096
 SPREAD = 1 << 16
 CACHE_ENTRIES = 500_000  # half as many where decoded texts are kept too
+REST_ENTRIES, REST_LENGTH = 50_000, 64  # of the cache, what ``rest`` keeps
 _BYTE_LEVEL = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else b + 0xA2 if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _WORD = re.compile(r"""([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)""")
@@ -167,7 +168,8 @@ class Bpe:
         starts = np.cumsum(sizes) - sizes
         here = sizes[codes]
         ends = np.concatenate([[0], np.cumsum(here)])
-        at = np.repeat(starts[codes] - ends[:-1], here) + np.arange(ends[-1])
+        at = np.repeat((starts[codes] - ends[:-1]).astype(np.int32), here)  # less than 2^31 bytes of text, so 32 bits do
+        at += np.arange(len(at), dtype=np.int32)
         out = None
         if decode:
             some = here > 0
@@ -179,6 +181,14 @@ class Bpe:
             trees[:-1] = [self.trees.get(c, 0) if len(c) > self.leaf else 0 for c in coded.dictionary.to_pylist()]
         return flat[at], ends[bounds], out, np.diff(np.concatenate([[0], np.cumsum(trees[codes])])[bounds])
 
+    def rest(self) -> None:
+        """At a task's end, since Spark keeps the worker: of the caches only the first short chunks stay, the common words among them."""
+        size = min(REST_LENGTH, self.leaf)
+        chunks = dict.fromkeys(islice((c for c in chain(self.texts, self.ids) if len(c) <= size), REST_ENTRIES))
+        self.texts = {c: self.texts[c] for c in chunks if c in self.texts}
+        self.ids = {c: self.ids[c] for c in chunks}
+        self.trees = {}
+
     # Long runs ------------------------------------------------------------------------------
     def runs(self, text: str) -> Iterator[tuple[int, str]]:
         """(id, "") of the added tokens and (-1, run) of the runs between them, in order."""

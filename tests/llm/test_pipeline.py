@@ -3,6 +3,7 @@ import os
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,3 +98,30 @@ def test_language_without_labels_keeps_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = C.language(spark, docs, SF)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(20) if i % 5}
+
+
+def test_packing_leaves_little_in_its_workers(spark):
+    """Spark keeps Python workers; what the last stage left there came on top of the memory of the next run's first ones."""
+    rows = [(i, " ".join(f"word{i * 500 + k}" for k in range(500)), "en", "s", 3) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(1)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(tree_bpe.load(C.TOKENIZER).ids)])], ["n"])
+
+    assert C.packing(spark, docs, SF).count() >= 400
+    found = [r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()]
+    assert max(found) <= tree_bpe.REST_ENTRIES
+
+
+def test_caches_at_rest_encode_alike():
+    bpe = tree_bpe.Bpe(tree_bpe.tokenizer_path(C.TOKENIZER), leaf=16)
+    texts = pa.array(["some plain words, and more", "x" * 40 + " plain words", None, "y" * 65 + "!"])
+    for decode in (False, True, True, False):
+        ids, bounds, decoded, trees = bpe.encode_all(texts, decode)
+        bpe.rest()
+        assert not bpe.trees and all(len(c) <= 16 for c in bpe.ids) and set(bpe.texts) <= set(bpe.ids)
+        assert trees.tolist() == [0, 1, 0, 1] and bounds[2] == bounds[3]
+        plain = Tokenizer.from_file(tree_bpe.tokenizer_path(C.TOKENIZER))
+        assert ids.tolist() == [i for t in texts.to_pylist() for i in plain.encode(t or "", add_special_tokens=False).ids]

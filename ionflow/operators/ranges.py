@@ -7,6 +7,10 @@ windows are exploded, never the points. ``width`` should be about the windows' w
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,57 @@ def band_pairs(df: DataFrame, value: str, band: float, key: str, on: list[str] |
     return joined.where((F.col(key) < F.col(names[key])) & (F.abs(F.col(value) - F.col(names[value])) <= band)).drop("_bin")
 
 
+def _farthest(band: float):
+    """Column function: the largest double whose difference to a value, as doubles subtract, is at most ``band``."""
+
+    def order(bits: np.ndarray) -> np.ndarray:
+        """Whole numbers in the order of the doubles with these bits, and back."""
+        return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+    @F.pandas_udf("double")
+    def farthest(values: pd.Series) -> pd.Series:
+        v = np.ascontiguousarray(values, np.float64)
+        low, high = order(v.view(np.int64)), np.full(len(v), order(np.float64(np.inf).view(np.int64)))
+        with np.errstate(over="ignore"):
+            for _ in range(64):
+                mid = (low >> 1) + (high >> 1) + (low & high & 1)
+                within = order(mid).view(np.float64) - v <= band
+                low, high = np.where(within, mid, low), np.where(within, high, mid)
+        return pd.Series(order(low).view(np.float64))
+
+    return farthest
+
+
+def _band_totals(df: DataFrame, value: str, bands: dict[str, float], on: list[str]) -> DataFrame:
+    """Pairs of rows by values of ``on``, whatever their keys: what lies up to a value's farthest partner, less what lies up to the value."""
+    zero, extra = F.lit(0).cast("long"), [f"_w{i}" for i in range(len(bands))]
+    values = df.groupBy(*on, F.col(value).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    places = [F.struct("_at", "_n", *[zero.alias(w) for w in extra])]
+    for w, band in zip(extra, bands.values(), strict=True):
+        places.append(F.struct(_farthest(band)("_at").alias("_at"), zero.alias("_n"), *[(F.col("_n") if w == x else zero).alias(x) for x in extra]))
+    places = values.select(*on, F.explode(F.array(*places)).alias("_p")).select(*on, "_p.*")
+    places = settle(places.groupBy(*on, "_at").agg(*[F.sum(c).alias(c) for c in ("_n", *extra)]))
+    run = ordered.running(places, "_at", {"_upto": ("sum", "_n")}, keys=on, settled=True)
+    below = F.expr("sum(_n * _upto - _n * (_n - 1) div 2)")  # of equal values each pair stays once
+    return run.groupBy(*on).agg(*[(F.expr(f"sum({w} * _upto)") - below).alias(name) for w, name in zip(extra, bands, strict=True)])
+
+
+def band_counts(df: DataFrame, value: str, bands: dict[str, float], key: str, on: list[str]) -> DataFrame:
+    """How many pairs ``band_pairs`` would give for each values of ``on``, without forming any; ``bands``: new column -> band.
+
+    Counted are all pairs by running sums over the distinct values, less those of rows that share a key.
+    """
+    number = F.col(value).cast("double")
+    known = [F.col(c).isNotNull() for c in (*on, key)] + [F.abs(number) < float("inf")]
+    rows = df.where(functools.reduce(Column.__and__, known)).select(*on, key, number.alias(value))
+    repeated = rows.join(rows.groupBy(*on, key).count().where("count > 1").drop("count"), [*on, key], "left_semi")
+    totals = _band_totals(rows, value, bands, on)
+    if repeated.isEmpty():
+        return totals
+    same = _band_totals(repeated, value, bands, [*on, key]).groupBy(*on).agg(*[F.sum(c).alias(f"_{c}") for c in bands])
+    return totals.join(same, on, "left").select(*on, *[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in bands])
+
+
 def nearest(marks: DataFrame, events: DataFrame, mark: str, at: str, span: float, on: list[str], order: list[str]) -> DataFrame:
     """For each mark and group the nearest event at most ``span`` away; ties by ``order``. Times are numbers."""
     bounds = marks.withColumn("_low", F.col(mark) - span).withColumn("_high", F.col(mark) + span)

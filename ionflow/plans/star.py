@@ -240,9 +240,7 @@ def similar_pairs(spark, sf_dir):
 def collision_band(spark, sf_dir):
     """Later parts of the same size within 5 and within 10 price units."""
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    pairs = ranges.band_pairs(p, "p_retailprice", 10.0, "p_partkey", ["p_size"])
-    near = F.abs(F.col("p_retailprice") - F.col("p_retailprice_b")) <= 5.0
-    return pairs.groupBy("p_size").agg(F.sum(F.when(near, 1).otherwise(0)).alias("within_5"), F.count(F.lit(1)).alias("within_10"))
+    return ranges.band_counts(p, "p_retailprice", {"within_5": 5.0, "within_10": 10.0}, "p_partkey", ["p_size"]).where("within_10 > 0")
 
 
 @query

@@ -44,3 +44,21 @@ def test_nearest_of_all_hours(spark, tmp_path):
     found = catalog.QUERIES["nearest_asof"](spark, str(tmp_path)).collect()
     assert len(marks) > 240 and len(found) == 2 * len(marks)
     assert {(r.mark, r.event_type, r.event_id) for r in found} == brute_nearest(events, marks)
+
+
+def test_collisions_of_crowded_sizes(spark, tmp_path):
+    """Shared keys, missing and odd values, differences that round to the band; 3.2 billion pairs of one size are counted, none is formed."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(120), rng.choice([1, 2, None]), rng.choice([900 + rng.randrange(300) / 10, 905.0, None, float("nan"), float("inf")])) for _ in range(400)]
+    rows += [(200, 4, -1e-17), (201, 4, 10.0), (202, 5, 0.0), (203, 5, 10.000000000000002), (204, 6, 900.1), (204, 6, 900.1), (None, 6, 900.1), (205, 7, -10.0), (206, 7, 4e-16), (207, 7, -0.0)]
+    near = defaultdict(lambda: [0, 0])
+    for a, size, x in rows:
+        for b, other, y in rows:
+            if None not in (a, b, size, x, y) and a < b and size == other and abs(x - y) <= 10.0:
+                near[size][0] += abs(x - y) <= 5.0
+                near[size][1] += 1
+    assert near[4] == [0, 1] and not {5, 6} & set(near) and near[7] == [1, 3]
+    crowd = spark.range(1000, 81_000).selectExpr("id AS p_partkey", "3 AS p_size", "950.0D AS p_retailprice")
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").union(crowd).write.parquet(f"{tmp_path}/part.parquet")
+    near[3] = [80_000 * 79_999 // 2] * 2
+    assert {r.p_size: [r.within_5, r.within_10] for r in catalog.QUERIES["collision_band"](spark, str(tmp_path)).collect()} == near

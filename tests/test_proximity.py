@@ -1,7 +1,10 @@
+import os
 import random
 
+import pyarrow as pa
 import pytest
 
+from ionflow import catalog
 from ionflow.plans import proximity as P
 
 SCHEMA = "peptide_ref string, proteins array<string>, mz double, rt double, fragments array<struct<cut_info:string,mz:double,intensity:double>>"
@@ -60,3 +63,67 @@ def test_a_dense_stretch_forms_no_pairs(spark):
     rows = counts.collect()
     assert {r.other_links for r in rows} == {3920} and sorted(r.own_links for r in rows if r.protein == "P7") == list(range(80))
     assert P.link_counts(df.where("false"), windows, 0.5).count() == 0
+
+
+def counted(df, reach, windows):
+    rows = P.link_counts(df, windows, reach).collect()
+    return len(rows), {(r.protein, r.peptide_ref, r.cut_info): (r.own_links, r.other_links) for r in rows}
+
+
+def test_crowded_stretches_are_dealt_out(spark, monkeypatch):
+    """Targets of a window and stretch in several tasks; half of all fragments have one of two masses."""
+    monkeypatch.setattr(P, "SHARE", 8)
+    rng = random.Random(9)
+    peptides = [(ref, proteins, mz, rt, [(c, rng.choice([m, 210.0, 212.0]), i) for c, m, i in frags]) for ref, proteins, mz, rt, frags in library(250, 5)]
+    df, windows = spark.createDataFrame(peptides, SCHEMA).repartition(5), spark.createDataFrame(WINDOWS, "window_id int, mz_start double, mz_end double")
+    for reach in (0.25, 2.0, 100.0):
+        want, _ = plain(peptides, reach)
+        assert counted(df, reach, windows) == (len(want), want)
+
+
+def test_fragments_without_a_mass_have_no_links(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, 300.0]
+    peptides = [(f"p{i}", [f"P{i % 3}"], 420.0 + 100 * (i % 4), 0.0, [(f"y{k}", m, 1.0) for k, m in enumerate(odd)]) for i in range(12)]
+    windows = spark.createDataFrame(WINDOWS, "window_id int, mz_start double, mz_end double")
+    known = [(*p[:4], [(c, float("nan") if m is None else m, i) for c, m, i in p[4]]) for p in peptides]
+    want, _ = plain(known, 2.0)
+    assert counted(spark.createDataFrame(peptides, SCHEMA), 2.0, windows) == (60, want) and max(b for _, b in want.values()) > 1
+
+
+def test_whole_proteins_are_taken_together(monkeypatch):
+    monkeypatch.setattr(P, "TOGETHER", 5)
+    proteins = [f"P{p}" for p in range(9) for _ in range(1 + p * p % 7)]
+    batches = pa.table({"protein": proteins, "mz": [[1.0] * (i % 4) for i in range(len(proteins))]}).to_batches(2)
+    for whole in ("protein", None):
+        found = [t["protein"].to_pylist() for t in P._together(iter(batches), whole)]
+        assert sum(found, []) == proteins and len(found) > 4
+    found = [t["protein"].to_pylist() for t in P._together(iter(batches), "protein")]
+    assert all(a[-1] != b[0] for a, b in zip(found, found[1:]))
+
+
+def test_little_is_written(spark):
+    """Checkpoints and exchanges of a fragment take less than 200 bytes; running sums joined back took over 500."""
+
+    def size():
+        folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        folders.append(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+        return sum(os.path.getsize(os.path.join(d, f)) for folder in folders for d, _, files in os.walk(folder) for f in files)
+
+    spark._jvm.System.gc()
+    peptides = [(f"{i:012}", [f"P{i % 900}"], 390 + 0.02 * (i * 7 % 11000), 0.0, [(f"y{k}", 200 + 0.01 * ((i * 31 + k * 7919) % 90_000), 1.0) for k in range(6)]) for i in range(5000)]
+    df = spark.createDataFrame(peptides, SCHEMA).repartition(3).persist()
+    windows = spark.createDataFrame(WINDOWS, "window_id int, mz_start double, mz_end double")
+    df.count()
+    before = size()
+    links = P.link_counts(df, windows, 0.5)
+    assert links.count() == 30_000
+    assert size() - before < 200 * 30_000
+    df.unpersist()
+
+
+def test_lines_of_an_order_follow_their_numbers(spark, tmp_path):
+    """Line 10 is later than line 9."""
+    spark.createDataFrame([(1, 7, 1000.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, n, 500.0 + n, 1.0) for n in range(8, 12)], "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalog.QUERIES["proximity_links"](spark, str(tmp_path)).collect()
+    assert {r.l_linenumber: r.own_links for r in rows} == {8: 3, 9: 2, 10: 1, 11: 0}

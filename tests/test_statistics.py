@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ionflow.operators import fdr, filters, groups, learning, ordered, ranges, series, similarity
+from ionflow.operators import settle as settling
 
 TARGETS, DECOYS = [9, 8, 7, 6, 5, 4, 3, 2], [6.5, 3.5, 2.5, 1]
 
@@ -62,6 +63,28 @@ def test_histogram_and_percentile(spark):
     assert len(groups.FDR_BINS) == 29
 
 
+def test_percentiles_rank_only_what_they_need(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    held = {"a": rng.lognormal(0, 3, 12_000), "b": rng.random(6_000), "c": rng.integers(-3, 3, 2_000).astype(float), "d": np.full(50, 7.0), "e": np.array([2.0, -0.0, 0.0, np.inf, -np.inf, np.nan])}
+    rows = [(g, float(v)) for g, values in held.items() for v in values]
+    df = spark.createDataFrame([*rows, (None, 1.0), ("a", None), ("f", None)], "g string, v double").repartition(3)
+    tables = []
+    for name in ("settle", "written"):
+        real = getattr(settling, name)
+        monkeypatch.setattr(settling, name, lambda t, real=real: tables.append(real(t)) or tables[-1])
+    found = {(r.g, r.pct): r.value for r in groups.percentiles(df, "g", "v", settled=True).collect()}
+    assert len(found) == 99 * len(held)
+    for g, values in held.items():
+        v, n = np.sort(values), len(values)
+        for p in range(1, 100):
+            pos = min(max(p / 100 * (n + 1), 1.0), float(n))
+            low, high = v[int(np.floor(pos)) - 1], v[int(np.ceil(pos)) - 1]
+            with np.errstate(invalid="ignore"):
+                np.testing.assert_equal(found[g, p], low + (pos - np.floor(pos)) * (high - low))
+    # Counts of ranges, and the ranges that hold a wanted rank: neither grows with the values.
+    assert [t.count() <= len(held) * most for t, most in zip(tables, (groups.RANGES + 1, 2 * 99), strict=True)] == [True, True]
+
+
 def test_merge(spark):
     df = spark.createDataFrame([("X", "1", 10.0), ("X", "2", 20.0), ("Y", "1", 4.0)], "pep string, run string, v double")
     m = groups.merge_runs(df, "run", "pep", F.col("v"))

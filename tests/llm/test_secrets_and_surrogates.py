@@ -3,7 +3,10 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from ionflow.llm import queries
@@ -283,3 +286,34 @@ def test_common_words_of_the_corpus(spark):
     assert P.common_words(many, rare=50) == {"plain", "words", "here"} | {w for w in P.common_words(many, rare=50) if set(w) == {"x"}}
     text = "Hello, said Paul Weber. Weber left."
     assert P.replace(text, {}, common=frozenset(["weber"]))[0].endswith("Weber left.") and "Weber" not in P.replace(text, {})[0]
+
+
+ODD_WORDS = [" lead and trail \n", "\x1cone\x85two\u3000three\xa0four", "ǆ ªº ʰa ab1 éé ... word, word; wOrd", "a" * 70]
+
+
+def fuzzed(n):
+    """Texts of pieces that detectors look for, whole and broken, with odd white space, marks and letters between them."""
+    rng = random.Random(11)
+    pieces = ["password", "PassWord", "passwd", "pa\u017fsword", "\u017fecret", "secret", "to\u212aen", "token", "api_key", "APIKEY", "access-key", "bearer", "Bearer", "pwd", "login", "is", "IS", '"', "'", ":", "=", "=>", "\t", "\n", " ", " ", " ", "\xa0", "\x0b", ",", ".", "-", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "deadbeefdeadbeefdeadbeefdeadbeef", "DEADBEEF" * 4,
+              "qzjxkvwpfhtm", "changeme", "xK9#mQ2$vL", "jo@ex.org", "@", "é@é.de", "fe80::1", "2001:db8:0:1:2:3:4:5", "a:b:c:d", "::", "10.1.2.3", "version 1.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+49 30 1234567", "(030) 123 4567", "212 555 0123", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "DE\u0668\u0669370400440532013000", "GB", "12",
+              "Mr", "Mr.", "Señora", "Г-н", "Κυρία", "Anna", "ANNA", "JÜRGEN", "Jürgen", "Анна", "ΜΑΡΊΑ", "Weber", "WEBER", "O'Brien", "O’Brien", "d'Arc", "Şahin", "Ívar", "x", "K.", "Kowalska-Meyer", "my name is", "MY NAME İS", "my name ıs", "s\u0131gned", "signed", "\u017figned", "ich heiße", "ICH HEI\u1e9eE", "меня зовут", "με λένε", "name", "NAME:", "wrote", "said", "says", "έγραψε", "написал", "saids", "the", "ΐ", "ß", "𝟏𝟐"]
+    return ["".join(rng.choice(["", " ", " ", "\xa0"]) + rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_secret_cues_cover_what_is_found():
+    texts = [*fuzzed(6000), *CASES]
+    column = pa.array(texts)
+    for t, base, context in zip(texts, *(pc.match_substring_regex(column, cue).to_pylist() for cue in (S.BASE_CUE, S.CONTEXT_CUE)), strict=True):
+        assert base or not S.base_spans(t), t
+        assert context or not S._CONTEXT.search(t), t
+    column = pa.array(["just some words about nothing, 1 or 2 of them", None, "", "pwd=qzjxkvwpfhtm"])
+    assert pc.match_substring_regex(column, S.CONTEXT_CUE).to_pylist() == [False, None, False, True]
+
+
+def test_frequent_words_against_plain_counts(spark):
+    texts = [*fuzzed(400), *ODD_WORDS, "", None]
+    counts = Counter()
+    for t in filter(None, texts):
+        counts.update(w for w in (w.strip(".,;:!?\"'()") for w in re.split("[ \t-\r]+", S._CONTEXT.sub(" ", t).lower())) if 3 <= len(w) <= 24 and w.isalpha())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert S.frequent_words(docs, share=200) == [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n * 200 >= sum(counts.values())]

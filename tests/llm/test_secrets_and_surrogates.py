@@ -317,3 +317,26 @@ def test_frequent_words_against_plain_counts(spark):
         counts.update(w for w in (w.strip(".,;:!?\"'()") for w in re.split("[ \t-\r]+", S._CONTEXT.sub(" ", t).lower())) if 3 <= len(w) <= 24 and w.isalpha())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert S.frequent_words(docs, share=200) == [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n * 200 >= sum(counts.values())]
+
+
+def test_entity_cues_cover_what_is_found():
+    texts = [*fuzzed(6000), *CASES]
+    for t, may in zip(texts, P.cues(pa.array(texts)), strict=True):
+        assert P.entities(t, frozenset(), may) == P.entities(t), t
+    found = P.cues(pa.array(["just some words about nothing, 1 or 2 of them", None, "", "write to jo@ex.org; token = abcdefgh1"]))
+    assert found == [frozenset()] * 3 + [{"secret", "email"}]
+    long = pa.array(["x" * (5 << 20), "a@b.de", None, "y" * (9 << 20) + " a@b.de", ""])  # more than a slice
+    assert P.cues(long) == [frozenset(), {"email"}, frozenset(), {"email"}, frozenset()]
+    # Letters of one case folding: RE2 must know all that stand for a letter of an introduction in Python.
+    letters = [chr(c) for c in range(1, 0x3000)] + ["\ua64a"]
+    for x in sorted(set("".join(P.BEFORE)) - set(" '")):
+        seen = pc.match_substring_regex(pa.array(letters), f"^(?i:{x.replace('i', '[iıİ]')})$").to_pylist()
+        assert all(m for c, m in zip(letters, seen, strict=True) if re.fullmatch(f"(?i:{x})", c)), x
+
+
+def test_common_words_against_plain_counts(spark):
+    texts = [*fuzzed(400), *ODD_WORDS, "", None]
+    words = [w for t in texts if t for w in t.split()]
+    counts = Counter(w for w in (w.rstrip(".,;:!?") for w in words) if w.islower() and w.isalpha() and len(w) < 64)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert P.common_words(docs, rare=200) == {w for w, n in counts.items() if n * 200 >= len(words)}
